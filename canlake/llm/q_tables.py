@@ -1,11 +1,11 @@
-"""Queries over documents by their own columns: sharding."""
+"""Queries over documents by their own columns: sharding and source mixing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canlake.llm import sharding
+from canlake.llm import mixing, sharding
 from canlake.llm.common import table
 
 SHARDS = 24
@@ -20,3 +20,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_sharding": op1_sharding}
 ORACLES: dict = {}
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "source")
+
+
+QUERIES["op8_source_mixing"] = op8_source_mixing
