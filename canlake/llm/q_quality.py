@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canlake.llm import line_rules
+from canlake.llm import language, line_rules
 from canlake.llm.common import table
 
 
@@ -17,3 +17,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op5_quality_rules": op5_quality_rules}
 ORACLES: dict = {}
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a document is kept from learning; one without an id is in neither part."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language.Model | None:
+    return language.train(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language.identify(docs.select("doc_id", held_out().alias("held_out"), "text"), language_model(docs))
+    return told.select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES["op3_language_id"] = op3_language_id

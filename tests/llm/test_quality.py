@@ -46,3 +46,30 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_rules.judge_lines(empty).count() == 0
     assert set(q_quality.QUERIES) >= {"op5_quality_rules"}
+
+
+def test_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(9001, None, "en"), (9002, "", "en"), (9003, "12 345 !?", "de"), (None, "the and of", None), (9005, "é" * 40000, None)], "doc_id long, text string, lang string")
+    got = q_quality.language.identify(docs.union(odd).withColumn("score", q_quality.F.lit("clash")), q_quality.language_model(docs.union(odd))).collect()
+    assert len(got) == docs.count() + 5
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (9001, 9002, 9003))
+    assert all(0 <= r.score <= 1 and r.lang_pred in {"en", "de", "fr", "es", "und"} for r in got)
+    held = {r.doc_id for r in docs.where(q_quality.held_out()).collect()}
+    right = [by_id[i].lang_pred == by_id[i].lang for i in held]
+    assert 0 < len(right) < 200 and sum(right) >= 0.9 * len(right)
+    empty = docs.limit(0)
+    assert q_quality.language.identify(empty, q_quality.language_model(empty)).count() == 0
+
+
+def test_presence_kernel():
+    import pyarrow as pa
+
+    texts = ["ab ab", "", None, "Zebra é", "x" * 3]
+    rows = q_quality.language.presence(q_quality.language.Texts(pa.array(texts)))
+    for t, row in zip(texts, rows):
+        data = bytes(q_quality.language._READ[b] for b in (t or "").encode())
+        names = {(n, data[i : i + n]) for n in range(1, 5) for i in range(len(data) - n + 1)}
+        assert len(names) - 2 <= row.sum() <= len(names)
+    assert abs(q_quality.language.kernel(rows, rows)[0, 0] - 1) < 1e-6
