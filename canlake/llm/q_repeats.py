@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canlake.llm import jaccard
+from canlake.llm import jaccard, prefix_free
 from canlake.llm.common import table
 
 
@@ -14,3 +15,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLES: dict = {}
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = prefix_free.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["op6_suffix_array_dedup"] = op6_suffix_array_dedup

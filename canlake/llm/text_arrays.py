@@ -31,6 +31,9 @@ class Hasher:
         self.base = int(mix(np.array([seed + 77], np.uint64) * _GAMMA)[0]) | 5
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self) -> tuple:
+        return _hasher, (int(self.seed),)  # tasks use their own module's, with its tables
+
     def _grow(self, n: int) -> None:
         if n > len(self.up):
             n = max(n, 2 * len(self.up), 1 << 16)
@@ -56,8 +59,15 @@ class Hasher:
         return mix((prefix[length:] - prefix[:n]) * self.down[:n] + np.uint64(length) * _GAMMA)
 
 
+_HASHERS = {seed: Hasher(seed) for seed in (1, 2)}
+
+
+def _hasher(seed: int) -> Hasher:
+    return _HASHERS[seed]
+
+
 #: Two independent hashes; together they name a span.
-ONE, TWO = Hasher(1), Hasher(2)
+ONE, TWO = _HASHERS[1], _HASHERS[2]
 
 
 class Texts:

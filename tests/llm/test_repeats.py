@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from canlake.llm import jaccard
+from canlake.llm import jaccard, prefix_free
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -57,3 +58,59 @@ def test_components(spark, sf):
 
 def test_components_empty(spark):
     assert jaccard.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_removed(rows, units, window, join):
+    """rows: (doc_id, text); units(text) -> list. Order: id with nulls last, then the hash that Spark gives, then row."""
+    seen, out = set(), []
+    for d, t in rows:
+        u = units(t)
+        gone = [False] * len(u)
+        for i in range(len(u) - window + 1):
+            w = tuple(u[i : i + window])
+            if w in seen:
+                gone[i : i + window] = [True] * window
+            seen.add(w)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        kept = join([x for x, g in zip(u, gone) if not g])
+        out.append((d, len(u), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def planted(rng, n, length=60):
+    words = [f"{rng.choice('abcdefgh')}{i}é" for i in range(400)]
+    passages = [" ".join(rng.choice(words) for _ in range(rng.randint(15, 45))) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, length)))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            cut = rng.randint(0, 30)
+            parts += [p[cut:] if rng.random() < 0.5 else p, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))]
+        rows.append((i * 3, "\n".join(parts) if rng.random() < 0.5 else " ".join(parts)))
+    rows += [(i * 3 + 1, rows[i][1]) for i in range(0, n, 7)]
+    return rows
+
+
+EDGES = [(2000, None), (2001, ""), (2002, "ab" * 300), (2003, "a" * 450), (2005, "a" * 99), (2006, "a" * 100), (2007, "b" * 99 + "é"), (2008, "x " * 90), (2009, "\0" * 120 + "z"), (2010, "\0" * 130)]
+
+
+def test_repeated_strings(spark, sf):
+    rng = random.Random(2)
+    rows = sorted(planted(rng, 60) + EDGES + [(3000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").collect()], key=lambda r: r[0])
+    want = sorted(brute_removed(rows, lambda t: list((t or "").encode()), 100, bytes))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash"))
+    for group in (4096, 2):
+        got = prefix_free.remove_repeated_strings(df, group=group).drop("kept").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_repeated_rows_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(4, long), (4, long), (4, long), (None, long), (5, "q" + long), (6, "short"), (6, "short"), (None, None)]
+    got = prefix_free.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = sorted(((r.doc_id or -1, r.n_removed, r.n_units) for r in got))
+    n = len(long)
+    assert gone == sorted([(4, 0, n), (4, n, n), (4, n, n), (-1, n, n), (5, n, n + 1), (6, 0, 5), (6, 0, 5), (-1, 0, 0)])
+    assert prefix_free.remove_repeated_strings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
