@@ -19,15 +19,16 @@ orders each name's places instead.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canlake.llm.common import batches, written
-from canlake.llm.spans import bit_filter, hits, ints, longs, marked, occurrence, placed, removed, runs
+from canlake.llm.common import batches
+from canlake.llm.spans import PLACE, Parsed, dictionary, dictionary_phrases, ints, later_phrases, later_windows, longs, marked, parse, place_filter, placed, removed, repeated_triggers, runs
 from canlake.llm.text_arrays import ONE, TWO, Texts
 
 WINDOW, GRAM = 100, 32
@@ -36,91 +37,57 @@ GROUP, ARRAY_BYTES = 4096, 2 << 20
 _HASH = np.uint64(0xFFFFFFFFF0000000)  # 36 bits of hash before 28 bits of place
 
 
-class Phrases:
-    """The phrases of a batch of texts: text number, first window (in the batch), number of windows, trigger gram's hash."""
-
-    def __init__(self, texts: Texts, window: int, gram: int) -> None:
-        data = texts.data
-        self.text = self.first = self.windows = np.zeros(0, np.int64)
-        self.trigger, self.prefix = np.zeros(0, np.uint64), np.zeros(1, np.uint64)
-        if len(data) < window:
-            return
-        self.prefix = ONE.prefix(ONE.bytes[data])
-        names = ONE.windows(self.prefix, gram)
-        # smallest (hash, place) over each window's grams, by doubling; places decide ties, the first wins
-        least = (names & _HASH) | np.arange(len(names), dtype=np.uint64)
-        size, want = 1, window - gram + 1
-        while 2 * size <= want:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        if size < want:
-            least = np.minimum(least[: len(least) - (want - size)], least[want - size :])
-        place = (least & ~_HASH).astype(np.int64)
-        start = np.arange(len(place))
-        number = np.searchsorted(texts.offsets, start, side="right") - 1
-        valid = start + window <= texts.offsets[number + 1]
-        start, place, number = start[valid], place[valid], number[valid]
-        new = np.ones(len(start), bool)
-        new[1:] = (place[1:] != place[:-1]) | (number[1:] != number[:-1])
-        heads = np.flatnonzero(new)
-        self.text, self.first, self.windows = number[heads], start[heads], np.diff(np.append(heads, len(start)))
-        self.trigger = names[place[heads]]
-
-
-def _named(b: pa.RecordBatch, window: int, gram: int) -> tuple[Texts, Phrases, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts, phrases, and each phrase's document, tie and start in its document."""
-    texts = Texts(b.column(2))
-    found = Phrases(texts, window, gram)
-    doc, tie = b.column(0).to_numpy()[found.text], b.column(1).to_numpy()[found.text]
-    return texts, found, doc, tie, found.first - texts.offsets[found.text]
+def phrases(texts: Texts, window: int = WINDOW, gram: int = GRAM) -> Parsed:
+    """The texts' bytes cut into phrases by their windows' triggers."""
+    data = texts.data
+    none = np.zeros(0, np.int64)
+    out = Parsed(texts, texts.offsets, ONE.bytes[data], TWO.bytes[data], none, none, none, np.zeros(0, np.uint64))
+    if len(data) < window:
+        return out
+    names = ONE.windows(ONE.prefix(out.one), gram)
+    # smallest (hash, place) over each window's grams, by doubling; places decide ties, the first wins
+    least = (names & _HASH) | np.arange(len(names), dtype=np.uint64)
+    size, want = 1, window - gram + 1
+    while 2 * size <= want:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < want:
+        least = np.minimum(least[: len(least) - (want - size)], least[want - size :])
+    place = (least & ~_HASH).astype(np.int64)
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1]
+    sizes = np.diff(texts.offsets)
+    edges = texts.offsets[:-1][sizes > 0]
+    new[edges[edges < len(new)]] = True
+    valid = np.zeros(len(place), np.int8)
+    full = np.flatnonzero(sizes >= window)
+    valid[texts.offsets[full]] = 1
+    ends = texts.offsets[full] + sizes[full] - window + 1
+    np.subtract.at(valid, ends[ends < len(valid)], 1)
+    valid = np.cumsum(valid) > 0
+    heads = np.flatnonzero(new)
+    out.windows = np.add.reduceat(valid.astype(np.int64), heads)
+    some = valid[heads]
+    out.first, out.windows = heads[some], out.windows[some]
+    out.text = np.searchsorted(texts.offsets, out.first, side="right") - 1
+    out.trigger = names[place[out.first]]
+    return out
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc, tie, start, length) spans of bytes that are covered by windows which start earlier as well. rows: of `placed`."""
-    context = rows.sparkSession.sparkContext
-    rows = rows.select("doc", "tie", "text")
-
-    def triggers(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found):
-            yield pa.RecordBatch.from_arrays([longs(Phrases(Texts(b.column(2)), window, gram).trigger)], ["trigger"])
-
-    grams = rows.mapInArrow(triggers, "trigger long").groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = context.broadcast(bit_filter(grams, "trigger"))  # of fixed size
-
-    def parse(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found):
-            texts, p, doc, tie, start = _named(b, window, gram)
-            some = np.flatnonzero(hits(again.value, p.trigger))
-            first, end = p.first[some], p.first[some] + p.windows[some] + window - 1
-            other = TWO.spans(TWO.prefix(TWO.bytes[texts.data]), first, end) if len(some) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([longs(p.trigger[some]), longs(ONE.spans(p.prefix, first, end)), longs(other), longs(doc[some]), ints(tie[some]), ints(start[some]), ints(p.windows[some])], ["trigger", "name", "other", "doc", "tie", "start", "windows"])
-
-    place = F.struct("doc", "tie", "start")
-    same = Window.partitionBy("name", "other")
-    phrases = rows.mapInArrow(parse, "trigger long, name long, other long, doc long, tie int, start int, windows int")
-    phrases = written(phrases.withColumn("is_first", F.min(place).over(same) == place), "parse")
-    whole = phrases.where("not is_first").select("doc", "tie", "start", (F.col("windows") + (window - 1)).alias("length"))
-
-    # the dictionary's phrases that share their trigger gram with another one; equal rows of a document count once
-    dictionary = phrases.where("is_first").select("trigger", "name", "doc", "tie", "start").distinct()
-    kin = written(dictionary.withColumn("kin", F.count(F.lit(1)).over(Window.partitionBy("trigger"))).where("kin > 1"), "dictionary")
-    keys = kin.select(F.col("name").alias("key"), "doc", "start", "kin")
-
-    def wanted(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            key = occurrence(*[b.column(i).to_numpy().view(np.uint64) if i == 0 else b.column(i).to_numpy() for i in range(3)])
-            yield pa.RecordBatch.from_arrays([longs(key)], ["key"])
-
-    few, many = (context.broadcast(bit_filter(keys.where(cond).select("key", "doc", "start").mapInArrow(wanted, "key long"), "key")) for cond in (F.col("kin") <= group, F.col("kin") > group))
+    parser = partial(phrases, window=window, gram=gram)
+    parsed = parse(rows, parser, repeated_triggers(rows, parser), window)
+    kin = dictionary(parsed)
+    few = place_filter(kin.where(F.col("kin") <= group))
 
     def contents(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(found):
-            texts, p, doc, tie, start = _named(b, window, gram)
-            names = ONE.spans(p.prefix, p.first, p.first + p.windows + window - 1)
-            some = np.flatnonzero(hits(few.value, occurrence(names, doc, start)))
-            data = texts.data.tobytes()
+            p = parser(Texts(b.column(2)))
+            some, doc, tie, start = dictionary_phrases(p, b, few, window)
+            data = p.texts.data.tobytes()
             text = [data[f : f + n + window - 1] for f, n in zip(p.first[some], p.windows[some])]
-            yield pa.RecordBatch.from_arrays([longs(p.trigger[some]), longs(doc[some]), ints(tie[some]), ints(start[some]), pa.array(text, pa.binary())], ["trigger", "doc", "tie", "start", "phrase"])
+            yield pa.RecordBatch.from_arrays([longs(p.trigger[some]), longs(doc), ints(tie), ints(start), pa.array(text, pa.binary())], ["trigger", *PLACE, "phrase"])
 
     def sorted_suffixes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last trigger's phrases, of which more may follow
@@ -139,25 +106,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
         if held is not None and held.num_rows:
             yield _repeats(held.combine_chunks(), window)
 
-    shape = "doc long, tie int, start int, length int"
-    bodies = rows.mapInArrow(contents, "trigger long, doc long, tie int, start int, phrase binary").distinct()
-    parts = bodies.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(sorted_suffixes, shape)
-
-    def windows_of(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found):
-            texts, p, doc, tie, start = _named(b, window, gram)
-            names = ONE.spans(p.prefix, p.first, p.first + p.windows + window - 1)
-            some = np.flatnonzero(hits(many.value, occurrence(names, doc, start)))
-            n = p.windows[some]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(p.first[some], n) + step
-            other = TWO.spans(TWO.prefix(TWO.bytes[texts.data]), at, at + window) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([longs(ONE.spans(p.prefix, at, at + window)), longs(other), longs(np.repeat(doc[some], n)), ints(np.repeat(tie[some], n)), ints(np.repeat(start[some], n) + step)], ["name", "other", "doc", "tie", "start"])
-
-    spans = whole.unionByName(parts)
+    bodies = rows.select("doc", "tie", "text").mapInArrow(contents, "trigger long, doc long, tie int, start int, phrase binary").distinct()
+    parts = bodies.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(sorted_suffixes, "doc long, tie int, start int, length int")
+    spans = later_phrases(parsed, window).unionByName(parts)
     if kin.where(F.col("kin") > group).limit(1).count():
-        named = rows.mapInArrow(windows_of, "name long, other long, doc long, tie int, start int").distinct()
-        spans = spans.unionByName(named.withColumn("low", F.min(place).over(same)).where(F.col("low") < place).select("doc", "tie", "start", F.lit(window).alias("length")))
+        spans = spans.unionByName(later_windows(rows, parser, place_filter(kin.where(F.col("kin") > group)), window))
     return spans
 
 

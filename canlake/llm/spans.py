@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canlake.llm.common import batches, written
-from canlake.llm.text_arrays import mix
+from canlake.llm.text_arrays import ONE, TWO, Texts, mix
 
 #: Bits of a filter that is sent to all tasks; a full one lets more through, which costs time and changes no result.
 FILTER_BITS = 1 << 26
@@ -24,6 +26,113 @@ def placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *order, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+@dataclass
+class Parsed:
+    """A batch of texts as units (bytes or words), cut into phrases: runs of windows with one trigger.
+
+    `edges` has the first unit of each text, `one` and `two` the units' hashes. A phrase has its text, its first window's
+    unit, its number of windows, and its trigger's name. Equal windows must have equal triggers.
+    """
+
+    texts: Texts
+    edges: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    text: np.ndarray
+    first: np.ndarray
+    windows: np.ndarray
+    trigger: np.ndarray
+
+    def keys(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, tie and start in its document of each phrase; b has doc, tie and text."""
+        return b.column(0).to_numpy()[self.text], b.column(1).to_numpy()[self.text], self.first - self.edges[self.text]
+
+    def names(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(first):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return ONE.spans(ONE.prefix(self.one), first, end), TWO.spans(TWO.prefix(self.two), first, end)
+
+
+Parser = Callable[[Texts], Parsed]
+PLACE = ["doc", "tie", "start"]
+
+
+def repeated_triggers(rows: DataFrame, parser: Parser) -> Broadcast:
+    """A filter of the triggers that occur more than once in the corpus."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(found):
+            yield pa.RecordBatch.from_arrays([longs(parser(Texts(b.column(2))).trigger)], ["trigger"])
+
+    named = rows.select("doc", "tie", "text").mapInArrow(run, "trigger long").groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.sparkSession.sparkContext.broadcast(bit_filter(named, "trigger"))
+
+
+def parse(rows: DataFrame, parser: Parser, again: Broadcast, window: int) -> DataFrame:
+    """The parse: a written row for each phrase whose trigger the filter has, with the phrase's name and whether it is the first of it."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(found):
+            p = parser(Texts(b.column(2)))
+            doc, tie, start = p.keys(b)
+            some = np.flatnonzero(hits(again.value, p.trigger))
+            name, other = p.names(p.first[some], p.first[some] + p.windows[some] + window - 1)
+            columns = [longs(p.trigger[some]), longs(name), longs(other), longs(doc[some]), ints(tie[some]), ints(start[some]), ints(p.windows[some])]
+            yield pa.RecordBatch.from_arrays(columns, ["trigger", "name", "other", "doc", "tie", "start", "windows"])
+
+    phrases = rows.select("doc", "tie", "text").mapInArrow(run, "trigger long, name long, other long, doc long, tie int, start int, windows int")
+    return written(phrases.withColumn("is_first", F.min(F.struct(*PLACE)).over(Window.partitionBy("name", "other")) == F.struct(*PLACE)), "parse")
+
+
+def later_phrases(phrases: DataFrame, window: int) -> DataFrame:
+    """Spans of the phrases that aren't the first of their name: all their windows are repeats."""
+    return phrases.where("not is_first").select(*PLACE, (F.col("windows") + (window - 1)).alias("length"))
+
+
+def dictionary(phrases: DataFrame) -> DataFrame:
+    """The first place of each distinct phrase that shares its trigger with another one, with the number of them."""
+    first = phrases.where("is_first").select("trigger", "name", *PLACE).distinct()  # equal rows of a document count once
+    return written(first.withColumn("kin", F.count(F.lit(1)).over(Window.partitionBy("trigger"))).where("kin > 1"), "dictionary")
+
+
+def place_filter(entries: DataFrame) -> Broadcast:
+    """A filter of the occurrences that stand in the dictionary."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield pa.RecordBatch.from_arrays([longs(occurrence(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], ["key"])
+
+    keys = entries.select("name", "doc", "start").mapInArrow(run, "key long")
+    return entries.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
+
+
+def dictionary_phrases(p: Parsed, b: pa.RecordBatch, wanted: Broadcast, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those phrases of a batch that the filter has, with their document, tie and start."""
+    doc, tie, start = p.keys(b)
+    name = p.names(p.first, p.first + p.windows + window - 1)[0]
+    some = np.flatnonzero(hits(wanted.value, occurrence(name, doc, start)))
+    return some, doc[some], tie[some], start[some]
+
+
+def later_windows(rows: DataFrame, parser: Parser, wanted: Broadcast, window: int) -> DataFrame:
+    """Spans of the windows of dictionary phrases that start earlier in another one: Spark orders the places of each window's name."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(found):
+            p = parser(Texts(b.column(2)))
+            some, doc, tie, start = dictionary_phrases(p, b, wanted, window)
+            n = p.windows[some]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(p.first[some], n) + step
+            name, other = p.names(at, at + window)
+            columns = [longs(name), longs(other), longs(np.repeat(doc, n)), ints(np.repeat(tie, n)), ints(np.repeat(start, n) + step)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "other", *PLACE])
+
+    named = rows.select("doc", "tie", "text").mapInArrow(run, "name long, other long, doc long, tie int, start int")
+    first = F.min(F.struct(*PLACE)).over(Window.partitionBy("name", "other"))
+    return named.withColumn("low", first).where(F.col("low") < F.struct(*PLACE)).select(*PLACE, F.lit(window).alias("length"))
+
+
 def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     """A table of `bits` bits in which those of the keys are set; keys must be well mixed longs."""
     word, bit = f"pmod({column}, {bits}) div 64", f"shiftleft(1L, cast(pmod({column}, 64) as int))"
