@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canlake.llm import jaccard, prefix_free
+from canlake.llm import jaccard, prefix_free, recompression
 from canlake.llm.common import table
 
 
@@ -23,3 +23,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_suffix_array_dedup"] = op6_suffix_array_dedup
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
+QUERIES["op7_substring_dedup"] = op7_substring_dedup

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from canlake.llm import jaccard, prefix_free
+from canlake.llm import jaccard, prefix_free, recompression
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -114,3 +114,34 @@ def test_repeated_rows_and_null_ids(spark):
     n = len(long)
     assert gone == sorted([(4, 0, n), (4, n, n), (4, n, n), (-1, n, n), (5, n, n + 1), (6, 0, 5), (6, 0, 5), (-1, 0, 0)])
     assert prefix_free.remove_repeated_strings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_words(spark, sf):
+    rng = random.Random(4)
+    edges = [(2000, None), (2001, ""), (2002, "ab " * 300), (2003, "x y " * 60), (2004, "b " * 19), (2005, "b " * 20), (2006, "c\x1cd " * 21), (2007, "ab " * 31 + "z")]
+    rows = sorted(planted(rng, 90, 90) + edges + [(3000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], key=lambda r: r[0])
+    want = sorted(brute_removed(rows, lambda t: WORD.findall((t or "").encode()), 20, b" ".join))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash"))
+    got = recompression.remove_repeated_words(df).drop("kept").collect()
+    assert sorted(map(tuple, got)) == want
+    assert recompression.remove_repeated_words(df.limit(0)).count() == 0
+    got = recompression.remove_repeated_words(spark.createDataFrame([(4, "w " + " ".join(map(str, range(30))))] * 3, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 31, 31]
+
+
+def test_equal_windows_have_equal_triggers():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for unit, window, parser in ((lambda t: list(t.encode()), 100, prefix_free.phrases), (lambda t: WORD.findall(t.encode()), 20, recompression.phrases)):
+        texts = [t or "" for _, t in planted(rng, 80, 90) + EDGES]
+        p = parser(prefix_free.Texts(pa.array(texts)))
+        seen = {}
+        units = [unit(t) for t in texts]
+        total = 0
+        for text, first, n, trigger in zip(p.text, p.first - p.edges[p.text], p.windows, p.trigger):
+            for i in range(first, first + n):
+                assert seen.setdefault(tuple(units[text][i : i + window]), trigger) == trigger
+                total += 1
+        assert total == sum(max(len(u) - window + 1, 0) for u in units)
