@@ -29,13 +29,14 @@ def words_in(text: Column) -> Column:
 
 
 def knapsack(lengths: Sequence[int], left: Sequence[int], budget: int) -> dict[int, int]:
-    """Counts by length, at most `left` of each, whose total is the largest that is at most `budget`."""
-    via = np.full(budget + 1, -1, np.int64)  # the item that first reached a total
-    reached = np.zeros(budget + 1, bool)
+    """Counts by length, at most `left` of each, whose total is nearest to `budget`; of two as near, the smaller."""
+    most = 2 * budget  # nothing is nearer than 0 is
+    via = np.full(most + 1, -1, np.int64)  # the item that first reached a total
+    reached = np.zeros(most + 1, bool)
     reached[0] = True
     items: list[tuple[int, int]] = []
     for length, n in zip(lengths, left):
-        n, power = min(n, budget // length), 1
+        n, power = min(n, most // length), 1
         while n > 0 and not reached[budget]:
             take = min(power, n)
             n, power, weight = n - take, 2 * power, take * length
@@ -45,7 +46,8 @@ def knapsack(lengths: Sequence[int], left: Sequence[int], budget: int) -> dict[i
             items.append((length, take))
         if reached[budget]:
             break
-    at, taken = int(np.flatnonzero(reached)[-1]), {}
+    totals = np.flatnonzero(reached)
+    at, taken = int(totals[np.argmin(np.abs(totals - budget))]), {}
     while at:
         length, take = items[via[at]]
         taken[length] = taken.get(length, 0) + take
@@ -54,7 +56,7 @@ def knapsack(lengths: Sequence[int], left: Sequence[int], budget: int) -> dict[i
 
 
 def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, bits: int = BUDGET_BITS) -> list[int]:
-    """How many documents of each length (all above 0) to take so that their words come as near below the budget as found."""
+    """How many documents of each length (all above 0) to take so that their words come as near to the budget as found."""
     total = sum(a * b for a, b in zip(lengths, counts))
     if budget >= total:
         return list(counts)
@@ -68,7 +70,7 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, bits:
             more = min(counts[i] - taken[i], most or counts[i], rest // lengths[i])
             taken[i] += more
             rest -= more * lengths[i]
-    small = [i for i in by_fraction if lengths[i] <= rest and counts[i] > taken[i]]
+    small = [i for i in by_fraction if lengths[i] <= 2 * rest and counts[i] > taken[i]]
     if rest <= bits:
         extra = knapsack([lengths[i] for i in small], [counts[i] - taken[i] for i in small], rest)
         for i in small:
