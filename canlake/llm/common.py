@@ -80,7 +80,7 @@ def ranked(df: DataFrame, by: list[str], block: Column, order: list[str], out: s
     return both.select(*cols, *extra, F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1)).alias(out))
 
 
-def batches(rows: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[pa.RecordBatch], most: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose `column` holds about `most` bytes, so that a task's memory doesn't depend on text lengths."""
     for b in rows:
         if not b.num_rows:

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canlake.llm.common import batches
-from canlake.llm.spans import PLACE, Parsed, dictionary, dictionary_phrases, ints, later_phrases, later_windows, longs, marked, parse, place_filter, placed, removed, repeated_triggers, runs
+from canlake.llm.spans import BATCH, PLACE, Parsed, dictionary, dictionary_phrases, ints, later_phrases, later_windows, longs, marked, parse, place_filter, placed, removed, repeated_triggers, runs
 from canlake.llm.text_arrays import ONE, TWO, Texts
 
 WINDOW, GRAM = 100, 32
 #: Distinct phrases of one trigger gram that a task sorts at once, and bytes of phrases in one suffix array.
-GROUP, ARRAY_BYTES = 4096, 2 << 20
+GROUP, ARRAY_BYTES = 4096, 1 << 19
 _HASH = np.uint64(0xFFFFFFFFF0000000)  # 36 bits of hash before 28 bits of place
 
 
@@ -82,7 +82,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     few = place_filter(kin.where(F.col("kin") <= group))
 
     def contents(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found):
+        for b in batches(found, BATCH):
             p = parser(Texts(b.column(2)))
             some, doc, tie, start = dictionary_phrases(p, b, few, window)
             data = p.texts.data.tobytes()
@@ -138,15 +138,16 @@ def _repeats(phrases: pa.Table, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([longs(doc[owner]), ints(tie[owner]), ints(start[owner] + inside), ints(length + window - 1)], ["doc", "tie", "start", "length"])
 
 
-def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256) of each document, in bytes of its UTF-8 text.
+def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra) of each document, in bytes of its UTF-8 text.
 
     A byte goes if it lies in a string of `window` bytes that starts earlier as well: in a document of smaller id, or
     earlier in its own. Null texts are empty; null ids come last; documents of one id are ordered by a hash of their texts,
-    and of equal rows all but one are later copies. Matches never cross documents. Other columns are not read. Phrases
+    and of equal rows all but one are later copies. Matches never cross documents. Other columns are not read, except those to
+    keep, which come in the struct extra. Phrases
     are named by two 64-bit hashes. Cuts can fall inside a code point, so what is kept is binary.
     """
-    rows = placed(docs, doc_id, text)
+    rows = placed(docs, doc_id, text, keep)
 
     def cut(data: bytes, spans: np.ndarray | None) -> tuple[bytes, int, int, int]:
         n = len(data)

@@ -57,7 +57,7 @@ class Symbols:
     def pairs_named(self, round_: int) -> Symbols:
         """Left-side symbols joined with right-side successors; a left symbol depends on what follows, a right one on what precedes."""
         has_left, has_right = self.neighbours()
-        right = (mix(self.name + np.uint64(round_ + 1) * _K) & np.uint64(1)) > 0
+        right = (mix(self.name + np.uint64((round_ + 1) * int(_K) % 2**64)) & np.uint64(1)) > 0
         joined = np.concatenate(([False], ~right[:-1] & right[1:] & has_left[1:]))
         head = np.flatnonzero(~joined)
         pair = np.diff(np.append(head, len(self.name))) > 1
@@ -134,15 +134,16 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     return later_phrases(parsed, window).unionByName(later_windows(rows, parser, place_filter(dictionary(parsed)), window))
 
 
-def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256) of each document, in words; kept words are joined by one space.
+def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra) of each document, in words; kept words are joined by one space.
 
     A word goes if it lies in a run of `window` words that starts earlier as well: in a document of smaller id, or
     earlier in its own. Null texts have no words; null ids come last; documents of one id are ordered by a hash of their
-    texts, and of equal rows all but one are later copies. Runs never cross documents. Other columns are not read. Words and
+    texts, and of equal rows all but one are later copies. Runs never cross documents. Other columns are not read, except those to
+    keep, which come in the struct extra. Words and
     windows are named by two 64-bit hashes.
     """
-    rows = placed(docs, doc_id, text)
+    rows = placed(docs, doc_id, text, keep)
 
     def cut(data: bytes, spans: np.ndarray | None) -> tuple[bytes, int, int, int]:
         words = data.split()

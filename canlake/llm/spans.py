@@ -17,13 +17,19 @@ from canlake.llm.text_arrays import ONE, TWO, Texts, mix
 
 #: Bits of a filter that is sent to all tasks; a full one lets more through, which costs time and changes no result.
 FILTER_BITS = 1 << 26
+#: Bytes of text that a task handles at once.
+BATCH = 1 << 20
 _LAST = (1 << 63) - 1
 
 
-def placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, doc, tie, text): documents are ordered by id, nulls last, and documents of one id by a hash of the text."""
+def placed(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, doc, tie, text, extra): documents are ordered by id, nulls last, and documents of one id by a hash of the text.
+
+    extra is a struct of the columns to keep, or null.
+    """
     order = [F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.hash(text).alias("tie")]
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *order, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    extra = F.struct(*keep) if keep else F.lit(None).cast("int")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *order, F.coalesce(F.col(text), F.lit("")).alias("text"), extra.alias("extra"))
 
 
 @dataclass
@@ -61,7 +67,7 @@ def repeated_triggers(rows: DataFrame, parser: Parser) -> Broadcast:
     """A filter of the triggers that occur more than once in the corpus."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found):
+        for b in batches(found, BATCH):
             yield pa.RecordBatch.from_arrays([longs(parser(Texts(b.column(2))).trigger)], ["trigger"])
 
     named = rows.select("doc", "tie", "text").mapInArrow(run, "trigger long").groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -72,7 +78,7 @@ def parse(rows: DataFrame, parser: Parser, again: Broadcast, window: int) -> Dat
     """The parse: a written row for each phrase whose trigger the filter has, with the phrase's name and whether it is the first of it."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found):
+        for b in batches(found, BATCH):
             p = parser(Texts(b.column(2)))
             doc, tie, start = p.keys(b)
             some = np.flatnonzero(hits(again.value, p.trigger))
@@ -118,7 +124,7 @@ def later_windows(rows: DataFrame, parser: Parser, wanted: Broadcast, window: in
     """Spans of the windows of dictionary phrases that start earlier in another one: Spark orders the places of each window's name."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found):
+        for b in batches(found, BATCH):
             p = parser(Texts(b.column(2)))
             some, doc, tie, start = dictionary_phrases(p, b, wanted, window)
             n = p.windows[some]
@@ -134,18 +140,19 @@ def later_windows(rows: DataFrame, parser: Parser, wanted: Broadcast, window: in
 
 
 def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A table of `bits` bits in which those of the keys are set; keys must be well mixed longs."""
-    word, bit = f"pmod({column}, {bits}) div 64", f"shiftleft(1L, cast(pmod({column}, 64) as int))"
-    rows = keys.groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64)
-    return out.view(np.uint64)
+    """A table of `bits` bits in which those of the keys are set; keys must be well mixed longs. It comes as bitmaps of 4 KB each."""
+    place = F.expr(f"pmod({column}, {bits}) + 1")
+    maps = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.collect():  # at most bits / 32768 rows
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.map), np.uint8)
+    return out
 
 
 def hits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the unsigned keys have their bit set."""
-    place = keys % np.uint64(len(table) * 64)
-    return ((table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)) > 0
+    place = keys % np.uint64(len(table) * 8)
+    return ((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1) > 0
 
 
 def occurrence(name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -185,24 +192,24 @@ def numbered_copies(rows: DataFrame) -> DataFrame:
 
 
 def removed(rows: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray], tuple[bytes, int, int, int]]) -> DataFrame:
-    """One row for each row of `placed`: (doc_id, n_units, n_removed, n_spans, kept, kept_sha256); kept is binary.
+    """One row for each row of `placed`: (doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra); kept is binary.
 
     spans: (doc, tie, start, length) in units of a document. cut(data, spans) gives the kept bytes, the units, those
     removed and the removed runs; it gets None for a further copy of an equal row, all of whose windows start earlier.
     """
     found = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    joined = numbered_copies(rows).join(found, ["doc", "tie"], "left").select("doc_id", "text", "copy", "spans")
+    joined = numbered_copies(rows).join(found, ["doc", "tie"], "left").select("doc_id", "text", "copy", "spans", "extra")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(rows):
+        for b in batches(rows, BATCH):
             out = []
-            for doc, text, copy, items in zip(*b.columns):
+            for doc, text, copy, items in zip(*b.columns[:4]):
                 of = np.zeros((2, 0), np.int64)
                 if items.is_valid:
                     of = np.array([items.values.field(0).to_numpy(), items.values.field(1).to_numpy()], np.int64)
                 out.append((doc.as_py(), *cut(text.as_py().encode(), None if copy.as_py() else of)))
             ids, kept, units, gone, n_spans = zip(*out)
-            arrays = [pa.array(ids, pa.int64()), pa.array(units, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_sha256"])
+            arrays = [pa.array(ids, pa.int64()), pa.array(units, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), b.column(4)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_sha256", "extra"])
 
-    return joined.mapInArrow(run, "doc_id long, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra {rows.schema['extra'].dataType.simpleString()}")

@@ -56,7 +56,7 @@ class Hasher:
     def windows(self, prefix: np.ndarray, length: int) -> np.ndarray:
         """Hashes of all spans of this length, by their first place."""
         n = max(len(prefix) - length, 0)
-        return mix((prefix[length:] - prefix[:n]) * self.down[:n] + np.uint64(length) * _GAMMA)
+        return mix((prefix[length:] - prefix[:n]) * self.down[:n] + np.uint64(length * int(_GAMMA) % 2**64))
 
 
 _HASHERS = {seed: Hasher(seed) for seed in (1, 2)}
