@@ -1,4 +1,428 @@
 """Every registered query of the frame engine, by name, with the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canlake.functions import frames as ff
+from canlake.operators import compare, decode, find, series, stats, trace
+from canlake.plans import demo
+from canlake.sources.events import FRAMES_SQL, frames
+from canlake.functions.dbc import Scope
+
+#: The window of time that the queries use, and a few times in and out of it.
+T0, T1, BUCKETS = 1704412800000000000, 1705276800000000000, 48
+TIMES = [1704067200000000000, 1704500000123456789, 1706000000000000000, 1800000000000000000]
+KEY = 256 + 3
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function of frames; sql goes on from the CTE `frames`."""
+
+    def register(f: Callable[[DataFrame], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(frames(spark, sf_dir))
+        if sql:
+            ORACLES[name] = FRAMES_SQL + ("," if sql.lstrip().startswith("--cte") else "") + "\n" + sql.replace("--cte", "", 1)
+        return f
+
+    return register
+
+
+def _bytes(n: int = 8) -> str:
+    """SQL: one row for each payload byte of a CTE p with b0.. and p0.. of the previous frame."""
+    return "\nUNION ALL ".join(f"SELECT key, kind, ts_ns, seq, {i} AS byte, b{i} AS b, p{i} AS p FROM p" for i in range(n))
+
+
+def _previous(source: str = "frames") -> str:
+    cols = ", ".join(f"lag(b{i}) OVER w AS p{i}" for i in range(8))
+    return f"p AS (SELECT *, {cols} FROM {source} WINDOW w AS (PARTITION BY key, kind ORDER BY ts_ns, seq))"
+
+
+WINDOW = f"ts_ns BETWEEN {T0} AND {T1}"
+BUCKET = f"CAST(least(floor(CAST(ts_ns - {T0} AS DOUBLE) / CAST({T1 - T0} AS DOUBLE) * {BUCKETS}), {BUCKETS - 1}) AS BIGINT)"
+HEX = "||".join(f"CASE WHEN b{i} IS NULL THEN '' ELSE upper(lpad(to_hex(b{i}), 2, '0')) END" for i in range(8))
+
+
+@query("log_info", "SELECT count(*) AS frames, count(*) FILTER (flags & 16 <> 0) AS error_frames, count(*) FILTER (flags & 64 <> 0) AS reassembled_frames, (max(ts_ns) - min(ts_ns)) / CAST(1e9 AS DOUBLE) AS duration_s, count(DISTINCT channel) AS channels FROM frames")
+def log_info(df: DataFrame) -> DataFrame:
+    return stats.log_info(df)
+
+
+@query("bus_channels", "SELECT channel, count(*) AS frames, arg_min(ts_ns, ts_ns) AS first_ns, arg_min(seq, ts_ns) AS first_seq FROM frames GROUP BY channel")
+def bus_channels(df: DataFrame) -> DataFrame:
+    return stats.channels(df)
+
+
+@query("kind_counts", "SELECT channel, kind, count(*) AS frames, CAST(sum(len) AS BIGINT) AS bytes FROM frames GROUP BY channel, kind")
+def kind_counts(df: DataFrame) -> DataFrame:
+    return stats.kind_counts(df)
+
+
+_SUMMARY = """--cte gaps AS (SELECT *, ts_ns - lag(ts_ns) OVER (PARTITION BY key ORDER BY ts_ns, seq) AS gap FROM frames),
+summary AS (SELECT key, channel, id, count(*) AS count, CASE WHEN count(*) > 1 THEN (max(ts_ns) - min(ts_ns)) / (count(*) - 1) / CAST(1e6 AS DOUBLE) END AS period_ms,
+  CASE WHEN count(gap) >= 2 THEN stddev_pop(gap) / CAST(1e6 AS DOUBLE) END AS jitter_ms, min(len) AS min_len, max(len) AS max_len, bit_or(flags) AS flags, arg_min(seq, ts_ns) AS first_seq FROM gaps GROUP BY key, channel, id)
+"""
+
+
+@query("id_summary", _SUMMARY + "SELECT key, channel, id, count, round(period_ms, 6) AS period_ms, round(jitter_ms, 3) AS jitter_ms, CAST(min_len AS BIGINT) AS min_len, CAST(max_len AS BIGINT) AS max_len, CAST(flags AS BIGINT) AS flags, first_seq FROM summary")
+def id_summary(df: DataFrame) -> DataFrame:
+    return stats.id_summary(df).withColumn("period_ms", F.round("period_ms", 6)).withColumn("jitter_ms", F.round("jitter_ms", 3))
+
+
+@query("id_table", _SUMMARY + "SELECT channel, id, count, row_number() OVER (ORDER BY count DESC NULLS LAST, channel, id) AS place, upper(CASE WHEN id >= 2147483648 THEN lpad(to_hex(id & 536870911), 8, '0') ELSE lpad(to_hex(id & 536870911), 3, '0') END) AS label FROM summary WHERE id < 536870912 OR id >= 2147483648 ORDER BY place LIMIT 20")
+def id_table(df: DataFrame) -> DataFrame:
+    summary = stats.id_summary(df).where(F.col("id").bitwiseAND(F.lit(1 << 29).cast("long")) == 0)
+    top = stats.ranked_ids(summary, "count", descending=True).limit(20)
+    place = F.row_number().over(stats_window())
+    return top.select("channel", "id", "count", place.cast("long").alias("place"), ff.id_label(F.col("id")).alias("label"))
+
+
+def stats_window():  # noqa: ANN201
+    from pyspark.sql import Window
+
+    return Window.orderBy(F.desc_nulls_last("count"), "channel", "id")  # over the 20 rows of the report
+
+
+@query("id_search", "SELECT channel, id, count(*) AS count FROM frames WHERE lower(CASE WHEN id >= 2147483648 THEN lpad(to_hex(id & 536870911), 8, '0') ELSE lpad(to_hex(id & 536870911), 3, '0') END) LIKE '%10a%' GROUP BY channel, id")
+def id_search(df: DataFrame) -> DataFrame:
+    return trace.search(stats.id_summary(df), "10A").select("channel", "id", "count")
+
+
+def _flips(source: str) -> str:
+    bits = "\nUNION ALL ".join(f"SELECT key, byte, {b} AS bit, coalesce(f{b}, 0) AS flips, coalesce(pairs, 0) AS pairs FROM joined" for b in range(8))
+    sums = ", ".join(f"sum((xor(b, p) >> {b}) & 1) AS f{b}" for b in range(8))
+    return f"""--cte {_previous(source)}, x AS ({_bytes()}),
+s AS (SELECT key, byte, count(*) AS pairs, {sums} FROM x WHERE b IS NOT NULL AND p IS NOT NULL GROUP BY key, byte),
+g AS (SELECT key, unnest(range(0, max(len))) AS byte FROM frames GROUP BY key HAVING max(len) > 0),
+joined AS (SELECT g.key, g.byte, s.* EXCLUDE (key, byte) FROM g LEFT JOIN s ON g.key = s.key AND g.byte = s.byte)
+SELECT key, CAST(byte AS BIGINT) AS byte, CAST(bit AS BIGINT) AS bit, CAST(flips AS BIGINT) AS flips, CAST(pairs AS BIGINT) AS pairs FROM ({bits})"""
+
+
+@query("bit_flips", _flips("frames"))
+def bit_flips(df: DataFrame) -> DataFrame:
+    return stats.bit_flips(df)
+
+
+@query("bit_flips_window", _flips(f"(SELECT * FROM frames WHERE {WINDOW})"))
+def bit_flips_window(df: DataFrame) -> DataFrame:
+    return stats.bit_flips(df, T0, T1)
+
+
+@query("change_activity", f"--cte {_previous()}, x AS ({_bytes()})\nSELECT key, {BUCKET} AS bucket, CAST(sum(bit_count(xor(b, p))) AS BIGINT) AS changed_bits FROM x WHERE b IS NOT NULL AND p IS NOT NULL AND {WINDOW} GROUP BY 1, 2")
+def change_activity(df: DataFrame) -> DataFrame:
+    return stats.change_activity(df, T0, T1, BUCKETS)
+
+
+_BITS = "(CASE WHEN id >= 2147483648 THEN 67 ELSE 47 END + CASE WHEN flags & 8 <> 0 THEN 0 ELSE len * 8 END)"
+_WIDTH = (T1 - T0) / BUCKETS / 1e9
+_RATE = 500
+_LOAD = f"""--cte b AS (SELECT channel, {BUCKET} AS bucket, sum({_BITS}) AS bits FROM frames WHERE flags & 80 = 0 AND {WINDOW} GROUP BY 1, 2),
+g AS (SELECT DISTINCT channel, unnest(range(0, {BUCKETS})) AS bucket FROM (SELECT DISTINCT channel FROM frames)),
+load AS (SELECT g.channel, CAST(g.bucket AS BIGINT) AS bucket, (g.bucket + CAST(0.5 AS DOUBLE)) * CAST({_WIDTH} AS DOUBLE) AS t_s, least(coalesce(CAST(bits AS DOUBLE), 0) / CAST({_RATE * _WIDTH} AS DOUBLE), CAST(1 AS DOUBLE)) AS load FROM g LEFT JOIN b ON g.channel = b.channel AND g.bucket = b.bucket)
+"""
+
+
+@query("bus_load", _LOAD + "SELECT channel, bucket, t_s, round(load, 12) AS load FROM load")
+def bus_load(df: DataFrame) -> DataFrame:
+    return stats.bus_load(df, T0, T1, BUCKETS, _RATE).withColumn("load", F.round("load", 12))
+
+
+@query("total_load", _LOAD + "SELECT bucket, round(sum(load), 12) AS load FROM load GROUP BY bucket")
+def total_load(df: DataFrame) -> DataFrame:
+    return stats.total_load(stats.bus_load(df, T0, T1, BUCKETS, _RATE)).withColumn("load", F.round("load", 12))
+
+
+@query("load_overview", _LOAD + "SELECT channel, round(avg(load), 12) AS mean_load, round(max(load), 12) AS peak_load FROM load GROUP BY channel")
+def load_overview(df: DataFrame) -> DataFrame:
+    found = stats.load_overview(stats.bus_load(df, T0, T1, BUCKETS, _RATE))
+    return found.select("channel", F.round("mean_load", 12).alias("mean_load"), F.round("peak_load", 12).alias("peak_load"))
+
+
+@query("frame_bits", f"SELECT channel, kind, CAST(sum({_BITS}) AS BIGINT) AS bits FROM frames GROUP BY channel, kind")
+def frame_bits(df: DataFrame) -> DataFrame:
+    return df.groupBy("channel", "kind").agg(F.sum(ff.frame_bits(F.col("id"), F.col("flags"), F.col("len"))).alias("bits"))
+
+
+_MASK = " + ".join(f"CASE WHEN b{i} <> p{i} THEN {1 << i} ELSE 0 END" for i in range(8))
+
+
+@query("changed_mask", f"--cte {_previous()} SELECT seq, CAST({_MASK} AS BIGINT) AS changed FROM p")
+def changed_mask(df: DataFrame) -> DataFrame:
+    return trace.changed_masks(df)
+
+
+@query("trace_page", f"""--cte {_previous()}, i AS (SELECT *, row_number() OVER (ORDER BY ts_ns, seq) - 1 AS index, min(ts_ns) OVER () AS origin FROM p)
+SELECT index, seq, CAST(ts_ns - origin AS DOUBLE) / CAST(1e9 AS DOUBLE) AS t, key, CAST(len AS BIGINT) AS full_len, {HEX} AS data, CAST({_MASK} AS BIGINT) AS changed FROM i WHERE index BETWEEN 300 AND 499""")
+def trace_page(df: DataFrame) -> DataFrame:
+    return trace.page(df, 300, 200)
+
+
+_ROW = " UNION ALL ".join(f"SELECT CAST({t} AS BIGINT) AS t_ns, least(count(*) FILTER (ts_ns < {t}), count(*) - 1) AS row FROM frames" for t in TIMES)
+
+
+@query("row_at_time", _ROW)
+def row_at_time(df: DataFrame) -> DataFrame:
+    return trace.row_at_time(df, TIMES)
+
+
+@query("row_count_between", f"SELECT key, count(*) AS rows FROM frames WHERE {WINDOW} GROUP BY key")
+def row_count_between(df: DataFrame) -> DataFrame:
+    return trace.count_between(df, T0, T1)
+
+
+@query("row_bytes", " UNION ALL ".join(f"SELECT seq, CAST({i} AS BIGINT) AS byte, CAST({f'coalesce(b{i}, 65535)' if i < 8 else '65535'} AS BIGINT) AS value FROM frames" for i in range(4, 10)))
+def row_bytes(df: DataFrame) -> DataFrame:
+    return trace.row_bytes(df, 4, 6)
+
+
+@query("frame_at", f"""--cte c AS (SELECT *, {HEX} AS data FROM frames),
+l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ns <= {TIMES[1]} DESC, CASE WHEN ts_ns <= {TIMES[1]} THEN -ts_ns ELSE ts_ns END, CASE WHEN ts_ns <= {TIMES[1]} THEN -seq ELSE seq END) AS r FROM c)
+SELECT key, ts_ns, seq, data FROM l WHERE r = 1""")
+def frame_at(df: DataFrame) -> DataFrame:
+    return trace.frame_at(df, TIMES[1])
+
+
+@query("trim", f"SELECT key, count(*) AS frames FROM frames WHERE seq >= (SELECT min(seq) FROM frames WHERE ts_ns >= {T1}) GROUP BY key")
+def trim(df: DataFrame) -> DataFrame:
+    return trace.trimmed(df, T1).groupBy("key").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query("filter_byte_equals", "SELECT seq, key, ts_ns FROM frames WHERE coalesce(b1 = 2, false) AND channel = 1")
+def filter_byte_equals(df: DataFrame) -> DataFrame:
+    return trace.filtered(df, trace.FrameFilter(channels=[1], rules=[trace.ByteEquals(1, 2)])).select("seq", "key", "ts_ns")
+
+
+@query("filter_bit", "SELECT seq, key, ts_ns FROM frames WHERE coalesce((b7 >> 6) & 1 = 0, false)")
+def filter_bit(df: DataFrame) -> DataFrame:
+    return trace.filtered(df, trace.FrameFilter(rules=[trace.BitIs(7, 6, False)])).select("seq", "key", "ts_ns")
+
+
+_CHANGED = " OR ".join(f"coalesce(b{i} <> p{i}, false)" for i in range(8))
+
+
+@query("filter_changes", f"--cte {_previous()} SELECT seq, key, ts_ns FROM p WHERE ({_CHANGED}) AND {WINDOW}")
+def filter_changes(df: DataFrame) -> DataFrame:
+    return trace.filtered(df, trace.FrameFilter(rules=[trace.Changes()], t0_ns=T0, t1_ns=T1)).select("seq", "key", "ts_ns")
+
+
+@query("filter_any", f"--cte {_previous()} SELECT seq, key, ts_ns FROM p WHERE coalesce(b1 = 4, false) OR coalesce((b4 >> 3) & 1 = 1, false)")
+def filter_any(df: DataFrame) -> DataFrame:
+    return trace.filtered(df, trace.FrameFilter(rules=[trace.ByteEquals(1, 4), trace.BitIs(4, 3, True)], match_all=False)).select("seq", "key", "ts_ns")
+
+
+@query("filter_kind_time", f"SELECT seq, key, ts_ns FROM frames WHERE kind IN ('remote', 'error') AND {WINDOW}")
+def filter_kind_time(df: DataFrame) -> DataFrame:
+    return trace.filtered(df, trace.FrameFilter(kinds=["remote", "error"], t0_ns=T0, t1_ns=T1)).select("seq", "key", "ts_ns")
+
+
+def scopes() -> list[Scope]:
+    return [Scope(demo.database())]
+
+
+@query("message_resolve", "SELECT DISTINCT channel, id, CASE WHEN id BETWEEN 256 AND 265 THEN 'STREAM_' || id WHEN id = 2566844672 THEN 'CRUISE' END AS message FROM frames")
+def message_resolve(df: DataFrame) -> DataFrame:
+    return decode.resolve(df, scopes()).select("channel", "id", "message")
+
+
+@query("decode_signal", f"SELECT seq, ts_ns, (b2 + b3 * 256) * CAST(0.01 AS DOUBLE) + 0.0 AS value FROM frames WHERE key = {KEY} AND b3 IS NOT NULL")
+def decode_signal(df: DataFrame) -> DataFrame:
+    return decode.decode_signal(df, scopes(), KEY, "Value")
+
+
+@query("decode_motorola", f"SELECT seq, ts_ns, CAST(CASE WHEN b2 >= 128 THEN b2 * 256 + b3 - 65536 ELSE b2 * 256 + b3 END AS DOUBLE) AS value FROM frames WHERE key = {KEY} AND b3 IS NOT NULL")
+def decode_motorola(df: DataFrame) -> DataFrame:
+    return decode.decode_signal(df, scopes(), KEY, "ValueBig")
+
+
+@query("decode_signed", f"""--cte r AS (SELECT seq, ts_ns, ((b1 >> 4) & 15) + (b2 & 15) * 16 AS raw FROM frames WHERE key = {KEY} AND b2 IS NOT NULL)
+SELECT seq, ts_ns, CAST(CASE WHEN raw >= 128 THEN raw - 256 ELSE raw END AS DOUBLE) * CAST(0.5 AS DOUBLE) - CAST(10 AS DOUBLE) AS value FROM r""")
+def decode_signed(df: DataFrame) -> DataFrame:
+    return decode.decode_signal(df, scopes(), KEY, "Nibbles")
+
+
+@query("decode_mux", f"SELECT seq, ts_ns, CAST(b4 AS DOUBLE) AS value FROM frames WHERE key = {KEY} AND b1 = 2 AND b4 IS NOT NULL")
+def decode_mux(df: DataFrame) -> DataFrame:
+    return decode.decode_signal(df, scopes(), KEY, "WhenBuying")
+
+
+@query("decode_j1939", "SELECT seq, ts_ns, CAST(b0 AS DOUBLE) AS value FROM frames WHERE key = 2566844672 AND b0 < 251")
+def decode_j1939(df: DataFrame) -> DataFrame:
+    return decode.decode_signal(df, scopes(), 2566844672, "Level")
+
+
+_ALL = " UNION ALL ".join(
+    f"SELECT seq, 'STREAM_' || id AS message, '{name}' AS signal, CAST({value} AS DOUBLE) AS value FROM frames WHERE id BETWEEN 256 AND 265 AND {there}"
+    for name, value, there in (
+        ("Counter", "b0", "b0 IS NOT NULL"), ("Code", "b1", "b1 IS NOT NULL"), ("Value", "(b2 + b3 * 256) * CAST(0.01 AS DOUBLE)", "b3 IS NOT NULL"),
+        ("ValueBig", "CASE WHEN b2 >= 128 THEN b2 * 256 + b3 - 65536 ELSE b2 * 256 + b3 END", "b3 IS NOT NULL"),
+        ("Nibbles", "(CASE WHEN ((b1 >> 4) & 15) + (b2 & 15) * 16 >= 128 THEN ((b1 >> 4) & 15) + (b2 & 15) * 16 - 256 ELSE ((b1 >> 4) & 15) + (b2 & 15) * 16 END) * CAST(0.5 AS DOUBLE) - CAST(10 AS DOUBLE)", "b2 IS NOT NULL"),
+        ("WhenBuying", "b4", "b4 IS NOT NULL AND b1 = 2"), ("WhenViewing", "(b5 + b6 * 256) * 2 + 1", "b6 IS NOT NULL AND b1 = 4"), ("Sum", "b7", "b7 IS NOT NULL"),
+    )
+)
+
+
+@query("decode_all", _ALL)
+def decode_all(df: DataFrame) -> DataFrame:
+    return decode.decode_all(df, demo.database())
+
+
+@query("value_labels", "SELECT CASE b1 WHEN 1 THEN 'click' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' WHEN 4 THEN 'view' END AS label, count(*) AS frames FROM frames WHERE key = 256 AND b1 IS NOT NULL GROUP BY 1")
+def value_labels(df: DataFrame) -> DataFrame:
+    signal = next(s for s in demo.database().messages[0].signals if s.name == "Code")
+    return decode.labelled(decode.decode_signal(df, scopes(), 256, "Code"), signal).groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
+
+
+_SERIES = f"s AS (SELECT seq, ts_ns, (b2 + b3 * 256) * CAST(0.01 AS DOUBLE) AS value FROM frames WHERE key = {KEY} AND b3 IS NOT NULL)"
+
+
+def value_series(df: DataFrame) -> DataFrame:
+    return decode.decode_signal(df, scopes(), KEY, "Value")
+
+
+@query("series_info", f"--cte {_SERIES} SELECT count(*) AS count, min(value) AS min, max(value) AS max FROM s")
+def series_info(df: DataFrame) -> DataFrame:
+    return series.info(value_series(df))
+
+
+@query("series_view", f"""--cte {_SERIES}, i AS (SELECT *, row_number() OVER (ORDER BY ts_ns, seq) - 1 AS n FROM s),
+lim AS (SELECT count(*) FILTER (ts_ns < {T0}) - 1 AS a, count(*) FILTER (ts_ns <= {T1}) AS z FROM s),
+w AS (SELECT i.*, floor(CAST(ts_ns - {T0} AS DOUBLE) / (CAST({T1 - T0} AS DOUBLE) / 5)) AS bucket FROM i, lim WHERE n BETWEEN a AND z),
+e AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY value, n) AS lo, row_number() OVER (PARTITION BY bucket ORDER BY value DESC, n) AS hi FROM w)
+SELECT ts_ns, value FROM e WHERE lo = 1 OR hi = 1 OR (SELECT count(*) FROM w) <= 10""")
+def series_view(df: DataFrame) -> DataFrame:
+    return series.view(value_series(df), T0, T1, 5)
+
+
+_LANES = "\nUNION ALL ".join(f"SELECT {i} AS byte, {BUCKET.replace(str(BUCKETS - 1), '5').replace(str(BUCKETS), '6')} AS bucket, ts_ns, seq, CAST(b{i} AS DOUBLE) AS value FROM frames WHERE key = {KEY} AND b{i} IS NOT NULL AND {WINDOW}" for i in range(8))
+
+
+@query("byte_lanes", f"""--cte l AS ({_LANES}), e AS (SELECT *, row_number() OVER (PARTITION BY byte, bucket ORDER BY value, seq) AS lo, row_number() OVER (PARTITION BY byte, bucket ORDER BY value DESC, seq) AS hi FROM l)
+SELECT CAST(byte AS BIGINT) AS byte, bucket, ts_ns, value FROM e WHERE lo = 1 OR hi = 1""")
+def byte_lanes(df: DataFrame) -> DataFrame:
+    return series.byte_lanes(df, KEY, T0, T1, 6)
+
+
+@query("window_stats", f"""--cte {_SERIES}, c AS (SELECT *, lag(value) OVER (ORDER BY ts_ns, seq) AS p FROM s WHERE {WINDOW})
+SELECT count(*) AS points, count(*) FILTER (value <> p) AS changes, min(value) AS min, max(value) AS max, arg_max(value, ts_ns) AS last FROM c""")
+def window_stats(df: DataFrame) -> DataFrame:
+    return series.window_stats(value_series(df), T0, T1)
+
+
+@query("sparkline", f"""--cte i AS (SELECT seq, row_number() OVER (ORDER BY ts_ns, seq) - 1 AS n, count(*) OVER () AS c FROM frames WHERE key = {KEY}),
+k AS (SELECT unnest(range(0, 16)) AS k) SELECT CAST(k.k AS BIGINT) AS k, i.seq FROM k JOIN i ON i.n = k.k * (c - 1) // (least(16, c) - 1) WHERE k.k < c""")
+def sparkline(df: DataFrame) -> DataFrame:
+    return series.sparkline(df, KEY, 16)
+
+
+_SAMPLE = " UNION ALL ".join(
+    f"""SELECT CAST({t} AS BIGINT) AS t_ns, round(CASE WHEN a IS NULL THEN b.value WHEN b IS NULL THEN a.value ELSE a.value + CAST({t} - a.ts_ns AS DOUBLE) / CAST(b.ts_ns - a.ts_ns AS DOUBLE) * (b.value - a.value) END, 6) AS value
+FROM (SELECT (SELECT s FROM s WHERE ts_ns <= {t} ORDER BY ts_ns DESC LIMIT 1) AS a, (SELECT s FROM s WHERE ts_ns > {t} ORDER BY ts_ns LIMIT 1) AS b)"""
+    for t in TIMES
+)
+
+
+@query("sample_at", f"--cte {_SERIES} {_SAMPLE}")
+def sample_at(df: DataFrame) -> DataFrame:
+    return series.sample_at(value_series(df), TIMES).withColumn("value", F.round("value", 6))
+
+
+_REFERENCE = f"r AS (SELECT seq, ts_ns, CAST(b4 AS DOUBLE) AS value FROM frames WHERE key = {KEY + 1} AND b4 IS NOT NULL)"
+
+
+def reference_series(df: DataFrame) -> DataFrame:
+    return df.where(F.col("key") == KEY + 1).select("seq", "ts_ns", ff.byte(F.col("data"), 4).cast("double").alias("value")).where("value is not null")
+
+
+@query("as_of_join", f"--cte {_SERIES}, {_REFERENCE} SELECT s.ts_ns, s.seq, s.value, r.value AS reference FROM s ASOF LEFT JOIN r ON s.ts_ns >= r.ts_ns")
+def as_of_join(df: DataFrame) -> DataFrame:
+    return series.as_of(value_series(df), reference_series(df))
+
+
+@query("as_of_fit", f"""--cte {_SERIES}, {_REFERENCE}, j AS (SELECT s.value, r.value AS reference FROM s ASOF JOIN r ON s.ts_ns >= r.ts_ns)
+SELECT count(*) AS n, round(corr(value, reference), 9) AS r, round(regr_slope(reference, value), 9) AS slope, round(regr_intercept(reference, value), 6) AS intercept FROM j""")
+def as_of_fit(df: DataFrame) -> DataFrame:
+    found = series.fit(series.as_of(value_series(df), reference_series(df)))
+    return found.select("n", F.round("r", 9).alias("r"), F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+_MARKERS = [T0 + i * 86_400_000_000_000 for i in range(6)]
+
+
+@query("marker_activity", f"--cte {_previous()}, m AS (SELECT unnest({_MARKERS}) AS t, unnest(range(0, {len(_MARKERS)})) AS marker)\nSELECT key, CAST(marker AS BIGINT) AS marker, count(*) AS frames, count(*) FILTER ({_CHANGED}) AS changes FROM p JOIN m ON ts_ns BETWEEN t - 7200000000000 AND t + 7200000000000 GROUP BY 1, 2")
+def marker_activity(df: DataFrame) -> DataFrame:
+    return series.near_markers(df, _MARKERS, 7_200_000_000_000)
+
+
+@query("aligned_series", f"--cte {_SERIES}, {_REFERENCE} SELECT coalesce(s.ts_ns, r.ts_ns) AS ts_ns, s.value AS a, r.value AS b FROM s FULL JOIN r ON s.ts_ns = r.ts_ns")
+def aligned_series(df: DataFrame) -> DataFrame:
+    return series.aligned(value_series(df), reference_series(df))
+
+
+def _find_sql() -> str:
+    rules = [("up", f"ts_ns <= {T1}"), ("moves", "TRUE")]
+    steps = "\nUNION ALL ".join(f"SELECT key, {8 * i + o} AS start, {t} AS t, v - lag(v) OVER (PARTITION BY key ORDER BY ts_ns, seq) AS d FROM (SELECT key, ts_ns, seq, {v} AS v FROM frames WHERE key IN (SELECT key FROM ok) AND {cond})" for i in range(6) for o in range(8) if i < 5 or o == 0 for t, (_, cond) in enumerate(rules) for v in [f"(b{i} >> {o}) & 255" if o == 0 else f"((b{i} >> {o}) | (b{i + 1} << {8 - o})) & 255"])
+    return f"""--cte ok AS (SELECT key FROM frames GROUP BY key HAVING min(CASE WHEN len IS NULL THEN 0 ELSE len END) >= 6),
+d AS ({steps}), a AS (SELECT key, start, t, count(d) AS n, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down FROM d GROUP BY 1, 2, 3),
+f AS (SELECT x.key, x.start, greatest(x.up - x.down, 0) / CAST(x.up + x.down + 1 AS DOUBLE) * ((y.up + y.down) / CAST(y.n AS DOUBLE)) AS score FROM a x JOIN a y ON x.key = y.key AND x.start = y.start WHERE x.t = 0 AND y.t = 1)
+SELECT key, CAST(start AS BIGINT) AS start, CAST(8 AS BIGINT) AS size, 'little' AS "order", round(score, 12) AS score FROM f WHERE score > 0"""
+
+
+@query("find_signal", _find_sql().replace("frames WHERE key IN", "data_frames WHERE key IN").replace("FROM frames GROUP BY key HAVING", "FROM data_frames GROUP BY key HAVING").replace("--cte ok", "--cte data_frames AS (SELECT * FROM frames WHERE kind = 'data'), ok"))
+def find_signal(df: DataFrame) -> DataFrame:
+    rules = [find.Rule(0, T1, find.INCREASES), find.Rule(0, 1 << 62, find.CHANGES)]
+    found = find.find_signal(df.where("kind = 'data'"), rules, 6, sizes=(8,), orders=("little",), limit=100_000)
+    return found.withColumn("score", F.round("score", 12))
+
+
+@query("checksum_share", "SELECT key, CAST(len AS INTEGER) AS size, count(*) AS frames, count(*) FILTER (CASE WHEN len = 8 THEN (b0 + b1 + b2 + b3 + b4 + b5 + b6) % 256 = b7 ELSE (b0 + b1 + b2 + b3 + b4) % 256 = b5 END) AS matching FROM frames WHERE len >= 2 GROUP BY key, len")
+def checksum_share(df: DataFrame) -> DataFrame:
+    return stats.checksum_share(df)
+
+
+_HISTOGRAM = "\nUNION ALL ".join(f"SELECT key, kind, ts_ns, {i} AS byte, b{i} AS value FROM frames WHERE b{i} IS NOT NULL AND kind = 'data'" for i in range(8))
+
+
+@query("byte_histogram", f"--cte h AS ({_HISTOGRAM}) SELECT key, CAST(byte AS BIGINT) AS byte, CAST(value AS BIGINT) AS value, count(*) AS frames FROM h GROUP BY 1, 2, 3")
+def byte_histogram(df: DataFrame) -> DataFrame:
+    return stats.byte_histogram(df).select("key", F.col("byte").cast("long"), F.col("value").cast("long"), "frames")
+
+
+def halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col("ts_ns") < T1), df.where((F.col("ts_ns") >= T1) & (F.col("channel") + F.col("id") != 257))
+
+
+_A, _B = f"ts_ns < {T1}", f"ts_ns >= {T1} AND channel + id <> 257"
+
+
+@query("compare_ids", f"""--cte a AS (SELECT channel, id, count(*) AS n_a, max(len) AS len_a FROM frames WHERE {_A} GROUP BY 1, 2), b AS (SELECT channel, id, count(*) AS n_b, max(len) AS len_b FROM frames WHERE {_B} GROUP BY 1, 2),
+sp AS (SELECT (SELECT CAST(max(ts_ns) - min(ts_ns) AS DOUBLE) FROM frames WHERE {_A}) AS sa, (SELECT CAST(max(ts_ns) - min(ts_ns) AS DOUBLE) FROM frames WHERE {_B}) AS sb),
+j AS (SELECT channel, id, n_a, n_b, len_a, len_b, greatest((n_a / sa) / (n_b / sb), (n_b / sb) / (n_a / sa)) AS ratio, CAST(1.1 AS DOUBLE) + CAST(2 AS DOUBLE) / least(n_a, n_b) AS tol FROM a FULL JOIN b USING (channel, id), sp),
+s AS (SELECT *, CASE WHEN n_a IS NOT NULL AND n_b IS NOT NULL THEN CASE WHEN tol < 2 THEN greatest(0, least(1, ln(ratio / tol) / ln(2 / tol))) * CAST(0.8 AS DOUBLE) ELSE 0 END END AS rate_score, CASE WHEN n_a IS NOT NULL AND n_b IS NOT NULL THEN CASE WHEN len_a <> len_b THEN CAST(0.9 AS DOUBLE) ELSE 0 END END AS format_score FROM j)
+SELECT channel, id, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, round(rate_score, 9) AS rate_score, CAST(format_score AS DOUBLE) AS format_score,
+CASE WHEN n_b IS NULL THEN 'onlyA' WHEN n_a IS NULL THEN 'onlyB' WHEN least(n_a, n_b) < 8 THEN 'tooFew' WHEN round(greatest(rate_score, format_score) * 100) >= 10 THEN 'different' ELSE 'same' END AS verdict FROM s""")
+def compare_ids(df: DataFrame) -> DataFrame:
+    return compare.compare_ids(*halves(df)).withColumn("rate_score", F.round("rate_score", 9))
+
+
+@query("new_values", f"""--cte h AS ({_HISTOGRAM}), b AS (SELECT DISTINCT key, byte, value FROM h WHERE ts_ns >= {T1} AND key <> 257 AND key <> 4294967552)
+SELECT key, CAST(byte AS BIGINT) AS byte, CAST(value AS BIGINT) AS value, count(*) AS frames FROM h WHERE ts_ns < {T1} AND (key, byte) IN (SELECT (key, byte) FROM b) AND (key, byte, value) NOT IN (SELECT (key, byte, value) FROM b) GROUP BY 1, 2, 3""")
+def new_values(df: DataFrame) -> DataFrame:
+    return compare.new_values(*halves(df))
+
+
+@query("first_showing", f"""--cte h AS ({_HISTOGRAM}), b AS (SELECT DISTINCT key, byte, value FROM h WHERE ts_ns >= {T1} AND key <> 257 AND key <> 4294967552)
+SELECT key, CAST(byte AS BIGINT) AS byte, min(ts_ns) AS first_ns FROM h WHERE ts_ns < {T1} AND (key, byte) IN (SELECT (key, byte) FROM b) AND (key, byte, value) NOT IN (SELECT (key, byte, value) FROM b) GROUP BY 1, 2""")
+def first_showing(df: DataFrame) -> DataFrame:
+    return compare.first_showing(*halves(df)).select("key", F.col("byte").cast("long"), "first_ns")
+
+
+@query("frame_rate", """--cte w AS (SELECT CAST(floor(ts_ns / 1000000000) AS BIGINT) - unnest([0, 1]) AS s FROM frames)
+SELECT s * 1000000 AS start_us, count(*) / CAST(2 AS DOUBLE) AS rate FROM w GROUP BY s""")
+def frame_rate(df: DataFrame) -> DataFrame:
+    return stats.frame_rate(df)
