@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from canlake.llm.common import batches
 from canlake.llm.spans import BATCH, PLACE, Parsed, dictionary, dictionary_phrases, ints, later_phrases, later_windows, longs, marked, parse, place_filter, placed, removed, repeated_triggers, runs
-from canlake.llm.text_arrays import ONE, TWO, Texts
+from canlake.llm.text_arrays import ONE, Texts
 
 WINDOW, GRAM = 100, 32
 #: Distinct phrases of one trigger gram that a task sorts at once, and bytes of phrases in one suffix array.
@@ -40,11 +40,10 @@ _HASH = np.uint64(0xFFFFFFFFF0000000)  # 36 bits of hash before 28 bits of place
 def phrases(texts: Texts, window: int = WINDOW, gram: int = GRAM) -> Parsed:
     """The texts' bytes cut into phrases by their windows' triggers."""
     data = texts.data
-    none = np.zeros(0, np.int64)
-    out = Parsed(texts, texts.offsets, ONE.bytes[data], TWO.bytes[data], none, none, none, np.zeros(0, np.uint64))
+    out = Parsed(texts, texts.offsets, lambda hasher: hasher.bytes[data])
     if len(data) < window:
         return out
-    names = ONE.windows(ONE.prefix(out.one), gram)
+    names = ONE.windows(out.prefix(ONE), gram)
     # smallest (hash, place) over each window's grams, by doubling; places decide ties, the first wins
     least = (names & _HASH) | np.arange(len(names), dtype=np.uint64)
     size, want = 1, window - gram + 1

@@ -20,11 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from canlake.llm.spans import Parsed, dictionary, later_phrases, later_windows, marked, parse, place_filter, placed, removed, repeated_triggers, runs
-from canlake.llm.text_arrays import ONE, TWO, Texts, mix
+from canlake.llm.text_arrays import ONE, Texts, mix
 
-WINDOW, ROUNDS = 20, 5
+#: Words of a window, and rounds: with two, a window decides about five symbols, so neighbouring windows mostly share their trigger.
+WINDOW, ROUNDS = 20, 2
 _K = np.uint64(0x9E3779B97F4A7C15)
 _FAR = 1 << 40
+_PLACE = np.uint64((1 << 28) - 1)  # the low bits of a packed name hold its place
 
 
 class Symbols:
@@ -69,30 +71,24 @@ class Symbols:
 
 
 def _least(names: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Place of the smallest name in each range [first, end), which isn't empty; the first of equal ones."""
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(len(names), np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], names[order][1:] != names[order][:-1]))) if len(names) else rank
-    packed = (rank << np.int64(32)) | np.arange(len(names))
+    """Place of the smallest name (by its upper bits) in each range [first, end), which isn't empty; the first of equal ones."""
+    packed = (names & ~_PLACE) | np.arange(len(names), dtype=np.uint64)
     level = np.frexp((end - first).astype(np.float64))[1] - 1
-    best = np.empty(len(first), np.int64)
+    best = np.empty(len(first), np.uint64)
     table = packed
     for k in range(int(level.max(initial=-1)) + 1):
         at = np.flatnonzero(level == k)
         best[at] = np.minimum(table[first[at]], table[end[at] - (1 << k)])
         if len(table) > 1 << k:
             table = np.minimum(table[: -(1 << k)], table[1 << k :])
-    return best & ((1 << 32) - 1)
+    return (best & _PLACE).astype(np.int64)
 
 
 def phrases(texts: Texts, window: int = WINDOW, rounds: int = ROUNDS) -> Parsed:
     """The texts' words cut into phrases by the triggers of their windows."""
     first, end, of = texts.words()
-    one = ONE.spans(ONE.prefix(ONE.bytes[texts.data]), first, end)
-    two = TWO.spans(TWO.prefix(TWO.bytes[texts.data]), first, end)
     edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=texts.n))))
-    none = np.zeros(0, np.int64)
-    out = Parsed(texts, edges, one, two, none, none, none, np.zeros(0, np.uint64))
+    out = Parsed(texts, edges, lambda hasher: hasher.spans(hasher.prefix(hasher.bytes[texts.data]), first, end))
     if len(of) < window:
         return out
     start = np.flatnonzero(of[window - 1 :] == of[: len(of) - window + 1])
@@ -100,12 +96,12 @@ def phrases(texts: Texts, window: int = WINDOW, rounds: int = ROUNDS) -> Parsed:
         return out
     trigger, owner = np.zeros(len(start), np.uint64), np.full(len(start), -1, np.int64)
     place = np.arange(len(of))
-    symbols = Symbols(one, of, place, place + 1, place, place + 1)
+    symbols = Symbols(out.units(ONE), of, place, place + 1, place, place + 1)
     levels = [symbols]
     for r in range(rounds):
         symbols = symbols.runs_named().pairs_named(r)
         levels.append(symbols)
-    prefix = ONE.prefix(one)
+    prefix = out.prefix(ONE)
     open_ = np.arange(len(start))
     for r in range(rounds, -1, -1):
         s = levels[r]

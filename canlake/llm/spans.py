@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canlake.llm.common import batches, written
-from canlake.llm.text_arrays import ONE, TWO, Texts, mix
+from canlake.llm.text_arrays import ONE, TWO, Hasher, Texts, mix, repeated
 
 #: Bits of a filter that is sent to all tasks; a full one lets more through, which costs time and changes no result.
 FILTER_BITS = 1 << 26
@@ -32,32 +31,32 @@ def placed(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = Non
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *order, F.coalesce(F.col(text), F.lit("")).alias("text"), extra.alias("extra"))
 
 
-@dataclass
 class Parsed:
     """A batch of texts as units (bytes or words), cut into phrases: runs of windows with one trigger.
 
-    `edges` has the first unit of each text, `one` and `two` the units' hashes. A phrase has its text, its first window's
-    unit, its number of windows, and its trigger's name. Equal windows must have equal triggers.
+    `edges` has the first unit of each text; units(hasher) gives the units' hashes. A phrase has its text, its first
+    window's unit, its number of windows, and its trigger's name. Equal windows must have equal triggers.
     """
 
-    texts: Texts
-    edges: np.ndarray
-    one: np.ndarray
-    two: np.ndarray
-    text: np.ndarray
-    first: np.ndarray
-    windows: np.ndarray
-    trigger: np.ndarray
+    def __init__(self, texts: Texts, edges: np.ndarray, units: Callable[[Hasher], np.ndarray]) -> None:
+        self.texts, self.edges, self.units = texts, edges, units
+        self.text = self.first = self.windows = np.zeros(0, np.int64)
+        self.trigger = np.zeros(0, np.uint64)
+        self.prefixes: dict[int, np.ndarray] = {}
+
+    def prefix(self, hasher: Hasher) -> np.ndarray:
+        seed = int(hasher.seed)
+        if seed not in self.prefixes:
+            self.prefixes[seed] = hasher.prefix(self.units(hasher))
+        return self.prefixes[seed]
+
+    def name(self, hasher: Hasher, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return hasher.spans(self.prefix(hasher), first, end) if len(first) else np.zeros(0, np.uint64)
 
     def keys(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, tie and start in its document of each phrase; b has doc, tie and text."""
         return b.column(0).to_numpy()[self.text], b.column(1).to_numpy()[self.text], self.first - self.edges[self.text]
 
-    def names(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(first):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return ONE.spans(ONE.prefix(self.one), first, end), TWO.spans(TWO.prefix(self.two), first, end)
-
 
 Parser = Callable[[Texts], Parsed]
 PLACE = ["doc", "tie", "start"]
@@ -82,12 +81,19 @@ def parse(rows: DataFrame, parser: Parser, again: Broadcast, window: int) -> Dat
             p = parser(Texts(b.column(2)))
             doc, tie, start = p.keys(b)
             some = np.flatnonzero(hits(again.value, p.trigger))
-            name, other = p.names(p.first[some], p.first[some] + p.windows[some] + window - 1)
-            columns = [longs(p.trigger[some]), longs(name), longs(other), longs(doc[some]), ints(tie[some]), ints(start[some]), ints(p.windows[some])]
-            yield pa.RecordBatch.from_arrays(columns, ["trigger", "name", "other", "doc", "tie", "start", "windows"])
+            first, end = p.first[some], p.first[some] + p.windows[some] + window - 1
+            name, other = p.name(ONE, first, end), p.name(TWO, first, end)
+            # a phrase that its own text has before needs no comparison with others, so a run of one character isn't one large group
+            own = np.where(repeated(name ^ mix(p.text[some].astype(np.uint64)))[1], start[some] + 1, 0)
+            columns = [longs(p.trigger[some]), longs(name), longs(other), longs(doc[some]), ints(tie[some]), ints(start[some]), ints(p.windows[some]), ints(own)]
+            yield pa.RecordBatch.from_arrays(columns, ["trigger", "name", "other", "doc", "tie", "start", "windows", "own"])
 
-    phrases = rows.select("doc", "tie", "text").mapInArrow(run, "trigger long, name long, other long, doc long, tie int, start int, windows int")
-    return written(phrases.withColumn("is_first", F.min(F.struct(*PLACE)).over(Window.partitionBy("name", "other")) == F.struct(*PLACE)), "parse")
+    phrases = rows.select("doc", "tie", "text").mapInArrow(run, "trigger long, name long, other long, doc long, tie int, start int, windows int, own int")
+    least = F.min(F.struct(*PLACE)).over(Window.partitionBy("name", "other", "own"))
+    told = phrases.withColumn("is_first", (F.col("own") == 0) & (least == F.struct(*PLACE)))
+    # only first phrases are looked at by name again
+    named = [F.when(F.col("is_first"), F.col(c)).alias(c) for c in ("trigger", "name")]
+    return written(told.select(*named, *PLACE, "windows", "is_first"), "parse")
 
 
 def later_phrases(phrases: DataFrame, window: int) -> DataFrame:
@@ -115,7 +121,7 @@ def place_filter(entries: DataFrame) -> Broadcast:
 def dictionary_phrases(p: Parsed, b: pa.RecordBatch, wanted: Broadcast, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Those phrases of a batch that the filter has, with their document, tie and start."""
     doc, tie, start = p.keys(b)
-    name = p.names(p.first, p.first + p.windows + window - 1)[0]
+    name = p.name(ONE, p.first, p.first + p.windows + window - 1)
     some = np.flatnonzero(hits(wanted.value, occurrence(name, doc, start)))
     return some, doc[some], tie[some], start[some]
 
@@ -130,7 +136,7 @@ def later_windows(rows: DataFrame, parser: Parser, wanted: Broadcast, window: in
             n = p.windows[some]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(p.first[some], n) + step
-            name, other = p.names(at, at + window)
+            name, other = p.name(ONE, at, at + window), p.name(TWO, at, at + window)
             columns = [longs(name), longs(other), longs(np.repeat(doc, n)), ints(np.repeat(tie, n)), ints(np.repeat(start, n) + step)]
             yield pa.RecordBatch.from_arrays(columns, ["name", "other", *PLACE])
 
