@@ -36,6 +36,11 @@ class Payload:
         return F.size(self.column) if self.is_array else F.length(self.column)
 
 
+def micros(ns: Column) -> Column:
+    """Whole microseconds of a time in ns, rounded down, in whole numbers only."""
+    return F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000))
+
+
 def kind(flags: Column) -> Column:
     """error before reassembled before remote before data."""
     has = lambda bit: flags.bitwiseAND(F.lit(bit)) != 0

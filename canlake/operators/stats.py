@@ -126,5 +126,5 @@ def ranked_ids(summary: DataFrame, by: str, descending: bool = False) -> DataFra
 
 def frame_rate(frames: DataFrame, window_s: int = 2, slide_s: int = 1) -> DataFrame:
     """Frames per second in sliding windows; works on a stream as on a table."""
-    at = F.timestamp_micros(F.floor(F.col("ts_ns") / 1000))
+    at = F.timestamp_micros(ff.micros(F.col("ts_ns")))
     return frames.groupBy(F.window(at, f"{window_s} seconds", f"{slide_s} seconds").alias("w")).agg((F.count(F.lit(1)) / window_s).alias("rate")).select(F.unix_micros("w.start").alias("start_us"), "rate")

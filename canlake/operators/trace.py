@@ -96,7 +96,8 @@ def page(frames: DataFrame, start: int, count: int, key: int | None = None) -> D
     inside = indexed.where(F.col("index").between(start, start + count - 1))
     origin = frames.agg(F.min("ts_ns")).first()[0]
     mask = F.aggregate(changed_places(F.col("data"), F.col("before")), F.lit(0).cast("long"), lambda a, i: a + F.pow(F.lit(2.0), i).cast("long"))
-    return inside.select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", F.length("data").cast("long").alias("full_len"), F.hex(F.substring("data", 1, SHOWN)).alias("data"), mask.alias("changed"))
+    # the mask comes first: beside a new column named data, its lambdas would read that one
+    return inside.withColumn("changed", mask).select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", F.length("data").cast("long").alias("full_len"), F.hex(F.substring("data", 1, SHOWN)).alias("data"), "changed")
 
 
 def changed_masks(frames: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
-from canlake.operators import compare, decode, find, series, stats, trace
+from canlake.functions.dbc import Scope
+from canlake.operators import compare, decode, find, series, stats, trace, transport
 from canlake.plans import demo
+from canlake.sources import text, writers
 from canlake.sources.events import FRAMES_SQL, frames
-from canlake.functions.dbc import Scope
 
 #: The window of time that the queries use, and a few times in and out of it.
 T0, T1, BUCKETS = 1704412800000000000, 1705276800000000000, 48
@@ -426,3 +427,35 @@ def first_showing(df: DataFrame) -> DataFrame:
 SELECT s * 1000000 AS start_us, count(*) / CAST(2 AS DOUBLE) AS rate FROM w GROUP BY s""")
 def frame_rate(df: DataFrame) -> DataFrame:
     return stats.frame_rate(df)
+
+
+_START = 1704067200000000000
+_LOG_SQL = "SELECT seq, ts_ns, 'can' || channel AS bus, id, CAST(flags AS INTEGER) AS flags, kind, CAST(len AS INTEGER) AS len, CAST(remote_dlc AS INTEGER) AS remote_dlc, " + HEX + " AS data, false AS rejected FROM frames"
+
+
+def _round_trip(name: str, write: Callable, read: Callable, sql: str = _LOG_SQL) -> None:
+    """Frames written as lines of a format and parsed again; the oracle is the frames."""
+
+    def run(df: DataFrame) -> DataFrame:
+        lines = write(df.withColumn("bus", F.concat(F.lit("can"), F.col("channel").cast("string"))))
+        return read(lines).withColumn("data", F.hex("data"))
+
+    query(f"round_trip_{name}", sql)(run)
+
+
+_round_trip("candump", writers.candump, text.candump)
+_round_trip("asc", lambda df: writers.asc(df, _START), lambda lines: text.asc(lines, _START))
+_round_trip("trc", lambda df: writers.trc(df, _START), lambda lines: text.trc(lines, _START))
+# CSV keeps the low 29 bits of an error frame's ID
+_round_trip("csv", writers.csv, text.csv, _LOG_SQL.replace(" id,", " CASE WHEN kind = 'error' THEN id & 536870911 ELSE id END AS id,", 1))
+
+
+@query("transport_reassembly", """--cte m AS (SELECT *, CAST(9 + seq % 40 AS BIGINT) AS size FROM frames WHERE kind = 'data')
+SELECT channel, ts_ns + CAST(ceil(size / CAST(7 AS DOUBLE)) AS BIGINT) * 1000000 AS ts_ns, CAST(2147483648 + 419361024 + seq % 200 AS BIGINT) AS id, CAST(size AS INTEGER) AS len,
+array_to_string(list_transform(range(0, size), lambda i: upper(lpad(to_hex((seq + i * 7) % 256), 2, '0'))), '') AS data FROM m""")
+def transport_reassembly(df: DataFrame) -> DataFrame:
+    size = F.lit(9) + F.col("seq") % 40
+    payload = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda i: F.lpad(F.hex((F.col("seq") + i * 7) % 256), 2, "0")), ""))
+    messages = df.where("kind = 'data'").select("seq", "ts_ns", "channel", (F.col("seq") % 200).alias("sender"), F.lit(0xFEF1).cast("long").alias("group"), payload.alias("data"))
+    made = transport.reassemble(transport.broadcast_packets(messages))
+    return made.select("channel", "ts_ns", "id", "len", F.hex("data").alias("data"))
