@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
 from canlake.functions.dbc import Scope
-from canlake.operators import compare, decode, find, series, stats, trace, transport
+from canlake.operators import compare, decode, find, series, stats, suggest, trace, transport
 from canlake.plans import demo
 from canlake.sources import text, writers
 from canlake.sources.events import FRAMES_SQL, frames
@@ -459,3 +459,8 @@ def transport_reassembly(df: DataFrame) -> DataFrame:
     messages = df.where("kind = 'data'").select("seq", "ts_ns", "channel", (F.col("seq") % 200).alias("sender"), F.lit(0xFEF1).cast("long").alias("group"), payload.alias("data"))
     made = transport.reassemble(transport.broadcast_packets(messages))
     return made.select("channel", "ts_ns", "id", "len", F.hex("data").alias("data"))
+
+
+@query("suggest_signals")
+def suggest_signals(df: DataFrame) -> DataFrame:
+    return suggest.suggest(df)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from canlake import schema
 from canlake.functions import bits, dbc
 from canlake.functions import frames as ff
-from canlake.operators import decode, find, series, stats, trace
+from canlake.operators import decode, find, series, stats, suggest, trace
 from canlake.operators.history import with_index, with_previous
 
 
@@ -122,3 +122,17 @@ def test_load_counts_frames_only(spark):
     rows = [(0, 0, 1, 0, bytearray(8)), (1, 10**9, 1, schema.REMOTE, bytearray()), (2, 2 * 10**9, 1, schema.ERROR, bytearray())]
     got = [r.load for r in stats.bus_load(log(spark, rows), 0, 2 * 10**9, 2, 1000).orderBy("bucket").collect()]
     assert got == [(47 + 64) / 1000, 47 / 1000]
+
+
+def test_suggestions_name_what_the_bytes_are(spark):
+    rng = random.Random(8)
+    rows = []
+    level = 30000
+    for i in range(600):
+        level += rng.randint(-40, 40)
+        data = [i % 256, level % 256, level // 256, 3 if (i // 60) % 2 else 7, rng.randrange(256), (i // 200) & 1, 0]
+        rows.append((i, i * 10, 9, 0, bytearray([*data, sum(data) % 256])))
+    got = {(r.start, r["size"]): (r.kind, r.level) for r in suggest.suggest(log(spark, rows)).collect()}
+    assert got[0, 8] == ("counter", "high") and got[56, 8] == ("checksum", "high")
+    assert got[8, 16][0] in ("continuous", "signed") and (24, 8) in got and got[24, 8][0] == "enum"
+    assert not any(start in range(32, 40) for start, _ in got)
