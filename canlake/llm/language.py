@@ -85,9 +85,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     Only presence bits (DIM / 8 bytes a text) reach the driver. Rows without text or language aren't used; without any
     such row there is no model.
     """
-    lot = Window.partitionBy("lang").orderBy("lot", "text")
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(key)).alias("lot"))
-    chosen = rows.withColumn("at", F.row_number().over(lot)).where(F.col("at") <= per_language).select("lang", "text")
+    # each language's bound comes from the keys alone, so only the chosen texts are moved; equal keys give one text
+    order = Window.partitionBy("lang").orderBy("lot")
+    bounds = rows.select("lang", "lot").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).groupBy("lang").agg(F.max("lot").alias("bound"))
+    near = rows.join(F.broadcast(bounds), "lang").where(F.col("lot") <= F.col("bound"))  # a row for each language
+    chosen = near.groupBy("lang", "lot").agg(F.min("text").alias("text")).select("lang", "text")
     sample = chosen.mapInArrow(packed_rows, "lang string, bits binary").toPandas()
     if sample.empty:
         return None
