@@ -92,3 +92,40 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert spark.table("changed").count() == 19
+
+
+def lobj(kind, body, time=None):
+    import struct
+
+    head = struct.pack("<IHHQ", 2, 0, 0, time) if time is not None else b""
+    size = 16 + len(head) + len(body)
+    return struct.pack("<4sHHII", b"LOBJ", 16 + len(head), 1, size, kind) + head + body
+
+
+def test_blf_file(spark, tmp_path):
+    import struct
+    import zlib
+
+    from canlake.sources.blf import read_blf
+
+    inner = lobj(1, struct.pack("<HBBI8s", 1, 1, 3, 0x123, b"\1\2\3"), 5) + lobj(99, b"skip", 6)
+    inner += lobj(86, struct.pack("<HBBI8s8x", 2, 0x80, 4, 0x80000123, b""), 1_000)
+    inner += lobj(100, struct.pack("<HBBIIBBB5x64s", 1, 0, 9, 0x7, 0, 0, 3, 12, bytes(range(64))), 2_000)
+    inner += lobj(73, struct.pack("<HHIBBBxIIH2x8s", 1, 0, 0, 0, 0, 2, 0, 0, 0, b"\x0a\x0b"), 3_000)
+    start = struct.pack("<8H", 2024, 1, 0, 1, 0, 0, 0, 250)
+    header = struct.pack("<4sI", b"LOGG", 144).ljust(40, b"\0") + start
+    content = header.ljust(144, b"\0")
+    for part in (inner[:70], inner[70:]):  # an object runs on into the second container
+        packed = zlib.compress(part)
+        box = lobj(10, struct.pack("<H6xI4x", 2, len(part)) + packed)
+        content += box + b"\0" * (len(box) % 4)
+    (tmp_path / "a.blf").write_bytes(content)
+    (tmp_path / "b.blf").write_bytes(b"nothing of the kind")
+    got = read_blf(spark, str(tmp_path / "*.blf")).orderBy("seq").collect()
+    base = 1704067200_250_000_000
+    assert [(r.ts_ns - base, r.bus, r.id, r.flags, r.remote_dlc, bytes(r.data)) for r in got] == [
+        (5, "can1", 0x123, schema.TX, None, b"\1\2\3"),
+        (1_000, "can2", schema.EXTENDED_ID | 0x123, schema.REMOTE, 4, b""),
+        (2_000, "can1", 7, schema.FD | schema.BRS, None, bytes(range(12))),
+        (3_000, "can1", schema.ERROR_ID, schema.ERROR, None, b"\x0a\x0b"),
+    ]
