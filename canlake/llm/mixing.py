@@ -104,7 +104,7 @@ def _plan(key: tuple, lengths: pd.DataFrame) -> pd.DataFrame:
     counted = lengths[lengths["size"] > 0]
     budget = int(round(target)) - passes * size if passes < PASSES else 0
     extra = fit_counts([int(x) for x in counted["size"]], [int(x) for x in counted.n], max(budget, 0))
-    return counted.assign(passes=passes, extra=extra)[["source", "size", "passes", "extra"]]
+    return counted.assign(_passes=passes, _extra=extra)[["source", "size", "_passes", "_extra"]]
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", seed: int = SEED) -> DataFrame:
@@ -119,10 +119,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     goals = written(targets(sizes), "targets")
     lengths = docs.groupBy(F.col(source).alias("source"), F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
     counted = lengths.alias("l").join(goals.alias("g"), on(lengths, goals, ["source"])).select("l.source", "l.size", "l.n", "g.source_size", "g.target")
-    plan = written(counted.groupBy("source").applyInPandas(_plan, "source string, size long, passes long, extra long"), "plan")
+    plan = written(counted.groupBy("source").applyInPandas(_plan, "source string, size long, _passes long, _extra long"), "plan")
     plan = plan.withColumnsRenamed({"source": source, "size": size})
     lot = F.xxhash64(F.lit(seed), F.col(doc_id))
     placed = ranked(docs.withColumn("_lot", lot), [source, size], F.pmod(lot, F.lit(256)).cast("int"), ["_lot", doc_id], "_place", plan)
-    times = F.coalesce(F.col("passes") + (F.col("_place") < F.col("extra")).cast("long"), F.lit(0).cast("long"))
-    taken = placed.withColumn("times", times).drop("_lot", "_place", "passes", "extra")
+    times = F.coalesce(F.col("_passes") + (F.col("_place") < F.col("_extra")).cast("long"), F.lit(0).cast("long"))
+    taken = placed.withColumn("times", times).drop("_lot", "_place", "_passes", "_extra")
     return taken.alias("t").join(goals.alias("g"), taken[source].eqNullSafe(goals["source"])).select("t.*", "g.source_size", "g.target")

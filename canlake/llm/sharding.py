@@ -75,8 +75,10 @@ def number_slots(df: DataFrame, key: str = "doc_id", shard: str = "shard", slot:
     """df with gapless places from 0 in each shard, ordered by (key's block, all columns).
 
     The block is taken from low bits of the generator's first state, which the choice of shard hardly uses, so a shard
-    is numbered in `blocks` independent parts. Equal rows are counted before they are dealt out.
+    is numbered in `blocks` independent parts. Equal rows are counted before they are dealt out. A column named like the
+    slot is replaced.
     """
+    df = df.drop(slot)
     high, _ = _advance(_mask(F.shiftrightunsigned(k := _key64(F.col(key), df.schema[key].dataType), 32)), _mask(k))
     order = [key, *[c for c in df.columns if c not in (key, shard)]]
     return ranked(df, [shard], F.pmod(high, F.lit(blocks)).cast("int"), order, slot)

@@ -38,7 +38,7 @@ def test_sharding_query(spark, sf):
 
 def test_slots_of_repeats_and_nulls(spark):
     rows = [(None, "a")] * 5 + [(7, None)] * 3 + [(7, "b"), (8, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("old")).drop("slot")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("old"))
     got = sharding.number_slots(sharding.assign_shards(df, "doc_id", 3)).collect()
     per = defaultdict(list)
     for r in got:
@@ -80,7 +80,7 @@ def shares(sizes):
 
 def test_mixing(spark, sf):
     rows = [(i, "abcd"[i % 4] if i % 9 else None, (i * 37) % 91) for i in range(900)] + [(1000 + i, "tiny", 2) for i in range(3)] + [(5, "a", 30)] * 40 + [(None, "zero", 0)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("clash"))).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("clash")).withColumn("extra", F.lit("clash"))).collect()
     sizes = Counter()
     for _, s, n in rows:
         sizes[s] += n
