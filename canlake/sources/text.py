@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from canlake import schema
 from canlake.functions import frames as ff
+from canlake.operators.history import with_running_sum
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +31,7 @@ def _hex(text: Column) -> Column:
 def _nanos(whole: Column, fraction: Column) -> Column:
     """Seconds as text to nanoseconds; digits below a nanosecond are cut."""
     sign = F.when(whole.startswith("-"), -1).otherwise(1)
-    return whole.cast("long") * 1_000_000_000 + sign * F.rpad(F.substring(fraction, 1, 9), 9, "0").cast("long")
+    return whole.try_cast("long") * 1_000_000_000 + sign * F.rpad(F.substring(fraction, 1, 9), 9, "0").try_cast("long")
 
 
 def _part(pattern: str, group: int) -> Column:
@@ -51,40 +52,61 @@ _CANDUMP = r"^\s*\((-?\d+)\.(\d+)\)\s+(\S+)\s+([0-9A-Fa-f]{3}|[0-9A-Fa-f]{8})#(?
 
 
 def candump(lines: DataFrame) -> DataFrame:
-    """(sec.frac) bus ID#DATA, ID##fDATA for FD, ID#R for remote frames; eight digits make an extended ID."""
-    part = lambda n: _part(_CANDUMP, n)
-    rows = lines.where(F.trim("line") != "")
-    matched = F.col("line").rlike(_CANDUMP)
-    raw, wide = _hex(part(4)), F.length(part(4)) == 8
+    """(sec.frac) bus ID#DATA, ID##fDATA for FD, ID#R for remote frames; eight digits make an extended ID.
+
+    One pattern decides whether a line is good; its parts are then split off by their separators.
+    """
+    rows = lines.where(F.trim("line") != "").withColumn("cells", F.split(F.trim("line"), r"\s+"))
+    frame = F.get("cells", F.lit(2))
+    rows = rows.select(
+        "seq", "line", F.col("line").rlike(_CANDUMP).alias("good"), F.get("cells", F.lit(0)).alias("time"), F.get("cells", F.lit(1)).alias("bus"),
+        F.get("cells", F.lit(3)).alias("mark"), F.substring_index(frame, "#", 1).alias("name"), F.regexp_replace(frame, "^[^#]*#", "").alias("body"),
+    )
+    whole, fraction = F.substring_index(F.ltrim(F.col("time"), F.lit("(")), ".", 1), F.rtrim(F.substring_index("time", ".", -1), F.lit(")"))
+    raw, wide = _hex(F.col("name")), F.length("name") == 8
     error = wide & (raw.bitwiseAND(F.lit(schema.ERROR_ID).cast("long")) != 0)
     id_ = F.when(error, F.lit(schema.ERROR_ID).cast("long")).when(wide, raw.bitwiseAND(F.lit(0x1FFFFFFF).cast("long")).bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
-    fd_flags = F.coalesce(_hex(part(8)), F.lit(0))
-    fd = part(8) != ""
-    flags = F.when(fd, F.lit(schema.FD) + (fd_flags % 2) * schema.BRS + (F.floor(fd_flags / 2) % 2) * schema.ESI).otherwise(0) + F.when(part(5) == "R", schema.REMOTE).otherwise(0) + F.when(error, schema.ERROR).otherwise(0) + F.when(part(11) == "T", schema.TX).otherwise(0)
-    data = F.unhex(F.replace(F.concat(part(9), part(10)), F.lit("."), F.lit("")))
-    dlc = F.coalesce(_hex(F.when(part(7) != "", part(7)).when(part(6) != "", part(6))), F.lit(0))
-    valid = (F.length(data) <= F.when(fd, 64).otherwise(8)) & (wide | (raw <= 0x7FF))
-    return _frames(rows, matched, _nanos(part(1), part(2)), part(3), id_, flags, data, dlc, valid)
+    fd, remote = F.col("body").startswith("#"), F.col("body").startswith("R")
+    fd_flags = F.coalesce(_hex(F.substring("body", 2, 1)), F.lit(0))
+    flags = F.when(fd, F.lit(schema.FD) + (fd_flags % 2) * schema.BRS + (F.floor(fd_flags / 2) % 2) * schema.ESI).otherwise(0) + F.when(remote, schema.REMOTE).otherwise(0) + F.when(error, schema.ERROR).otherwise(0) + F.when(F.col("mark") == "T", schema.TX).otherwise(0)
+    plain = F.substring_index("body", "_", 1)
+    data = F.when(~remote, F.call_function("try_to_binary", F.translate(F.when(fd, F.substring("body", 3, 1 << 20)).otherwise(plain), ".", ""), F.lit("hex")))
+    digits = F.translate(F.substring("body", 2, 3), "_", "")
+    dlc = F.coalesce(_hex(F.when(remote & (digits != ""), F.right(digits, F.lit(1)))), F.lit(0))
+    valid = remote | (F.length(data) <= F.when(fd, 64).otherwise(8))
+    return _frames(rows, F.col("good"), _nanos(whole, fraction), F.col("bus"), id_, flags, data, dlc, valid & (wide | (raw <= 0x7FF)))
 
 
 _ASC = r"^\s*(\d+)\.(\d+)\s+(\d+)\s+([0-9A-Fa-f]+)(x?)\s+(Rx|Tx)\s+(?:(r)(?:\s+([0-9A-Fa-f]))?|d\s+([0-9A-Fa-f])((?:\s+[0-9A-Fa-f]{2})*))(?:\s.*)?$"
 _ASC_ERROR = r"^\s*(\d+)\.(\d+)\s+(\d+)\s+ErrorFrame"
 
 
-def asc(lines: DataFrame, start_ns: int = 0) -> DataFrame:
-    """Classic lines and error frames of a log with hex IDs and absolute times; other lines aren't frames."""
+_ASC_TIME = r"^\s*(\d+)\.(\d+)\s"
+
+
+def asc(lines: DataFrame, start_ns: int = 0, relative: bool = False) -> DataFrame:
+    """Classic lines and error frames of a log with hex IDs; other lines aren't frames.
+
+    Relative times count from the line before, whatever it holds, and start anew at each trigger block; they are added up
+    in the order of lines by running sums over spans of lines.
+    """
     part = lambda n: _part(_ASC, n)
+    if relative:
+        begins = F.lower(F.trim("line")).startswith("begin triggerblock").cast("long")
+        blocks = with_running_sum(lines, [], F.coalesce(begins, F.lit(0).cast("long")), "block")
+        step = F.when(F.col("line").rlike(_ASC_TIME), _nanos(_part(_ASC_TIME, 1), _part(_ASC_TIME, 2))).otherwise(0)
+        lines = with_running_sum(blocks, ["block"], step, "time")
     rows = lines.where(F.col("line").rlike(_ASC) | F.col("line").rlike(_ASC_ERROR))
     error = F.col("line").rlike(_ASC_ERROR)
     raw = _hex(part(4))
     id_ = F.when(error, F.lit(schema.ERROR_ID).cast("long")).when((part(5) == "x") | (raw > 0x7FF), raw.bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
     flags = F.when(error, schema.ERROR).otherwise(F.when(part(7) == "r", schema.REMOTE).otherwise(0) + F.when(part(6) == "Tx", schema.TX).otherwise(0))
-    ts = F.when(error, _nanos(_part(_ASC_ERROR, 1), _part(_ASC_ERROR, 2))).otherwise(_nanos(part(1), part(2))) + start_ns
+    own = F.col("time") if relative else F.when(error, _nanos(_part(_ASC_ERROR, 1), _part(_ASC_ERROR, 2))).otherwise(_nanos(part(1), part(2)))
     length = F.least(F.coalesce(_hex(F.when(part(9) != "", part(9))), F.lit(0)), F.lit(8))
     data = F.unhex(F.regexp_replace(part(10), r"\s+", ""))
     bus = F.concat(F.lit("can"), F.when(error, _part(_ASC_ERROR, 3)).otherwise(part(3)))
     dlc = F.coalesce(_hex(F.when(part(8) != "", part(8))), F.lit(0))
-    return _frames(rows, F.lit(True), ts, bus, id_, flags, F.substring(data, F.lit(1), length.cast("int")), dlc, F.length(data) >= length)
+    return _frames(rows, F.lit(True), own + start_ns, bus, id_, flags, F.substring(data, F.lit(1), length.cast("int")), dlc, F.length(data) >= length)
 
 
 _TRC = r"^\s*\d+\s+(\d+)\.(\d+)\s+(DT|RR|ER|FD|FB)\s+(\d+)\s+([0-9A-Fa-f]+)\s+(Rx|Tx)\s+(?:-\s+)?(\d+)((?:\s+[0-9A-Fa-f]{2})*)\s*$"
@@ -117,3 +139,36 @@ def csv(lines: DataFrame) -> DataFrame:
     id_ = _hex(cell["id"]) + F.when(cell["extended"] == "1", F.lit(schema.EXTENDED_ID).cast("long")).otherwise(0)
     matched = (F.size(cells) == len(CSV_COLUMNS)) & cell["timestamp_ns"].rlike(r"^-?\d+$") & cell["id"].rlike("^[0-9A-Fa-f]+$")
     return _frames(rows, matched, F.expr("try_cast(split(line, ',')[0] as long)"), cell["bus"], id_, flags, F.unhex(cell["data"]), cell["dlc"].try_cast("int"), F.length(F.unhex(cell["data"])) <= 64)
+
+
+#: Formats by file name, where the content doesn't tell.
+EXTENSIONS = {"log": "candump", "txt": "candump", "candump": "candump", "asc": "asc", "trc": "trc", "csv": "csv", "blf": "blf", "mf4": "mf4", "mdf": "mf4"}
+
+
+def detect(spark: SparkSession, path: str, most: int = 20) -> str:
+    """The format of a log by its first lines, or else by its name, or else candump. Only a few lines are read."""
+    head = [r.value for r in spark.read.text(path).limit(most).collect()]
+    first = next((h.strip() for h in head if h.strip()), "")
+    low = first.lower()
+    if first.startswith("LOGG"):
+        return "blf"
+    if first.startswith(("MDF     ", "UnFinMF ")):
+        return "mf4"
+    if first.startswith("("):
+        return "candump"
+    if any(h.split(",")[: 2] == CSV_COLUMNS[:2] for h in head):
+        return "csv"
+    if first.startswith((";$", ";#", ";-")):
+        return "trc"
+    if low.startswith(("date ", "base hex", "base dec", "begin triggerblock")):
+        return "asc"
+    return EXTENSIONS.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), "candump")
+
+
+def read_log(spark: SparkSession, path: str, start_ns: int = 0) -> DataFrame:
+    """Frames of a text log in whatever format it has; bad lines are marked as rejected."""
+    lines, kind = read_lines(spark, path), detect(spark, path)
+    if kind == "asc":
+        relative = lines.where(F.lower("line").rlike(r"^\s*base\s+\w+\s+timestamps\s+relative")).limit(1).count() > 0
+        return asc(lines, start_ns, relative)
+    return {"candump": candump, "csv": csv}[kind](lines) if kind != "trc" else trc(lines, start_ns)

@@ -129,3 +129,12 @@ def test_blf_file(spark, tmp_path):
         (2_000, "can1", 7, schema.FD | schema.BRS, None, bytes(range(12))),
         (3_000, "can1", schema.ERROR_ID, schema.ERROR, None, b"\x0a\x0b"),
     ]
+
+
+def test_relative_asc_times_add_up(spark, tmp_path):
+    rows = ["base hex  timestamps relative", "Begin Triggerblock", " 0.5 1 1 Rx d 0", " 0.25 Statistic: x", " 0.25 1 2 Rx d 0", "End TriggerBlock", "Begin Triggerblock", " 0.125 1 3 Rx d 0"]
+    (tmp_path / "r.asc").write_text("\n".join(rows))
+    got = text.read_log(spark, f"{tmp_path}/r.asc").orderBy("seq").collect()
+    assert [(r.id, r.ts_ns) for r in got] == [(1, 500_000_000), (2, 1_000_000_000), (3, 125_000_000)]
+    (tmp_path / "c.dat").write_text("(1.0) can0 1FF#00\n")
+    assert text.detect(spark, f"{tmp_path}/c.dat") == "candump" and text.read_log(spark, f"{tmp_path}/c.dat").count() == 1
