@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
@@ -80,16 +80,10 @@ def id_summary(df: DataFrame) -> DataFrame:
 def id_table(df: DataFrame) -> DataFrame:
     summary = stats.id_summary(df).where(F.col("id").bitwiseAND(F.lit(1 << 29).cast("long")) == 0)
     top = stats.ranked_ids(summary, "count", descending=True).limit(20)
-    place = F.row_number().over(stats_window())
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("count"), "channel", "id"))  # over the 20 rows of the report
     return top.select("channel", "id", "count", place.cast("long").alias("place"), ff.id_label(F.col("id")).alias("label"))
 
 
-def stats_window():  # noqa: ANN201
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc_nulls_last("count"), "channel", "id")  # over the 20 rows of the report
-
-
 @query("id_search", "SELECT channel, id, count(*) AS count FROM frames WHERE lower(CASE WHEN id >= 2147483648 THEN lpad(to_hex(id & 536870911), 8, '0') ELSE lpad(to_hex(id & 536870911), 3, '0') END) LIKE '%10a%' GROUP BY channel, id")
 def id_search(df: DataFrame) -> DataFrame:
     return trace.search(stats.id_summary(df), "10A").select("channel", "id", "count")
