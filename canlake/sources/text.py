@@ -81,11 +81,12 @@ _ASC = r"^\s*(\d+)\.(\d+)\s+(\d+)\s+([0-9A-Fa-f]+)(x?)\s+(Rx|Tx)\s+(?:(r)(?:\s+(
 _ASC_ERROR = r"^\s*(\d+)\.(\d+)\s+(\d+)\s+ErrorFrame"
 
 
+_ASC_FD = r"^\s*(\d+)\.(\d+)\s+CANFD\s+(\d+)\s+(Rx|Tx)\s+([0-9A-Fa-f]+)(x?)\s+(?:[^\s01]\S*\s+|[01]\S+\s+)?([01])\s+([01])\s+([0-9A-Fa-f])\s+(\d+)((?:\s+\S+)*)\s*$"
 _ASC_TIME = r"^\s*(\d+)\.(\d+)\s"
 
 
 def asc(lines: DataFrame, start_ns: int = 0, relative: bool = False) -> DataFrame:
-    """Classic lines and error frames of a log with hex IDs; other lines aren't frames.
+    """Classic and FD lines and error frames of a log with hex IDs; other lines aren't frames.
 
     Relative times count from the line before, whatever it holds, and start anew at each trigger block; they are added up
     in the order of lines by running sums over spans of lines.
@@ -96,6 +97,7 @@ def asc(lines: DataFrame, start_ns: int = 0, relative: bool = False) -> DataFram
         blocks = with_running_sum(lines, [], F.coalesce(begins, F.lit(0).cast("long")), "block")
         step = F.when(F.col("line").rlike(_ASC_TIME), _nanos(_part(_ASC_TIME, 1), _part(_ASC_TIME, 2))).otherwise(0)
         lines = with_running_sum(blocks, ["block"], step, "time")
+    flexible = _asc_fd(lines, start_ns, relative)
     rows = lines.where(F.col("line").rlike(_ASC) | F.col("line").rlike(_ASC_ERROR))
     error = F.col("line").rlike(_ASC_ERROR)
     raw = _hex(part(4))
@@ -106,7 +108,24 @@ def asc(lines: DataFrame, start_ns: int = 0, relative: bool = False) -> DataFram
     data = F.unhex(F.regexp_replace(part(10), r"\s+", ""))
     bus = F.concat(F.lit("can"), F.when(error, _part(_ASC_ERROR, 3)).otherwise(part(3)))
     dlc = F.coalesce(_hex(F.when(part(8) != "", part(8))), F.lit(0))
-    return _frames(rows, F.lit(True), own + start_ns, bus, id_, flags, F.substring(data, F.lit(1), length.cast("int")), dlc, F.length(data) >= length)
+    classic = _frames(rows, F.lit(True), own + start_ns, bus, id_, flags, F.substring(data, F.lit(1), length.cast("int")), dlc, F.length(data) >= length)
+    return classic.unionByName(flexible)
+
+
+def _asc_fd(lines: DataFrame, start_ns: int, relative: bool) -> DataFrame:
+    """CANFD lines: the flags after duration and length say whether it is an FD frame (1000) or a remote one (10)."""
+    part = lambda n: _part(_ASC_FD, n)
+    rows = lines.where(F.col("line").rlike(_ASC_FD)).withColumn("size", part(10).cast("int")).withColumn("cells", F.split(F.trim(part(11)), r"\s+"))
+    raw = _hex(part(5))
+    id_ = F.when((part(6) == "x") | (raw > 0x7FF), raw.bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
+    said = F.coalesce(_hex(F.get("cells", F.col("size") + 2)), F.lit(0x1000).cast("long"))
+    fd, remote = said.bitwiseAND(F.lit(0x1000).cast("long")) != 0, said.bitwiseAND(F.lit(0x10).cast("long")) != 0
+    marks = schema.FD + part(7).cast("int") * schema.BRS + part(8).cast("int") * schema.ESI
+    flags = F.when(remote, schema.REMOTE).when(fd, marks).otherwise(0) + F.when(part(4) == "Tx", schema.TX).otherwise(0)
+    data = F.call_function("try_to_binary", F.array_join(F.slice("cells", F.lit(1), F.col("size")), ""), F.lit("hex"))
+    own = F.col("time") if relative else _nanos(part(1), part(2))
+    good = remote | (F.coalesce(F.length(data), F.lit(-1)) == F.col("size"))
+    return _frames(rows, F.lit(True), own + start_ns, F.concat(F.lit("can"), part(3)), id_, flags, F.when(~remote, data), _hex(part(9)), good & (F.col("size") <= 64))
 
 
 _TRC = r"^\s*\d+\s+(\d+)\.(\d+)\s+(DT|RR|ER|FD|FB)\s+(\d+)\s+([0-9A-Fa-f]+)\s+(Rx|Tx)\s+(?:-\s+)?(\d+)((?:\s+[0-9A-Fa-f]{2})*)\s*$"

@@ -138,3 +138,11 @@ def test_relative_asc_times_add_up(spark, tmp_path):
     assert [(r.id, r.ts_ns) for r in got] == [(1, 500_000_000), (2, 1_000_000_000), (3, 125_000_000)]
     (tmp_path / "c.dat").write_text("(1.0) can0 1FF#00\n")
     assert text.detect(spark, f"{tmp_path}/c.dat") == "candump" and text.read_log(spark, f"{tmp_path}/c.dat").count() == 1
+
+
+def test_asc_fd_lines(spark):
+    rows = ["0.1 CANFD 1 Rx 123 1 0 9 12 " + " ".join(f"{i:02x}" for i in range(12)) + " 130000 130 3000 0 0 0 0 0", "0.2 CANFD 2 Tx 18FEF100x Name 0 0 2 2 AA BB 1 1 0 0", "0.3 CANFD 1 Rx 124 0 0 8 0 1 1 10 0"]
+    got = {r.seq: r for r in text.asc(lines(spark, rows)).collect()}
+    assert (got[0].id, got[0].flags, bytes(got[0].data)) == (0x123, schema.FD | schema.BRS, bytes(range(12)))
+    assert (got[1].id, got[1].flags, bytes(got[1].data), got[1].rejected) == (schema.EXTENDED_ID | 0x18FEF100, schema.TX, b"\xaa\xbb", False)
+    assert (got[2].kind, got[2].remote_dlc, got[2].len) == ("remote", 8, 0)
