@@ -71,6 +71,18 @@ def _allowed(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100
 
 
+def _first_prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members in the first filter's prefix of a set of n, and how many of them the prefix of any partner must have too.
+
+    A set that may lack nothing still links with a larger partner. Its prefix holds no more than the extra members, so
+    a set whose least partner is of that kind asks for no more than these.
+    """
+    allowed, extra = _allowed(n, percent), lambda n: np.maximum((EXTRA * n).astype(np.int64), 1)
+    upto, least = np.minimum(allowed + extra(n), n), n - allowed
+    need = upto - allowed
+    return upto, np.where(_allowed(least, percent) > 0, need, np.minimum(need, extra(least)))
+
+
 def _within(at: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """Rows of the first `upto` members of each set."""
     total = np.cumsum(upto)
@@ -91,9 +103,7 @@ def links(spark: SparkSession, docs: DataFrame, text: str, words: int, percent:
         for b in batches(rows):
             _, keys, at = shingle_sets(Texts(b.column(0)), words)
             n = np.diff(at)
-            extra = np.maximum((EXTRA * n).astype(np.int64), 1)
-            upto = np.where(_allowed(n, percent) > 0, np.minimum(_allowed(n, percent) + extra, n), 0)
-            need = upto - _allowed(n, percent)
+            upto, need = _first_prefix(n, percent)
             rows_of = _within(at, upto)
             name = np.repeat(_names(keys, at), upto)
             yield pa.RecordBatch.from_arrays([_long(keys[rows_of]), _long(name), pa.array(np.repeat(need, upto).astype(np.int32))], ["token", "name", "need"])

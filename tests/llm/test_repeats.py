@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from canlake.llm import jaccard, prefix_free, recompression
@@ -14,8 +15,8 @@ def shingles(text, k=4):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
 
 
-def brute_components(rows, percent=85):
-    sets = [shingles(t) for _, t in rows]
+def brute_components(rows, percent=85, k=4):
+    sets = [shingles(t, k) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):
@@ -56,6 +57,28 @@ def test_components(spark, sf):
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_components_of_small_sets(spark):
+    # families of one text and the same text with words appended
+    sizes = [(8, 9, 10), (9, 10), (8, 9), (5, 6), (16, 17)]
+    rows = [(100 * f + n, " ".join(f"v{f}x{i}" for i in range(n))) for f, family in enumerate(sizes) for n in family]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((4, 85), (5, 80), (1, 94)):
+        got = jaccard.similar_components(df, words=k, percent=percent).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows, percent, k), key=key)
+
+
+def test_first_prefix_misses_no_pair():
+    n = np.arange(1, 161)
+    for percent in range(50, 101):
+        upto, need = jaccard._first_prefix(n, percent)
+        for size, u, k in zip(n, upto, need):
+            overlap = np.maximum(-(-percent * (size + n) // (100 + percent)), 1)
+            links = (overlap <= np.minimum(size, n)) & (size != n)
+            # what both prefixes have of an overlap at the least: each loses its members outside it first
+            common = np.minimum(u - (size - overlap), upto - (n - overlap))
+            assert k >= 1 and (common[links] >= k).all()
+
+
 def test_components_empty(spark):
     assert jaccard.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
