@@ -26,6 +26,8 @@ DIM, LONGEST, PER_LANGUAGE, LANDMARKS, RIDGE = 1 << 14, 4, 400, 192, 1e-3
 #: Texts scored by one matrix product, and how sharply scores become probabilities.
 BATCH, SHARPNESS = 256, 6.0
 UNKNOWN = "und"
+#: A text whose score is less than this share of the way from an even share of the languages to 1 is in none of them.
+LEAST_LEAD = 0.125
 #: Letters, and bytes of letters outside ASCII, count; everything else is a blank.
 _READ = np.where((np.arange(256) >= 128) | np.isin(LOWER, np.frombuffer(bytes(range(97, 123)), np.uint8)), LOWER, 32).astype(np.uint32)
 _MULTIPLIER = np.uint32(0x9E3779B1)
@@ -111,6 +113,27 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return Model(languages, marks, weights.astype(np.float32))
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text has a letter."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows, column=text):
+            column = b.column(b.schema.get_field_index(text))
+            yield b.filter(pa.array([has_letter(t.as_py()) for t in column], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def least_score(model: Model) -> float:
+    """The score below which no learned language is told: LEAST_LEAD of the way from an even share to 1; 0 with one language."""
+    n = len(model.languages)
+    return 1 / n + LEAST_LEAD * (1 - 1 / n) if n > 1 else 0.0
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with a predicted language and a score from 0 to 1, from the whole text alone.
 
@@ -134,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", pred: str
                     best, sure = s.argmax(axis=1), e.max(axis=1) / e.sum(axis=1)
                     for i, t in enumerate(column):
                         value = t.as_py()
-                        if value and any(map(str.isalpha, value)):
+                        if has_letter(value):
                             names[i], top[i] = model.languages[best[i]], min(float(sure[i]), 1.0)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(top)], [*keep, pred, score])
 

@@ -18,9 +18,18 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; texts that are null or have no letter go. The label stays as it was."""
-    told = language.identify(docs, q_quality.language_model(docs))
-    return told.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    """Documents whose language is told, with it as their label.
+
+    Texts that are null or have no letter go, and so do those whose score is below language.least_score: the model sees
+    in them none of the languages that it learned. Without a labelled text to learn from, every text with a letter stays
+    as it is.
+    """
+    model = q_quality.language_model(docs)
+    if model is None:
+        return language.with_letters(docs)
+    told = language.identify(docs, model, pred="_told", score="_score")
+    kept = told.where((F.col("_told") != language.UNKNOWN) & (F.col("_score") >= language.least_score(model)))
+    return kept.withColumn("lang", F.col("_told").cast(docs.schema["lang"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

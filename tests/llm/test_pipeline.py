@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -73,3 +74,24 @@ def test_repeated_rows_leave_one(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (5, None), (5, None), (6, "z")]
     got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", jaccard.F.lit("x"))).collect()
     assert Counter(r.doc_id for r in got) == {2: 1, 5: 2, 6: 1}
+
+
+def test_language_prediction_decides(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b, c, d = [i for i in range(20000, 20100) if zlib.crc32(str(i).encode()) % 5 == 0][:4]  # held out from learning
+    texts = {a: ("en", "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в лес"), b: ("fr", "敏捷的棕色狐狸跳过了懒狗然后跑进森林"), c: (None, "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί")}
+    wrong = docs.where("lang = 'de' and n_chars > 500").orderBy("doc_id").limit(1).withColumn("doc_id", jaccard.F.lit(d).cast(docs.schema["doc_id"].dataType)).withColumn("lang", jaccard.F.lit("fr"))
+    more = spark.createDataFrame([(i, t, lang, "src1", len(t)) for i, (lang, t) in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    added = docs.union(wrong).union(more.select(*[more[x].cast(docs.schema[x].dataType) for x in docs.columns]))
+    out = {r.doc_id: r.lang for r in pipeline.language_id(spark, added, sf).collect()}
+    assert not out.keys() & texts.keys() and out[d] == "de"
+    clean = {r.doc_id: r.lang for r in docs.collect()}
+    assert {i: out[i] for i in clean} == clean
+
+
+def test_no_labels_keep_letters(spark, sf):
+    docs = documents(spark, sf).withColumn("lang", jaccard.F.lit(None).cast("string"))
+    out = pipeline.language_id(spark, docs, sf)
+    assert out.dtypes == docs.dtypes
+    letters = Counter((r.doc_id, r.text) for r in docs.collect() if r.text and any(map(str.isalpha, r.text)))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == letters
