@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canlake.functions import bits
-from canlake.functions.frames import Payload, payload_bytes
+from canlake.functions.frames import payload_bytes
 from canlake.operators.history import with_previous
 
 INCREASES, DECREASES, CHANGES, CONSTANT = "increases", "decreases", "changes", "constant"
@@ -37,34 +37,57 @@ def candidates(length: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def find_signal(frames: DataFrame, rules: list[Rule], length: int, keys: list[int] | None = None, sizes: tuple[int, ...] = (8, 16), orders: tuple[str, ...] = (bits.LITTLE, bits.BIG), limit: int = 50) -> DataFrame:
-    """(key, start, size, order, score) of the best ranges whose steps fit all rules, for IDs of at least `length` bytes.
+#: Payload bytes of the longest frame that is searched, as in CAN FD.
+MAX_PAYLOAD = 64
 
-    Each rule's window is paired up once; a frame's ranges are computed as one array beside those of the frame before it,
-    and the steps of all ranges are summed by element, so the frames are read once for a rule.
+
+def _ranges(spark: SparkSession, length: int, sizes: tuple[int, ...], orders: tuple[str, ...]) -> DataFrame:
+    """(range, start, size, order, last, byte, big, shift, mask): each candidate's last byte, and where its bits lie in three bytes from `byte` on."""
+    rows = []
+    for n, (start, size, order) in enumerate(candidates(length)):
+        if size in sizes and order in orders:
+            first = start if order == bits.LITTLE else start // 8 * 8 + 7 - start % 8
+            shift = first % 8 if order == bits.LITTLE else 24 - first % 8 - size
+            rows.append((n, start, size, order, max(b for b, _ in bits.positions(start, size, order)), first // 8, order == bits.BIG, shift, (1 << size) - 1))
+    return spark.createDataFrame(rows, "range int, start long, size long, order string, last int, byte int, big boolean, shift int, mask int")
+
+
+def _value(payload: str) -> Column:
+    """A candidate's bits in an array of payload bytes."""
+    near = [F.coalesce(F.get(F.col(payload), F.col("byte") + i), F.lit(0)) for i in range(3)]
+    joined = lambda a, b, c: a.bitwiseOR(F.shiftleft(b, 8)).bitwiseOR(F.shiftleft(c, 16))
+    word = F.when(F.col("big"), joined(*near[::-1])).otherwise(joined(*near))
+    return F.call_function("shiftright", word, F.col("shift")).bitwiseAND(F.col("mask"))
+
+
+def find_signal(frames: DataFrame, rules: list[Rule], length: int | None = None, keys: list[int] | None = None, sizes: tuple[int, ...] = (8, 16), orders: tuple[str, ...] = (bits.LITTLE, bits.BIG), limit: int | None = 50) -> DataFrame:
+    """(key, start, size, order, score) of the best ranges whose steps fit all rules; all of them, in no order, without a limit.
+
+    The ranges of an ID are those that fit its shortest frame (of MAX_PAYLOAD bytes at most). With `length`, they are those
+    that fit so many bytes, and IDs with a shorter frame are left out. Each rule's window is paired up once, and a pair of
+    frames meets the ranges of its ID's length from a small table, so the frames are read once for a rule.
     """
-    ranges = [c for c in candidates(length) if c[1] in sizes and c[2] in orders]
-    size_of = frames.groupBy("key").agg(F.min(F.length("data")).alias("least")).where(F.col("least") >= length)
+    shortest = frames.groupBy("key").agg(F.min(F.coalesce(F.length("data"), F.lit(0))).alias("least"))
+    size_of = shortest.select("key", F.least("least", F.lit(MAX_PAYLOAD)).alias("least")) if length is None else shortest.where(F.col("least") >= length).select("key", F.lit(length).alias("least"))
+    table = _ranges(frames.sparkSession, MAX_PAYLOAD if length is None else length, sizes, orders)
+    fits = F.broadcast(table)  # of fixed size
     rows = frames.select("seq", "ts_ns", "key", "data")
     rows = rows.where(F.col("key").isin(keys)) if keys else rows.where(F.col("key").bitwiseAND(F.lit(1 << 29).cast("long")) == 0)
-    rows = rows.join(size_of, "key", "left_semi")
-
-    def step(c: tuple[int, int, str]) -> Column:
-        now, before = bits.extract(Payload(F.col("now"), True), *c), bits.extract(Payload(F.col("then"), True), *c)
-        return F.signum(now - before).cast("int")
+    rows = rows.join(size_of.where("least > 0"), "key")
+    # a row for each length and range that fits it
+    lengths = frames.sparkSession.range(1, MAX_PAYLOAD + 1).select(F.col("id").cast("int").alias("least")) if length is None else frames.sparkSession.range(1).select(F.lit(length).alias("least"))
+    ranges = F.broadcast(lengths.join(fits, F.col("last") < F.col("least")).select("least", "range", "byte", "big", "shift", "mask"))
 
     scored: list[DataFrame] = []
     for n, rule in enumerate(rules):
         inside = rows.where(F.col("ts_ns").between(rule.t0_ns, rule.t1_ns))
-        pairs = with_previous(inside, ["key"], {"data": "before"}).where("before is not null").select("key", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
-        steps = pairs.select("key", F.posexplode(F.array(*[step(c) for c in ranges])).alias("range", "step"))
+        pairs = with_previous(inside, ["key"], {"data": "before"}).where("before is not null").select("key", "least", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
+        steps = pairs.join(ranges, "least").select("key", "range", (_value("now") - _value("then")).alias("step"))
         sums = steps.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("step") > 0).alias("up"), F.count_if(F.col("step") < 0).alias("down"))
         moves = F.col("up") + F.col("down")
         score = {INCREASES: F.greatest(F.col("up") - F.col("down"), F.lit(0)) / (moves + 1), DECREASES: F.greatest(F.col("down") - F.col("up"), F.lit(0)) / (moves + 1), CHANGES: moves / F.col("n"), CONSTANT: 1 - moves / F.col("n")}[rule.says]
         scored.append(sums.select("key", "range", score.alias(f"s{n}")))
     joined = reduce(lambda a, b: a.join(b, ["key", "range"]), scored)
     total = reduce(lambda a, b: a * b, [F.col(f"s{n}") for n in range(len(rules))])
-    table = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("size"), F.lit(c).alias("order")) for a, b, c in ranges])
-    named = joined.select("key", "range", total.alias("score"), F.element_at(table, F.col("range") + 1).alias("c")).where("score > 0")
-    best = named.select("key", F.col("c.start").cast("long").alias("start"), F.col("c.size").cast("long").alias("size"), F.col("c.order").alias("order"), "score", "range")
-    return best.orderBy(F.desc("score"), "size", "key", "range").limit(limit).drop("range")
+    best = joined.select("key", "range", total.alias("score")).where("score > 0").join(fits, "range").select("key", "start", "size", "order", "score", "range")
+    return (best if limit is None else best.orderBy(F.desc("score"), "size", "key", "range").limit(limit)).drop("range")

@@ -375,6 +375,13 @@ def find_signal(df: DataFrame) -> DataFrame:
     return found.withColumn("score", F.round("score", 12))
 
 
+@query("find_signal_whole")
+def find_signal_whole(df: DataFrame) -> DataFrame:
+    """All sizes and orders over each ID's own shortest frame; tests/test_operators.py holds it against brute force."""
+    rules = [find.Rule(0, T1, find.INCREASES), find.Rule(0, 1 << 62, find.CHANGES)]
+    return find.find_signal(df.where("kind = 'data'"), rules, limit=None).withColumn("score", F.round("score", 12))
+
+
 @query("checksum_share", "SELECT key, CAST(len AS INTEGER) AS size, count(*) AS frames, count(*) FILTER (CASE WHEN len = 8 THEN (b0 + b1 + b2 + b3 + b4 + b5 + b6) % 256 = b7 ELSE (b0 + b1 + b2 + b3 + b4) % 256 = b5 END) AS matching FROM frames WHERE len >= 2 GROUP BY key, len")
 def checksum_share(df: DataFrame) -> DataFrame:
     return stats.checksum_share(df)

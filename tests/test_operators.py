@@ -9,6 +9,8 @@ from canlake.functions import bits, dbc
 from canlake.functions import frames as ff
 from canlake.operators import decode, find, series, stats, suggest, trace
 from canlake.operators.history import with_index, with_previous
+from canlake.plans import catalogue
+from canlake.sources import events
 
 
 def log(spark, rows):
@@ -118,6 +120,44 @@ def test_candidates_and_search(spark):
     assert best.score > 0.9 and best["size"] == 8
 
 
+def brute_found(rows, rules):
+    """rows: (key, ts_ns, seq, data) of data frames"""
+    out = set()
+    for k in {r[0] for r in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == k)
+        for c in find.candidates(min(len(d) for *_, d in own)):
+            score = 1.0
+            for rule in rules:
+                values = [raw_bits(d, *c) for t, _, d in own if rule.t0_ns <= t <= rule.t1_ns]
+                up, down = sum(b > a for a, b in zip(values, values[1:])), sum(b < a for a, b in zip(values, values[1:]))
+                score *= 0 if len(values) < 2 else max(up - down, 0) / (up + down + 1) if rule.says == find.INCREASES else (up + down) / (len(values) - 1)
+            if score > 0:
+                out.add((k, *c, round(score, 9)))
+    return out
+
+
+def test_find_signal_in_each_id_s_own_length(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(240):
+        id_ = 1 + i % 4
+        size = {1: 3, 2: 8, 3: 12, 4: 5 + i % 3}[id_]
+        rows.append((i, i * 10, id_, 0, bytearray(rng.randrange(256) if b % 3 else i * (b + 1) % 256 for b in range(size))))
+    rules = [find.Rule(0, 1500, find.INCREASES), find.Rule(0, 5000, find.CHANGES)]
+    got = find.find_signal(log(spark, rows), rules, limit=None).collect()
+    want = brute_found([(id_, t, seq, data) for seq, t, id_, _, data in rows], rules)
+    assert {(r.key, r.start, r["size"], r.order, round(r.score, 9)) for r in got} == want and len(got) == len(want)
+    assert {(s, o) for _, _, s, o, _ in want} == {(8, "little"), (8, "big"), (16, "little"), (16, "big")} and any(k == 3 and start >= 64 for k, start, *_ in want)
+
+
+def test_find_signal_whole_query(spark, sf):
+    df = events.frames(spark, sf).where("kind = 'data'")
+    rules = [find.Rule(0, catalogue.T1, find.INCREASES), find.Rule(0, 1 << 62, find.CHANGES)]
+    want = brute_found([(r.key, r.ts_ns, r.seq, bytes(r.data)) for r in df.select("key", "ts_ns", "seq", "data").collect()], rules)
+    got = catalogue.QUERIES["find_signal_whole"](spark, sf).collect()
+    assert {(r.key, r.start, r["size"], r.order, round(r.score, 9)) for r in got} == want and len(got) == len(want)
+
+
 def test_load_counts_frames_only(spark):
     rows = [(0, 0, 1, 0, bytearray(8)), (1, 10**9, 1, schema.REMOTE, bytearray()), (2, 2 * 10**9, 1, schema.ERROR, bytearray())]
     got = [r.load for r in stats.bus_load(log(spark, rows), 0, 2 * 10**9, 2, 1000).orderBy("bucket").collect()]
