@@ -12,21 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import bits
-from canlake.functions.frames import Payload, payload_bytes
+from canlake.functions.frames import payload_bytes
 from canlake.operators.history import with_previous
 from canlake.operators.stats import bit_flips
 
 # Thresholds and weights of the readings.
 MIN_SCORE, MOST, FLAG_RATE, ENUM_RATE, SMALL_STEP, WRAP, LENGTH_SHARE = 0.35, 16, 0.05, 0.2, 0.2, 0.75, 0.99
 HIGH, MEDIUM = 0.85, 0.6
-#: Payload bytes that are searched.
-SEARCHED = 8
-
-
-def ranges(length: int = SEARCHED) -> list[tuple[int, int, str]]:
-    """(start, size, order) of all whole bytes and of 16-bit words that start on a byte."""
-    words = [(8 * b, 16, bits.LITTLE) for b in range(length - 1)] + [(8 * b + 7, 16, bits.BIG) for b in range(length - 1)]
-    return [(8 * b, 8, bits.LITTLE) for b in range(length)] + words
+#: Readings of a place: its byte, and the words of either order that start with it.
+BYTE, LITTLE_WORD, BIG_WORD = range(3)
 
 
 def lengths(frames: DataFrame) -> DataFrame:
@@ -42,9 +36,15 @@ def _pairs(frames: DataFrame) -> DataFrame:
     rows = frames.where("kind in ('data', 'reassembled')").select("seq", "ts_ns", "key", "data").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
     both = with_previous(rows, ["key"], {"data": "before"}).where("before is not null")
     both = both.select("key", "size", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
-    value = lambda column, c: bits.extract(Payload(F.col(column), True), *c)
-    made = [F.when(F.col("size") > max(b for b, _ in bits.positions(*c)), F.struct(value("now", c).alias("now"), value("then", c).alias("before"))) for c in ranges()]
-    return both.select("key", F.posexplode(F.array(*made)).alias("range", "v")).where("v is not null").select("key", "range", "v.now", "v.before")
+    # a row for each byte of the ID's length, whatever it is; range = 3 x byte + reading
+    at = lambda c, i: F.get(F.col(c), F.col("byte") + i).cast("long")
+    spread = both.select("key", "size", "now", "then", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("byte"))
+    placed = spread.select("key", "size", "byte", *[at(c, i).alias(f"{c}{i}") for c in ("now", "then") for i in (0, 1)])
+    inner = F.col("byte") + 1 < F.col("size")
+    reading = lambda form, f: F.struct((F.col("byte") * 3 + form).alias("range"), f("now").alias("now"), f("then").alias("before"))
+    word = lambda low, high: lambda c: F.col(f"{c}{low}") + F.col(f"{c}{high}") * 256
+    made = F.array(reading(BYTE, lambda c: F.col(f"{c}0")), F.when(inner, reading(LITTLE_WORD, word(0, 1))), F.when(inner, reading(BIG_WORD, word(1, 0))))
+    return placed.select("key", F.explode(made).alias("v")).where("v is not null").select("key", "v.range", "v.now", "v.before")
 
 
 def _checksums(frames: DataFrame) -> DataFrame:
@@ -61,9 +61,9 @@ def _checksums(frames: DataFrame) -> DataFrame:
 
 def scored(frames: DataFrame) -> DataFrame:
     """(key, start, size, order, kind, score) of every candidate that has a reading."""
-    table = ranges()
     pairs = _pairs(frames)
-    modulus = F.when(F.col("range") < SEARCHED, 256).otherwise(65536)
+    form = F.col("range") % 3
+    modulus = F.when(form == BYTE, 256).otherwise(65536)
     step = F.pmod(F.col("now") - F.col("before"), modulus)
     commonest = pairs.groupBy("key", "range", step.alias("step")).agg(F.count(F.lit(1)).alias("k")).groupBy("key", "range").agg(F.max(F.when(F.col("step") != 0, F.col("k"))).alias("most"))
     half = F.floor(modulus / 2)
@@ -81,7 +81,7 @@ def scored(frames: DataFrame) -> DataFrame:
     stats = spread.join(commonest, ["key", "range"]).join(smooth, ["key", "range"])
     rate = F.col("changes") / F.col("n")
     share = F.col("most") / F.col("n")
-    byte = F.col("range") < SEARCHED
+    byte = form == BYTE
     counter = F.when((F.col("n") >= 8) & (rate >= 0.9) & (share >= 0.9), 0.6 + 0.38 * (share - 0.9) / 0.1)
     enum = F.when(byte & F.col("distinct").between(2, 16) & (rate <= ENUM_RATE), 0.55 + 0.25 * (1 - rate / ENUM_RATE))
 
@@ -93,31 +93,33 @@ def scored(frames: DataFrame) -> DataFrame:
     plain, both_signs = value("now"), F.when(crosses, value("snow"))
     use_signed = both_signs.isNotNull() & (plain.isNull() | (F.col("wraps_snow") < F.col("wraps_now")))
     readings = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(k).alias("kind"))) for k, s in (("counter", counter), ("enum", enum), ("signed", F.when(use_signed, both_signs)), ("continuous", F.when(~use_signed, plain)))]))
-    names = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("size"), F.lit(o).alias("order")) for a, b, o in table])
-    read = stats.select("key", F.element_at(names, F.col("range") + 1).alias("c"), F.array_max(readings).alias("r")).where("r is not null")
+    first = (F.col("range") - form) / 3 * 8
+    name = F.struct((first + F.when(form == BIG_WORD, 7).otherwise(0)).cast("int").alias("start"), F.when(form == BYTE, 8).otherwise(16).alias("size"), F.when(form == BIG_WORD, bits.BIG).otherwise(bits.LITTLE).alias("order"))
+    read = stats.select("key", name.alias("c"), F.array_max(readings).alias("r")).where("r is not null")
     out = read.select("key", "c.start", "c.size", "c.order", "r.kind", "r.score")
 
     sums = _checksums(frames).where("share >= 0.9 and frames >= 8")
     out = out.unionByName(sums.select("key", (F.col("byte") * 8).cast("int").alias("start"), F.lit(8).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit("checksum").alias("kind"), F.when(F.col("share") >= 0.995, 0.97).otherwise(0.6 + 1.5 * (F.col("share") - 0.9)).alias("score")))
-    flag = bit_flips(frames).withColumn("rate", F.col("flips") / F.col("pairs")).where((F.col("flips") > 0) & (F.col("rate") < FLAG_RATE) & (F.col("byte") < SEARCHED))
+    flag = bit_flips(frames).withColumn("rate", F.col("flips") / F.col("pairs")).where((F.col("flips") > 0) & (F.col("rate") < FLAG_RATE))
     return out.unionByName(flag.select("key", (F.col("byte") * 8 + F.col("bit")).cast("int").alias("start"), F.lit(1).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit("flag").alias("kind"), (0.5 + 0.2 * (1 - F.col("rate") / FLAG_RATE)).alias("score")))
 
 
 def suggest(frames: DataFrame) -> DataFrame:
-    """(key, start, size, order, kind, score, level): for each ID its best readings that don't overlap, at most MOST."""
+    """(key, start, size, order, kind, score, level): for each ID its best readings that don't overlap, at most MOST, or one a byte of longer IDs."""
     kinds = "key long, start int, size int, order string, kind string, score double"
+    most = lengths(frames).select("key", F.greatest(F.lit(MOST), "size").alias("most"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         taken: set[tuple[int, int]] = set()
         kept = []
         for r in rows.sort_values(["score", "start", "size", "order"], ascending=[False, True, True, True]).itertuples(index=False):
             own = set(bits.positions(r.start, r.size, r.order))
-            if r.score >= MIN_SCORE and not own & taken and len(kept) < MOST:
+            if r.score >= MIN_SCORE and not own & taken and len(kept) < r.most:
                 taken |= own
                 kept.append(r)
-        return pd.DataFrame(kept, columns=rows.columns)
+        return pd.DataFrame(kept, columns=rows.columns).drop(columns="most")
 
-    best = scored(frames).select("key", "start", "size", "order", "kind", "score").groupBy("key").applyInPandas(choose, kinds)
+    best = scored(frames).select("key", "start", "size", "order", "kind", "score").join(most, "key").groupBy("key").applyInPandas(choose, kinds)
     score = F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(0.99)), 2)
     return best.withColumn("score", score).withColumn("level", F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low"))
 

@@ -176,3 +176,17 @@ def test_suggestions_name_what_the_bytes_are(spark):
     assert got[0, 8] == ("counter", "high") and got[56, 8] == ("checksum", "high")
     assert got[8, 16][0] in ("continuous", "signed") and (24, 8) in got and got[24, 8][0] == "enum"
     assert not any(start in range(32, 40) for start, _ in got)
+
+
+def test_suggestions_reach_all_bytes_of_long_payloads(spark):
+    rng = random.Random(9)
+    level, rows = 30000, []
+    for i in range(600):
+        level += rng.randint(-40, 40)
+        data = bytearray(rng.randrange(256) for _ in range(20))
+        data[9], data[12], data[13], data[15], data[17] = i % 256, level // 256, level % 256, 3 if (i // 60) % 2 else 7, (i // 200) & 1
+        data += bytes((i * (b + 1) * 2 + i) % 256 for b in range(20))
+        rows.append((i, i * 10, 9, 0, data))
+    got = {(r.start, r["size"], r.order): r.kind for r in suggest.suggest(log(spark, rows)).collect()}
+    assert got[72, 8, "little"] == "counter" and got[120, 8, "little"] == "enum" and got[103, 16, "big"] in ("continuous", "signed")
+    assert any(136 <= start < 144 for start, *_ in got) and len(got) > suggest.MOST and max(start for start, *_ in got) >= 8 * 36
