@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from canlake.llm.common import batches, written
 from canlake.llm.graphs import components
-from canlake.llm.spans import bit_filter, hits
-from canlake.llm.text_arrays import LOWER, ONE, Texts, mix
+from canlake.llm.text_arrays import LOWER, ONE, Texts, mix, word_names
 
 #: Parts by hash of a set's outline, which bounds overlaps before they are counted.
 PARTS = 128
@@ -36,10 +35,30 @@ EXTRA = 0.12
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
+#: Bits of the filter of classes that is sent to all tasks; a full one lets more through, which costs time and changes no result.
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A table of `bits` bits in which those of the keys are set; keys must be well mixed longs. It comes as bitmaps of 4 KB each."""
+    place = F.expr(f"pmod({column}, {bits}) + 1")
+    maps = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.collect():  # at most bits / 32768 rows
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.map), np.uint8)
+    return out
+
+
+def hits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned keys have their bit set."""
+    place = keys % np.uint64(len(table) * 8)
+    return ((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1) > 0
+
+
 def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number and hash of each distinct shingle, ordered by both, and the first row of each text (n + 1 values)."""
     first, end, of = texts.words()
-    hashes = ONE.spans(ONE.prefix(ONE.bytes[LOWER[texts.data]]), first, end)
+    hashes = word_names(LOWER[texts.data], first, end)
     prefix = ONE.prefix(hashes)
     count = np.bincount(of, minlength=texts.n)
     heads = np.concatenate(([0], np.cumsum(count)))

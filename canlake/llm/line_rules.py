@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canlake.llm.common import batches, on, written
-from canlake.llm.text_arrays import FOLDED, ONE, STARTS, SPACE, Texts, covered, mix, repeated
+from canlake.llm.text_arrays import FOLDED, ONE, STARTS, SPACE, Texts, covered, mix, repeated, word_names
 
 #: A line is removed where more documents of its host have it than both of these: a number, and a share of the host's documents.
-LIMIT_DOCS, LIMIT_SHARE = 20, 0.10
+LIMIT_DOCS, LIMIT_SHARE = 20, 0.01
 #: A document is depleted if less than this share of its words stays.
 LEAST_SHARE = 0.5
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -29,7 +29,7 @@ def _digest(texts: Texts) -> list[pa.Array]:
     data, n = texts.data, texts.n
     first, end, of = texts.words()
     prefix = ONE.prefix(ONE.bytes[data])
-    words = ONE.spans(prefix, first, end)
+    words = word_names(data, first, end, prefix)
     n_words = np.bincount(of, minlength=n)
     salt = mix(of.astype(np.uint64) + np.uint64(1))
 
@@ -45,10 +45,10 @@ def _digest(texts: Texts) -> list[pa.Array]:
     has = words_upto > words_before
     at, stop, line_of, words_before, words_upto = (x[has] for x in (at, stop, line_of, words_before, words_upto))
     line_salt = mix(line_of.astype(np.uint64) + np.uint64(1))
-    _, later = repeated(ONE.spans(prefix, at, stop) ^ line_salt)
+    _, later = repeated(word_names(data, at, stop, prefix) ^ line_salt)
     dup = np.bincount(line_of[later], minlength=n)
 
-    folded = ONE.spans(ONE.prefix(ONE.bytes[FOLDED[data]]), first, end)
+    folded = word_names(FOLDED[data], first, end)
     names = ONE.spans(ONE.prefix(folded), words_before, words_upto)
     order = np.lexsort((names, line_of))
     names, line_of, size = names[order], line_of[order], (words_upto - words_before)[order]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canlake.llm.common import batches
-from canlake.llm.text_arrays import ONE, STARTS, Texts, mix
+from canlake.llm.text_arrays import STARTS, Texts, mix, word_names
 
 #: Segmentations of a text, and the exponent that sharpens (above 1) or flattens the distribution.
 SAMPLES, SHARPNESS = 2, 1.0
@@ -312,7 +312,7 @@ def encode_batch(texts: Texts, keys: np.ndarray, vocabulary: Vocabulary, samples
     first = np.flatnonzero(opens)
     end = np.append(first[1:], len(data))
     of = np.searchsorted(offsets, first, side="right") - 1
-    names = ONE.spans(ONE.prefix(ONE.bytes[data]), first, end)
+    names = word_names(data, first, end)
     _, where, kind = np.unique(names, return_index=True, return_inverse=True)
     length = (end - first)[where]
     edges = np.concatenate(([0], np.cumsum(length)))

@@ -8,12 +8,12 @@ depends on what follows a phrase in the parse. The corpus becomes
 - a parse: for each document, its phrases in order, by name;
 - a dictionary: each distinct phrase once, with the place where it first occurs.
 
-Phrases whose trigger gram occurs once in the corpus have only unique windows and aren't named at all. A phrase that isn't the first
-of its name is a repeat as a whole. The other repeats lie in the dictionary, between phrases with one trigger gram: the
-suffix array of these phrases, built trigger by trigger and cut at WINDOW bytes, brings equal windows together, and
-with the parse's places of the phrases each run of equal suffixes comes in corpus order, the first of which stays.
-A trigger gram with more than GROUP distinct phrases isn't sorted in one task: its windows are named by hashes and Spark
-orders each name's places instead.
+Phrases meet in Spark at their trigger gram. One whose gram occurs once in the corpus has only unique windows and isn't
+looked at again. A phrase that isn't the first of its name is a repeat as a whole. The other repeats lie in the
+dictionary, between phrases with one trigger gram: the suffix array of these phrases, built trigger by trigger and cut
+at WINDOW bytes, brings equal windows together, and with the parse's places of the phrases each run of equal suffixes
+comes in corpus order, the first of which stays. A trigger gram with more than GROUP distinct phrases isn't sorted in
+one task: its windows are named one by one and Spark orders each name's places instead.
 """
 
 from __future__ import annotations
@@ -28,22 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canlake.llm.common import batches
-from canlake.llm.spans import BATCH, PLACE, Parsed, dictionary, dictionary_phrases, ints, later_phrases, later_windows, longs, marked, parse, place_filter, placed, removed, repeated_triggers, runs
+from canlake.llm.spans import BATCH, KEY, PLACE, Parsed, Units, bucketed, counted, entry_arrays, ints, later_phrases, later_windows, longs, marked, parse, placed, removed, runs, with_entries
 from canlake.llm.text_arrays import ONE, Texts
 
 WINDOW, GRAM = 100, 32
 #: Distinct phrases of one trigger gram that a task sorts at once, and bytes of phrases in one suffix array.
 GROUP, ARRAY_BYTES = 4096, 1 << 19
-_HASH = np.uint64(0xFFFFFFFFF0000000)  # 36 bits of hash before 28 bits of place
+_HASH = np.uint64(0xFFFFFFFF80000000)  # 33 bits of hash before 31 bits of place, which hold any text
+
+
+def byte_units(texts: Texts) -> Units:
+    return Units(texts.data.tobytes(), texts.offsets)
 
 
 def phrases(texts: Texts, window: int = WINDOW, gram: int = GRAM) -> Parsed:
     """The texts' bytes cut into phrases by their windows' triggers."""
-    data = texts.data
-    out = Parsed(texts, texts.offsets, lambda hasher: hasher.bytes[data])
-    if len(data) < window:
+    out = Parsed(byte_units(texts))
+    if len(texts.data) < window:
         return out
-    names = ONE.windows(out.prefix(ONE), gram)
+    names = ONE.windows(ONE.prefix(ONE.bytes[texts.data]), gram)
     # smallest (hash, place) over each window's grams, by doubling; places decide ties, the first wins
     least = (names & _HASH) | np.arange(len(names), dtype=np.uint64)
     size, want = 1, window - gram + 1
@@ -73,20 +76,19 @@ def phrases(texts: Texts, window: int = WINDOW, gram: int = GRAM) -> Parsed:
     return out
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc, tie, start, length) spans of bytes that are covered by windows which start earlier as well. rows: of `placed`."""
-    parser = partial(phrases, window=window, gram=gram)
-    parsed = parse(rows, parser, repeated_triggers(rows, parser), window)
-    kin = dictionary(parsed)
-    few = place_filter(kin.where(F.col("kin") <= group))
+def repeated_spans(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(doc, tie, twin, start, length) spans of bytes that are covered by windows which start earlier as well. texts: of `placed`."""
+    parsed = parse(texts, partial(phrases, window=window, gram=gram), window)
+    entries = parsed.where("is_first").drop("is_first")
 
     def contents(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(found, BATCH):
-            p = parser(Texts(b.column(2)))
-            some, doc, tie, start = dictionary_phrases(p, b, few, window)
-            data = p.texts.data.tobytes()
-            text = [data[f : f + n + window - 1] for f, n in zip(p.first[some], p.windows[some])]
-            yield pa.RecordBatch.from_arrays([longs(p.trigger[some]), longs(doc), ints(tie), ints(start), pa.array(text, pa.binary())], ["trigger", *PLACE, "phrase"])
+            t = Texts(b.column(b.schema.get_field_index("text")))
+            owner, trigger, start, windows = entry_arrays(b)
+            first = t.offsets[owner] + start
+            text = byte_units(t).contents(first, first + windows + window - 1)
+            keys = [longs(b.column(b.schema.get_field_index(c)).to_numpy()[owner]) for c in KEY]
+            yield pa.RecordBatch.from_arrays([longs(trigger), *keys, ints(start), pa.array(text, pa.binary())], ["trigger", *PLACE, "phrase"])
 
     def sorted_suffixes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last trigger's phrases, of which more may follow
@@ -105,52 +107,70 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
         if held is not None and held.num_rows:
             yield _repeats(held.combine_chunks(), window)
 
-    bodies = rows.select("doc", "tie", "text").mapInArrow(contents, "trigger long, doc long, tie int, start int, phrase binary").distinct()
-    parts = bodies.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(sorted_suffixes, "doc long, tie int, start int, length int")
+    few = with_entries(texts, entries.where(F.col("kin") <= group)).mapInArrow(contents, "trigger long, doc long, tie long, twin long, start int, phrase binary")
+    parts = few.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(sorted_suffixes, "doc long, tie long, twin long, start int, length int")
     spans = later_phrases(parsed, window).unionByName(parts)
-    if kin.where(F.col("kin") > group).limit(1).count():
-        spans = spans.unionByName(later_windows(rows, parser, place_filter(kin.where(F.col("kin") > group)), window))
+    many = entries.where(F.col("kin") > group)
+    if many.limit(1).count():
+        spans = spans.unionByName(later_windows(texts, many, byte_units, window))
     return spans
 
 
 def _repeats(phrases: pa.Table, window: int) -> pa.RecordBatch:
     """Spans of the phrases' windows that occur earlier in them, from the array of their suffixes cut at the window."""
     texts = Texts(phrases.column("phrase").cast(pa.binary()))
-    doc, tie, start = (phrases.column(c).to_numpy() for c in ("doc", "tie", "start"))
+    doc, tie, twin, start = (phrases.column(c).to_numpy() for c in PLACE)
     size = np.diff(texts.offsets)
     n = size - window + 1
     of = np.repeat(np.arange(len(n)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = texts.offsets[:-1][of] + step
-    in_order = np.lexsort((start[of] + step, tie[of], doc[of]))
+    in_order = np.lexsort((start[of] + step, twin[of], tie[of], doc[of]))
     strings = np.ndarray((len(texts.data) - window + 1,), f"S{window}", buffer=np.ascontiguousarray(texts.data), strides=(1,))[at[in_order]]
     suffixes = np.argsort(strings, kind="stable")
     same = strings[suffixes][1:] == strings[suffixes][:-1]
+    # a suffix is a repeat unless it is at the place of the first of its run, where equal keys may stand twice
+    head = np.flatnonzero(np.concatenate(([True], ~same)))[np.cumsum(np.concatenate(([True], ~same))) - 1] if len(of) else suffixes
+    one, first_one = in_order[suffixes], in_order[suffixes[head]]
     later = np.zeros(len(of), bool)
-    later[in_order[suffixes[1:][same]]] = True
+    later[one] = (start[of] + step)[one] != (start[of] + step)[first_one]
+    for key in (doc, tie, twin):
+        later[one] |= key[of[one]] != key[of[first_one]]
     # runs of repeated windows of one phrase become one span
     edges = np.zeros(len(of) + len(n), bool)
     edges[np.arange(len(of)) + of] = later
     first, length = runs(edges)
     owner = np.searchsorted(np.cumsum(n + 1), first, side="right")
     inside = first - (np.cumsum(n + 1) - n - 1)[owner]
-    return pa.RecordBatch.from_arrays([longs(doc[owner]), ints(tie[owner]), ints(start[owner] + inside), ints(length + window - 1)], ["doc", "tie", "start", "length"])
+    return pa.RecordBatch.from_arrays([*[longs(k[owner]) for k in (doc, tie, twin)], ints(start[owner] + inside), ints(length + window - 1)], [*PLACE, "length"])
 
 
 def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra) of each document, in bytes of its UTF-8 text.
 
     A byte goes if it lies in a string of `window` bytes that starts earlier as well: in a document of smaller id, or
-    earlier in its own. Null texts are empty; null ids come last; documents of one id are ordered by a hash of their texts,
-    and of equal rows all but one are later copies. Matches never cross documents. Other columns are not read, except those to
-    keep, which come in the struct extra. Phrases
-    are named by two 64-bit hashes. Cuts can fall inside a code point, so what is kept is binary.
+    earlier in its own. Null texts are empty; null ids come last; documents of one id are ordered by two hashes of their
+    texts, and of equal rows all but one are later copies. Matches never cross documents. Other columns are not read,
+    except those to keep, which come in the struct extra. Phrases are named by a 128-bit hash, and a task's memory grows
+    with its longest text. Cuts can fall inside a code point, so what is kept is binary; see `valid_text`.
     """
-    rows = placed(docs, doc_id, text, keep)
+    texts = bucketed(counted(placed(docs, doc_id, text, keep)))
 
     def cut(data: bytes, spans: np.ndarray | None) -> tuple[bytes, int, int, int]:
         n = len(data)
         gone = marked(spans[0], spans[1], n) if spans is not None else np.full(n, n >= window)
         return np.frombuffer(data, np.uint8)[~gone].tobytes(), n, int(gone.sum()), len(runs(gone)[0])
 
-    return removed(rows, repeated_spans(rows, window, gram, group), cut)
+    return removed(texts, repeated_spans(texts, window, gram, group), cut)
+
+
+def valid_text(rows: DataFrame, column: str = "kept", out: str = "text") -> DataFrame:
+    """rows with the text of a binary column as `out`, without the bytes of code points that were cut through; null stays null."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            texts = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(b.schema.get_field_index(column)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], f"`{out}` string"])
+    return rows.mapInArrow(run, schema)

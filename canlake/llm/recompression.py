@@ -7,9 +7,10 @@ equal interior symbols. With each symbol goes the interval of words that decided
 interval lies in a window is there in every equal window.
 
 A window's trigger is one of the symbols it decides, of the highest round that has any, with the smallest name. Shared
-triggers reveal repeats: windows of symbols that occur once aren't looked at again. Runs of windows with one trigger are
-named phrases; later phrases of a name are repeats, and where phrases share a trigger without being equal, their windows
-are named and ordered one by one. All of this is verified on the words' own hashes, not on symbols.
+triggers reveal repeats: Spark brings the phrases, runs of windows with one trigger, together by trigger, and windows of
+symbols that occur once aren't looked at again. Later phrases of a name are repeats, and where phrases share a trigger
+without being equal, their windows are named and ordered one by one. Names are 128-bit hashes of the words themselves,
+not of symbols.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from functools import partial
 import numpy as np
 from pyspark.sql import DataFrame
 
-from canlake.llm.spans import Parsed, dictionary, later_phrases, later_windows, marked, parse, place_filter, placed, removed, repeated_triggers, runs
-from canlake.llm.text_arrays import ONE, Texts, mix
+from canlake.llm.spans import Parsed, Units, bucketed, counted, later_phrases, later_windows, marked, parse, placed, removed, runs
+from canlake.llm.text_arrays import ONE, Texts, mix, word_names
 
 #: Words of a window, and rounds: with two, a window decides about five symbols, so neighbouring windows mostly share their trigger.
 WINDOW, ROUNDS = 20, 2
 _K = np.uint64(0x9E3779B97F4A7C15)
 _FAR = 1 << 40
-_PLACE = np.uint64((1 << 28) - 1)  # the low bits of a packed name hold its place
+_PLACE = np.uint64((1 << 31) - 1)  # the low bits of a packed name hold its place
 
 
 class Symbols:
@@ -84,11 +85,23 @@ def _least(names: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (best & _PLACE).astype(np.int64)
 
 
+def word_units(texts: Texts, first: np.ndarray | None = None, end: np.ndarray | None = None, of: np.ndarray | None = None) -> Units:
+    """The words of the texts, laid out with one space between them so that equal runs of words are equal bytes."""
+    if first is None or end is None or of is None:
+        first, end, of = texts.words()
+    size = end - first + 1
+    finish = np.cumsum(size)
+    at = np.repeat(first - finish + size, size) + np.arange(finish[-1] if len(finish) else 0)
+    flat = np.append(texts.data, np.uint8(32))[at]
+    flat[finish - 1] = 32
+    edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=texts.n))))
+    return Units(flat.tobytes(), edges, finish - size, finish - 1)
+
+
 def phrases(texts: Texts, window: int = WINDOW, rounds: int = ROUNDS) -> Parsed:
     """The texts' words cut into phrases by the triggers of their windows."""
     first, end, of = texts.words()
-    edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=texts.n))))
-    out = Parsed(texts, edges, lambda hasher: hasher.spans(hasher.prefix(hasher.bytes[texts.data]), first, end))
+    out = Parsed(word_units(texts, first, end, of))
     if len(of) < window:
         return out
     start = np.flatnonzero(of[window - 1 :] == of[: len(of) - window + 1])
@@ -96,12 +109,13 @@ def phrases(texts: Texts, window: int = WINDOW, rounds: int = ROUNDS) -> Parsed:
         return out
     trigger, owner = np.zeros(len(start), np.uint64), np.full(len(start), -1, np.int64)
     place = np.arange(len(of))
-    symbols = Symbols(out.units(ONE), of, place, place + 1, place, place + 1)
+    words = word_names(texts.data, first, end)
+    symbols = Symbols(words, of, place, place + 1, place, place + 1)
     levels = [symbols]
     for r in range(rounds):
         symbols = symbols.runs_named().pairs_named(r)
         levels.append(symbols)
-    prefix = out.prefix(ONE)
+    prefix = ONE.prefix(words)
     open_ = np.arange(len(start))
     for r in range(rounds, -1, -1):
         s = levels[r]
@@ -123,23 +137,22 @@ def phrases(texts: Texts, window: int = WINDOW, rounds: int = ROUNDS) -> Parsed:
     return out
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc, tie, start, length) spans of words that are covered by windows which start earlier as well. rows: of `placed`."""
-    parser = partial(phrases, window=window, rounds=rounds)
-    parsed = parse(rows, parser, repeated_triggers(rows, parser), window)
-    return later_phrases(parsed, window).unionByName(later_windows(rows, parser, place_filter(dictionary(parsed)), window))
+def repeated_spans(texts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, tie, twin, start, length) spans of words that are covered by windows which start earlier as well. texts: of `placed`."""
+    parsed = parse(texts, partial(phrases, window=window, rounds=rounds), window)
+    return later_phrases(parsed, window).unionByName(later_windows(texts, parsed.where("is_first"), word_units, window))
 
 
 def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra) of each document, in words; kept words are joined by one space.
 
     A word goes if it lies in a run of `window` words that starts earlier as well: in a document of smaller id, or
-    earlier in its own. Null texts have no words; null ids come last; documents of one id are ordered by a hash of their
-    texts, and of equal rows all but one are later copies. Runs never cross documents. Other columns are not read, except those to
-    keep, which come in the struct extra. Words and
-    windows are named by two 64-bit hashes.
+    earlier in its own. Null texts have no words; null ids come last; documents of one id are ordered by two hashes of
+    their texts, and of equal rows all but one are later copies. Runs never cross documents. Other columns are not read,
+    except those to keep, which come in the struct extra. Phrases and windows are named by a 128-bit hash, and a task's
+    memory grows with its longest text.
     """
-    rows = placed(docs, doc_id, text, keep)
+    texts = bucketed(counted(placed(docs, doc_id, text, keep)))
 
     def cut(data: bytes, spans: np.ndarray | None) -> tuple[bytes, int, int, int]:
         words = data.split()
@@ -147,4 +160,4 @@ def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         gone = marked(spans[0], spans[1], n) if spans is not None else np.full(n, n >= window)
         return b" ".join([w for w, g in zip(words, gone.tolist()) if not g]), n, int(gone.sum()), len(runs(gone)[0])
 
-    return removed(rows, repeated_spans(rows, window, rounds), cut)
+    return removed(texts, repeated_spans(texts, window, rounds), cut)

@@ -1,99 +1,172 @@
-"""What the two operators that remove long repeats share: order of documents, bounded filters, and the removal itself."""
+"""What the two operators that remove long repeats share: the order of documents, the parse and its dictionary, and the removal itself.
+
+The texts are written once in buckets of their key. Phrases meet at their trigger in one shuffle; what is looked at
+again, the contents of some phrases and the final removal, comes back to the texts by key, so only small rows move.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canlake.llm.common import batches, written
-from canlake.llm.text_arrays import ONE, TWO, Hasher, Texts, mix, repeated
+from canlake.llm.common import batches, shared_dir, written
+from canlake.llm.text_arrays import Texts, mix
 
-#: Bits of a filter that is sent to all tasks; a full one lets more through, which costs time and changes no result.
-FILTER_BITS = 1 << 26
-#: Bytes of text that a task handles at once.
-BATCH = 1 << 20
-_LAST = (1 << 63) - 1
+#: Bytes of text that a task handles at once, and windows that it names at once.
+BATCH, WINDOWS = 1 << 20, 1 << 18
+_LAST, _SIGN = (1 << 63) - 1, -(1 << 63)
+KEY = ["doc", "tie", "twin"]
+PLACE = [*KEY, "start"]
 
 
-def placed(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, doc, tie, text, extra): documents are ordered by id, nulls last, and documents of one id by a hash of the text.
+def placed(docs: DataFrame, doc_id: str, text: str, keep: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(doc_id, doc, tie, twin, text, extra): documents are ordered by id, nulls last, and documents of one id by two hashes.
 
+    The hashes are those of the text, or of the columns `by`; the first one's sign tells null ids from all others.
     extra is a struct of the columns to keep, or null.
     """
-    order = [F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.hash(text).alias("tie")]
+    known, of = F.col(doc_id).isNotNull(), [F.col(c) for c in by] if by else [F.coalesce(F.col(text), F.lit(""))]
+    first = F.xxhash64(*of)
+    tie = F.when(known, first.bitwiseOR(F.lit(_SIGN))).otherwise(first.bitwiseAND(F.lit(_LAST)))
+    order = [F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), tie.alias("tie"), F.xxhash64(F.lit("twin"), *of).alias("twin")]
     extra = F.struct(*keep) if keep else F.lit(None).cast("int")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *order, F.coalesce(F.col(text), F.lit("")).alias("text"), extra.alias("extra"))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """The distinct rows of `placed` with their number n; only repeated rows are shuffled."""
+    repeats = written(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEY), "copies")
+    if not repeats.limit(1).count():
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    alone = rows.join(repeats, KEY, "left_anti").withColumn("n", F.lit(1).cast("long"))
+    return alone.unionByName(rows.join(repeats, KEY, "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """The rows written in buckets of their key, so that later joins by key don't shuffle them. The table is left to no catalogue."""
+    spark = rows.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    rows.repartition(n, *KEY).write.bucketBy(n, *KEY).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+class Units:
+    """The units of a batch of texts, bytes or words: unit i is data[begin[i]:finish[i]], and `edges` has each text's first unit.
+
+    A span of units is named by a 128-bit hash of its bytes, which must be alike wherever the same units stand.
+    """
+
+    def __init__(self, data: bytes, edges: np.ndarray, begin: np.ndarray | None = None, finish: np.ndarray | None = None) -> None:
+        self.data, self.edges, self.begin, self.finish = data, edges, begin, finish
+
+    def contents(self, first: np.ndarray, end: np.ndarray) -> list[bytes]:
+        if self.begin is not None and self.finish is not None and len(first):
+            first, end = self.begin[first], self.finish[end - 1]
+        data = self.data
+        return [data[a:b] for a, b in zip(first.tolist(), end.tolist())]
+
+    def names(self, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        digests = b"".join([xxhash.xxh3_128_digest(x) for x in self.contents(first, end)])
+        both = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
+
+
 class Parsed:
-    """A batch of texts as units (bytes or words), cut into phrases: runs of windows with one trigger.
+    """A batch's units, cut into phrases: runs of windows with one trigger.
 
-    `edges` has the first unit of each text; units(hasher) gives the units' hashes. A phrase has its text, its first
-    window's unit, its number of windows, and its trigger's name. Equal windows must have equal triggers.
+    A phrase has its text, its first window's unit, its number of windows, and its trigger's name. Equal windows must
+    have equal triggers.
     """
 
-    def __init__(self, texts: Texts, edges: np.ndarray, units: Callable[[Hasher], np.ndarray]) -> None:
-        self.texts, self.edges, self.units = texts, edges, units
+    def __init__(self, units: Units) -> None:
+        self.units = units
         self.text = self.first = self.windows = np.zeros(0, np.int64)
         self.trigger = np.zeros(0, np.uint64)
-        self.prefixes: dict[int, np.ndarray] = {}
 
-    def prefix(self, hasher: Hasher) -> np.ndarray:
-        seed = int(hasher.seed)
-        if seed not in self.prefixes:
-            self.prefixes[seed] = hasher.prefix(self.units(hasher))
-        return self.prefixes[seed]
 
-    def name(self, hasher: Hasher, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return hasher.spans(self.prefix(hasher), first, end) if len(first) else np.zeros(0, np.uint64)
+Parser = Callable[[Texts], Parsed]
 
-    def keys(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, tie and start in its document of each phrase; b has doc, tie and text."""
-        return b.column(0).to_numpy()[self.text], b.column(1).to_numpy()[self.text], self.first - self.edges[self.text]
 
+def _keys(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(b.schema.get_field_index(c)).to_numpy() for c in KEY]
 
-Parser = Callable[[Texts], Parsed]
-PLACE = ["doc", "tie", "start"]
 
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """The rank of each row by its key, equal keys alike."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), np.int64)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
 
-def repeated_triggers(rows: DataFrame, parser: Parser) -> Broadcast:
-    """A filter of the triggers that occur more than once in the corpus."""
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(found, BATCH):
-            yield pa.RecordBatch.from_arrays([longs(parser(Texts(b.column(2))).trigger)], ["trigger"])
+def seen_before(name: np.ndarray, other: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of the names stand at a smaller place in the same batch as well."""
+    order = np.lexsort((place, name))
+    head = np.ones(len(order), bool)
+    head[1:] = (name[order][1:] != name[order][:-1]) | (other[order][1:] != other[order][:-1])
+    out = np.zeros(len(order), bool)
+    if len(order):
+        out[order] = place[order] != place[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    return out
+
+
+def _joined(text: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads of runs of spans that go on from each other in one text, and the windows of each run."""
+    head = np.ones(len(text), bool)
+    head[1:] = (text[1:] != text[:-1]) | (first[1:] != first[:-1] + windows[:-1])
+    at = np.flatnonzero(head)
+    return at, np.add.reduceat(windows, at) if len(at) else windows
 
-    named = rows.select("doc", "tie", "text").mapInArrow(run, "trigger long").groupBy("trigger").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.sparkSession.sparkContext.broadcast(bit_filter(named, "trigger"))
 
+def _candidates(columns: dict[str, np.ndarray], own: np.ndarray, keys: list[np.ndarray], text: np.ndarray, first: np.ndarray, windows: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+    """Rows of spans: those that may be the first of their name, and joined runs of those whose batch has them before (own).
 
-def parse(rows: DataFrame, parser: Parser, again: Broadcast, window: int) -> DataFrame:
-    """The parse: a written row for each phrase whose trigger the filter has, with the phrase's name and whether it is the first of it."""
+    Names of the latter are replaced by numbers that spread them, so that many copies don't meet in one task.
+    """
+    first_own, windows_own = first[own], windows[own]
+    heads, joined = _joined(text[own], first_own, windows_own)
+    of = np.concatenate((text[~own], text[own][heads]))
+    start = np.concatenate((first[~own], first_own[heads])) - edges[of]
+    spread = mix(keys[1][of[len(of) - len(heads) :]].view(np.uint64) + start[len(of) - len(heads) :].astype(np.uint64))
+    names = [longs(np.concatenate((v[~own], spread))) for v in columns.values()]
+    n = np.concatenate((windows[~own], joined))
+    flag = np.concatenate((np.zeros(len(of) - len(heads), bool), np.ones(len(heads), bool)))
+    return pa.RecordBatch.from_arrays([*names, *[longs(k[of]) for k in keys], ints(start), ints(n), pa.array(flag)], [*columns, *PLACE, "windows", "own"])
+
+
+def parse(texts: DataFrame, parser: Parser, window: int) -> DataFrame:
+    """A written row for each phrase that is to be looked at: later ones of their name, and first ones whose trigger others share.
+
+    (trigger, doc, tie, twin, start, windows, is_first, kin); kin counts the distinct phrases of a first one's trigger.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(found, BATCH):
-            p = parser(Texts(b.column(2)))
-            doc, tie, start = p.keys(b)
-            some = np.flatnonzero(hits(again.value, p.trigger))
-            first, end = p.first[some], p.first[some] + p.windows[some] + window - 1
-            name, other = p.name(ONE, first, end), p.name(TWO, first, end)
-            # a phrase that its own text has before needs no comparison with others, so a run of one character isn't one large group
-            own = np.where(repeated(name ^ mix(p.text[some].astype(np.uint64)))[1], start[some] + 1, 0)
-            columns = [longs(p.trigger[some]), longs(name), longs(other), longs(doc[some]), ints(tie[some]), ints(start[some]), ints(p.windows[some]), ints(own)]
-            yield pa.RecordBatch.from_arrays(columns, ["trigger", "name", "other", "doc", "tie", "start", "windows", "own"])
-
-    phrases = rows.select("doc", "tie", "text").mapInArrow(run, "trigger long, name long, other long, doc long, tie int, start int, windows int, own int")
-    least = F.min(F.struct(*PLACE)).over(Window.partitionBy("name", "other", "own"))
-    told = phrases.withColumn("is_first", (F.col("own") == 0) & (least == F.struct(*PLACE)))
-    # only first phrases are looked at by name again
-    named = [F.when(F.col("is_first"), F.col(c)).alias(c) for c in ("trigger", "name")]
-    return written(told.select(*named, *PLACE, "windows", "is_first"), "parse")
+            p = parser(Texts(b.column(b.schema.get_field_index("text"))))
+            keys = _keys(b)
+            name, other = p.units.names(p.first, p.first + p.windows + window - 1)
+            own = seen_before(name, other, (_order(keys)[p.text] << 32) | (p.first - p.units.edges[p.text]))
+            yield _candidates({"trigger": p.trigger, "name": name, "other": other}, own, keys, p.text, p.first, p.windows, p.units.edges)
+
+    phrases = texts.select(*KEY, "text").mapInArrow(run, "trigger long, name long, other long, doc long, tie long, twin long, start int, windows int, own boolean")
+    same = Window.partitionBy("trigger", "own", "name", "other").orderBy(*PLACE)
+    told = phrases.repartition("trigger").withColumn("is_first", ~F.col("own") & (F.rank().over(same) == 1))
+    told = told.withColumn("kin", F.count_if("is_first").over(Window.partitionBy("trigger", "own")))
+    kept = told.where(~F.col("is_first") | (F.col("kin") > 1))
+    return written(kept.select(F.when(F.col("is_first"), F.col("trigger")).alias("trigger"), *PLACE, "windows", "is_first", "kin"), "parse")
 
 
 def later_phrases(phrases: DataFrame, window: int) -> DataFrame:
@@ -101,69 +174,46 @@ def later_phrases(phrases: DataFrame, window: int) -> DataFrame:
     return phrases.where("not is_first").select(*PLACE, (F.col("windows") + (window - 1)).alias("length"))
 
 
-def dictionary(phrases: DataFrame) -> DataFrame:
-    """The first place of each distinct phrase that shares its trigger with another one, with the number of them."""
-    first = phrases.where("is_first").select("trigger", "name", *PLACE).distinct()  # equal rows of a document count once
-    return written(first.withColumn("kin", F.count(F.lit(1)).over(Window.partitionBy("trigger"))).where("kin > 1"), "dictionary")
-
-
-def place_filter(entries: DataFrame) -> Broadcast:
-    """A filter of the occurrences that stand in the dictionary."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            yield pa.RecordBatch.from_arrays([longs(occurrence(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()))], ["key"])
+def with_entries(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc, tie, twin, text, entries) of the texts that have dictionary phrases, which are listed as (trigger, start, windows)."""
+    lists = entries.groupBy(*KEY).agg(F.collect_list(F.struct("trigger", "start", "windows")).alias("entries"))
+    return texts.select(*KEY, "text").join(lists, KEY)
 
-    keys = entries.select("name", "doc", "start").mapInArrow(run, "key long")
-    return entries.sparkSession.sparkContext.broadcast(bit_filter(keys, "key"))
 
+def entry_arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, trigger, start and windows of each entry of a batch of `with_entries`."""
+    lists = b.column(b.schema.get_field_index("entries"))
+    items = lists.flatten()
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return owner, *[items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
 
-def dictionary_phrases(p: Parsed, b: pa.RecordBatch, wanted: Broadcast, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Those phrases of a batch that the filter has, with their document, tie and start."""
-    doc, tie, start = p.keys(b)
-    name = p.name(ONE, p.first, p.first + p.windows + window - 1)
-    some = np.flatnonzero(hits(wanted.value, occurrence(name, doc, start)))
-    return some, doc[some], tie[some], start[some]
 
-
-def later_windows(rows: DataFrame, parser: Parser, wanted: Broadcast, window: int) -> DataFrame:
+def later_windows(texts: DataFrame, entries: DataFrame, units: Callable[[Texts], Units], window: int) -> DataFrame:
     """Spans of the windows of dictionary phrases that start earlier in another one: Spark orders the places of each window's name."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(found, BATCH):
-            p = parser(Texts(b.column(2)))
-            some, doc, tie, start = dictionary_phrases(p, b, wanted, window)
-            n = p.windows[some]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(p.first[some], n) + step
-            name, other = p.name(ONE, at, at + window), p.name(TWO, at, at + window)
-            columns = [longs(name), longs(other), longs(np.repeat(doc, n)), ints(np.repeat(tie, n)), ints(np.repeat(start, n) + step)]
-            yield pa.RecordBatch.from_arrays(columns, ["name", "other", *PLACE])
-
-    named = rows.select("doc", "tie", "text").mapInArrow(run, "name long, other long, doc long, tie int, start int")
-    first = F.min(F.struct(*PLACE)).over(Window.partitionBy("name", "other"))
-    return named.withColumn("low", first).where(F.col("low") < F.struct(*PLACE)).select(*PLACE, F.lit(window).alias("length"))
-
-
-def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A table of `bits` bits in which those of the keys are set; keys must be well mixed longs. It comes as bitmaps of 4 KB each."""
-    place = F.expr(f"pmod({column}, {bits}) + 1")
-    maps = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in maps.collect():  # at most bits / 32768 rows
-        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(bytes(r.map), np.uint8)
-    return out
-
-
-def hits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of the unsigned keys have their bit set."""
-    place = keys % np.uint64(len(table) * 8)
-    return ((table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1) > 0
-
-
-def occurrence(name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A well mixed key of one occurrence of a name."""
-    return mix(name + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            u = units(Texts(b.column(b.schema.get_field_index("text"))))
+            keys = _keys(b)
+            rank = _order(keys)
+            owner, _, start, windows = entry_arrays(b)
+            order = np.lexsort((start, owner))
+            owner, start, windows = owner[order], start[order], windows[order]
+            upto = np.cumsum(windows)
+            for low in range(0, int(upto[-1]) if len(upto) else 0, WINDOWS):
+                n = np.minimum(upto, low + WINDOWS) - np.maximum(upto - windows, low)
+                some = np.flatnonzero(n > 0)
+                skipped = np.maximum(low - (upto - windows)[some], 0)
+                n = n[some]
+                text = np.repeat(owner[some], n)
+                at = np.repeat(u.edges[owner[some]] + start[some] + skipped - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                name, other = u.names(at, at + window)
+                own = seen_before(name, other, (rank[text] << 32) | (at - u.edges[text]))
+                yield _candidates({"name": name, "other": other}, own, keys, text, at, np.ones(len(at), np.int64), u.edges)
+
+    named = with_entries(texts, entries).mapInArrow(run, "name long, other long, doc long, tie long, twin long, start int, windows int, own boolean")
+    same = Window.partitionBy("name", "other", "own").orderBy(*PLACE)
+    return named.withColumn("at", F.rank().over(same)).where("own or at > 1").select(*PLACE, (F.col("windows") + (window - 1)).alias("length"))
 
 
 def longs(values: np.ndarray) -> pa.Array:
@@ -187,24 +237,16 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.flatnonzero(edge == -1) - first
 
 
-def numbered_copies(rows: DataFrame) -> DataFrame:
-    """The rows of `placed` with `copy`, 0 for the first of equal rows and 1 for the others; only repeated rows are shuffled."""
-    repeats = written(rows.groupBy("doc", "tie").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "tie"), "copies")
-    if not repeats.limit(1).count():
-        return rows.withColumn("copy", F.lit(0))
-    alone = rows.join(repeats, ["doc", "tie"], "left_anti").withColumn("copy", F.lit(0))
-    counted = rows.join(repeats, ["doc", "tie"], "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
-    return alone.unionByName(counted.withColumn("copy", F.explode(F.expr("transform(sequence(1L, n), i -> if(i > 1, 1, 0))"))).drop("n"))
-
-
-def removed(rows: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray], tuple[bytes, int, int, int]]) -> DataFrame:
-    """One row for each row of `placed`: (doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra); kept is binary.
+def removed(texts: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray], tuple[bytes, int, int, int]]) -> DataFrame:
+    """One row for each document: (doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra); kept is binary.
 
-    spans: (doc, tie, start, length) in units of a document. cut(data, spans) gives the kept bytes, the units, those
-    removed and the removed runs; it gets None for a further copy of an equal row, all of whose windows start earlier.
+    texts: counted rows. spans: (doc, tie, twin, start, length) in units of a document. cut(data, spans) gives the kept
+    bytes, the units, those removed and the removed runs; it gets None for a further copy of an equal row, all of whose
+    windows start earlier.
     """
-    found = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    joined = numbered_copies(rows).join(found, ["doc", "tie"], "left").select("doc_id", "text", "copy", "spans", "extra")
+    found = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
+    joined = texts.join(found, KEY, "left").select("doc_id", "text", copies, "spans", "extra")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows, BATCH):
@@ -218,4 +260,4 @@ def removed(rows: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray]
             arrays = [pa.array(ids, pa.int64()), pa.array(units, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), b.column(4)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_sha256", "extra"])
 
-    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra {rows.schema['extra'].dataType.simpleString()}")
+    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra {texts.schema['extra'].dataType.simpleString()}")

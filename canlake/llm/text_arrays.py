@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 # The constants of the published splitmix64 finaliser.
 _M1, _M2, _GAMMA = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -59,15 +60,26 @@ class Hasher:
         return mix((prefix[length:] - prefix[:n]) * self.down[:n] + np.uint64(length * int(_GAMMA) % 2**64))
 
 
-_HASHERS = {seed: Hasher(seed) for seed in (1, 2)}
+_HASHERS = {seed: Hasher(seed) for seed in (1,)}
 
 
 def _hasher(seed: int) -> Hasher:
     return _HASHERS[seed]
 
 
-#: Two independent hashes; together they name a span.
-ONE, TWO = _HASHERS[1], _HASHERS[2]
+ONE = _HASHERS[1]
+
+#: Longest word that a polynomial names: modulo 2^64 some long texts of two letters have equal hashes whatever the base.
+_PLAIN = 64
+
+
+def word_names(data: np.ndarray, first: np.ndarray, end: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit name of each word data[first:end], by ONE, or for long ones by a hash of another kind."""
+    names = ONE.spans(ONE.prefix(ONE.bytes[data]) if prefix is None else prefix, first, end)
+    long = np.flatnonzero(end - first > _PLAIN)
+    if len(long):
+        names[long] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(first[long].tolist(), end[long].tolist())]
+    return names
 
 
 class Texts:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from canlake.llm import jaccard, prefix_free, recompression
+from canlake.llm.text_arrays import ONE
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -139,6 +140,42 @@ def test_repeated_rows_and_null_ids(spark):
     assert prefix_free.remove_repeated_strings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ties_of_ids(spark):
+    # two texts that one 32-bit hash doesn't tell apart, without an id and with the largest one
+    a, b = (" ".join(hashlib.md5(f"{n}/{i}".encode()).hexdigest() for i in range(30)) for n in (182042, 201152))
+    last = 2**63 - 1
+    rows = [(1, a), (None, a), (None, b), (last, b), (last, "z" * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, "a"): 0, (None, "a"): len(a), (None, "b"): len(b), (last, "b"): 0, (last, "z"): 50}
+    got = prefix_free.remove_repeated_strings(df.withColumn("x", F.lit(1)), keep=["text"]).select("doc_id", "extra.text", "n_removed").collect()
+    assert {(r.doc_id, "a" if r.text == a else "b" if r.text == b else "z"): r.n_removed for r in got} == {**want, (last, "z"): 149}
+    words = recompression.remove_repeated_words(df, keep=["text"]).select("doc_id", "extra.text", "n_removed").collect()
+    assert {(r.doc_id, r.text == a, r.text == b): r.n_removed for r in words} == {(1, True, False): 0, (None, True, False): 30, (None, False, True): 30, (last, False, True): 0, (last, False, False): 0}
+
+
+def test_long_words_of_two_letters(spark):
+    # words for which every polynomial modulo 2^64 with an odd base has one value
+    one, two = "a", "b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    assert len(set(ONE.spans(ONE.prefix(ONE.bytes[data]), np.array([0, 4096]), np.array([4096, 8192])).tolist())) == 1
+    other = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {other}"), (2, f"{two} {other}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in recompression.remove_repeated_words(df).collect()} == {0}
+    short = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.similar_components(short).collect()) == [(1, 1), (2, 2), (3, 1)]
+    got = prefix_free.remove_repeated_strings(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).drop("kept", "extra").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_removed([(1, one), (2, two)], lambda t: list(t.encode()), 100, bytes))
+
+
+def test_valid_text(spark):
+    rows = [(1, "aé�b".encode()[:-1]), (2, "é".encode()[1:] + "x�".encode()), (3, None), (4, b"")]
+    got = prefix_free.valid_text(spark.createDataFrame(rows, "i long, kept binary")).collect()
+    assert {r.i: r.text for r in got} == {1: "aé�", 2: "x�", 3: None, 4: ""}
+
+
 def test_repeated_words(spark, sf):
     rng = random.Random(4)
     edges = [(2000, None), (2001, ""), (2002, "ab " * 300), (2003, "x y " * 60), (2004, "b " * 19), (2005, "b " * 20), (2006, "c\x1cd " * 21), (2007, "ab " * 31 + "z")]
@@ -163,7 +200,7 @@ def test_equal_windows_have_equal_triggers():
         seen = {}
         units = [unit(t) for t in texts]
         total = 0
-        for text, first, n, trigger in zip(p.text, p.first - p.edges[p.text], p.windows, p.trigger):
+        for text, first, n, trigger in zip(p.text, p.first - p.units.edges[p.text], p.windows, p.trigger):
             for i in range(first, first + n):
                 assert seen.setdefault(tuple(units[text][i : i + window]), trigger) == trigger
                 total += 1
