@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from canlake.llm import jaccard, language, mixing, pieces, prefix_free, q_quality, q_tokens
 from canlake.llm.common import WORD, table, written
-from canlake.llm.spans import numbered_copies, placed
+from canlake.llm.spans import KEY, counted, placed
 
 #: SQL can't express these stages; tests/llm/test_pipeline.py runs them against brute force.
 ORACLE_SQL = None
@@ -44,19 +44,17 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = prefix_free.remove_repeated_strings(docs, keep=[*others, "n_chars"])
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    whole = F.coalesce(text, F.make_valid_utf8(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")))
-    shown = cut.select("doc_id", "n_removed", whole.alias("text"), "extra").where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    shown = prefix_free.valid_text(cut.select("doc_id", "n_removed", "kept", "extra")).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.col("n_removed") == 0, F.col("extra.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return shown.select("doc_id", "text", length.alias("n_chars"), *[F.col(f"extra.{c}").alias(c) for c in others]).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: up to three times, or not at all."""
-    rows = placed(docs, "doc_id", "text", docs.columns)
-    sized = rows.select("doc", "tie", F.col("extra.source").alias("source"), mixing.words_in(F.col("text")).alias("size"))
-    times = mixing.mix(sized, doc_id="doc").where("times > 0").groupBy("doc", "tie").agg(F.sum("times").alias("times"))
-    once = numbered_copies(rows).where("copy = 0").join(written(times, "times"), ["doc", "tie"])
+    rows = placed(docs, "doc_id", "text", docs.columns, by=docs.columns)  # equal keys are equal rows
+    sized = rows.select(*KEY, F.col("extra.source").alias("source"), mixing.words_in(F.col("text")).alias("size"))
+    times = mixing.mix(sized, doc_id="tie").where("times > 0").groupBy(*KEY).agg(F.sum("times").alias("times"))
+    once = counted(rows).join(written(times, "times"), KEY)
     return once.select(F.explode(F.sequence(F.lit(1).cast("long"), "times")), "extra").select("extra.*")
 
 
