@@ -26,6 +26,8 @@ DIM, LONGEST, PER_LANGUAGE, LANDMARKS, RIDGE = 1 << 14, 4, 400, 192, 1e-3
 #: Texts scored by one matrix product, and how sharply scores become probabilities.
 BATCH, SHARPNESS = 256, 6.0
 UNKNOWN = "und"
+#: Slices of a language's keys that are ordered apart from each other.
+SLICES = 64
 #: A text whose score is less than this share of the way from an even share of the languages to 1 is in none of them.
 LEAST_LEAD = 0.125
 #: Letters, and bytes of letters outside ASCII, count; everything else is a blank.
@@ -90,7 +92,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(3), F.col(key)).alias("lot"))
     # each language's bound comes from the keys alone, so only the chosen texts are moved; equal keys give one text
     order = Window.partitionBy("lang").orderBy("lot")
-    bounds = rows.select("lang", "lot").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).groupBy("lang").agg(F.max("lot").alias("bound"))
+    # the smallest of each slice first, so that no task orders all keys of a language
+    slices = Window.partitionBy("lang", F.pmod("lot", F.lit(SLICES))).orderBy("lot")
+    least = rows.select("lang", "lot").distinct().withColumn("at", F.row_number().over(slices)).where(F.col("at") <= per_language).drop("at")
+    bounds = least.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language).groupBy("lang").agg(F.max("lot").alias("bound"))
     near = rows.join(F.broadcast(bounds), "lang").where(F.col("lot") <= F.col("bound"))  # a row for each language
     chosen = near.groupBy("lang", "lot").agg(F.min("text").alias("text")).select("lang", "text")
     sample = chosen.mapInArrow(packed_rows, "lang string, bits binary").toPandas()

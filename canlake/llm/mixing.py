@@ -19,7 +19,7 @@ from canlake.llm.common import WORD, on, ranked, written
 
 #: No document is taken more often than this.
 PASSES = 3
-#: The dynamic programme fits remainders up to this many words; larger ones are first cut by largest fractions.
+#: Remainders above this many words are first cut by largest fractions; the dynamic programme fits what is left.
 BUDGET_BITS = 1 << 16
 SEED = 20
 
@@ -70,8 +70,12 @@ def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, bits:
             more = min(counts[i] - taken[i], most or counts[i], rest // lengths[i])
             taken[i] += more
             rest -= more * lengths[i]
-    small = [i for i in by_fraction if lengths[i] <= 2 * rest and counts[i] > taken[i]]
-    if rest <= bits:
+    small = [i for i in by_fraction if lengths[i] < 2 * rest and counts[i] > taken[i]]
+    if rest > bits:  # every document left is longer than the remainder: of the subsets, the nearest is one of them or none
+        nearest = min(small, key=lambda i: lengths[i], default=None)
+        if nearest is not None:
+            taken[nearest] += 1
+    else:
         extra = knapsack([lengths[i] for i in small], [counts[i] - taken[i] for i in small], rest)
         for i in small:
             taken[i] += extra.get(lengths[i], 0)

@@ -22,18 +22,19 @@ def damaged(records: DataFrame) -> DataFrame:
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = written(warc.layout(table(spark, sf_dir, "pages")), "records")
     trees = warc.grow([warc.leaves(records), warc.leaves(damaged(records))])
-    return warc.audit(*trees).select("page_id", "length", "kind")
+    return warc.audit(*trees)
 
 
 QUERIES = {"op2_warc_fixity": op2_warc_fixity}
 ORACLES = {
     "op2_warc_fixity": f"""
-WITH r AS (
-  SELECT page_id, html, CAST(strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+WITH p AS (SELECT page_id, url, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
     || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: '
-    || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS BIGINT) AS length
-  FROM (SELECT DISTINCT page_id, url, html FROM pages)
-)
-SELECT page_id, length, CASE WHEN page_id % {LOST} = 7 THEN 'missing' ELSE 'altered' END AS kind
+    || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM (SELECT DISTINCT page_id, url, html FROM pages)),
+n AS (SELECT greatest(1, CAST(ceil(sum(strlen(coalesce(html, ''))) / CAST({warc.FILE_BYTES} AS DOUBLE)) AS BIGINT)) AS files FROM pages),
+f AS (SELECT page_id, url, html, CAST(strlen(record) AS BIGINT) AS length, md5(record) AS lot, CAST('0x' || left(md5(record), 8) AS BIGINT) % files AS file FROM p, n),
+r AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY lot, page_id NULLS FIRST, url NULLS FIRST, html NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM f)
+SELECT file, CAST(place AS BIGINT) AS "offset", page_id, length, CASE WHEN page_id % {LOST} = 7 THEN 'missing' ELSE 'altered' END AS kind
 FROM r WHERE page_id % {LOST} = 7 OR (page_id % {ALTERED} = 5 AND html IS NOT NULL)"""
 }

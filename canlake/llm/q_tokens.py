@@ -13,8 +13,8 @@ MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every whole text, told by digests of their ids."""
-    return pieces.sample_encodings(table(spark, sf_dir, "documents"), MODEL, samples=2, with_ids=False)
+    """Two distinct sampled segmentations of every whole text, with their piece ids."""
+    return pieces.sample_encodings(table(spark, sf_dir, "documents"), MODEL, samples=2)
 
 
 QUERIES = {"op9_sentencepiece": op9_sentencepiece}

@@ -83,13 +83,28 @@ def _search(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame, k: int) ->
             for j, i in enumerate(part):
                 own = rows[: long_enough[j]] != same[i]
                 out.append(_take(queries.iloc[i], products[: long_enough[j], j][own], ids[: long_enough[j]][own], k))
-    return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+    if out:
+        return pd.concat(out)
+    return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query", "int64"), ("query_id", "int64"), ("vec_id", "int64"), ("score", "int64"), ("beyond", "object"))})
+
+
+def _beyond(score: int) -> bytes:
+    """Bytes that order scores with one clamped value as they are: those within a long between the two kinds that pass it."""
+    if -(2**63) <= score < 2**63:
+        return b"m"
+    digits = str(abs(score))
+    text = f"{len(digits):05d}{digits}"
+    return f"z{text}".encode() if score > 0 else f"a{text.translate(_COMPLEMENT)}".encode()
+
+
+_COMPLEMENT = str.maketrans("0123456789", "9876543210")
 
 
 def _take(query: pd.Series, scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     top = _best(scores, ids, k)
-    values = [min(max(int(s), -(2**63)), 2**63 - 1) for s in scores[top]]
-    return pd.DataFrame({"query": query.row, "query_id": query.query_id, "vec_id": ids[top], "score": np.array(values, np.int64)})
+    exact = [int(s) for s in scores[top]]
+    values = np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64)
+    return pd.DataFrame({"query": query.row, "query_id": query.query_id, "vec_id": ids[top], "score": values, "beyond": [_beyond(s) for s in exact]})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -97,7 +112,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
 
     Components become floor(scale * x). Rows whose vector is null or holds null or non-finite components (before or after
     scaling), and rows without an id, take no part. A query meets only vectors of its own dimension. Equal rows are rows of their own: a
-    query never meets itself but meets its copies. Scores that pass a long are clamped to it. Ties go to the smaller id.
+    query never meets itself but meets its copies. Scores that pass a long are clamped to it after they are ranked. Ties go
+    to the smaller id.
     """
     scaled = F.transform(vector, lambda v: F.lit(float(scale)) * v.cast("double"))
     rows = vectors.where(finite(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("scaled"), is_query.alias("is_query"))
@@ -122,18 +138,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
         "queries",
     )
     stats = written(rows.groupBy("dim", "bucket").agg(F.max("norm").alias("longest"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "lengths")
-    sizes = stats.join(F.broadcast(blocks), "dim")  # one row for each dimension and bucket of lengths
-    dealt = rows.join(F.broadcast(sizes), ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+    # queries that need vectors of about one length share their blocks, so few blocks of queries ask the buckets of short vectors
+    floored = floored.withColumn("need", F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.floor(F.log(F.col("floor") / F.col("norm")) / F.log(F.lit(RATIO)))).otherwise(-1000000).cast("int"))
+    needs = written(floored.groupBy("dim", "need").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("query_blocks")), "needs")
+    floored = floored.drop("query_block").join(F.broadcast(needs), ["dim", "need"])  # a row for each dimension and need, like stats
+    floored = floored.withColumn("query_block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("query_blocks")).cast("int"))
     reach = F.col("floor") <= F.col("norm") * F.col("longest") * (1 + _SLACK)
     asked = floored.join(F.broadcast(stats), "dim").where(reach).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["dim", "bucket", "block", "query_block"]
+    keys = ["dim", "bucket", "block", "need", "query_block"]
+    # a block of vectors goes to the blocks of queries that ask it, and to no others
+    askers = asked.select(*keys).distinct().groupBy("dim", "bucket", "block").agg(F.collect_list(F.struct("need", "query_block")).alias("askers"))
+    dealt = rows.join(F.broadcast(stats), ["dim", "bucket"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("dim", "bucket", "block", "row", "vec_id", "vector", "norm").join(askers, ["dim", "bucket", "block"]).withColumn("asker", F.explode("askers"))
     found = (
         asked.select(*keys, "row", "query_id", "vector", "norm", "floor").groupBy(*keys)
-        .cogroup(dealt.select(*keys, "row", "vec_id", "vector", "norm").groupBy(*keys))
-        .applyInPandas(partial(_search, k=k), "query long, query_id long, vec_id long, score long")
+        .cogroup(dealt.select("dim", "bucket", "block", "asker.need", "asker.query_block", "row", "vec_id", "vector", "norm").groupBy(*keys))
+        .applyInPandas(partial(_search, k=k), "query long, query_id long, vec_id long, score long, beyond binary")
     )
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

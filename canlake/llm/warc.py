@@ -16,6 +16,8 @@ from canlake.llm.common import utf8, written
 RANGE_BYTES, FANOUT = 1 << 18, 16
 #: Files get about this many bytes; records are dealt to them by a hash.
 FILE_BYTES = 1 << 28
+#: Hex digits that name the part of a file: 256 of them.
+PART_DIGITS = 2
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -28,22 +30,31 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 def layout(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """(file, offset, length, copies, page_id, url, html): the records of the pages in their files.
 
-    A record's file is a hash of the page, and its offset follows from the sizes of the records before it, ordered by
-    (page_id, url, digest). Equal rows make one record with their number in `copies`. An empty table has no files.
+    A record's file follows from the MD5 of its bytes, and its offset from the sizes of the records before it, in the
+    order of these digests. Pages are moved once, in parts of files; where a part begins comes from the small table of
+    part sizes. Equal rows make one record with their number in `copies`; rows that only differ in nulls and empty
+    strings have one digest, and are ordered by those. An empty table has no files; other columns are not read.
     """
-    rows = pages.groupBy(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")).agg(F.count(F.lit(1)).alias("copies"))
-    length = F.octet_length(record_bytes(F.col("page_id"), F.col("url"), F.col("html"))).cast("long")
-    rows = rows.withColumn("length", length)
     total = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(html), F.lit(""))).cast("long"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    order = Window.partitionBy("file").orderBy("page_id", "url", "lot").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("lot", F.xxhash64("page_id", "url", "html")).withColumn("file", F.pmod("lot", F.lit(files)))
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))).select("file", "offset", "length", "copies", "page_id", "url", "html")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    rows = rows.withColumn("lot", F.md5(record_bytes(F.col("page_id"), F.col("url"), F.col("html"))))
+    digits = lambda first, n: F.conv(F.substring("lot", first, n), 16, 10).cast("long")
+    rows = rows.withColumn("file", digits(1, 8) % files).withColumn("part", F.substring("lot", 1, PART_DIGITS))
+    keys = ["file", "part"]
+    dealt = rows.repartition(*keys).groupBy(*keys, "lot", "page_id", "url", "html").agg(F.count(F.lit(1)).alias("copies"))
+    dealt = dealt.withColumn("length", F.octet_length(record_bytes(F.col("page_id"), F.col("url"), F.col("html"))).cast("long"))
+    order = Window.partitionBy(*keys).orderBy("lot", "page_id", "url", "html").rowsBetween(Window.unboundedPreceding, -1)
+    inside = written(dealt.withColumn("inside", F.coalesce(F.sum("length").over(order), F.lit(0))).drop("lot"), "records")
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = inside.groupBy(*keys).agg(F.sum("length").alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    return inside.join(starts, keys).select("file", (F.col("start") + F.col("inside")).alias("offset"), "length", "copies", "page_id", "url", "html")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, offset, length, page_id, leaf): a hash of each record's bytes."""
-    return records.select("file", "offset", "length", "page_id", F.sha2(record_bytes(F.col("page_id"), F.col("url"), F.col("html")), 256).alias("leaf"))
+    """(file, offset, length, page_id, leaf): a hash of each record's bytes and its number of copies."""
+    body = F.concat(record_bytes(F.col("page_id"), F.col("url"), F.col("html")), utf8(F.concat(F.lit("copies "), F.col("copies").cast("string"))))
+    return records.select("file", "offset", "length", "page_id", F.sha2(body, 256).alias("leaf"))
 
 
 class Tree:
@@ -69,7 +80,8 @@ def _height(count: int, fanout: int) -> int:
 
 
 def grow(replicas: list[DataFrame], range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[Tree]:
-    """Trees of the same shape over the replicas' leaves."""
+    """Trees of the same shape over the replicas' leaves, which are written once."""
+    replicas = [written(r, "leaves") for r in replicas]
     ends = [r.agg(F.max("offset"), F.max("file")).first() for r in replicas]
     height = _height(max(((e[0] or 0) // range_bytes) + 1 for e in ends), fanout)
     files = _height(max((e[1] or 0) + 1 for e in ends), fanout)
@@ -79,7 +91,7 @@ def grow(replicas: list[DataFrame], range_bytes: int = RANGE_BYTES, fanout: int
 def audit(left: Tree, right: Tree) -> DataFrame:
     """(file, offset, page_id, length, kind) of the records in which the right replica differs from the left.
 
-    kind is altered, missing or extra. Equal roots end the audit at once; otherwise each level joins only the children of
+    kind is altered, missing or extra; a record with a lost or added copy is altered. Nulls count as empty. Equal roots end the audit at once; otherwise each level joins only the children of
     the nodes that differ, so the records of ranges that agree are never compared.
     """
     suspects: DataFrame | None = None

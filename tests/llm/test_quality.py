@@ -1,7 +1,12 @@
+import math
 import re
 from collections import Counter
 
-from canlake.llm import line_rules, q_quality
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from canlake.llm import language, line_rules, q_quality
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ODD = [
@@ -64,8 +69,6 @@ def test_language(spark, sf):
 
 
 def test_presence_kernel():
-    import pyarrow as pa
-
     texts = ["ab ab", "", None, "Zebra é", "x" * 3]
     rows = q_quality.language.presence(q_quality.language.Texts(pa.array(texts)))
     for t, row in zip(texts, rows):
@@ -73,3 +76,61 @@ def test_presence_kernel():
         names = {(n, data[i : i + n]) for n in range(1, 5) for i in range(len(data) - n + 1)}
         assert len(names) - 2 <= row.sum() <= len(names)
     assert abs(q_quality.language.kernel(rows, rows)[0, 0] - 1) < 1e-6
+
+
+def grams(text, n_most=language.LONGEST):
+    """The set of names of a text's n-grams, by a loop."""
+    low = text.encode().lower()
+    read = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in low)
+    out = set()
+    for n in range(1, n_most + 1):
+        for i in range(len(read) - n + 1):
+            code = int.from_bytes(read[i : i + n], "big")
+            out.add((((code ^ (n * 0x01000193 % 2**32)) * 0x9E3779B1) % 2**32) >> (32 - language.DIM.bit_length() + 1))
+    return out
+
+
+def test_kernel_values_by_sets():
+    texts = ["The end, 12!", "the END", "Übermut tut gut", "x", "", "a" * 500, "la fin de l'été"]
+    rows = language.presence(language.Texts(pa.array(texts)))
+    sets = [grams(t) for t in texts]
+    k = language.kernel(rows, rows)
+    for i, a in enumerate(sets):
+        assert set(np.flatnonzero(rows[i]).tolist()) == a
+        for j, b in enumerate(sets):
+            assert abs(k[i, j] - len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))) < 1e-5
+
+
+def test_ridge_weights_are_optimal(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
+    model = language.train(docs, per_language=40, landmarks=24)
+    rows = docs.withColumn("lot", F.xxhash64(F.lit(3), "doc_id")).select("lang", "lot", "text").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.lot)):
+        by.setdefault(r.lang, []).append(r)
+    assert model.languages == sorted(by)
+    chosen = [r for lang in sorted(by) for r in by[lang][:40]]
+    names = np.array([r.lang for r in chosen])
+    marks = np.unpackbits(model.landmarks, axis=1)[:, : language.DIM].astype(np.float32)
+    near = language.kernel(language.presence(language.Texts(pa.array([r.text for r in chosen]))), marks).astype(np.float64)
+    among = language.kernel(marks, marks).astype(np.float64)
+    weight = len(names) / len(by) / np.array([(names == n).sum() for n in names])
+
+    def loss(weights, goal):
+        return float((weight * (near @ weights - goal) ** 2).sum() + language.RIDGE * len(names) * weights @ (among + 1e-6 * np.eye(len(among))) @ weights)
+
+    rng = np.random.default_rng(1)
+    for i, lang in enumerate(model.languages):
+        goal, own = np.where(names == lang, 1.0, -1.0), model.weights[:, i].astype(np.float64)
+        least = loss(own, goal)
+        for size in (0.3, 0.03, 0.01):
+            assert all(loss(own + size * rng.standard_normal(len(own)), goal) > least - 1e-4 for _ in range(5))
+
+
+def test_frequent_lines_deplete(spark):
+    shared = "\n".join(f"Accept all {n} cookies of this site before you read on, please and thank you" for n in ("many", "some", "more", "most", "odd"))
+    own = " ".join("xyz"[i % 3] * (i % 7 + 1) for i in range(40))
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"{shared}\n{own} {name(i)}", "one") for i in range(60)] + [(100 + i, f"{own} {own} {name(i)}q", "one") for i in range(2000)]
+    got = {r.doc_id: r for r in line_rules.judge_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].depleted and got[i].words_left == 41 for i in range(60)) and not any(got[100 + i].depleted for i in range(2000))

@@ -62,6 +62,56 @@ def test_knapsack_is_exact():
         assert sum(a * b for a, b in zip(lengths, taken)) == budget and all(0 <= t <= 3 for t in taken)
 
 
+def test_remainder_below_every_length():
+    assert mixing.fit_counts([100_000], [3], 70_000) == [1]
+    assert mixing.fit_counts([100_000], [3], 40_000) == [0]
+    assert mixing.fit_counts([100_000], [3], 50_000) == [0]
+    rng = random.Random(8)
+    for _ in range(40):  # with one document of a length, above and below the programme's bound, nothing left is nearer
+        lengths = sorted(rng.sample(range(50, 400), 5))
+        budget = rng.randint(0, sum(lengths) - 1)
+        for bits in (10, 1 << 16):
+            taken = mixing.fit_counts(lengths, [1] * 5, budget, bits)
+            total = sum(a * b for a, b in zip(lengths, taken))
+            assert all(abs(total + n - budget) >= abs(total - budget) for n, t in zip(lengths, taken) if not t)
+
+
+def test_documents_of_a_length_are_chosen_by_their_hash(spark, sf):
+    rows = [(i, "ab"[i % 2], (i * 37) % 23) for i in range(600)] + [(7, "b", 5)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(df.withColumn("lot", F.xxhash64(F.lit(mixing.SEED), "doc_id"))).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.source, r["size"]].append((r.lot % 256, r.lot, r.doc_id, r.times))
+    for members in groups.values():
+        times = [t for *_, t in sorted(members, key=lambda m: (m[:3], -m[3]))]
+        assert times == sorted(times, reverse=True) and max(times) - min(times) <= 1
+
+
+def test_mixing_query_agrees_with_its_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words = {r.doc_id: len([w for w in (r.text or "").encode().split()]) for r in docs}
+    sizes = Counter()
+    for r in docs:
+        sizes[r.source] += words[r.doc_id]
+    want, taken = shares(dict(sizes)), Counter()
+    got = q_tables.op8_source_mixing(spark, sf).collect()
+    source = {r.doc_id: r.source for r in docs}
+    for r in got:
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        assert r["size"] == words[r.doc_id] and r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * want[s]
+        assert r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
+    assert len(got) == len(docs)
+    for s in sizes:  # as near as any choice of further documents beside the whole passes
+        passes, sums = min(int(want[s] // sizes[s]), 3), 1
+        for r in docs:
+            sums |= sums << words[r.doc_id] if r.source == s and passes < 3 else 0
+        rest = round(want[s]) - passes * sizes[s]
+        nearest = min(abs(n - rest) for n in range(sums.bit_length()) if sums >> n & 1)
+        assert abs(abs(taken[s] - round(want[s])) - nearest) <= 1, (s, taken[s], want[s], nearest)
+
+
 def shares(sizes):
     names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
     weight = {k: i % 3 + 1 for i, k in enumerate(names)}

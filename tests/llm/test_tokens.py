@@ -73,6 +73,20 @@ def test_distribution_of_pairs(vocabulary):
         assert abs(k / n - p) < 0.04
 
 
+def test_inclusion_probabilities(vocabulary):
+    # the published estimator: the sum of p / inclusion over a sample has the mean 1 for every function of the items
+    n, want = 4000, ways("to be", vocabulary)
+    ids_of = list(want)
+    total, of_first = 0.0, 0.0
+    for k in (2, 3):
+        total = of_first = 0.0
+        for t, rank, ids, log_p, _, included in pieces.encode_batch(pieces.Texts(pa.array(["to be"] * n)), pieces.mix(np.arange(n, dtype=np.uint64) + np.uint64(k * n)), vocabulary, k):
+            share = math.exp(log_p - included)
+            total += share / n
+            of_first += share / n * (tuple(ids.tolist()) == ids_of[0])
+        assert abs(total - 1) < 0.05 and abs(of_first - math.exp(want[ids_of[0]])) < 0.05
+
+
 def test_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(None, "  two  blanks\t\n "), (9001, None), (9002, ""), (9003, "x" * 3000), (9004, "▁ \x00é😀"), (9004, "▁ \x00é😀")], "doc_id long, text string")

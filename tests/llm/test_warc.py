@@ -26,7 +26,15 @@ def test_layout_is_gapless_and_leaves_are_hashes(spark):
     for r in warc.leaves(warc.layout(pages(spark)).where("page_id = 5 and copies = 2")).collect():
         body = "é".encode()
         head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://twice\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-        assert r.leaf == hashlib.sha256(head + body + b"\r\n\r\n").hexdigest() and r.length == len(head + body) + 4
+        assert r.leaf == hashlib.sha256(head + body + b"\r\n\r\n" + b"copies 2").hexdigest() and r.length == len(head + body) + 4
+
+
+def test_a_lost_copy_is_found(spark):
+    records = warc.layout(pages(spark), file_bytes=30000).cache()
+    replica = records.withColumn("copies", F.when(F.col("url") == "http://twice", 1).otherwise(F.col("copies")).cast("long"))
+    found = warc.audit(*warc.grow([warc.leaves(records), warc.leaves(replica)], range_bytes=1000, fanout=3)).collect()
+    place = records.where("url = 'http://twice'").first()
+    assert [(r.kind, r.page_id, r.file, r.offset) for r in found] == [("altered", 5, place.file, place.offset)]
 
 
 def test_audit_finds_exactly_the_damage(spark):
