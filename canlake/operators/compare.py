@@ -1,15 +1,25 @@
-"""Comparison of two logs by native aggregates; a log is a frames table, and swapping logs is swapping arguments."""
+"""Comparison of two logs; a log is a frames table, and swapping logs is swapping arguments.
+
+Spark counts each ID's histograms of bytes, steps and lengths in both logs; what they mean is judged for each ID from these
+small tables (see judging), so no frame reaches Python.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canlake import schema
 from canlake.functions import frames as ff
+from canlake.operators import judging
+from canlake.operators.history import with_index, with_previous
+from canlake.operators.judging import FORMAT_SCORE, MIN_FRAMES, RATE_TOLERANCE, RATE_WEIGHT, SIGNIFICANT, STRETCHES
 from canlake.operators.stats import bit_flips, byte_histogram
 
-# What counts as a difference.
-SIGNIFICANT, MIN_FRAMES, RATE_TOLERANCE, RATE_WEIGHT, FORMAT_SCORE = 0.1, 8, 1.1, 0.8, 0.9
+#: Bytes of a payload that are compared.
+COMPARED = 64
+_RESULT = "score int, reason string, bytes array<struct<byte:int,score:int,reason:string,bits:array<double>,new_values:array<int>,only_in_a:array<int>,counter:int,checksum:int>>, too_few boolean, payloads_differ boolean, within_a boolean"
 
 
 def _profile(log: DataFrame, name: str) -> DataFrame:
@@ -22,17 +32,23 @@ def duration_ns(log: DataFrame) -> int:
 
 
 def rate_score(n_a: Column, n_b: Column, span_a: int, span_b: int) -> Column:
-    """0 within the tolerance, which is wider for few frames, and RATE_WEIGHT from twice the rate on; on a log scale between."""
-    a, b = n_a / F.lit(max(span_a, 1)), n_b / F.lit(max(span_b, 1))
+    """0 within the tolerance, which is wider for few frames, RATE_WEIGHT from twice the rate on, and in proportion between.
+
+    Logs without a duration have no rates, and score 0.
+    """
+    if min(span_a, span_b) <= 0:
+        return F.lit(0.0)
+    a, b = n_a / F.lit(span_a), n_b / F.lit(span_b)
     ratio = F.greatest(a / b, b / a)
     tolerance = F.lit(RATE_TOLERANCE) + F.lit(2.0) / F.least(n_a, n_b)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log(ratio / tolerance) / F.log(F.lit(2.0) / tolerance))) * F.when(tolerance < 2, RATE_WEIGHT).otherwise(0.0)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ratio - tolerance) / (F.lit(2.0) - tolerance)))
+    return F.when(tolerance < 2, share * RATE_WEIGHT).otherwise(0.0)
 
 
 def compare_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     """(channel, id, n_a, n_b, rate_score, format_score, verdict) of every ID of either log.
 
-    verdict: onlyA, onlyB, tooFew, different or same, by the larger of rate and format scores.
+    verdict: onlyA, onlyB, tooFew, different or same, by the larger of rate and format scores; compare_logs looks at payloads too.
     """
     both = _profile(a, "a").join(_profile(b, "b"), ["channel", "id"], "full_outer")
     rate = rate_score(F.col("n_a"), F.col("n_b"), duration_ns(a), duration_ns(b))
@@ -45,6 +61,112 @@ def compare_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     return scored.select("channel", "id", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), "rate_score", "format_score", verdict.alias("verdict"))
 
 
+def matched_buses(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(bus_b, bus): what B's buses are called for matching: by A's names in their order, if both have as many and share none (or have one)."""
+    data = F.col("id").bitwiseAND(F.lit(schema.ERROR_ID).cast("long")) == 0
+    place = F.row_number().over(Window.orderBy("bus"))  # over a row for each bus
+    of_a, of_b = (log.where(data).select("bus").distinct().withColumn("place", place) for log in (a, b))
+    n, m = of_a.count(), of_b.count()
+    names = b.select(F.col("bus").alias("bus_b")).distinct()
+    if n != m or (n > 1 and of_a.join(of_b, "bus").limit(1).count()):
+        return names.withColumn("bus", F.col("bus_b"))
+    pairs = of_b.withColumnRenamed("bus", "bus_b").join(of_a, "place").drop("place")
+    return names.join(pairs, "bus_b", "left").withColumn("bus", F.coalesce("bus", "bus_b"))
+
+
+def cells(log: DataFrame) -> DataFrame:
+    """(part, bus, id, hist, byte, x, n, mask): histograms of the payloads of each ID and part; log has part and size.
+
+    Kinds of cells: value (mask has the stretches that show it), xor, step and high of neighbouring frames of one kind,
+    last value, sums and XORs of whole payloads, length, fd, frames. Payloads are cut at the ID's size.
+    """
+    by = ["part", "bus", "id"]
+    counted = log.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(*by, F.lit("frames").alias("hist"), F.lit(0).alias("byte"), F.lit(0).alias("x"), "n", F.lit(0).cast("long").alias("mask"))
+    rows = log.where("kind in ('data', 'reassembled')").select(*by, "seq", "ts_ns", "kind", "flags", "size", F.substring("data", F.lit(1), F.col("size")).alias("data"))
+    rows = with_index(with_previous(rows, [*by, "kind"], {"data": "before"}), by, "at")
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    rows = rows.join(totals, by).withColumn("stretch", F.floor(F.col("at") * F.least("total", F.lit(STRETCHES)) / F.col("total")).cast("int"))
+    spread = rows.select(*by, "seq", "ts_ns", "stretch", "data", "before", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "v")).withColumn("u", ff.byte(F.col("before"), F.col("byte")))
+    power = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("stretch"))
+    values = spread.groupBy(*by, "byte", F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(power).alias("mask")).select(*by, F.lit("value").alias("hist"), "byte", "x", "n", "mask")
+    zero = F.lit(0).cast("long").alias("mask")
+    last = spread.groupBy(*by, "byte").agg(F.max_by("v", F.struct(*schema.ORDER)).alias("x")).select(*by, F.lit("last").alias("hist"), "byte", "x", F.lit(1).cast("long").alias("n"), zero)
+    high = F.pmod(F.shiftright("v", 4) - F.shiftright("u", 4), F.lit(16))
+    steps = F.array(*[F.struct(F.lit(name).alias("hist"), x.alias("x")) for name, x in (("xor", F.col("u").bitwiseXOR(F.col("v"))), ("step", F.pmod(F.col("v") - F.col("u"), F.lit(256))), ("high", high))])
+    pairs = spread.where("u is not null").select(*by, "byte", F.explode(steps).alias("s")).groupBy(*by, "s.hist", "byte", "s.x").agg(F.count(F.lit(1)).alias("n")).select(*by, "hist", "byte", "x", "n", zero)
+    all_ = ff.payload_bytes(F.col("data"))
+    total = F.aggregate(all_, F.lit(0), lambda t, v: t + v)
+    folded = F.aggregate(all_, F.lit(0), lambda t, v: t.bitwiseXOR(v))
+    first_last = [(name, F.pmod(ff.byte(F.col("data"), i) * 2 - total, F.lit(256))) for name, i in (("first sum", F.lit(0)), ("last sum", F.length("data") - 1))]
+    full = (F.length("data") == F.col("size")) & (F.col("size") > 0)
+    whole = [F.when(full, F.struct(F.lit(name).alias("hist"), x.alias("x"))) for name, x in (*first_last, ("all xor", folded))]
+    fd = F.when(F.col("flags").bitwiseAND(F.lit(schema.FD)) != 0, F.struct(F.lit("fd").alias("hist"), F.lit(0).alias("x")))
+    told = F.array_compact(F.array(*whole, fd, F.struct(F.lit("length").alias("hist"), F.least(F.length("data"), F.lit(127)).alias("x"))))
+    frames = rows.select(*by, F.explode(told).alias("c")).groupBy(*by, "c.hist", "c.x").agg(F.count(F.lit(1)).alias("n")).select(*by, "hist", F.lit(0).alias("byte"), "x", "n", zero)
+    parts = [counted, values, last, pairs, frames]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def compare_logs(a: DataFrame, b: DataFrame, ignore_counters: bool = False, ignore_changes_within_a: bool = False) -> DataFrame:
+    """One row for each (bus, id) of either log, error frames aside: presence, frames, rates, score (0 to 100), reason and bytes.
+
+    bytes has each payload byte's score, reason, bits, new values and values only in A, and its bits that were left out as
+    counters and checksums. Scores of what changes within A alone are taken off if asked for.
+    """
+    data = F.col("id").bitwiseAND(F.lit(schema.ERROR_ID).cast("long")) == 0
+    buses = matched_buses(a, b)
+    b = b.withColumnRenamed("bus", "bus_b").join(buses, "bus_b").drop("bus_b")
+    spans, first = [duration_ns(a), duration_ns(b)], a.agg(F.min("ts_ns")).first()[0] or 0
+    keep = ["bus", "id", "seq", "ts_ns", "kind", "flags", "data"]
+    whole = a.where(data).select(*keep, F.lit("a").alias("part")).unionByName(b.where(data).select(*keep, F.lit("b").alias("part")))
+    sizes = whole.groupBy("bus", "id").agg(F.least(F.max(F.length("data")), F.lit(COMPARED)).alias("size"))
+    if ignore_changes_within_a:
+        half = F.when(F.col("ts_ns") < first + spans[0] // 2, "a1").otherwise("a2")
+        whole = whole.unionByName(a.where(data).select(*keep, half.alias("part")))
+    found = cells(whole.join(sizes, ["bus", "id"])).join(sizes, ["bus", "id"])
+    seconds = {"a": spans[0] / 1e9, "b": spans[1] / 1e9, "a1": spans[0] / 2e9, "a2": spans[0] / 2e9}
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        profiles = {part: judging.Profile(int(rows["size"].iloc[0]), s) for part, s in seconds.items()}
+        for part, of in rows.groupby("part"):
+            profiles[part].take(*[of[c].to_numpy() for c in ("hist", "byte", "x", "n", "mask")])
+        one, two = profiles["a"], profiles["b"]
+        if one.frames and two.frames:
+            told = judging.judge(one, two, (profiles["a1"], profiles["a2"]) if ignore_changes_within_a else None, ignore_counters)
+        else:
+            told = {"score": 100, "reason": f"Appears only in {'A' if one.frames else 'B'}", "bytes": [], "too_few": False, "payloads_differ": False, "within_a": False}
+        out = {"bus": key[0], "id": key[1], "frames_a": one.frames, "frames_b": two.frames, **told}
+        return pd.DataFrame({k: [v] for k, v in out.items()})
+
+    judged = found.groupBy("bus", "id").applyInPandas(run, f"bus string, id long, frames_a long, frames_b long, {_RESULT}")
+    rate = lambda n, ns: (F.col(n) / F.lit(ns / 1e9) if ns > 0 else F.lit(None).cast("double"))
+    presence = F.when(F.col("frames_b") == 0, "onlyA").when(F.col("frames_a") == 0, "onlyB").otherwise("both")
+    named = judged.join(buses, "bus", "left").withColumn("bus_b", F.when(F.col("frames_b") > 0, F.col("bus_b")))
+    return named.select("bus", "bus_b", "id", presence.alias("presence"), "frames_a", "frames_b", rate("frames_a", spans[0]).alias("rate_a"), rate("frames_b", spans[1]).alias("rate_b"), "score", "reason", "bytes", "too_few", "payloads_differ", "within_a")
+
+
+def different_bytes(compared: DataFrame) -> DataFrame:
+    """compare_logs' rows with the numbers of the bytes that differ significantly, most different first."""
+    some = F.filter("bytes", lambda b: b["score"] >= int(SIGNIFICANT * 100))
+    order = F.array_sort(F.transform(some, lambda b: F.struct((-b["score"]).alias("s"), b["byte"].alias("byte"))))
+    return compared.withColumn("bytes", F.transform(order, lambda b: b["byte"]))
+
+
+def grouped(compared: DataFrame) -> DataFrame:
+    """compare_logs' rows with the group that a report lists them in: different, onlyA, onlyB, same or tooFew."""
+    both = F.when(F.col("too_few"), "tooFew").when(F.col("score") >= int(SIGNIFICANT * 100), "different").otherwise("same")
+    return compared.withColumn("group", F.when(F.col("presence") == "both", both).otherwise(F.col("presence")))
+
+
+def compare_csv(compared: DataFrame) -> DataFrame:
+    """One line for each row of compare_logs as columns of text, in the order of score, for a CSV writer."""
+    rows = grouped(different_bytes(compared)).orderBy(F.desc("score"), "bus", "id")
+    return rows.select("bus", F.hex(F.col("id").bitwiseAND(F.lit(0x1FFFFFFF).cast("long"))).alias("id"), "group", "score", "reason", F.array_join(F.transform("bytes", lambda b: b.cast("string")), " ").alias("bytes"), "frames_a", "frames_b", "rate_a", "rate_b")
+
+
 def new_values(a: DataFrame, b: DataFrame) -> DataFrame:
     """(key, byte, value, frames): values of A's bytes that the same byte of the same ID never has in B, for IDs of both."""
     in_b = byte_histogram(b)
@@ -55,7 +177,7 @@ def new_values(a: DataFrame, b: DataFrame) -> DataFrame:
 def first_showing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per ID and byte, the first time that A shows a value that B never has."""
     fresh = new_values(a, b).select("key", "byte", "value")
-    shown = a.where("kind = 'data'").select("key", "ts_ns", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "value"))
+    shown = a.where("kind in ('data', 'reassembled')").select("key", "ts_ns", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "value"))
     return shown.join(fresh, ["key", "byte", "value"], "left_semi").groupBy("key", "byte").agg(F.min("ts_ns").alias("first_ns"))
 
 

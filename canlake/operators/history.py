@@ -53,14 +53,15 @@ def with_index(rows: DataFrame, by: list[str] | None = None, name: str = "index"
     return both.withColumn(name, F.col("_start") + F.col("_at")).drop("_span", "_at", "_start")
 
 
-def with_running_sum(rows: DataFrame, by: list[str], value: Column, name: str, span: int = 100_000) -> DataFrame:
-    """rows with the sum of a value over this and all earlier rows of the group, in the order of seq."""
-    spanned = rows.withColumn("_v", value).withColumn("_span", F.floor(F.col("seq") / span))
+def with_running_sum(rows: DataFrame, by: list[str], value: Column, name: str, span: int = 100_000, by_time: bool = False) -> DataFrame:
+    """rows with the sum of a value over this and all earlier rows of the group, in the order of seq, or of time."""
+    order = ORDER if by_time else ["seq"]
+    spanned = rows.withColumn("_v", value).withColumn("_span", F.floor(F.col("ts_ns") / F.lit(SPAN_NS)) if by_time else F.floor(F.col("seq") / span))
     keys = [*by, "_span"]
     sums = spanned.groupBy(*keys).agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    within = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = spanned.withColumn("_here", F.sum("_v").over(within))
     both = near.alias("r").join(starts.alias("s"), _matches(near, starts, keys)).select("r.*", "s._start")
     return both.withColumn(name, F.col("_start") + F.col("_here")).drop("_v", "_span", "_here", "_start")

@@ -1,99 +1,138 @@
-"""J1939-21 transport protocol: long messages put together from their packets, on a table or a stream.
+"""J1939-21 transport protocol: long messages put together from their packets.
 
-Both directions of a transfer meet by their unordered pair of addresses. Frames of a pair that are further apart than the
-longest timeout can't belong together, so a session window cuts each pair's frames into short independent pieces, and a
-small state machine runs over each piece.
+Each announcement begins a transfer of its directed pair of addresses and ends the one before. A running count of
+announcements therefore numbers the transfers, frames of the receiver take part under the sender's pair, and every
+transfer's frames are gathered by themselves; a pause that no timeout allows ends a transfer's frames as well. A fold
+over them, in native expressions, goes through the states of the protocol.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canlake import schema
 from canlake.functions import frames as ff
+from canlake.operators.history import with_previous, with_running_sum
 
-# Formats, control bytes, timeouts in ns and the largest size of the protocol.
+# Formats with their data page bits, control bytes, timeouts in ns and the largest size of the protocol.
 CONTROL, TRANSFER = 0xEC, 0xEB
-RTS, CTS, END, BAM, ABORT = 16, 17, 19, 32, 255
-T1, T2, T4 = 750_000_000, 1_250_000_000, 1_050_000_000
+RTS, CTS, BAM, ABORT = 16, 17, 32, 255
+T1, T2, T3, T4 = 750_000_000, 1_250_000_000, 1_250_000_000, 1_050_000_000
 LARGEST = 1785
+#: Parts that a frame takes: announcement, packet, clear to send, abort.
+ANNOUNCES, CARRIES, CLEARS, ABORTS = "announcement", "packet", "clear", "abort"
+
+
+def _bits(c: Column, mask: int) -> Column:
+    return c.bitwiseAND(F.lit(mask).cast("long"))
+
+
+def _group() -> Column:
+    byte = lambda i: ff.byte(F.col("data"), i).cast("long")
+    return byte(5) + byte(6) * 256 + byte(7) * 65536
+
+
+def parts(frames: DataFrame) -> DataFrame:
+    """(channel, sender, to, part, ts_ns, seq, id, data, group): what each frame means to the transfer of a directed pair.
+
+    A clear to send belongs to the pair the other way round, and an abort to both; announcements of impossible sizes mean nothing.
+    """
+    form = F.shiftright("id", 16).bitwiseAND(F.lit(0x3FF).cast("long"))
+    rows = frames.where((_bits(F.col("id"), schema.EXTENDED_ID) != 0) & form.isin(CONTROL, TRANSFER) & (F.col("kind") == "data"))
+    own, other = _bits(F.col("id"), 0xFF), _bits(F.shiftright("id", 8), 0xFF)
+    control = ff.byte(F.col("data"), 0)
+    size = ff.byte(F.col("data"), 1) + ff.byte(F.col("data"), 2) * 256
+    whole = (form == CONTROL) & (F.length("data") >= 8)
+    pair = lambda sender, to, part: F.struct(sender.alias("sender"), to.alias("to"), F.lit(part).alias("part"))
+    means = (
+        F.when((form == TRANSFER) & (F.length("data") > 0), F.array(pair(own, other, CARRIES)))
+        .when(whole & control.isin(RTS, BAM) & size.between(1, LARGEST), F.array(pair(own, other, ANNOUNCES)))
+        .when(whole & (control == CTS), F.array(pair(other, own, CLEARS)))
+        .when(whole & (control == ABORT), F.array_distinct(F.array(pair(own, other, ABORTS), pair(other, own, ABORTS))))
+    )
+    spread = rows.select("channel", "ts_ns", "seq", "id", "data", F.when(form == CONTROL, _group()).alias("group"), F.explode(means).alias("m"))
+    return spread.select("channel", "m.sender", "m.to", "m.part", "ts_ns", "seq", "id", "data", "group")
 
 
-def transfers(frames: list) -> Iterator[tuple]:
-    """(ts_ns, seq, id, data) of the messages that end in the frames (ts_ns, seq, id, data) of one pair of addresses."""
-    open_: dict[tuple[int, int], dict] = {}
-    for ts, seq, id_, data in frames:
-        form, to, sender = id_ >> 16 & 0xFF, id_ >> 8 & 0xFF, id_ & 0xFF
-        if len(data) < 8:
-            continue
-        if form == CONTROL and data[0] in (RTS, BAM):
-            size, packets = data[1] | data[2] << 8, data[3]
-            if 9 <= size <= LARGEST and packets == (size + 6) // 7 and (data[0] == BAM) == (to == 0xFF):
-                group = data[5] | data[6] << 8 | data[7] << 16
-                open_[sender, to] = {"size": size, "packets": packets, "group": group, "id": id_, "next": 1, "got": bytearray(), "until": ts + (T1 if data[0] == BAM else T2), "bam": data[0] == BAM}
-            else:
-                open_.pop((sender, to), None)
-        elif form == CONTROL and data[0] == CTS:
-            session = open_.get((to, sender))
-            if session and not session["bam"]:
-                if ts > session["until"]:
-                    del open_[to, sender]
-                elif data[1] == 0:
-                    session["until"] = ts + T4
-                elif 1 <= data[2] <= session["next"]:
-                    session["next"], session["until"] = data[2], ts + T2
-                    del session["got"][7 * (data[2] - 1) :]
-        elif form == CONTROL and data[0] == ABORT:
-            open_.pop((sender, to), None)
-            open_.pop((to, sender), None)
-        elif form == TRANSFER and (session := open_.get((sender, to))):
-            if ts > session["until"]:
-                del open_[sender, to]
-            elif data[0] != session["next"]:
-                if session["bam"]:
-                    del open_[sender, to]
-            else:
-                session["got"] += data[1:8]
-                session["next"] += 1
-                session["until"] = ts + (T1 if session["bam"] else T2)
-                if session["next"] > session["packets"]:
-                    group, low = session["group"], to if (session["group"] >> 8 & 0xFF) < 240 else 0
-                    yield ts, seq, schema.EXTENDED_ID | (session["id"] & 0x1C000000) | (group & 0x3FFFF) << 8 | low << 8 | sender, bytes(session["got"][: session["size"]])
-                    del open_[sender, to]
+def _step(s: Column, f: Column, head: Column) -> Column:
+    """The state after a frame: open, next packet, end of the block asked for, deadline, bytes so far, and the last packet's place."""
+    size, connection = head["size"], head["connection"]
+
+    def state(open_: Column, next_: Column, block: Column, until: Column, data: Column, ts: Column, seq: Column) -> Column:
+        return F.struct(open_.cast("boolean").alias("open"), next_.cast("int").alias("next"), block.cast("int").alias("block"), until.cast("long").alias("until"), data.cast("binary").alias("data"), ts.cast("long").alias("ts_ns"), seq.cast("long").alias("seq"))
+
+    no = F.lit(None)
+    same = state(s["open"], s["next"], s["block"], s["until"], s["data"], s["ts_ns"], s["seq"])
+    closed = state(F.lit(False), s["next"], s["block"], s["until"], s["data"], no, no)
+    late = f["ts_ns"] > s["until"]
+    number = ff.byte(f["data"], 0)
+    fits = (number == s["next"]) & (F.length(f["data"]) == 8)
+    data = F.substring(F.concat(s["data"], F.substring(f["data"], F.lit(2), F.lit(7))), F.lit(1), size)
+    whole = F.length(data) >= size
+    limit = F.when(connection & ~F.coalesce(number < s["block"], F.lit(False)), T3).otherwise(T1)
+    taken = state(~whole, (s["next"] + 1) % 256, s["block"], f["ts_ns"] + limit, data, F.when(whole, f["ts_ns"]), F.when(whole, f["seq"]))
+    carried = F.when(late, closed).when(fits, taken).when(connection, same).otherwise(closed)
+    count, first = ff.byte(f["data"], 1), ff.byte(f["data"], 2)
+    held = state(s["open"], s["next"], s["block"], f["ts_ns"] + T4, s["data"], no, no)
+    asked = state(s["open"], first, F.least(first + count - 1, F.lit(255)), f["ts_ns"] + T2, F.substring(s["data"], F.lit(1), (first - 1) * 7), no, no)
+    cleared = F.when(~connection | late, closed).when(count == 0, held).when((first == 0) | (first > s["next"]), closed).otherwise(asked)
+    aborted = F.when(f["group"] == head["group"], closed).otherwise(same)
+    return F.when(~s["open"], same).when(f["part"] == CARRIES, carried).when(f["part"] == CLEARS, cleared).otherwise(aborted)
 
 
 def reassemble(frames: DataFrame) -> DataFrame:
-    """Frames of kind reassembled: the time and place of the last packet, the group's ID, and the whole payload."""
-    form = F.shiftright("id", 16).bitwiseAND(F.lit(0xFF).cast("long"))
-    packets = frames.where((F.col("id").bitwiseAND(F.lit(schema.EXTENDED_ID).cast("long")) != 0) & form.isin(CONTROL, TRANSFER) & (F.col("kind") == "data"))
-    sender, to = F.col("id").bitwiseAND(F.lit(0xFF).cast("long")), F.shiftright("id", 8).bitwiseAND(F.lit(0xFF).cast("long"))
-    at = F.timestamp_micros(ff.micros(F.col("ts_ns")))
-    paired = packets.select("channel", F.least(sender, to).alias("one"), F.greatest(sender, to).alias("two"), at.alias("at"), "ts_ns", "seq", "id", "data")
-    pieces = paired.groupBy("channel", "one", "two", F.session_window("at", "1251 milliseconds")).agg(F.sort_array(F.collect_list(F.struct("ts_ns", "seq", "id", "data"))).alias("frames"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(channel, *made) for channel, rows in zip(b.channel, b.frames) for made in transfers([(r["ts_ns"], r["seq"], r["id"], r["data"]) for r in rows])]
-            yield pd.DataFrame(out, columns=["channel", "ts_ns", "seq", "id", "data"])
-
-    made = pieces.select("channel", "frames").mapInPandas(run, "channel int, ts_ns long, seq long, id long, data binary")
-    return made.select("seq", "ts_ns", "channel", "id", (F.col("channel").cast("long") * (1 << 32) + F.col("id")).alias("key"), F.lit(schema.REASSEMBLED).alias("flags"), F.lit("reassembled").alias("kind"), F.length("data").alias("len"), F.lit(None).cast("int").alias("remote_dlc"), "data")
-
-
-def broadcast_packets(messages: DataFrame, gap_ns: int = 1_000_000) -> DataFrame:
-    """The packets of broadcast messages (seq, ts_ns, channel, sender, group, data): an announcement, then seven bytes each."""
-    size = F.length("data")
+    """Frames of kind reassembled: the time and place of the last packet, the group's ID, and the whole payload.
+
+    What is out of order, short, late, aborted or announced anew drops a transfer, as the protocol has it.
+    """
+    pair = ["channel", "sender", "to"]
+    rows = with_previous(parts(frames), pair, {"ts_ns": "before"})
+    # longer pauses than any timeout end a transfer, so their frames needn't be gathered with those before
+    announces = F.col("part") == ANNOUNCES
+    cut = announces | F.coalesce(F.col("ts_ns") - F.col("before") > max(T1, T2, T3, T4), F.lit(True))
+    numbered = with_running_sum(rows, pair, cut.cast("long"), "transfer", by_time=True)
+    frame = F.struct("ts_ns", "seq", "part", "id", "data", "group")
+    gathered = numbered.groupBy(*pair, "transfer").agg(F.sort_array(F.collect_list(frame)).alias("frames")).where((F.col("frames")[0]["part"] == ANNOUNCES) & (F.size("frames") > 1))
+    first = F.col("frames")[0]
+    byte = lambda i: ff.byte(first["data"], i)
+    head = F.struct((byte(1) + byte(2) * 256).alias("size"), (byte(0) == RTS).alias("connection"), first["group"].alias("group"))
+    opened = gathered.select(*pair, first["id"].alias("id"), head.alias("head"), F.slice("frames", F.lit(2), F.size("frames") - 1).alias("rest"), first["ts_ns"].alias("begun"))
+    start = F.struct(
+        F.lit(True).alias("open"), F.lit(1).alias("next"), F.lit(None).cast("int").alias("block"), (F.col("begun") + F.when(F.col("head.connection"), T3).otherwise(T1)).cast("long").alias("until"),
+        F.unhex(F.lit("")).alias("data"), F.lit(None).cast("long").alias("ts_ns"), F.lit(None).cast("long").alias("seq"),
+    )
+    ended = opened.withColumn("end", F.aggregate("rest", start, lambda s, f: _step(s, f, F.col("head")))).where("end.ts_ns is not null")
+    group = F.col("head.group")
+    specific = F.when(_bits(F.shiftright(group, 8), 0xFF) < 240, F.col("to")).otherwise(_bits(group, 0xFF))
+    id_ = F.lit(schema.EXTENDED_ID).cast("long") + _bits(F.col("id"), 7 << 26) + _bits(group, 0x3FF00) * 256 + specific * 256 + F.col("sender")
+    made = ended.select(F.col("end.seq").alias("seq"), F.col("end.ts_ns").alias("ts_ns"), "channel", id_.alias("id"), F.col("end.data").alias("data"))
+    return made.select("seq", "ts_ns", "channel", "id", ff.key(F.col("channel"), F.col("id")).alias("key"), F.lit(schema.REASSEMBLED).alias("flags"), F.lit("reassembled").alias("kind"), F.length("data").alias("len"), F.lit(None).cast("int").alias("remote_dlc"), "data")
+
+
+#: Ways to send a message: to all; to one, which asks for the first packet twice; to all without its first packet; to one, which gives up.
+TO_ALL, TO_ONE, BROKEN, GIVEN_UP = range(4)
+
+
+def packets_of(messages: DataFrame, gap_ns: int = 1_000_000) -> DataFrame:
+    """The frames that carry messages (seq, ts_ns, channel, sender, to, group, way, data), a gap apart."""
+    size, group = F.length("data"), F.col("group")
     count = F.ceil(size / 7).cast("int")
     byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
-    group = F.col("group")
-    head = F.concat(F.lit("20"), byte(size % 256), byte(F.floor(size / 256)), byte(count), F.lit("FF"), byte(group % 256), byte(F.floor(group / 256) % 256), byte(F.floor(group / 65536)))
-    body = lambda n: F.concat(byte(n), F.rpad(F.hex(F.substring(F.col("data"), (n - 1) * 7 + 1, F.lit(7))), 14, "F"))
-    packets = F.transform(F.sequence(F.lit(0), count), lambda n: F.struct(n.alias("n"), F.when(n == 0, head).otherwise(body(n)).alias("hex")))
-    rows = messages.withColumn("count", count).select("seq", "ts_ns", "channel", "sender", F.explode(packets).alias("p"))
-    form = F.when(F.col("p.n") == 0, CONTROL).otherwise(TRANSFER).cast("long")
-    id_ = F.lit(schema.EXTENDED_ID + 0x1800FF00).cast("long") + form * 65536 + F.col("sender")
-    return rows.select((F.col("seq") * 1000 + F.col("p.n")).alias("seq"), (F.col("ts_ns") + F.col("p.n") * gap_ns).alias("ts_ns"), "channel", id_.alias("id"), F.lit("data").alias("kind"), F.unhex("p.hex").alias("data"))
+    tail = F.concat(byte(group % 256), byte(F.floor(group / 256) % 256), byte(F.floor(group / 65536)))
+    way, sender, to = F.col("way"), F.col("sender").cast("long"), F.when(F.col("way").isin(TO_ALL, BROKEN), 255).otherwise(F.col("to")).cast("long")
+    frame = lambda form, a, b, hex_: F.struct((F.lit(schema.EXTENDED_ID + 0x18000000 + form * 65536).cast("long") + b * 256 + a).alias("id"), hex_.alias("hex"))
+    control = lambda code, a, b, middle: frame(CONTROL, a, b, F.concat(F.lit(f"{code:02X}"), middle, tail))
+    announced = F.concat(byte(size % 256), byte(F.floor(size / 256)), byte(count), F.lit("FF"))
+    body = lambda n: frame(TRANSFER, sender, to, F.concat(byte(n), F.rpad(F.hex(F.substring(F.col("data"), (n - 1) * 7 + 1, F.lit(7))), 14, "F")))
+    bodies = F.transform(F.sequence(F.lit(1), count), body)
+    rest = F.slice(bodies, F.lit(2), F.greatest(count - 1, F.lit(0)))
+    asks = control(CTS, to, sender, F.concat(byte(count), F.lit("01FFFF")))
+    all_, one = control(BAM, sender, to, announced), control(RTS, sender, to, announced)
+    said = (
+        F.when(way == TO_ALL, F.concat(F.array(all_), bodies)).when(way == BROKEN, F.concat(F.array(all_), rest))
+        .when(way == TO_ONE, F.concat(F.array(one, asks, bodies[0], asks), bodies))
+        .otherwise(F.concat(F.array(one, bodies[0], control(ABORT, to, sender, F.lit("01FFFFFF"))), rest))
+    )
+    rows = messages.select("seq", "ts_ns", "channel", F.posexplode(said).alias("n", "p"))
+    return rows.select((F.col("seq") * 1000 + F.col("n")).alias("seq"), (F.col("ts_ns") + F.col("n") * gap_ns).alias("ts_ns"), "channel", "p.id", F.lit("data").alias("kind"), F.unhex("p.hex").alias("data"))

@@ -1,7 +1,7 @@
-"""Readers of text logs as native expressions over lines: candump, Vector ASC, PEAK TRC and CSV.
+"""Text logs as native expressions over lines: the lines themselves, what the parsers share, and candump.
 
-Each parser takes lines (seq, line) and returns frames and, for lines that look like a frame but aren't one, `rejected`
-true; bad lines never stop a read. Files are split by Spark; a line's seq is its number in the file.
+Each parser takes lines (file, seq, line) and returns frames and, for lines that should be a frame but aren't one,
+`rejected` true and a reason; bad lines never stop a read. Files are split by Spark.
 """
 
 from __future__ import annotations
@@ -11,40 +11,59 @@ from pyspark.sql import functions as F
 
 from canlake import schema
 from canlake.functions import frames as ff
-from canlake.operators.history import with_running_sum
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, line): lines with their number in the file, counted per input split and added up over splits."""
+    """(file, seq, line): lines numbered file after file by name, counted per input split and added up over splits."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
     numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("row")))
     sizes = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each split
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return numbered.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("at") - 1).alias("seq"), "line")
+    return numbered.join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("at") - 1).alias("seq"), F.regexp_replace("line", "^\ufeff", "").alias("line"))
 
 
-def _hex(text: Column) -> Column:
-    return F.conv(text, 16, 10).cast("long")
+def hex_number(text: Column) -> Column:
+    """One to eight hex digits as a number; null for anything else."""
+    return F.when(text.rlike("^[0-9A-Fa-f]{1,8}$"), F.conv(text, 16, 10).cast("long"))
 
 
-def _nanos(whole: Column, fraction: Column) -> Column:
-    """Seconds as text to nanoseconds; digits below a nanosecond are cut."""
-    sign = F.when(whole.startswith("-"), -1).otherwise(1)
-    return whole.try_cast("long") * 1_000_000_000 + sign * F.rpad(F.substring(fraction, 1, 9), 9, "0").try_cast("long")
+def whole_number(text: Column) -> Column:
+    """Decimal digits whose value fits a long; null for anything else."""
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("long"))
 
 
-def _part(pattern: str, group: int) -> Column:
-    return F.regexp_extract("line", pattern, group)
+def decimal_ns(text: Column, power: int) -> Column:
+    """A decimal number of units of 10^power ns, as ns; finer digits are cut, and what isn't one or passes a long is null."""
+    plain = F.when(text.startswith("-"), F.substring(text, 2, 1 << 20)).otherwise(text)
+    whole, fraction = F.substring_index(plain, ".", 1), F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise("")
+    rest = F.rpad(F.substring(fraction, 1, power), power, "0").try_cast("long") if power else F.lit(0).cast("long")
+    ns = F.call_function("try_add", F.call_function("try_multiply", whole.try_cast("long"), F.lit(10**power).cast("long")), rest)
+    return F.when(text.rlike(r"^-?\d+(?:\.\d*)?$"), F.when(text.startswith("-"), -ns).otherwise(ns))
 
 
-def _frames(rows: DataFrame, matched: Column, ts: Column, bus: Column, id_: Column, flags: Column, data: Column, dlc: Column, valid: Column) -> DataFrame:
-    out = rows.select("seq", "line", F.when(matched, ts).alias("ts_ns"), bus.alias("bus"), id_.alias("id"), flags.alias("flags"), data.alias("data"), dlc.alias("dlc"), (matched & F.coalesce(valid, F.lit(False))).alias("ok"))
+def with_file(lines: DataFrame) -> DataFrame:
+    """lines with the file they come from; those made by hand are of one file without a name."""
+    return lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+
+
+def can_id(raw: Column, extended: Column) -> Column:
+    """The ID with its extended bit, which any ID above 11 bits gets."""
+    return F.when(extended | (raw > 0x7FF), raw.bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
+
+
+def error_id() -> Column:
+    return F.lit(schema.ERROR_ID).cast("long")
+
+
+def frames_of(rows: DataFrame, ts: Column, bus: Column, id_: Column, flags: Column, data: Column, dlc: Column, checks: list[tuple[Column, str]]) -> DataFrame:
+    """Frames of parsed lines; the first check that doesn't hold gives the reason for which a line is rejected."""
+    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(why)) for ok, why in checks])
+    out = rows.select("file", "seq", ts.alias("ts_ns"), bus.alias("bus"), id_.alias("id"), flags.cast("int").alias("flags"), data.alias("data"), dlc.cast("int").alias("dlc"), reason.alias("reason"))
     remote = F.col("flags").bitwiseAND(F.lit(schema.REMOTE)) != 0
     return out.select(
-        "seq", "ts_ns", "bus", "id", F.col("flags").cast("int").alias("flags"), ff.kind(F.col("flags")).alias("kind"),
-        F.when(remote, 0).otherwise(F.length("data")).alias("len"), F.when(remote, F.col("dlc")).cast("int").alias("remote_dlc"),
-        F.when(remote, F.unhex(F.lit(""))).otherwise(F.col("data")).alias("data"), (~F.col("ok")).alias("rejected"),
+        "file", "seq", "ts_ns", "bus", "id", "flags", ff.kind(F.col("flags")).alias("kind"), F.when(remote, 0).otherwise(F.length("data")).alias("len"), F.when(remote, F.col("dlc")).alias("remote_dlc"),
+        F.when(remote, F.unhex(F.lit(""))).otherwise(F.col("data")).alias("data"), F.col("reason").isNotNull().alias("rejected"), "reason",
     )
 
 
@@ -56,138 +75,23 @@ def candump(lines: DataFrame) -> DataFrame:
 
     One pattern decides whether a line is good; its parts are then split off by their separators.
     """
-    rows = lines.where(F.trim("line") != "").withColumn("cells", F.split(F.trim("line"), r"\s+"))
+    rows = with_file(lines).where(F.trim("line") != "").withColumn("cells", F.split(F.trim("line"), r"\s+"))
     frame = F.get("cells", F.lit(2))
     rows = rows.select(
-        "seq", "line", F.col("line").rlike(_CANDUMP).alias("good"), F.get("cells", F.lit(0)).alias("time"), F.get("cells", F.lit(1)).alias("bus"),
+        "file", "seq", "line", F.col("line").rlike(_CANDUMP).alias("good"), F.get("cells", F.lit(0)).alias("time"), F.get("cells", F.lit(1)).alias("bus"),
         F.get("cells", F.lit(3)).alias("mark"), F.substring_index(frame, "#", 1).alias("name"), F.regexp_replace(frame, "^[^#]*#", "").alias("body"),
     )
-    whole, fraction = F.substring_index(F.ltrim(F.col("time"), F.lit("(")), ".", 1), F.rtrim(F.substring_index("time", ".", -1), F.lit(")"))
-    raw, wide = _hex(F.col("name")), F.length("name") == 8
+    ts = decimal_ns(F.rtrim(F.ltrim(F.col("time"), F.lit("(")), F.lit(")")), 9)
+    raw, wide = hex_number(F.col("name")), F.length("name") == 8
     error = wide & (raw.bitwiseAND(F.lit(schema.ERROR_ID).cast("long")) != 0)
     id_ = F.when(error, F.lit(schema.ERROR_ID).cast("long")).when(wide, raw.bitwiseAND(F.lit(0x1FFFFFFF).cast("long")).bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
     fd, remote = F.col("body").startswith("#"), F.col("body").startswith("R")
-    fd_flags = F.coalesce(_hex(F.substring("body", 2, 1)), F.lit(0))
+    fd_flags = F.coalesce(hex_number(F.substring("body", 2, 1)), F.lit(0))
     flags = F.when(fd, F.lit(schema.FD) + (fd_flags % 2) * schema.BRS + (F.floor(fd_flags / 2) % 2) * schema.ESI).otherwise(0) + F.when(remote, schema.REMOTE).otherwise(0) + F.when(error, schema.ERROR).otherwise(0) + F.when(F.col("mark") == "T", schema.TX).otherwise(0)
     plain = F.substring_index("body", "_", 1)
     data = F.when(~remote, F.call_function("try_to_binary", F.translate(F.when(fd, F.substring("body", 3, 1 << 20)).otherwise(plain), ".", ""), F.lit("hex")))
     digits = F.translate(F.substring("body", 2, 3), "_", "")
-    dlc = F.coalesce(_hex(F.when(remote & (digits != ""), F.right(digits, F.lit(1)))), F.lit(0))
+    dlc = F.coalesce(hex_number(F.when(remote & (digits != ""), F.right(digits, F.lit(1)))), F.lit(0))
     valid = remote | (F.length(data) <= F.when(fd, 64).otherwise(8))
-    return _frames(rows, F.col("good"), _nanos(whole, fraction), F.col("bus"), id_, flags, data, dlc, valid & (wide | (raw <= 0x7FF)))
-
-
-_ASC = r"^\s*(\d+)\.(\d+)\s+(\d+)\s+([0-9A-Fa-f]+)(x?)\s+(Rx|Tx)\s+(?:(r)(?:\s+([0-9A-Fa-f]))?|d\s+([0-9A-Fa-f])((?:\s+[0-9A-Fa-f]{2})*))(?:\s.*)?$"
-_ASC_ERROR = r"^\s*(\d+)\.(\d+)\s+(\d+)\s+ErrorFrame"
-
-
-_ASC_FD = r"^\s*(\d+)\.(\d+)\s+CANFD\s+(\d+)\s+(Rx|Tx)\s+([0-9A-Fa-f]+)(x?)\s+(?:[^\s01]\S*\s+|[01]\S+\s+)?([01])\s+([01])\s+([0-9A-Fa-f])\s+(\d+)((?:\s+\S+)*)\s*$"
-_ASC_TIME = r"^\s*(\d+)\.(\d+)\s"
-
-
-def asc(lines: DataFrame, start_ns: int = 0, relative: bool = False) -> DataFrame:
-    """Classic and FD lines and error frames of a log with hex IDs; other lines aren't frames.
-
-    Relative times count from the line before, whatever it holds, and start anew at each trigger block; they are added up
-    in the order of lines by running sums over spans of lines.
-    """
-    part = lambda n: _part(_ASC, n)
-    if relative:
-        begins = F.lower(F.trim("line")).startswith("begin triggerblock").cast("long")
-        blocks = with_running_sum(lines, [], F.coalesce(begins, F.lit(0).cast("long")), "block")
-        step = F.when(F.col("line").rlike(_ASC_TIME), _nanos(_part(_ASC_TIME, 1), _part(_ASC_TIME, 2))).otherwise(0)
-        lines = with_running_sum(blocks, ["block"], step, "time")
-    flexible = _asc_fd(lines, start_ns, relative)
-    rows = lines.where(F.col("line").rlike(_ASC) | F.col("line").rlike(_ASC_ERROR))
-    error = F.col("line").rlike(_ASC_ERROR)
-    raw = _hex(part(4))
-    id_ = F.when(error, F.lit(schema.ERROR_ID).cast("long")).when((part(5) == "x") | (raw > 0x7FF), raw.bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
-    flags = F.when(error, schema.ERROR).otherwise(F.when(part(7) == "r", schema.REMOTE).otherwise(0) + F.when(part(6) == "Tx", schema.TX).otherwise(0))
-    own = F.col("time") if relative else F.when(error, _nanos(_part(_ASC_ERROR, 1), _part(_ASC_ERROR, 2))).otherwise(_nanos(part(1), part(2)))
-    length = F.least(F.coalesce(_hex(F.when(part(9) != "", part(9))), F.lit(0)), F.lit(8))
-    data = F.unhex(F.regexp_replace(part(10), r"\s+", ""))
-    bus = F.concat(F.lit("can"), F.when(error, _part(_ASC_ERROR, 3)).otherwise(part(3)))
-    dlc = F.coalesce(_hex(F.when(part(8) != "", part(8))), F.lit(0))
-    classic = _frames(rows, F.lit(True), own + start_ns, bus, id_, flags, F.substring(data, F.lit(1), length.cast("int")), dlc, F.length(data) >= length)
-    return classic.unionByName(flexible)
-
-
-def _asc_fd(lines: DataFrame, start_ns: int, relative: bool) -> DataFrame:
-    """CANFD lines: the flags after duration and length say whether it is an FD frame (1000) or a remote one (10)."""
-    part = lambda n: _part(_ASC_FD, n)
-    rows = lines.where(F.col("line").rlike(_ASC_FD)).withColumn("size", part(10).cast("int")).withColumn("cells", F.split(F.trim(part(11)), r"\s+"))
-    raw = _hex(part(5))
-    id_ = F.when((part(6) == "x") | (raw > 0x7FF), raw.bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
-    said = F.coalesce(_hex(F.get("cells", F.col("size") + 2)), F.lit(0x1000).cast("long"))
-    fd, remote = said.bitwiseAND(F.lit(0x1000).cast("long")) != 0, said.bitwiseAND(F.lit(0x10).cast("long")) != 0
-    marks = schema.FD + part(7).cast("int") * schema.BRS + part(8).cast("int") * schema.ESI
-    flags = F.when(remote, schema.REMOTE).when(fd, marks).otherwise(0) + F.when(part(4) == "Tx", schema.TX).otherwise(0)
-    data = F.call_function("try_to_binary", F.array_join(F.slice("cells", F.lit(1), F.col("size")), ""), F.lit("hex"))
-    own = F.col("time") if relative else _nanos(part(1), part(2))
-    good = remote | (F.coalesce(F.length(data), F.lit(-1)) == F.col("size"))
-    return _frames(rows, F.lit(True), own + start_ns, F.concat(F.lit("can"), part(3)), id_, flags, F.when(~remote, data), _hex(part(9)), good & (F.col("size") <= 64))
-
-
-_TRC = r"^\s*\d+\s+(\d+)\.(\d+)\s+(DT|RR|ER|FD|FB)\s+(\d+)\s+([0-9A-Fa-f]+)\s+(Rx|Tx)\s+(?:-\s+)?(\d+)((?:\s+[0-9A-Fa-f]{2})*)\s*$"
-
-
-def trc(lines: DataFrame, start_ns: int = 0) -> DataFrame:
-    """Lines of TRC 2.1 with the columns number, offset in ms, type, bus, ID, direction, (reserved,) length, data."""
-    part = lambda n: _part(_TRC, n)
-    rows = lines.where(~F.trim("line").startswith(";") & (F.trim("line") != ""))
-    matched, kind = F.col("line").rlike(_TRC), part(3)
-    wide, raw = F.length(part(5)) > 4, _hex(part(5))
-    id_ = F.when(kind == "ER", F.lit(schema.ERROR_ID).cast("long")).when(wide, raw.bitwiseOR(F.lit(schema.EXTENDED_ID).cast("long"))).otherwise(raw)
-    flags = F.when(kind == "ER", schema.ERROR).when(kind == "RR", schema.REMOTE).when(kind == "FD", schema.FD).when(kind == "FB", schema.FD + schema.BRS).otherwise(0) + F.when(part(6) == "Tx", schema.TX).otherwise(0)
-    ts = part(1).cast("long") * 1_000_000 + F.rpad(F.substring(part(2), 1, 6), 6, "0").cast("long") + start_ns
-    data = F.unhex(F.regexp_replace(part(8), r"\s+", ""))
-    length = part(7).cast("int")
-    return _frames(rows, matched, ts, F.concat(F.lit("can"), part(4)), id_, flags, data, length, (kind == "RR") | (F.length(data) == length))
-
-
-CSV_COLUMNS = ["timestamp_ns", "bus", "id", "extended", "remote", "error", "fd", "brs", "esi", "tx", "dlc", "data"]
-
-
-def csv(lines: DataFrame) -> DataFrame:
-    """Lines of the twelve columns that the CSV writer gives; the header line isn't a frame."""
-    cells = F.split("line", ",")
-    cell = {name: F.get(cells, F.lit(i)) for i, name in enumerate(CSV_COLUMNS)}
-    rows = lines.where(~F.col("line").startswith(CSV_COLUMNS[0]) & (F.trim("line") != ""))
-    on = lambda name, bit: F.when(cell[name] == "1", bit).otherwise(0)
-    flags = on("fd", schema.FD) + on("brs", schema.BRS) + on("esi", schema.ESI) + on("remote", schema.REMOTE) + on("error", schema.ERROR) + on("tx", schema.TX)
-    id_ = _hex(cell["id"]) + F.when(cell["extended"] == "1", F.lit(schema.EXTENDED_ID).cast("long")).otherwise(0)
-    matched = (F.size(cells) == len(CSV_COLUMNS)) & cell["timestamp_ns"].rlike(r"^-?\d+$") & cell["id"].rlike("^[0-9A-Fa-f]+$")
-    return _frames(rows, matched, F.expr("try_cast(split(line, ',')[0] as long)"), cell["bus"], id_, flags, F.unhex(cell["data"]), cell["dlc"].try_cast("int"), F.length(F.unhex(cell["data"])) <= 64)
-
-
-#: Formats by file name, where the content doesn't tell.
-EXTENSIONS = {"log": "candump", "txt": "candump", "candump": "candump", "asc": "asc", "trc": "trc", "csv": "csv", "blf": "blf", "mf4": "mf4", "mdf": "mf4"}
-
-
-def detect(spark: SparkSession, path: str, most: int = 20) -> str:
-    """The format of a log by its first lines, or else by its name, or else candump. Only a few lines are read."""
-    head = [r.value for r in spark.read.text(path).limit(most).collect()]
-    first = next((h.strip() for h in head if h.strip()), "")
-    low = first.lower()
-    if first.startswith("LOGG"):
-        return "blf"
-    if first.startswith(("MDF     ", "UnFinMF ")):
-        return "mf4"
-    if first.startswith("("):
-        return "candump"
-    if any(h.split(",")[: 2] == CSV_COLUMNS[:2] for h in head):
-        return "csv"
-    if first.startswith((";$", ";#", ";-")):
-        return "trc"
-    if low.startswith(("date ", "base hex", "base dec", "begin triggerblock")):
-        return "asc"
-    return EXTENSIONS.get(path.rstrip("/").rsplit(".", 1)[-1].lower(), "candump")
-
-
-def read_log(spark: SparkSession, path: str, start_ns: int = 0) -> DataFrame:
-    """Frames of a text log in whatever format it has; bad lines are marked as rejected."""
-    lines, kind = read_lines(spark, path), detect(spark, path)
-    if kind == "asc":
-        relative = lines.where(F.lower("line").rlike(r"^\s*base\s+\w+\s+timestamps\s+relative")).limit(1).count() > 0
-        return asc(lines, start_ns, relative)
-    return {"candump": candump, "csv": csv}[kind](lines) if kind != "trc" else trc(lines, start_ns)
+    checks = [(F.col("good"), "not a frame"), (ts.isNotNull(), "bad timestamp"), (wide | (raw <= 0x7FF), "bad CAN ID"), (valid, "payload too long")]
+    return frames_of(rows, F.when(F.col("good"), ts), F.col("bus"), id_, flags, data, dlc, checks)
