@@ -102,6 +102,13 @@ def _first_prefix(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return upto, np.where(_allowed(least, percent) > 0, need, np.minimum(need, extra(least)))
 
 
+def _once(names: np.ndarray) -> np.ndarray:
+    """1 for the first set of each name in a batch, 0 for its copies."""
+    out = np.zeros(len(names), np.int64)
+    out[np.unique(names, return_index=True)[1]] = 1
+    return out
+
+
 def _within(at: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """Rows of the first `upto` members of each set."""
     total = np.cumsum(upto)
@@ -123,8 +130,10 @@ def links(spark: SparkSession, docs: DataFrame, text: str, words: int, percent:
             _, keys, at = shingle_sets(Texts(b.column(0)), words)
             n = np.diff(at)
             upto, need = _first_prefix(n, percent)
+            names = _names(keys, at)
+            upto = upto * _once(names)  # copies of a set in one batch count once
             rows_of = _within(at, upto)
-            name = np.repeat(_names(keys, at), upto)
+            name = np.repeat(names, upto)
             yield pa.RecordBatch.from_arrays([_long(keys[rows_of]), _long(name), pa.array(np.repeat(need, upto).astype(np.int32))], ["token", "name", "need"])
 
     token = Window.partitionBy("token")
@@ -139,7 +148,7 @@ def links(spark: SparkSession, docs: DataFrame, text: str, words: int, percent:
         for b in batches(rows):
             _, keys, at = shingle_sets(Texts(b.column(0)), words)
             names = _names(keys, at)
-            hit = np.flatnonzero(hits(told.value, names))
+            hit = np.flatnonzero(hits(told.value, names) & (_once(names) > 0))
             n = np.diff(at)
             upto = np.zeros(len(n), np.int64)
             upto[hit] = n[hit]
