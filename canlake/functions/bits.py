@@ -40,6 +40,48 @@ def extract(data: Column | Payload, start: int, size: int, order: str = LITTLE)
     return F.when(payload.length() > max(b for b, _ in bits), total)
 
 
+def fits(start: int, size: int, order: str, length: int) -> bool:
+    """Whether a field of 1 to 64 bits lies in a payload of so many bytes."""
+    return 1 <= size <= 64 and start >= 0 and max(b for b, _ in positions(start, size, order)) < length
+
+
+def layout(start: int, size: int, order: str, signed: bool = False, real: bool = False) -> str:
+    """A field as databases write it: start|size@order and sign, with a word for a 32-bit float."""
+    return f"{start}|{size}@{int(order == LITTLE)}{'-' if signed or real else '+'}{' float' if real else ''}"
+
+
+def insert(data: Column, start: int, size: int, order: str, raw: Column) -> Column:
+    """A payload with the low bits of raw written into a field; null where the field doesn't lie in it.
+
+    Only the bytes that the field touches are made anew.
+    """
+    touched: dict[int, list[tuple[int, int]]] = {}
+    for at, (b, bit) in enumerate(positions(start, size, order)):
+        touched.setdefault(b, []).append((at, bit))
+    low, high = min(touched), max(touched)
+    made: list[Column] = []
+    for b in range(low, high + 1):
+        keep, value = Payload(data).byte(b), F.lit(0)
+        for at, bit in touched.get(b, []):
+            keep = keep.bitwiseAND(F.lit(0xFF & ~(1 << bit)))
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(raw, at).bitwiseAND(F.lit(1).cast("long")).cast("int"), bit))
+        made.append(F.lpad(F.hex(keep.bitwiseOR(value).cast("long")), 2, "0"))
+    out = F.concat(F.substring(data, F.lit(1), F.lit(low)), F.unhex(F.concat(*made)), F.substring(data, F.lit(high + 2), F.length(data)))
+    return F.when(F.length(data) > high, out)
+
+
+def rounded(value: Column) -> Column:
+    """A number rounded half away from zero to a long, at its ends beyond them; NaN becomes 0."""
+    near = F.when(value < 0, -F.floor(-value + 0.5)).otherwise(F.floor(value + 0.5))
+    return F.when(F.isnan(value), 0).when(value >= 2.0**63, F.lit((1 << 63) - 1)).when(value <= -(2.0**63), F.lit(-(1 << 63))).otherwise(near.cast("long"))
+
+
+def rounded_unsigned(value: Column) -> Column:
+    """A number rounded to an unsigned 64-bit pattern: 0 below 0, all ones from 2^64 on."""
+    upper = rounded(value - 2.0**63).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.isnan(value) | (value <= 0), F.lit(0).cast("long")).when(value >= 2.0**64, F.lit(-1).cast("long")).when(value >= 2.0**63, upper).otherwise(rounded(value))
+
+
 def sign_extend(raw: Column, size: int) -> Column:
     return F.shiftright(F.shiftleft(raw, 64 - size), 64 - size)
 

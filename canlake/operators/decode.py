@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,13 +81,21 @@ def resolve(ids: DataFrame, scopes: list[Scope]) -> DataFrame:
     return ids.join(best, ["channel", "id"], "left").select("channel", "id", "m.scope", "m.place", "m.message_id", "m.message")
 
 
-def decode_signal(frames: DataFrame, scopes: list[Scope], key: int, name: str) -> DataFrame:
-    """(seq, ts_ns, value) of one ID's signal, one row for each frame that has a value; none for an ID without a message."""
+def _found(frames: DataFrame, scopes: list[Scope], key: int, name: str) -> tuple[Message, Signal] | None:
+    """The message of an ID and one of its signals; None for an ID without a message."""
     found = resolve(frames.where(F.col("key") == key).select("channel", "id"), scopes).first()
     if found is None or found.scope is None:
-        return frames.select("seq", "ts_ns", F.lit(0.0).alias("value")).limit(0)
+        return None
     message = scopes[found.scope].database.messages[found.place]
-    signal = next(s for s in message.signals if s.name == name)
+    return message, next(s for s in message.signals if s.name == name)
+
+
+def decode_signal(frames: DataFrame, scopes: list[Scope], key: int, name: str) -> DataFrame:
+    """(seq, ts_ns, value) of one ID's signal, one row for each frame that has a value; none for an ID without a message."""
+    found = _found(frames, scopes, key, name)
+    if found is None:
+        return frames.select("seq", "ts_ns", F.lit(0.0).alias("value")).limit(0)
+    message, signal = found
     return frames.where(F.col("key") == key).select("seq", "ts_ns", value(F.col("data"), signal, message).alias("value")).where("value is not null")
 
 
@@ -108,8 +117,98 @@ def decode_all(frames: DataFrame, database: Database) -> DataFrame:
     return rows.select("seq", "m.message", F.explode("m.values").alias("v")).select("seq", "message", "v.signal", "v.value").where("value is not null")
 
 
-def labelled(values: DataFrame, signal: Signal) -> DataFrame:
-    """values with the label of their raw number, through the signal's value table."""
-    pairs = F.create_map(*[F.lit(x) for raw_, text in signal.labels for x in (raw_, text)]) if signal.labels else None
-    number = F.round((F.col("value") - signal.offset) / signal.factor).cast("long")
-    return values.withColumn("label", pairs[number] if pairs is not None else F.lit(None).cast("string"))
+def labelled(frames: DataFrame, scopes: list[Scope], key: int, name: str) -> DataFrame:
+    """decode_signal with the label of each raw number, through the signal's value table; the factor plays no part in it."""
+    found = _found(frames, scopes, key, name)
+    if found is None:
+        return frames.select("seq", "ts_ns", F.lit(0.0).alias("value"), F.lit("").alias("label")).limit(0)
+    message, signal = found
+    number = raw(F.col("data"), signal)
+    pairs = F.create_map(*[F.lit(x) for at, text in signal.labels for x in (at, text)])[number.cast("int")] if signal.labels else F.lit(None).cast("string")
+    return frames.where(F.col("key") == key).select("seq", "ts_ns", value(F.col("data"), signal, message).alias("value"), pairs.alias("label")).where("value is not null")
+
+
+def names_of(ids: DataFrame, scopes: list[Scope]) -> DataFrame:
+    """(channel, id, message, signals) of the distinct IDs that have a message; the definitions are a table of the databases' size."""
+    rows = [(n, i, [x.name for x in m.signals]) for n, s in enumerate(scopes) for i, m in enumerate(s.database.messages)]
+    known = F.broadcast(ids.sparkSession.createDataFrame(rows, "scope int, place int, signals array<string>"))
+    return resolve(ids, scopes).join(known, ["scope", "place"]).select("channel", "id", "message", "signals")
+
+
+@dataclass(frozen=True)
+class Page:
+    """A selector's field and the value of it that shows a signal."""
+
+    start: int
+    size: int
+    order: str
+    value: int
+
+
+@dataclass(frozen=True)
+class RawSignal:
+    """A field that no database describes; real: a 32-bit float."""
+
+    start: int
+    size: int
+    order: str = "little"
+    signed: bool = False
+    real: bool = False
+    factor: float = 1.0
+    offset: float = 0.0
+    page: Page | None = None
+
+    @property
+    def name(self) -> str:
+        return f"bits {bits.layout(self.start, self.size, self.order, self.signed, self.real)}{f' m{self.page.value}' if self.page else ''}"
+
+
+def decode_raw(frames: DataFrame, key: int, spec: RawSignal) -> DataFrame:
+    """(seq, ts_ns, value) of a field of one ID. The field, and its selector, must lie in the ID's longest payload."""
+    rows = frames.where(F.col("key") == key)
+    longest = rows.agg(F.max(F.length("data"))).first()[0] or 0
+    if not bits.fits(spec.start, spec.size, spec.order, longest):
+        raise ValueError("the field must have 1 to 64 bits and lie in this ID's frames")
+    if spec.real and spec.size != 32:
+        raise ValueError("a float must have 32 bits")
+    if spec.page and not bits.fits(spec.page.start, spec.page.size, spec.page.order, longest):
+        raise ValueError("the selector must have 1 to 64 bits and lie in this ID's frames")
+    kind = "float32" if spec.real else "signed" if spec.signed else "unsigned"
+    found = physical(F.col("data"), Signal("", spec.start, spec.size, spec.order, kind, spec.factor, spec.offset))
+    if spec.page:
+        found = F.when(bits.extract(F.col("data"), spec.page.start, spec.page.size, spec.page.order) == spec.page.value, found)
+    return rows.select("seq", "ts_ns", found.alias("value")).where("value is not null")
+
+
+def raw_for(number: Column, signal: Signal) -> Column:
+    """The raw field for a physical value, rounded half away from zero and held within 64 bits; floats by their own bits."""
+    scaled = (number - F.lit(signal.offset)) / F.lit(signal.factor)
+    if signal.kind == "signed":
+        return bits.rounded(scaled)
+    if signal.kind == "unsigned":
+        return bits.rounded_unsigned(scaled)
+    # the IEEE pattern of a number, as a big-endian field of its own bytes
+    return F.call_function("conv", F.hex(_ieee(scaled, signal.kind == "float32")), F.lit(16), F.lit(-10)).cast("long")
+
+
+def _ieee(number: Column, single: bool) -> Column:
+    """The bytes of a number as an IEEE float, big end first."""
+    exponent_bits, fraction_bits = (8, 23) if single else (11, 52)
+    bias = (1 << (exponent_bits - 1)) - 1
+    value = number.cast("float").cast("double") if single else number
+    size = F.abs(value)
+    scale = F.greatest(F.floor(F.log2(size)).cast("int"), F.lit(1 - bias))
+    scale = F.when(F.pow(F.lit(2.0), scale) > size, F.greatest(scale - 1, F.lit(1 - bias))).when(F.pow(F.lit(2.0), scale + 1) <= size, scale + 1).otherwise(scale)
+    rest = (size / F.pow(F.lit(2.0), scale) * float(1 << fraction_bits)).cast("long")
+    normal = rest >= (1 << fraction_bits)
+    pattern = F.call_function("shiftleft", F.when(normal, scale + bias).otherwise(0).cast("long"), F.lit(fraction_bits)) + F.when(normal, rest - (1 << fraction_bits)).otherwise(rest)
+    top = ((1 << exponent_bits) - 1) << fraction_bits
+    pattern = F.when(F.isnan(value), F.lit(top + (1 << (fraction_bits - 1)))).when(size == float("inf"), F.lit(top)).when(size == 0, F.lit(0).cast("long")).otherwise(pattern)
+    sign = F.when((value < 0) | (F.format_string("%s", value).startswith("-")), F.lit(1)).otherwise(0)
+    hex_ = F.lpad(F.hex(pattern + F.call_function("shiftleft", sign.cast("long"), F.lit(exponent_bits + fraction_bits))), 8 if single else 16, "0")
+    return F.unhex(hex_)
+
+
+def encode(data: Column, signal: Signal, number: Column) -> Column:
+    """A payload with a signal set to a physical value; null where the signal doesn't lie in it."""
+    return bits.insert(data, signal.start, signal.size, signal.order, raw_for(number, signal))

@@ -5,11 +5,13 @@ A series is (ts_ns, seq, value); NaN is a value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
-from canlake.operators.history import with_index, with_previous
+from canlake.operators.history import SPAN_NS, with_index, with_previous
 
 
 def info(series: DataFrame) -> DataFrame:
@@ -30,24 +32,63 @@ def _extremes(rows: DataFrame, by: list[str], place: str) -> DataFrame:
 
 
 def view(series: DataFrame, t0_ns: int, t1_ns: int, buckets: int) -> DataFrame:
-    """(ts_ns, value) of the window and one neighbour on either side; decimated if it has more than two points a bucket."""
-    indexed = with_index(series)
-    bounds = series.agg(F.count_if(F.col("ts_ns") < t0_ns).alias("before"), F.count_if(F.col("ts_ns") <= t1_ns).alias("upto")).first()
-    first, last = bounds.before - 1, bounds.upto
-    window = indexed.where(F.col("index").between(first, last))
-    points = min(last, 1 << 62) - max(first, 0) + 1
+    """(ts_ns, value) of the window and one neighbour on either side; decimated if it has more than two points a bucket.
+
+    The neighbours are found by one aggregate, and only the window's points are numbered.
+    """
+    at, low, high = F.struct("ts_ns", "seq"), F.col("ts_ns") < t0_ns, F.col("ts_ns") > t1_ns
+    ends = series.agg(F.max(F.when(low, at)).alias("left"), F.min(F.when(high, at)).alias("right"), F.count_if(~low & ~high).alias("inside")).first()
+    edge = [(F.col("ts_ns") == e.ts_ns) & (F.col("seq") == e.seq) for e in (ends.left, ends.right) if e]
+    near = series.where(reduce(lambda a, b: a | b, edge, ~low & ~high))
+    points = ends.inside + len(edge)
     if points <= 2 * buckets or t1_ns <= t0_ns or buckets <= 0:
-        return window.select("ts_ns", "value")
+        return near.select("ts_ns", "value")
+    window = with_index(near)
     bucket = F.floor((F.col("ts_ns") - t0_ns).cast("double") / ((t1_ns - t0_ns) / buckets)).cast("long")
     return _extremes(window.withColumn("bucket", bucket), [], "index").select("ts_ns", "value")
 
 
 def byte_lanes(frames: DataFrame, key: int, t0_ns: int, t1_ns: int, buckets: int) -> DataFrame:
-    """(byte, bucket, ts_ns, value): the extremes of each payload byte of one ID in each part of the window."""
-    rows = frames.where((F.col("key") == key) & F.col("ts_ns").between(t0_ns, t1_ns))
-    lanes = rows.select("ts_ns", "seq", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "value"))
-    lanes = lanes.withColumn("value", F.col("value").cast("double")).withColumn("bucket", ff.bucket_of(F.col("ts_ns"), t0_ns, t1_ns, buckets))
-    return _extremes(lanes, ["byte"], "seq").select(F.col("byte").cast("long"), "bucket", "ts_ns", "value")
+    """(byte, bucket, ts_ns, value): a view of each payload byte of one ID: the window's points and a neighbour on either side.
+
+    A byte with at most two points a bucket has them all; of others each bucket keeps the extremes. Neighbours stand in
+    buckets outside 0 to buckets - 1.
+    """
+    rows = frames.where(F.col("key") == key)
+    lanes = rows.select("ts_ns", "seq", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "value")).withColumn("value", F.col("value").cast("double"))
+    at, low, high = F.struct("ts_ns", "seq"), F.col("ts_ns") < t0_ns, F.col("ts_ns") > t1_ns
+    ends = lanes.groupBy("byte").agg(F.max(F.when(low, at)).alias("left"), F.min(F.when(high, at)).alias("right"), F.count_if(~low & ~high).alias("inside"))
+    some = lanes.join(F.broadcast(ends), "byte")  # a row for each byte of a payload
+    point = F.struct("ts_ns", "seq")
+    near = some.where((~low & ~high) | F.coalesce(point == F.col("left"), F.lit(False)) | F.coalesce(point == F.col("right"), F.lit(False)))
+    inner = ff.bucket_of(F.col("ts_ns"), t0_ns, t1_ns, buckets) if t1_ns > t0_ns and buckets > 0 else F.lit(0).cast("long")
+    near = near.withColumn("bucket", F.when(low, F.lit(-1).cast("long")).when(high, F.lit(max(buckets, 1)).cast("long")).otherwise(inner))
+    points = F.col("inside") + F.col("left").isNotNull().cast("int") + F.col("right").isNotNull().cast("int")
+    plain = (points <= 2 * buckets) | F.lit(t1_ns <= t0_ns or buckets <= 0)
+    shown = ["byte", "bucket", "ts_ns", "value"]
+    few = near.where(plain).select(F.col("byte").cast("long").alias("byte"), *shown[1:])
+    return few.unionByName(_extremes(near.where(~plain), ["byte"], "seq").select(F.col("byte").cast("long").alias("byte"), *shown[1:]))
+
+
+def finite_range(series: DataFrame) -> DataFrame:
+    """One row: the lowest and the highest finite value, nulls if there are none."""
+    real = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    return series.agg(F.min(real).alias("lo"), F.max(real).alias("hi"))
+
+
+def with_gaps(series: DataFrame) -> DataFrame:
+    """series with null for values that can't be drawn: NaN and infinities."""
+    return series.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value")))
+
+
+def isolated_points(series: DataFrame) -> DataFrame:
+    """The drawable points of a series with gaps that have no drawable neighbour; a line through the others misses them."""
+    rows = with_gaps(series).withColumn("there", F.col("value").isNotNull())
+    turned = rows.withColumn("seq", -F.col("seq")).withColumn("ts_ns", -F.col("ts_ns"))
+    before = with_previous(rows, [], {"there": "before"})
+    after = with_previous(turned, [], {"there": "after"}).select((-F.col("ts_ns")).alias("ts_ns"), (-F.col("seq")).alias("seq"), "after")
+    alone = ~F.coalesce("before", F.lit(False)) & ~F.coalesce("after", F.lit(False))
+    return before.join(after, ["ts_ns", "seq"]).where(F.col("there") & alone).select("ts_ns", "seq", "value")
 
 
 def window_stats(series: DataFrame, t0_ns: int, t1_ns: int) -> DataFrame:
@@ -64,15 +105,21 @@ def window_stats(series: DataFrame, t0_ns: int, t1_ns: int) -> DataFrame:
 
 
 def sparkline(frames: DataFrame, key: int, points: int = 64) -> DataFrame:
-    """(k, seq): evenly spaced frames of an ID, the first and the last among them; all if there are fewer."""
-    rows = frames.where(F.col("key") == key)
-    n = rows.count()
-    if n == 0:
-        return rows.select(F.lit(0).cast("long").alias("k"), "seq")
-    count = min(points, n)
-    wanted = {k * (n - 1) // max(count - 1, 1) for k in range(count)}
-    chosen = with_index(rows).where(F.col("index").isin(sorted(wanted)))
-    return chosen.select(F.round(F.col("index") * (count - 1) / F.lit(max(n - 1, 1)) + 0.4999).cast("long").alias("k"), "seq")
+    """(k, seq): evenly spaced frames of an ID, the first and the last among them; all if there are fewer.
+
+    Frames are counted by span of time, and only the spans that hold a chosen frame are ordered.
+    """
+    rows = frames.where(F.col("key") == key).select("ts_ns", "seq").withColumn("_span", F.floor(F.col("ts_ns") / F.lit(SPAN_NS)))
+    sizes = rows.groupBy("_span").agg(F.count(F.lit(1)).alias("n"))
+    every = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over a row for each span
+    counted = sizes.withColumn("first", F.sum("n").over(Window.orderBy("_span")) - F.col("n")).withColumn("total", every)
+    count = F.least(F.lit(points).cast("long"), F.col("total"))
+    place = F.call_function("div", F.col("k") * (F.col("total") - 1), F.greatest(count - 1, F.lit(1)))
+    wanted = counted.select("_span", "n", "first", "total", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k")).withColumn("at", place)
+    wanted = wanted.where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("first") + F.col("n"))).select("_span", (F.col("at") - F.col("first")).alias("_at"), "k")
+    near = rows.join(F.broadcast(wanted.select("_span").distinct()), "_span", "left_semi")  # at most a row for each point
+    numbered = near.withColumn("_at", (F.row_number().over(Window.partitionBy("_span").orderBy("ts_ns", "seq")) - 1).cast("long"))
+    return numbered.join(F.broadcast(wanted), ["_span", "_at"]).select("k", "seq")
 
 
 def sample_at(series: DataFrame, times_ns: list[int]) -> DataFrame:

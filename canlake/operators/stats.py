@@ -24,6 +24,12 @@ def log_info(frames: DataFrame) -> DataFrame:
     )
 
 
+def with_messages(summary: DataFrame, names: DataFrame) -> DataFrame:
+    """An ID summary with each ID's message, its own ID and the database it comes from, or nulls. names: as decode.resolve gives them."""
+    told = names.select("channel", "id", "message", F.col("scope").alias("database"), "message_id")
+    return summary.join(told, ["channel", "id"], "left")
+
+
 def channels(frames: DataFrame) -> DataFrame:
     """Channels in the order of their first frame."""
     return frames.groupBy("channel").agg(F.count(F.lit(1)).alias("frames"), F.min(F.struct(*schema.ORDER)).alias("first")).select("channel", "frames", F.col("first.ts_ns").alias("first_ns"), F.col("first.seq").alias("first_seq"))
@@ -84,14 +90,37 @@ def change_activity(frames: DataFrame, t0: int, t1: int, buckets: int) -> DataFr
     return rows.groupBy("key", ff.bucket_of(F.col("ts_ns"), t0, t1, buckets).alias("bucket")).agg(F.sum(changed).cast("long").alias("changed_bits"))
 
 
-def bus_load(frames: DataFrame, t0: int, t1: int, buckets: int, bitrate: int = DEFAULT_BITRATE) -> DataFrame:
-    """(channel, bucket, t_s, load) with every bucket of every channel; errors and reassembled frames take no part."""
-    width = (t1 - t0) / buckets / 1e9
+def bus_load(frames: DataFrame, t0: int, t1: int, buckets: int, bitrate: int | dict[int, int] = DEFAULT_BITRATE) -> DataFrame:
+    """(channel, bucket, t_s, load) with every bucket of every channel; errors and reassembled frames take no part.
+
+    bitrate is one for all channels, or one for each, with the default for others. A window without a length has loads of 0.
+    """
+    width = max(t1 - t0, 0) / buckets / 1e9
     sent = frames.where(F.col("flags").bitwiseAND(F.lit(schema.ERROR | schema.REASSEMBLED)) == 0).where(F.col("ts_ns").between(t0, t1))
-    bits = sent.groupBy("channel", ff.bucket_of(F.col("ts_ns"), t0, t1, buckets).alias("bucket")).agg(F.sum(ff.frame_bits(F.col("id"), F.col("flags"), F.col("len"))).alias("bits"))
     grid = frames.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"))
-    load = F.least(F.coalesce("bits", F.lit(0)) / F.lit(bitrate * width), F.lit(1.0))
-    return grid.join(bits, ["channel", "bucket"], "left").select("channel", "bucket", ((F.col("bucket") + 0.5) * width).alias("t_s"), load.alias("load"))
+    middle = ((F.col("bucket") + 0.5) * width).alias("t_s")
+    if not width:
+        return grid.select("channel", "bucket", middle, F.lit(0.0).alias("load"))
+    bits = sent.groupBy("channel", ff.bucket_of(F.col("ts_ns"), t0, t1, buckets).alias("bucket")).agg(F.sum(ff.frame_bits(F.col("id"), F.col("flags"), F.col("len"))).alias("bits"))
+    own = bitrate if isinstance(bitrate, dict) else {}
+    rate = F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.col("channel")], F.lit(DEFAULT_BITRATE)) if own else F.lit(bitrate if isinstance(bitrate, int) else DEFAULT_BITRATE)
+    load = F.least(F.coalesce("bits", F.lit(0)) / (rate * F.lit(width)), F.lit(1.0))
+    return grid.join(bits, ["channel", "bucket"], "left").select("channel", "bucket", middle, load.alias("load"))
+
+
+#: An overview has a bucket for each so many seconds, and no more buckets than these.
+OVERVIEW_S, OVERVIEW_MOST = 0.1, 600
+
+
+def overview_buckets(duration_ns: int) -> int:
+    return min(max(int(duration_ns / 1e9 / OVERVIEW_S), 1), OVERVIEW_MOST)
+
+
+def overview_load(frames: DataFrame, bitrate: int | dict[int, int] = DEFAULT_BITRATE) -> DataFrame:
+    """Mean and peak load of each channel over the whole log, cut as an overview cuts it."""
+    ends = frames.agg(F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last")).first()
+    first, last = ends["first"] or 0, ends["last"] or 0
+    return load_overview(bus_load(frames, first, last, overview_buckets(last - first), bitrate))
 
 
 def total_load(load: DataFrame) -> DataFrame:
@@ -128,3 +157,33 @@ def frame_rate(frames: DataFrame, window_s: int = 2, slide_s: int = 1) -> DataFr
     """Frames per second in sliding windows; works on a stream as on a table."""
     at = F.timestamp_micros(ff.micros(F.col("ts_ns")))
     return frames.groupBy(F.window(at, f"{window_s} seconds", f"{slide_s} seconds").alias("w")).agg((F.count(F.lit(1)) / window_s).alias("rate")).select(F.unix_micros("w.start").alias("start_us"), "rate")
+
+
+def id_rates(frames: DataFrame) -> DataFrame:
+    """(key, channel, id, count, rate): frames per second of the log's duration; null in a log without one."""
+    span = frames.agg(((F.max("ts_ns") - F.min("ts_ns")) / F.lit(1e9)).alias("s")).first().s
+    rate = F.col("count") / F.lit(span) if span else F.lit(None).cast("double")
+    return frames.groupBy("key", "channel", "id").agg(F.count(F.lit(1)).alias("count")).withColumn("rate", rate)
+
+
+def with_baseline(frames: DataFrame, window: tuple[int, int], baseline: tuple[int, int]) -> DataFrame:
+    """bit_flips of a window with `background`: whether the bit also changes in the baseline's window."""
+    back = bit_flips(frames, *baseline).select("key", "byte", "bit", (F.col("flips") > 0).alias("background"))
+    return bit_flips(frames, *window).join(back, ["key", "byte", "bit"], "left").withColumn("background", F.coalesce("background", F.lit(False)))
+
+
+def heat_step(changes: Column, pairs: Column, steps: int = 6) -> Column:
+    """The step (0 to steps - 1) of a change rate on a logarithmic scale of four decades."""
+    rate = changes / F.greatest(pairs, F.lit(1))
+    share = F.when(rate > 0, F.least(F.greatest((F.log10(rate) + 4) / 4, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return F.least(F.floor(share * steps), F.lit(steps - 1)).cast("int")
+
+
+def bit_history(frames: DataFrame, key: int, t0: int, t1: int, most: int, first_byte: int = 0, last_byte: int = 7) -> DataFrame:
+    """(seq, ts_ns, bits): the last frames of an ID in a window, oldest first, with the bits of some bytes as text, highest first.
+
+    Bytes past a payload's end show as blanks. A top-k by time, so no order of the whole ID is made.
+    """
+    rows = frames.where((F.col("key") == key) & F.col("ts_ns").between(t0, t1)).orderBy(F.desc("ts_ns"), F.desc("seq")).limit(most)
+    lane = lambda i: F.coalesce(F.lpad(F.bin(ff.byte(F.col("data"), i)), 8, "0"), F.lit(" " * 8))
+    return rows.select("seq", "ts_ns", F.concat(*[lane(i) for i in range(first_byte, last_byte + 1)]).alias("bits")).orderBy("ts_ns", "seq")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
-from canlake.operators.history import with_index, with_previous
+from canlake.operators.history import SPAN_NS, with_index, with_previous
 
 #: Bytes of a payload that a page shows, and compares with the previous frame.
 SHOWN = 64
@@ -89,22 +89,63 @@ def filtered(frames: DataFrame, spec: FrameFilter) -> DataFrame:
     return kept.select(*columns)
 
 
+def changed_mask(data: Column, before: Column) -> Column:
+    """A long whose bit i is set if byte i differs; bit 63 is the sign."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    return F.aggregate(changed_places(data, before), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
+
+
 def page(frames: DataFrame, start: int, count: int, key: int | None = None) -> DataFrame:
-    """Rows [start, start + count) in time order, with seconds from the first frame and the mask of changed bytes."""
-    rows = with_previous(frames, ["key", "kind"], {"data": "before"})
-    indexed = with_index(rows if key is None else rows.where(F.col("key") == key))
-    inside = indexed.where(F.col("index").between(start, start + count - 1))
+    """Rows [start, start + count) in time order, with seconds from the first frame and the mask of changed bytes.
+
+    Frames are counted by span of time first; only the spans that hold the rows are ordered, and payloads before them are
+    only looked at for the last one of each ID and kind.
+    """
+    rows = frames if key is None else frames.where(F.col("key") == key)
+    spanned = rows.withColumn("_span", F.floor(F.col("ts_ns") / F.lit(SPAN_NS)))
+    sizes = spanned.groupBy("_span").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("_span"))  # over a row for each span
+    near = sizes.select("_span", "n", (upto - F.col("n")).alias("first")).where((F.col("first") < start + count) & (F.col("first") + F.col("n") > start))
+    bounds = near.agg(F.min("_span").alias("low"), F.max("_span").alias("high"), F.min("first").alias("first")).first()
     origin = frames.agg(F.min("ts_ns")).first()[0]
-    mask = F.aggregate(changed_places(F.col("data"), F.col("before")), F.lit(0).cast("long"), lambda a, i: a + F.pow(F.lit(2.0), i).cast("long"))
+    if bounds.low is None:
+        bounds = Row(low=0, high=-1, first=0)
+    inside = spanned.where(F.col("_span").between(bounds.low, bounds.high)).drop("_span")
+    last = frames.where(F.col("ts_ns") < bounds.low * SPAN_NS).groupBy("key", "kind").agg(F.max_by("data", F.struct("ts_ns", "seq")).alias("earlier"))
+    if key is not None:
+        last = last.where(F.col("key") == key)
+    followed = with_previous(inside, ["key", "kind"], {"data": "near"}).join(last, ["key", "kind"], "left")
+    first_one = F.row_number().over(Window.partitionBy("key", "kind").orderBy("ts_ns", "seq")) == 1
+    followed = followed.withColumn("before", F.when(first_one, F.col("earlier")).otherwise(F.col("near")))
+    chosen = with_index(followed).withColumn("index", F.col("index") + F.lit(bounds.first)).where(F.col("index").between(start, start + count - 1))
     # the mask comes first: beside a new column named data, its lambdas would read that one
-    return inside.withColumn("changed", mask).select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", F.length("data").cast("long").alias("full_len"), F.hex(F.substring("data", 1, SHOWN)).alias("data"), "changed")
+    shown = chosen.withColumn("changed", changed_mask(F.col("data"), F.col("before")))
+    return shown.select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", F.length("data").cast("long").alias("full_len"), F.hex(F.substring("data", 1, SHOWN)).alias("data"), "changed")
 
 
 def changed_masks(frames: DataFrame) -> DataFrame:
     """(seq, changed) of all frames: bit i is set if byte i differs from the previous frame of the ID and kind."""
     rows = with_previous(frames, ["key", "kind"], {"data": "before"})
-    mask = F.aggregate(changed_places(F.col("data"), F.col("before")), F.lit(0).cast("long"), lambda a, i: a + F.pow(F.lit(2.0), i).cast("long"))
-    return rows.select("seq", mask.alias("changed"))
+    return rows.select("seq", changed_mask(F.col("data"), F.col("before")).alias("changed"))
+
+
+def matched_bytes(frames: DataFrame, rules: list) -> DataFrame:
+    """(seq, bytes): the payload bytes of each frame that its data rules matched, in order, each once."""
+    rows = with_previous(frames, ["key", "kind"], {"data": "before"}) if any(isinstance(r, Changes) for r in rules) else frames
+
+    def places(rule: object) -> Column:
+        if isinstance(rule, Changes):
+            return changed_places(F.col("data"), F.col("before"))
+        return F.when(_rule(rule), F.array(F.lit(rule.byte))).otherwise(F.array().cast("array<int>"))
+
+    return rows.select("seq", F.array_sort(F.array_distinct(F.concat(F.array().cast("array<int>"), *map(places, rules)))).alias("bytes"))
+
+
+def with_selected(spec: FrameFilter, selected: int | None) -> FrameFilter:
+    """A filter narrowed to one ID, if one is selected: nothing matches if the filter's own keys leave it out."""
+    if selected is None:
+        return spec
+    return replace(spec, keys=[selected] if spec.keys is None or selected in spec.keys else [])
 
 
 def row_bytes(frames: DataFrame, first: int, count: int) -> DataFrame:
@@ -133,9 +174,17 @@ def frame_at(frames: DataFrame, t_ns: int) -> DataFrame:
     return frames.groupBy("key").agg(F.coalesce(last, first).alias("f")).select("key", "f.ts_ns", "f.seq", "f.data")
 
 
-def search(summary: DataFrame, text: str) -> DataFrame:
-    """IDs whose label has the text, in any case."""
-    return summary.where(F.lower(ff.id_label(F.col("id"))).contains(text.lower()))
+def search(summary: DataFrame, text: str, names: DataFrame | None = None) -> DataFrame:
+    """IDs whose label has the text, in any case, or whose message or one of its signals has it.
+
+    names: (channel, id, message, signals), as decode.names_of gives them.
+    """
+    has = F.lower(ff.id_label(F.col("id"))).contains(text.lower())
+    if names is None:
+        return summary.where(has)
+    both = summary.join(names.withColumnsRenamed({"message": "_message", "signals": "_signals"}), ["channel", "id"], "left")
+    named = F.lower("_message").contains(text.lower()) | F.exists("_signals", lambda x: F.lower(x).contains(text.lower()))
+    return both.where(has | F.coalesce(named, F.lit(False))).drop("_message", "_signals")
 
 
 def trimmed(frames: DataFrame, cutoff_ns: int) -> DataFrame:

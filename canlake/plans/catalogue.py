@@ -269,8 +269,7 @@ def decode_all(df: DataFrame) -> DataFrame:
 
 @query("value_labels", "SELECT CASE b1 WHEN 1 THEN 'click' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' WHEN 4 THEN 'view' END AS label, count(*) AS frames FROM frames WHERE key = 256 AND b1 IS NOT NULL GROUP BY 1")
 def value_labels(df: DataFrame) -> DataFrame:
-    signal = next(s for s in demo.database().messages[0].signals if s.name == "Code")
-    return decode.labelled(decode.decode_signal(df, scopes(), 256, "Code"), signal).groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
+    return decode.labelled(df, scopes(), 256, "Code").groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
 
 
 _SERIES = f"s AS (SELECT seq, ts_ns, (b2 + b3 * 256) * CAST(0.01 AS DOUBLE) AS value FROM frames WHERE key = {KEY} AND b3 IS NOT NULL)"
@@ -294,11 +293,14 @@ def series_view(df: DataFrame) -> DataFrame:
     return series.view(value_series(df), T0, T1, 5)
 
 
-_LANES = "\nUNION ALL ".join(f"SELECT {i} AS byte, {BUCKET.replace(str(BUCKETS - 1), '5').replace(str(BUCKETS), '6')} AS bucket, ts_ns, seq, CAST(b{i} AS DOUBLE) AS value FROM frames WHERE key = {KEY} AND b{i} IS NOT NULL AND {WINDOW}" for i in range(8))
+_LANES = "\nUNION ALL ".join(f"SELECT {i} AS byte, {BUCKET.replace(str(BUCKETS - 1), '5').replace(str(BUCKETS), '6')} AS inner_bucket, ts_ns, seq, CAST(b{i} AS DOUBLE) AS value FROM frames WHERE key = {KEY} AND b{i} IS NOT NULL" for i in range(8))
 
 
-@query("byte_lanes", f"""--cte l AS ({_LANES}), e AS (SELECT *, row_number() OVER (PARTITION BY byte, bucket ORDER BY value, seq) AS lo, row_number() OVER (PARTITION BY byte, bucket ORDER BY value DESC, seq) AS hi FROM l)
-SELECT CAST(byte AS BIGINT) AS byte, bucket, ts_ns, value FROM e WHERE lo = 1 OR hi = 1""")
+@query("byte_lanes", f"""--cte l AS ({_LANES}),
+n AS (SELECT *, CASE WHEN ts_ns < {T0} THEN -1 WHEN ts_ns > {T1} THEN 6 ELSE inner_bucket END AS bucket, row_number() OVER (PARTITION BY byte, ts_ns < {T0} ORDER BY ts_ns DESC, seq DESC) AS back, row_number() OVER (PARTITION BY byte, ts_ns > {T1} ORDER BY ts_ns, seq) AS ahead FROM l),
+c AS (SELECT *, count(*) OVER (PARTITION BY byte) AS points FROM n WHERE {WINDOW} OR (ts_ns < {T0} AND back = 1) OR (ts_ns > {T1} AND ahead = 1)),
+e AS (SELECT *, row_number() OVER (PARTITION BY byte, bucket ORDER BY value, seq) AS lo, row_number() OVER (PARTITION BY byte, bucket ORDER BY value DESC, seq) AS hi FROM c)
+SELECT CAST(byte AS BIGINT) AS byte, CAST(bucket AS BIGINT) AS bucket, ts_ns, value FROM e WHERE lo = 1 OR hi = 1 OR points <= 12""")
 def byte_lanes(df: DataFrame) -> DataFrame:
     return series.byte_lanes(df, KEY, T0, T1, 6)
 

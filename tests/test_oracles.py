@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from canlake.plans import catalogue
+from canlake.plans import analytics, catalogue  # noqa: F401
 
 TABLES = ["events"]
 
