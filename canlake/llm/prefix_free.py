@@ -146,13 +146,13 @@ def _repeats(phrases: pa.Table, window: int) -> pa.RecordBatch:
 
 
 def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra) of each document, in bytes of its UTF-8 text.
+    """(doc_id, n_units, n_removed, n_spans, kept, kept_text, kept_sha256, extra) of each document, in bytes of its UTF-8 text.
 
     A byte goes if it lies in a string of `window` bytes that starts earlier as well: in a document of smaller id, or
     earlier in its own. Null texts are empty; null ids come last; documents of one id are ordered by two hashes of their
     texts, and of equal rows all but one are later copies. Matches never cross documents. Other columns are not read,
     except those to keep, which come in the struct extra. Phrases are named by a 128-bit hash, and a task's memory grows
-    with its longest text. Cuts can fall inside a code point, so what is kept is binary; see `valid_text`.
+    with its longest text. Cuts can fall inside a code point, so what is kept is binary; kept_text leaves such bytes out.
     """
     texts = bucketed(counted(placed(docs, doc_id, text, keep)))
 
@@ -162,15 +162,3 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
         return np.frombuffer(data, np.uint8)[~gone].tobytes(), n, int(gone.sum()), len(runs(gone)[0])
 
     return removed(texts, repeated_spans(texts, window, gram, group), cut)
-
-
-def valid_text(rows: DataFrame, column: str = "kept", out: str = "text") -> DataFrame:
-    """rows with the text of a binary column as `out`, without the bytes of code points that were cut through; null stays null."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            texts = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(b.schema.get_field_index(column)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], f"`{out}` string"])
-    return rows.mapInArrow(run, schema)

@@ -144,7 +144,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
 
 
 def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra) of each document, in words; kept words are joined by one space.
+    """(doc_id, n_units, n_removed, n_spans, kept, kept_text, kept_sha256, extra) of each document, in words; kept words are joined by one space.
 
     A word goes if it lies in a run of `window` words that starts earlier as well: in a document of smaller id, or
     earlier in its own. Null texts have no words; null ids come last; documents of one id are ordered by two hashes of

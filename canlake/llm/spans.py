@@ -238,9 +238,9 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed(texts: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray], tuple[bytes, int, int, int]]) -> DataFrame:
-    """One row for each document: (doc_id, n_units, n_removed, n_spans, kept, kept_sha256, extra); kept is binary.
+    """One row for each document: (doc_id, n_units, n_removed, n_spans, kept, kept_text, kept_sha256, extra).
 
-    texts: counted rows. spans: (doc, tie, twin, start, length) in units of a document. cut(data, spans) gives the kept
+    kept is binary; kept_text is without the bytes of code points that were cut through. texts: counted rows. spans: (doc, tie, twin, start, length) in units of a document. cut(data, spans) gives the kept
     bytes, the units, those removed and the removed runs; it gets None for a further copy of an equal row, all of whose
     windows start earlier.
     """
@@ -257,7 +257,7 @@ def removed(texts: DataFrame, spans: DataFrame, cut: Callable[[bytes, np.ndarray
                     of = np.array([items.values.field(0).to_numpy(), items.values.field(1).to_numpy()], np.int64)
                 out.append((doc.as_py(), *cut(text.as_py().encode(), None if copy.as_py() else of)))
             ids, kept, units, gone, n_spans = zip(*out)
-            arrays = [pa.array(ids, pa.int64()), pa.array(units, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), b.column(4)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_sha256", "extra"])
+            arrays = [pa.array(ids, pa.int64()), pa.array(units, pa.int64()), pa.array(gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), b.column(4)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", "extra"])
 
-    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string, extra {texts.schema['extra'].dataType.simpleString()}")
+    return joined.mapInArrow(run, f"doc_id long, n_units long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string, extra {texts.schema['extra'].dataType.simpleString()}")

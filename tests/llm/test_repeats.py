@@ -126,7 +126,7 @@ def test_repeated_strings(spark, sf):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash"))
     for group in (4096, 2):
-        got = prefix_free.remove_repeated_strings(df, group=group).drop("kept", "extra").collect()
+        got = prefix_free.remove_repeated_strings(df, group=group).drop("kept", "kept_text", "extra").collect()
         assert sorted(map(tuple, got)) == want
 
 
@@ -166,14 +166,17 @@ def test_long_words_of_two_letters(spark):
     assert {r.n_removed for r in recompression.remove_repeated_words(df).collect()} == {0}
     short = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard.similar_components(short).collect()) == [(1, 1), (2, 2), (3, 1)]
-    got = prefix_free.remove_repeated_strings(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).drop("kept", "extra").collect()
+    got = prefix_free.remove_repeated_strings(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).drop("kept", "kept_text", "extra").collect()
     assert sorted(map(tuple, got)) == sorted(brute_removed([(1, one), (2, two)], lambda t: list(t.encode()), 100, bytes))
 
 
-def test_valid_text(spark):
-    rows = [(1, "aé�b".encode()[:-1]), (2, "é".encode()[1:] + "x�".encode()), (3, None), (4, b"")]
-    got = prefix_free.valid_text(spark.createDataFrame(rows, "i long, kept binary")).collect()
-    assert {r.i: r.text for r in got} == {1: "aé�", 2: "x�", 3: None, 4: ""}
+def test_cut_code_points_go_and_genuine_marks_stay(spark):
+    shared = "".join(chr(0x100 + i) for i in range(60))
+    rows = [(1, "\ufffd" + shared + " end"), (2, "a" + shared[:-1] + chr(0x100 + 60) + "\ufffd"), (3, None)]
+    got = {r.doc_id: r for r in prefix_free.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = (rows[1][1]).encode()
+    assert got[1].kept_text == rows[0][1] and got[3].kept_text == "" and got[2].n_removed == 119
+    assert bytes(got[2].kept) == kept[:1] + kept[120:] and got[2].kept_text == "a\ufffd"
 
 
 def test_repeated_words(spark, sf):
@@ -183,7 +186,7 @@ def test_repeated_words(spark, sf):
     want = sorted(brute_removed(rows, lambda t: WORD.findall((t or "").encode()), 20, b" ".join))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc", F.lit("clash"))
-    got = recompression.remove_repeated_words(df).drop("kept", "extra").collect()
+    got = recompression.remove_repeated_words(df).drop("kept", "kept_text", "extra").collect()
     assert sorted(map(tuple, got)) == want
     assert recompression.remove_repeated_words(df.limit(0)).count() == 0
     got = recompression.remove_repeated_words(spark.createDataFrame([(4, "w " + " ".join(map(str, range(30))))] * 3, "doc_id long, text string")).collect()
