@@ -44,7 +44,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = prefix_free.remove_repeated_strings(docs, keep=[*others, "n_chars"])
-    shown = prefix_free.valid_text(cut.select("doc_id", "n_removed", "kept", "extra")).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    shown = cut.select("doc_id", "n_removed", F.col("kept_text").alias("text"), "extra").where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.col("n_removed") == 0, F.col("extra.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return shown.select("doc_id", "text", length.alias("n_chars"), *[F.col(f"extra.{c}").alias(c) for c in others]).select(*docs.columns)
 
