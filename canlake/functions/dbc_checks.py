@@ -8,7 +8,7 @@ from dataclasses import asdict
 
 from canlake import schema
 from canlake.functions import bits
-from canlake.functions.dbc import Database, Message, Scope, Signal
+from canlake.functions.dbc import Attribute, Database, Message, Scope, Signal
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
@@ -123,5 +123,7 @@ def from_json(text: str) -> list[Scope]:
     for item in json.loads(text):
         d = item["database"]
         messages = tuple(Message(**{k: v for k, v in m.items() if k != "signals"}, signals=tuple(Signal(**{k: _tuples(v) for k, v in s.items()}) for s in m.get("signals", []))) for m in d.get("messages", []))
-        out.append(Scope(Database(messages, tuple(d.get("nodes", [])), _tuples(d.get("value_tables", []))), item.get("channel")))  # type: ignore[arg-type]
+        rest = {k: _tuples(v) for k, v in d.items() if k not in ("messages", "attributes")}
+        attributes = tuple(Attribute(**a) for a in d.get("attributes", []))
+        out.append(Scope(Database(messages, attributes=attributes, **rest), item.get("channel")))  # type: ignore[arg-type]
     return out

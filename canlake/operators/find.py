@@ -64,8 +64,8 @@ def find_signal(frames: DataFrame, rules: list[Rule], length: int | None = None,
     """(key, start, size, order, score) of the best ranges whose steps fit all rules; all of them, in no order, without a limit.
 
     The ranges of an ID are those that fit its shortest frame (of MAX_PAYLOAD bytes at most). With `length`, they are those
-    that fit so many bytes, and IDs with a shorter frame are left out. Each rule's window is paired up once, and a pair of
-    frames meets the ranges of its ID's length from a small table, so the frames are read once for a rule.
+    that fit so many bytes, and IDs with a shorter frame are left out. A pair of neighbouring frames meets the ranges of its
+    ID's length from a small table, and all rules are counted in one aggregate.
     """
     shortest = frames.groupBy("key").agg(F.min(F.coalesce(F.length("data"), F.lit(0))).alias("least"))
     size_of = shortest.select("key", F.least("least", F.lit(MAX_PAYLOAD)).alias("least")) if length is None else shortest.where(F.col("least") >= length).select("key", F.lit(length).alias("least"))
@@ -78,16 +78,22 @@ def find_signal(frames: DataFrame, rules: list[Rule], length: int | None = None,
     lengths = frames.sparkSession.range(1, MAX_PAYLOAD + 1).select(F.col("id").cast("int").alias("least")) if length is None else frames.sparkSession.range(1).select(F.lit(length).alias("least"))
     ranges = F.broadcast(lengths.join(fits, F.col("last") < F.col("least")).select("least", "range", "byte", "big", "shift", "mask"))
 
-    scored: list[DataFrame] = []
-    for n, rule in enumerate(rules):
-        inside = rows.where(F.col("ts_ns").between(rule.t0_ns, rule.t1_ns))
-        pairs = with_previous(inside, ["key"], {"data": "before"}).where("before is not null").select("key", "least", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
-        steps = pairs.join(ranges, "least").select("key", "range", (_value("now") - _value("then")).alias("step"))
-        sums = steps.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("step") > 0).alias("up"), F.count_if(F.col("step") < 0).alias("down"))
-        moves = F.col("up") + F.col("down")
-        score = {INCREASES: F.greatest(F.col("up") - F.col("down"), F.lit(0)) / (moves + 1), DECREASES: F.greatest(F.col("down") - F.col("up"), F.lit(0)) / (moves + 1), CHANGES: moves / F.col("n"), CONSTANT: 1 - moves / F.col("n")}[rule.says]
-        scored.append(sums.select("key", "range", score.alias(f"s{n}")))
-    joined = reduce(lambda a, b: a.join(b, ["key", "range"]), scored)
-    total = reduce(lambda a, b: a * b, [F.col(f"s{n}") for n in range(len(rules))])
-    best = joined.select("key", "range", total.alias("score")).where("score > 0").join(fits, "range").select("key", "start", "size", "order", "score", "range")
+    # a pair counts for each rule whose window holds both of its frames, so the frames are paired, and meet the ranges, once
+    rows = rows.where(F.col("ts_ns").between(min(r.t0_ns for r in rules), max(r.t1_ns for r in rules)))
+    paired = with_previous(rows, ["key"], {"data": "before", "ts_ns": "then_ns"}).where("before is not null")
+    inside = [(F.col("then_ns") >= r.t0_ns) & (F.col("ts_ns") <= r.t1_ns) for r in rules]
+    pairs = paired.where(reduce(lambda a, b: a | b, inside)).select("key", "least", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"), *[c.alias(f"in{n}") for n, c in enumerate(inside)])
+    marks = [f"in{n}" for n in range(len(rules))]
+    steps = pairs.join(ranges, "least").select("key", "range", *marks, (_value("now") - _value("then")).alias("step"))
+    counts = [(F.count_if(m), F.count_if(F.col(m) & (F.col("step") > 0)), F.count_if(F.col(m) & (F.col("step") < 0))) for m in marks]
+    sums = steps.groupBy("key", "range").agg(*[c.alias(f"{name}{n}") for n, group in enumerate(counts) for name, c in zip(("n", "up", "down"), group)])
+
+    def score(n: int, rule: Rule) -> Column:
+        up, down, count = F.col(f"up{n}"), F.col(f"down{n}"), F.col(f"n{n}")
+        moves = up + down
+        return {INCREASES: F.greatest(up - down, F.lit(0)) / (moves + 1), DECREASES: F.greatest(down - up, F.lit(0)) / (moves + 1), CHANGES: moves / F.nullif(count, F.lit(0)), CONSTANT: 1 - moves / F.nullif(count, F.lit(0))}[rule.says]
+
+    total = reduce(lambda a, b: a * b, [score(n, rule) for n, rule in enumerate(rules)])
+    met = reduce(lambda a, b: a & b, [F.col(f"n{n}") > 0 for n in range(len(rules))])
+    best = sums.where(met).select("key", "range", total.alias("score")).where("score > 0").join(fits, "range").select("key", "start", "size", "order", "score", "range")
     return (best if limit is None else best.orderBy(F.desc("score"), "size", "key", "range").limit(limit)).drop("range")

@@ -1,110 +1,295 @@
-"""Suggested signals: what the bytes, words and bits of unknown messages look like, from native aggregates over the whole log.
+"""Suggested signals: what the ranges of bits of unknown messages look like, from native aggregates over the whole log.
 
-Candidates are whole bytes, 16-bit words of either order and single bits. Each gets the best of these readings: counter,
-checksum (sum, complemented sum, exclusive or), enumeration, smoothly changing value (signed or not), flag. Only a row
-for each candidate reaches the greedy choice of ranges that don't overlap.
+1. Each ID's bits get their change rates, and runs of falling rates give the ranges to look at: whole runs, neighbouring
+   runs together, their pieces between steep drops, 8 to 32 bits from each piece's start, widened over constant bits.
+2. Pairs of neighbouring frames meet the ranges of their ID, and a few aggregates for each range decide between readings:
+   counter, enumeration, smoothly changing value (signed or not), 32-bit float; flags and toggles come from single bits,
+   checksums from whole bytes.
+3. Only a row for each candidate reaches the greedy choice of ranges that don't overlap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import bits
 from canlake.functions.frames import payload_bytes
-from canlake.operators.history import with_previous
+from canlake.operators.history import with_index, with_previous
 from canlake.operators.stats import bit_flips
 
 # Thresholds and weights of the readings.
-MIN_SCORE, MOST, FLAG_RATE, ENUM_RATE, SMALL_STEP, WRAP, LENGTH_SHARE = 0.35, 16, 0.05, 0.2, 0.2, 0.75, 0.99
+MIN_SCORE, MOST, FLAG_RATE, TOGGLE_RATE, ENUM_RATE, SMALL_STEP, WRAP, LENGTH_SHARE = 0.35, 16, 0.05, 0.3, 0.2, 0.2, 0.75, 0.99
+RATE_TOLERANCE, CUT_RATIO, MAX_CUTS, MAX_JOINED, SMALL_SHARE, WRAP_SHARE = 1.25, 3.0, 3, 3, 0.85, 0.02
 HIGH, MEDIUM = 0.85, 0.6
-#: Readings of a place: its byte, and the words of either order that start with it.
-BYTE, LITTLE_WORD, BIG_WORD = range(3)
+# Polynomials of 8-bit checksums, and the window and weights of markers.
+POLYNOMIALS = [0x1D, 0x2F, 0x07, 0x9B]
+MARKER_NS, MARKER_WEIGHT, MARKER_MOST = 1_000_000_000, 0.15, 0.25
+#: Bits of the widest range, and places from which a wide one's low bits are judged apart.
+WIDEST, SPLITS = 32, (8, 16, 24)
+_PAYLOAD = "kind in ('data', 'reassembled')"
 
 
 def lengths(frames: DataFrame) -> DataFrame:
     """Per ID the longest payload length that nearly all data frames have."""
-    counts = frames.where("kind in ('data', 'reassembled') and length(data) > 0").groupBy("key", F.length("data").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    counts = frames.where(f"{_PAYLOAD} and length(data) > 0").groupBy("key", F.length("data").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     longer = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     share = F.sum("n").over(longer) / F.sum("n").over(Window.partitionBy("key"))
     return counts.withColumn("share", share).where(F.col("share") >= LENGTH_SHARE).groupBy("key").agg(F.max("size").alias("size"))
 
 
+def _runs(rates: np.ndarray, order: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of each run of bits, from the least significant on, whose rates fall or stay about level."""
+    out, at = [], 0
+    while at < len(order):
+        first = at
+        if rates[order[at]] > 0:
+            while at + 1 < len(order) and 0 < rates[order[at + 1]] <= rates[order[at]] * RATE_TOLERANCE:
+                at += 1
+            out.append((first, at))
+        at += 1
+    return out
+
+
+def ranges_of(rates: np.ndarray) -> set[tuple[int, int, str]]:
+    """(start, size, order) of the ranges of 2 to WIDEST bits to look at in a payload whose bits change at these rates."""
+    size, found = len(rates), set()
+    for name in (bits.LITTLE, bits.BIG):
+        order = np.arange(size) if name == bits.LITTLE else np.arange(size).reshape(-1, 8)[::-1].reshape(-1)
+        runs = _runs(rates, order)
+        joined = [(runs[i][0], runs[j][1]) for i in range(len(runs)) for j in range(i, min(i + MAX_JOINED, len(runs))) if all(runs[k][1] + 1 == runs[k + 1][0] for k in range(i, j))]
+        for low, high in joined:
+            drops = sorted(((-rates[order[k]] / rates[order[k + 1]], k + 1) for k in range(low, high) if rates[order[k + 1]] > 0 and rates[order[k]] / rates[order[k + 1]] > CUT_RATIO))
+            bounds = sorted({low, high + 1, *(k for _, k in drops[:MAX_CUTS])})
+            spans = {(a, b - 1) for i, a in enumerate(bounds) for b in bounds[i + 1 :]} | {(a, a + w - 1) for a in bounds[:-1] for w in (8, 16, 32) if a + w - 1 <= high}
+            for a, b in list(spans):
+                while a % 8 == 0 and (b - a + 1) % 8 and b + 1 < size and rates[order[b + 1]] == 0:
+                    b += 1
+                if (b - a + 1) % 8 == 0:
+                    spans.add((a, b))
+            for a, b in spans:
+                if 2 <= b - a + 1 <= WIDEST:
+                    inside = order[a] // 8 == order[b] // 8
+                    found.add((int(min(order[a], order[b])), b - a + 1, bits.LITTLE) if name == bits.LITTLE or inside else (int(order[b]), b - a + 1, bits.BIG))
+    for byte in range(size // 8 - 3):  # words that may be floats
+        if rates[8 * byte : 8 * byte + 32].any():
+            found |= {(8 * byte, 32, bits.LITTLE), (8 * byte + 7, 32, bits.BIG)}
+    return found
+
+
+def _ranges(rates: DataFrame) -> DataFrame:
+    """(key, start, width, order, first, count, shift, range) of each ID's ranges; rates: (key, bit, rate, size)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(int(rows["size"].iloc[0]) * 8)
+        rows = rows[rows.bit < len(table)]
+        table[rows.bit] = rows.rate
+        out = []
+        for n, (start, size, order) in enumerate(sorted(ranges_of(table))):
+            places = [b for b, _ in bits.positions(start, size, order)]
+            low = bits.positions(start, size, order)[0]
+            out.append((rows.key.iloc[0], n, start, size, order, min(places), max(places) - min(places) + 1, low[1]))
+        return pd.DataFrame(out, columns=["key", "range", "start", "width", "order", "first", "count", "shift"])
+
+    return rates.groupBy("key").applyInPandas(run, "key long, range int, start int, width int, order string, first int, count int, shift int")
+
+
+def _value(payload: str) -> Column:
+    """A range's bits in an array of payload bytes."""
+    part = lambda i: F.when(F.col("count") > i, F.call_function("shiftleft", F.get(F.col(payload), F.col("first") + i).cast("long"), F.when(F.col("order") == bits.LITTLE, 8 * i).otherwise(8 * (F.col("count") - 1 - i))))
+    word = part(0)
+    for i in range(1, 5):
+        word = word + F.coalesce(part(i), F.lit(0).cast("long"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width")) - 1
+    return F.call_function("shiftright", word, F.col("shift")).bitwiseAND(mask)
+
+
+def _rates(frames: DataFrame) -> DataFrame:
+    flips = bit_flips(frames).select("key", (F.col("byte") * 8 + F.col("bit")).cast("int").alias("bit"), F.when(F.col("pairs") > 0, F.col("flips") / F.col("pairs")).otherwise(0.0).alias("rate"), "flips", "pairs")
+    return flips.join(lengths(frames), "key").where(F.col("bit") < 8 * F.col("size"))
+
+
 def _pairs(frames: DataFrame) -> DataFrame:
-    """(key, range, now, before) of neighbouring data frames, for the ranges that fit."""
-    rows = frames.where("kind in ('data', 'reassembled')").select("seq", "ts_ns", "key", "data").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
-    both = with_previous(rows, ["key"], {"data": "before"}).where("before is not null")
-    both = both.select("key", "size", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
-    # a row for each byte of the ID's length, whatever it is; range = 3 x byte + reading
-    at = lambda c, i: F.get(F.col(c), F.col("byte") + i).cast("long")
-    spread = both.select("key", "size", "now", "then", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("byte"))
-    placed = spread.select("key", "size", "byte", *[at(c, i).alias(f"{c}{i}") for c in ("now", "then") for i in (0, 1)])
-    inner = F.col("byte") + 1 < F.col("size")
-    reading = lambda form, f: F.struct((F.col("byte") * 3 + form).alias("range"), f("now").alias("now"), f("then").alias("before"))
-    word = lambda low, high: lambda c: F.col(f"{c}{low}") + F.col(f"{c}{high}") * 256
-    made = F.array(reading(BYTE, lambda c: F.col(f"{c}0")), F.when(inner, reading(LITTLE_WORD, word(0, 1))), F.when(inner, reading(BIG_WORD, word(1, 0))))
-    return placed.select("key", F.explode(made).alias("v")).where("v is not null").select("key", "v.range", "v.now", "v.before")
-
-
-def _checksums(frames: DataFrame) -> DataFrame:
-    """(key, byte, frames, best): the largest share of frames in which the last byte follows from the others by one rule."""
-    rows = frames.where("kind in ('data', 'reassembled')").join(lengths(frames), "key").where((F.length("data") == F.col("size")) & (F.col("size") >= 2))
-    rows = rows.select("key", "size", payload_bytes(F.col("data")).alias("b"))
-    body, last = F.slice("b", 1, F.col("size") - 1), F.element_at("b", -1)
-    total = F.aggregate(body, F.lit(0), lambda a, x: a + x) % 256
-    folded = F.aggregate(body, F.lit(0), lambda a, x: a.bitwiseXOR(x))
-    hits = {"sum": total == last, "complement": (F.lit(255) - total) == last, "xor": folded == last}
-    found = rows.groupBy("key", (F.col("size") - 1).alias("byte")).agg(F.count(F.lit(1)).alias("frames"), *[(F.count_if(c) / F.count(F.lit(1))).alias(n) for n, c in hits.items()])
-    return found.select("key", "byte", "frames", F.greatest(*hits).alias("share"))
-
-
-def scored(frames: DataFrame) -> DataFrame:
+    """(key, size, ts_ns, then_ns, at, now, then) of neighbouring data frames of an ID's length, as arrays of bytes."""
+    rows = frames.where(_PAYLOAD).select("seq", "ts_ns", "key", "data").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
+    both = with_previous(rows, ["key"], {"data": "before", "ts_ns": "then_ns"}).where("before is not null")
+    return both.select("key", "size", "seq", "ts_ns", "then_ns", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
+
+
+def crc8(polynomial: int) -> np.ndarray:
+    """The table of an 8-bit checksum with this polynomial."""
+    table = np.arange(256, dtype=np.uint16)
+    for _ in range(8):
+        table = np.where(table & 0x80, (table << 1) ^ polynomial, table << 1) & 0xFF
+    return table.astype(np.uint8)
+
+
+def _rules(body: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
+    """What a byte differs by from each rule over the others (frames x bytes); a checksum differs by a constant."""
+    out = {}
+    for polynomial in POLYNOMIALS:
+        table, state = crc8(polynomial), np.zeros(len(body), np.uint8)
+        for column in body.T:
+            state = table[state ^ column]
+        out[f"CRC-8 0x{polynomial:02X}"] = own ^ state
+    total = body.sum(axis=1, dtype=np.uint64).astype(np.uint8)
+    return out | {"XOR": own ^ np.bitwise_xor.reduce(body, axis=1), "sum": own - total, "complement": own + total}
+
+
+def checksums(frames: DataFrame, random_bytes: DataFrame) -> DataFrame:
+    """(key, byte, rule, share): bytes that follow from the others by a rule and a constant, with the best rule's share of frames.
+
+    random_bytes: (key, byte) to look at. Differences are counted in their batches first, so a few rows for each leave a task.
+    """
+    rows = frames.where(_PAYLOAD).join(lengths(frames), "key").where((F.length("data") == F.col("size")) & (F.col("size") >= 2)).select("key", "data")
+    wanted = random_bytes.groupBy("key").agg(F.collect_list("byte").alias("bytes"))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            out: list[pd.DataFrame] = []
+            for key, of in b.to_pandas().groupby("key"):
+                data = np.frombuffer(b"".join(of["data"]), np.uint8).reshape(len(of), -1)
+                for byte in of["bytes"].iloc[0]:
+                    for rule, left in _rules(np.delete(data, byte, axis=1), data[:, byte]).items():
+                        counts = np.bincount(left, minlength=256)
+                        seen = np.flatnonzero(counts)
+                        out.append(pd.DataFrame({"key": key, "byte": byte, "rule": rule, "constant": seen, "n": counts[seen]}))
+            if out:
+                yield pa.RecordBatch.from_pandas(pd.concat(out), schema=pa.schema([("key", pa.int64()), ("byte", pa.int32()), ("rule", pa.string()), ("constant", pa.int32()), ("n", pa.int64())]), preserve_index=False)
+
+    counted = rows.join(wanted, "key").mapInArrow(run, "key long, byte int, rule string, constant int, n long").groupBy("key", "byte", "rule", "constant").agg(F.sum("n").alias("n"))
+    shares = counted.groupBy("key", "byte", "rule").agg((F.max("n") / F.sum("n")).alias("share"))
+    return shares.groupBy("key", "byte").agg(F.max_by("rule", "share").alias("rule"), F.max("share").alias("share"))
+
+
+def flags(frames: DataFrame, rates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, start, score) of single bits that switch seldom, or toggle at a steady pace, and don't move with a neighbour."""
+    some = rates.where((F.col("flips") > 0) & (F.col("rate") < TOGGLE_RATE)).select("key", "bit", "rate")
+    near = F.array(*[F.struct(F.lit(d).alias("step"), on.alias("on")) for d, on in ((-1, F.lit(True)), (1, F.lit(True)), (15, F.col("bit") % 8 == 0), (-15, F.col("bit") % 8 == 7))])
+    beside = some.select("key", "bit", "rate", F.explode(near).alias("n")).where("n.on").select("key", "bit", "rate", (F.col("bit") + F.col("n.step")).alias("other"))
+    beside = beside.join(rates.select("key", F.col("bit").alias("other"), F.col("rate").alias("other_rate")), ["key", "other"]).where("other_rate > 0")
+    lists = some.join(beside.groupBy("key", "bit").agg(F.collect_list(F.struct("other", "other_rate")).alias("others")), ["key", "bit"], "left")
+    numbered = with_index(pairs.select("key", "seq", "ts_ns", "now", "then"), ["key"], "at")
+    flipped = lambda bit: F.getbit(F.get("now", (bit / 8).cast("int")).bitwiseXOR(F.get("then", (bit / 8).cast("int"))), bit % 8) == 1
+    changes = numbered.join(lists, "key").where(flipped(F.col("bit")))
+    was = F.getbit(F.get("then", (F.col("bit") / 8).cast("int")), F.col("bit") % 8)
+    changes = changes.select("key", "bit", "rate", "at", was.alias("was"), F.transform("others", lambda o: F.struct(o["other"].alias("other"), o["other_rate"].alias("rate"), flipped(o["other"]).alias("too"))).alias("others"))
+    together = changes.select("key", "bit", F.explode("others").alias("o")).groupBy("key", "bit", "o.other").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("o.too").cast("int")).alias("share"), F.first("o.rate").alias("other_rate"))
+    moves = together.where((F.col("share") > 0.4) & (F.col("share") > F.col("other_rate") + 0.3) & ((F.col("n") >= 3) | (F.col("other_rate") < FLAG_RATE))).select("key", "bit").distinct()
+    # runs of a toggling bit, on and off, against the typical one
+    length = F.col("at") - F.lag("at").over(Window.partitionBy("key", "bit").orderBy("at"))
+    lasting = changes.where(F.col("rate") >= FLAG_RATE).withColumn("run", length).where("run is not null")
+    typical = lasting.groupBy("key", "bit", "was").agg(F.percentile("run", 0.5).alias("typical"))
+    steady = lasting.join(typical, ["key", "bit", "was"]).groupBy("key", "bit", "was").agg(F.count(F.lit(1)).alias("runs"), F.avg((F.abs(F.col("run") - F.col("typical")) <= F.greatest(F.floor(F.col("typical") / 4), F.lit(1))).cast("int")).alias("near"))
+    paced = steady.where("runs >= 4 and near >= 0.6").groupBy("key", "bit").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").select("key", "bit")
+    seldom = some.where(F.col("rate") < FLAG_RATE).withColumn("score", 0.5 + 0.2 * (1 - F.col("rate") / FLAG_RATE))
+    often = some.where(F.col("rate") >= FLAG_RATE).join(paced, ["key", "bit"], "left_semi").withColumn("score", F.lit(0.5))
+    return seldom.unionByName(often).join(moves, ["key", "bit"], "left_anti").select("key", F.col("bit").alias("start"), "score")
+
+
+def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     """(key, start, size, order, kind, score) of every candidate that has a reading."""
-    pairs = _pairs(frames)
-    form = F.col("range") % 3
-    modulus = F.when(form == BYTE, 256).otherwise(65536)
-    step = F.pmod(F.col("now") - F.col("before"), modulus)
-    commonest = pairs.groupBy("key", "range", step.alias("step")).agg(F.count(F.lit(1)).alias("k")).groupBy("key", "range").agg(F.max(F.when(F.col("step") != 0, F.col("k"))).alias("most"))
-    half = F.floor(modulus / 2)
+    rates, pairs = _rates(frames), _pairs(frames)
+    ranges = _ranges(rates.select("key", "bit", "rate", "size"))
+    met = pairs.join(ranges, "key").select("key", "range", "start", "width", "order", "ts_ns", "then_ns", _value("now").alias("now"), _value("then").alias("before"))
+    modulus = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
+    half = F.call_function("shiftright", modulus, F.lit(1))
     signed = lambda c: F.when(F.col(c) >= half, F.col(c) - modulus).otherwise(F.col(c))
-    wide = pairs.withColumn("snow", signed("now")).withColumn("sbefore", signed("before"))
-    spread = wide.groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("now") != F.col("before")).alias("changes"), F.count_distinct("now").alias("distinct"), *[f(c).alias(f"{n}_{c}") for c in ("now", "snow") for n, f in (("min", F.min), ("max", F.max))])
-    joined = wide.join(spread, ["key", "range"])
+    wide = met.withColumn("snow", signed("now")).withColumn("sbefore", signed("before"))
+    real = lambda c: F.when(F.col("width") == 32, bits.float32(F.col(c)))
+    wide = wide.withColumn("fnow", real("now")).withColumn("fbefore", real("before"))
+    plausible = (F.col("fnow") == 0) | F.abs("fnow").between(1e-6, 1e6)
+    by = ["key", "range", "start", "width", "order"]
+    ends = [f(c).alias(f"{n}_{c}") for c in ("now", "snow", "fnow") for n, f in (("min", F.min), ("max", F.max))]
+    spread = wide.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("now") != F.col("before")).alias("changes"), F.count_distinct("now").alias("distinct"), F.bit_or(F.col("now").bitwiseXOR(F.col("before"))).alias("varying"),
+        F.avg(plausible.cast("int")).alias("plausible"), F.percentile_approx(F.when(F.col("fnow") != 0, F.abs("fnow")), 0.05, 1000).alias("low"), (F.min(F.shiftright("now", 23).bitwiseAND(F.lit(255).cast("long"))) != F.max(F.shiftright("now", 23).bitwiseAND(F.lit(255).cast("long")))).alias("exponents"), *ends,
+    )
+    joined = wide.join(spread, by)
+
+    step = F.pmod(F.col("now") - F.col("before"), modulus)
+    other = F.when((F.col("max_now") >= 1) & (F.col("max_now") + 1 < modulus), F.pmod(F.col("now") - F.col("before"), F.col("max_now") + 1))
+    both = joined.where(F.col("changes") >= 0.9 * F.col("n")).select("key", "range", "n", F.explode(F.array(F.struct(F.lit(0).alias("narrow"), step.alias("step")), F.struct(F.lit(1).alias("narrow"), other.alias("step")))).alias("s")).where("s.step is not null")
+    commonest = both.groupBy("key", "range", "n", "s.narrow", "s.step").agg(F.count(F.lit(1)).alias("k")).groupBy("key", "range", "n", "narrow").agg(F.max("k").alias("all"), F.max(F.when(F.col("step") != 0, F.col("k"))).alias("k"))
+    share = F.when(F.col("k") == F.col("all"), F.col("k") / F.col("n"))
+    counters = commonest.groupBy("key", "range").agg(F.max(F.when(F.col("narrow") == 0, share)).alias("share"), F.max(F.when(F.col("narrow") == 1, share)).alias("narrow_share"))
 
     def moves(now: str, before: str) -> list[Column]:
         size, width = F.abs(F.col(now) - F.col(before)), F.col(f"max_{now}") - F.col(f"min_{now}")
         moved = F.col(now) != F.col(before)
-        return [(F.count_if(moved & (size <= SMALL_STEP * width)) / F.count_if(moved)).alias(f"small_{now}"), (F.count_if(size >= WRAP * width) / F.count(F.lit(1))).alias(f"wraps_{now}")]
+        count = F.greatest(F.count_if(moved), F.lit(1))
+        return [(F.count_if(moved & (size <= F.greatest(SMALL_STEP * width, F.lit(1.0)))) / count).alias(f"small_{now}"), (F.count_if(moved & (width >= 4) & (size > WRAP * width)) / count).alias(f"wraps_{now}")]
+
+    def carries(name: str, now: Column, before: Column, split: int) -> list[Column]:
+        """Of steps by one of the bits above a place, those in which the bits below wrapped the same way; and small steps of these."""
+        low = lambda c: c.bitwiseAND(F.lit((1 << split) - 1).cast("long"))
+        up = F.shiftright(now, split) - F.shiftright(before, split)
+        same = ((up == 1) & (low(now) < low(before))) | ((up == -1) & (low(now) > low(before)))
+        around = F.pmod(low(now) - low(before), F.lit(1 << split))
+        small = F.least(around, F.lit(1 << split) - around) <= (1 << (split - 3))
+        stepped, moved = F.abs(up) == 1, low(now) != low(before)
+        agree = F.when(F.count_if(stepped) >= 5, F.count_if(stepped & same) / F.count_if(stepped) >= 0.8)
+        calm = F.coalesce(F.count_if(moved & small) / F.nullif(F.count_if(moved), F.lit(0)) >= 0.6, F.lit(True))
+        return [F.coalesce(agree, calm).alias(name)]
 
-    smooth = joined.where("changes > 0").groupBy("key", "range").agg(*moves("now", "before"), *moves("snow", "sbefore"))
-    stats = spread.join(commonest, ["key", "range"]).join(smooth, ["key", "range"])
+    mantissa = lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFF).cast("long"))
+    belongs = [c for split in SPLITS for c in carries(f"split_{split}", F.col("now"), F.col("before"), split)]
+    smooth = joined.where("changes > 0").groupBy("key", "range").agg(*moves("now", "before"), *moves("snow", "sbefore"), *moves("fnow", "fbefore"), *belongs, *carries("mantissa", mantissa("now"), mantissa("before"), 16))
+    stats = spread.join(smooth, ["key", "range"]).join(counters, ["key", "range"], "left")
     rate = F.col("changes") / F.col("n")
-    share = F.col("most") / F.col("n")
-    byte = form == BYTE
-    counter = F.when((F.col("n") >= 8) & (rate >= 0.9) & (share >= 0.9), 0.6 + 0.38 * (share - 0.9) / 0.1)
-    enum = F.when(byte & F.col("distinct").between(2, 16) & (rate <= ENUM_RATE), 0.55 + 0.25 * (1 - rate / ENUM_RATE))
+    best = F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce("narrow_share", F.lit(0.0)))
+    narrower = F.when(F.coalesce("narrow_share", F.lit(0.0)) > F.coalesce("share", F.lit(0.0)), 0.03).otherwise(0.0)
+    counter = F.when((F.col("n") >= 8) & (best >= 0.9), 0.6 + 0.38 * (best - 0.9) / 0.1 - narrower)
+    enum = F.when(F.col("distinct").between(2, 16) & (rate <= ENUM_RATE) & (F.bit_count("varying") >= 2), 0.55 + 0.25 * (1 - rate / ENUM_RATE))
+    whole = F.lit(True)
+    for split in SPLITS:
+        whole = whole & ((F.col("width") <= split) | F.col(f"split_{split}"))
+    aligned = F.when((F.col("width") % 8 == 0) & (F.col("start") % 8 == F.when(F.col("order") == bits.BIG, 7).otherwise(0)), 0.03).otherwise(0.0)
 
     def value(c: str) -> Column:
-        ok = (F.col("distinct") >= 12) & (F.col(f"small_{c}") >= 0.85) & (F.col(f"wraps_{c}") <= 0.02)
-        return F.when(ok, 0.45 + 0.3 * (F.col(f"small_{c}") - 0.85) / 0.15 + 0.15 * F.least(F.log2("distinct") / 12, F.lit(1.0)) - 15 * F.col(f"wraps_{c}") + 0.03)
+        ok = whole & (F.col("width") >= 4) & (F.col("distinct") >= 12) & (F.col(f"small_{c}") >= SMALL_SHARE) & (F.col(f"wraps_{c}") <= WRAP_SHARE)
+        return F.when(ok, 0.45 + 0.3 * (F.col(f"small_{c}") - SMALL_SHARE) / 0.15 + 0.15 * F.least(F.log2("distinct") / 12, F.lit(1.0)) - 15 * F.col(f"wraps_{c}") + aligned)
 
     crosses = (F.col("min_snow") < 0) & (F.col("max_snow") > 0)
     plain, both_signs = value("now"), F.when(crosses, value("snow"))
-    use_signed = both_signs.isNotNull() & (plain.isNull() | (F.col("wraps_snow") < F.col("wraps_now")))
-    readings = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(k).alias("kind"))) for k, s in (("counter", counter), ("enum", enum), ("signed", F.when(use_signed, both_signs)), ("continuous", F.when(~use_signed, plain)))]))
-    first = (F.col("range") - form) / 3 * 8
-    name = F.struct((first + F.when(form == BIG_WORD, 7).otherwise(0)).cast("int").alias("start"), F.when(form == BYTE, 8).otherwise(16).alias("size"), F.when(form == BIG_WORD, bits.BIG).otherwise(bits.LITTLE).alias("order"))
-    read = stats.select("key", name.alias("c"), F.array_max(readings).alias("r")).where("r is not null")
-    out = read.select("key", "c.start", "c.size", "c.order", "r.kind", "r.score")
+    use_signed = both_signs.isNotNull() & (plain.isNull() | (F.col("wraps_snow") < F.col("wraps_now")) | (F.col("small_snow") > F.col("small_now") + 0.05))
+    is_float = (F.col("width") == 32) & (F.col("plausible") >= 0.99) & (F.col("distinct") >= 16) & (F.col("exponents") | F.col("mantissa")) & (F.col("small_fnow") >= SMALL_SHARE) & (F.col("wraps_fnow") <= WRAP_SHARE) & (F.greatest(F.abs("min_fnow"), F.abs("max_fnow")) <= F.col("low") * 1e6)
+    floating = F.when(is_float & (F.col("max_fnow") > F.col("min_fnow")), 0.65 + 0.3 * (F.col("small_fnow") - SMALL_SHARE) / 0.15 - 15 * F.col("wraps_fnow") - F.when(F.col("exponents"), 0.0).otherwise(0.05))
+    readings = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(k).alias("kind"))) for k, s in (("counter", counter), ("enum", enum), ("signed", F.when(use_signed, both_signs)), ("continuous", F.when(~use_signed, plain)), ("float", floating))]))
+    read = stats.select(*by, rate.alias("rate"), F.array_max(readings).alias("r")).where("r is not null")
+    if markers_ns:
+        read = read.join(_near_markers(met, read.select("key", "range", "rate"), markers_ns), ["key", "range"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    else:
+        read = read.withColumn("boost", F.lit(0.0))
+    out = read.select("key", "start", F.col("width").alias("size"), "order", "r.kind", (F.col("r.score") + F.col("boost")).alias("score"))
+
+    # bytes that change on most frames may be checksums
+    bytes_ = pairs.select("key", "size", F.posexplode("now").alias("byte", "now"), "then").select("key", "size", "byte", "now", F.get("then", "byte").alias("was")).where("byte < size")
+    busy = bytes_.groupBy("key", "size", "byte").agg(F.avg((F.col("now") != F.col("was")).cast("int")).alias("moving"), F.count_distinct("now").alias("values")).where("moving >= 0.5 and values >= 16")
+    found = checksums(frames, busy.select("key", "byte"))
+    even = rates.groupBy("key", F.floor(F.col("bit") / 8).cast("int").alias("byte")).agg(F.min("rate").alias("least"), F.max("rate").alias("most"))
+    told = busy.join(even, ["key", "byte"]).join(found, ["key", "byte"], "left")
+    unknown = F.when((F.col("byte") == F.col("size") - 1) & (F.col("least") >= 0.3) & (F.col("most") <= 0.7) & (F.col("values") >= 64), 0.4)
+    score = F.when(F.col("share") >= 0.995, 0.97).when(F.col("share") >= 0.9, 0.6 + 1.5 * (F.col("share") - 0.9)).otherwise(unknown)
+    one = lambda rows, kind, size: rows.select("key", "start", F.lit(size).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit(kind).alias("kind"), "score")
+    out = out.unionByName(one(told.withColumn("score", score).where("score is not null").withColumn("start", (F.col("byte") * 8).cast("int")), "checksum", 8))
+    return out.unionByName(one(flags(frames, rates, pairs), "flag", 1))
+
 
-    sums = _checksums(frames).where("share >= 0.9 and frames >= 8")
-    out = out.unionByName(sums.select("key", (F.col("byte") * 8).cast("int").alias("start"), F.lit(8).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit("checksum").alias("kind"), F.when(F.col("share") >= 0.995, 0.97).otherwise(0.6 + 1.5 * (F.col("share") - 0.9)).alias("score")))
-    flag = bit_flips(frames).withColumn("rate", F.col("flips") / F.col("pairs")).where((F.col("flips") > 0) & (F.col("rate") < FLAG_RATE))
-    return out.unionByName(flag.select("key", (F.col("byte") * 8 + F.col("bit")).cast("int").alias("start"), F.lit(1).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit("flag").alias("kind"), (0.5 + 0.2 * (1 - F.col("rate") / FLAG_RATE)).alias("score")))
+def _near_markers(met: DataFrame, rates: DataFrame, markers_ns: list[int]) -> DataFrame:
+    """(key, range, boost): for ranges that change unusually often within a second of some markers (a few tens at most)."""
+    marks = F.broadcast(met.sparkSession.createDataFrame([(i, m - MARKER_NS, m + MARKER_NS) for i, m in enumerate(markers_ns)], "marker long, low long, high long"))
+    near = met.join(marks, (F.col("then_ns") >= F.col("low")) & (F.col("ts_ns") <= F.col("high"))).groupBy("key", "range", "marker").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("now") != F.col("before")).alias("moved"))
+    hit = near.join(rates, ["key", "range"]).where((F.col("moved") >= 1) & (F.col("moved") >= 3.0 * F.col("rate") * F.col("pairs") + 0.5))
+    return hit.groupBy("key", "range").agg(F.least(MARKER_WEIGHT * F.count(F.lit(1)), F.lit(MARKER_MOST)).alias("boost"))
 
 
-def suggest(frames: DataFrame) -> DataFrame:
+def suggest(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     """(key, start, size, order, kind, score, level): for each ID its best readings that don't overlap, at most MOST, or one a byte of longer IDs."""
     kinds = "key long, start int, size int, order string, kind string, score double"
     most = lengths(frames).select("key", F.greatest(F.lit(MOST), "size").alias("most"))
@@ -112,18 +297,25 @@ def suggest(frames: DataFrame) -> DataFrame:
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         taken: set[tuple[int, int]] = set()
         kept = []
-        for r in rows.sort_values(["score", "start", "size", "order"], ascending=[False, True, True, True]).itertuples(index=False):
+        for r in rows.sort_values(["score", "size", "start", "order"], ascending=[False, True, True, True]).itertuples(index=False):
             own = set(bits.positions(r.start, r.size, r.order))
             if r.score >= MIN_SCORE and not own & taken and len(kept) < r.most:
                 taken |= own
                 kept.append(r)
         return pd.DataFrame(kept, columns=rows.columns).drop(columns="most")
 
-    best = scored(frames).select("key", "start", "size", "order", "kind", "score").join(most, "key").groupBy("key").applyInPandas(choose, kinds)
+    best = scored(frames, markers_ns).select("key", "start", "size", "order", "kind", "score").join(most, "key").groupBy("key").applyInPandas(choose, kinds)
     score = F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(0.99)), 2)
     return best.withColumn("score", score).withColumn("level", F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low"))
 
 
 def unknown_only(suggestions: DataFrame, known: DataFrame) -> DataFrame:
-    """Suggestions none of whose starting bits a database already describes; known: (key, bit)."""
-    return suggestions.join(known.select("key", F.col("bit").alias("start")).distinct(), ["key", "start"], "left_anti")
+    """Suggestions none of whose bits a database already describes; known: (key, bit)."""
+    little = F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)
+    # the bits of a big-endian range follow each other when each byte's are counted from the top
+    top = F.floor(F.col("start") / 8) * 8 + 7 - F.col("start") % 8
+    big = F.transform(F.sequence(top, top + F.col("size") - 1), lambda p: F.floor(p / 8) * 8 + 7 - p % 8)
+    covered = F.when(F.col("order") == bits.LITTLE, little.cast("array<long>")).otherwise(big.cast("array<long>"))
+    names = ["key", "start", "size", "order"]
+    over = suggestions.select(*names, F.explode(covered).alias("bit")).join(known.select("key", F.col("bit").cast("long").alias("bit")).distinct(), ["key", "bit"], "left_semi").select(*names).distinct()
+    return suggestions.join(over, names, "left_anti")

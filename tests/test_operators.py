@@ -1,3 +1,4 @@
+import math
 import random
 import struct
 
@@ -170,11 +171,11 @@ def test_suggestions_name_what_the_bytes_are(spark):
     level = 30000
     for i in range(600):
         level += rng.randint(-40, 40)
-        data = [i % 256, level % 256, level // 256, 3 if (i // 60) % 2 else 7, rng.randrange(256), (i // 200) & 1, 0]
+        data = [i % 256, level % 256, level // 256, 3 if (i // 60) % 2 else 12, rng.randrange(256), (i // 200) & 1, 0]
         rows.append((i, i * 10, 9, 0, bytearray([*data, sum(data) % 256])))
     got = {(r.start, r["size"]): (r.kind, r.level) for r in suggest.suggest(log(spark, rows)).collect()}
     assert got[0, 8] == ("counter", "high") and got[56, 8] == ("checksum", "high")
-    assert got[8, 16][0] in ("continuous", "signed") and (24, 8) in got and got[24, 8][0] == "enum"
+    assert got[8, 16][0] in ("continuous", "signed") and (24, 4) in got and got[24, 4][0] == "enum"
     assert not any(start in range(32, 40) for start, _ in got)
 
 
@@ -184,9 +185,63 @@ def test_suggestions_reach_all_bytes_of_long_payloads(spark):
     for i in range(600):
         level += rng.randint(-40, 40)
         data = bytearray(rng.randrange(256) for _ in range(20))
-        data[9], data[12], data[13], data[15], data[17] = i % 256, level // 256, level % 256, 3 if (i // 60) % 2 else 7, (i // 200) & 1
+        data[9], data[12], data[13], data[15], data[17] = i % 256, level // 256, level % 256, 3 if (i // 60) % 2 else 12, (i // 200) & 1
         data += bytes((i * (b + 1) * 2 + i) % 256 for b in range(20))
         rows.append((i, i * 10, 9, 0, data))
     got = {(r.start, r["size"], r.order): r.kind for r in suggest.suggest(log(spark, rows)).collect()}
-    assert got[72, 8, "little"] == "counter" and got[120, 8, "little"] == "enum" and got[103, 16, "big"] in ("continuous", "signed")
+    assert got[72, 8, "little"] == "counter" and got[120, 4, "little"] == "enum" and got[103, 16, "big"] in ("continuous", "signed")
     assert any(136 <= start < 144 for start, *_ in got) and len(got) > suggest.MOST and max(start for start, *_ in got) >= 8 * 36
+
+
+def test_suggestions_of_narrow_fields_floats_and_crcs(spark):
+    rng = random.Random(3)
+    table, speed, rows, blink = suggest.crc8(0x1D), 60.0, [], 0
+    for i in range(900):
+        speed = abs(speed + rng.uniform(-0.2, 0.25))
+        blink = (i // 9) % 2
+        level = int(600 + 500 * math.sin(i / 40))
+        data = bytearray([i % 16 | (level & 15) << 4, level >> 4 & 255, blink | (32 if 430 <= i < 610 else 0), *struct.pack("<f", speed)])
+        crc = 0xFF
+        for b in data:
+            crc = int(table[crc ^ b])
+        rows.append((i, i * 10**8, 9, 0, data + bytes([crc ^ 0xFF])))
+    frames = log(spark, rows)
+    found = {(r.start, r["size"], r.order): r for r in suggest.suggest(frames).collect()}
+    kinds = {k: r.kind for k, r in found.items()}
+    assert kinds[0, 4, "little"] == "counter" and kinds[56, 8, "little"] == "checksum" and found[56, 8, "little"].score == 0.97
+    assert kinds[24, 32, "little"] == "float"
+    assert any(k == "continuous" and start == 4 and size in (11, 12) for (start, size, _), k in kinds.items())
+    assert kinds[16, 1, "little"] == "flag" and kinds[21, 1, "little"] == "flag" and found[16, 1, "little"].score == 0.5
+    known = spark.createDataFrame([(9, 58), (9, 2)], "key long, bit int")
+    left = {(r.start, r["size"]) for r in suggest.unknown_only(suggest.suggest(frames), known).collect()}
+    assert (56, 8) not in left and (0, 4) not in left and (24, 32) in left
+
+
+def test_checksum_rules_and_markers(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(500):
+        body = [rng.randrange(256) for _ in range(5)]
+        folded = 0
+        for b in body:
+            folded ^= b
+        rows += [(3 * i, i * 10**8, 1, 0, bytearray([*body, (sum(body) + 7) % 256])), (3 * i + 1, i * 10**8, 2, 0, bytearray([folded ^ 0x33, *body])), (3 * i + 2, i * 10**8, 3, 0, bytearray([3 if 200 <= i < 210 else 5, 0]))]
+    frames = log(spark, rows)
+    found = {(r.key, r.byte): (r.rule, r.share) for r in suggest.checksums(frames, spark.createDataFrame([(1, 5), (2, 0)], "key long, byte int")).collect()}
+    assert found == {(1, 5): ("sum", 1.0), (2, 0): ("XOR", 1.0)}
+    plain = {(r.key, r.start, r["size"]): r.score for r in suggest.scored(frames.where("key = 3")).collect()}
+    near = {(r.key, r.start, r["size"]): r.score for r in suggest.scored(frames.where("key = 3"), [200 * 10**8]).collect()}
+    raised = {k for k in near if near[k] > plain[k] + 0.1}
+    assert raised and all(k[0] == 3 for k in raised)
+
+
+def test_ranges_follow_change_rates():
+    import numpy as np
+
+    rates = np.zeros(64)
+    rates[0:4], rates[4:12] = [1, 0.5, 0.25, 0.12], [0.9, 0.5, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02]
+    found = suggest.ranges_of(rates)
+    assert (0, 4, "little") in found and (4, 8, "little") in found and (0, 12, "little") in found
+    big = np.zeros(16)
+    big[8:16], big[0:3] = [0.9, 0.45, 0.22, 0.11, 0.06, 0.03, 0.02, 0.01], [0.006, 0.003, 0.002]
+    assert (2, 11, "big") in suggest.ranges_of(big) and (7, 16, "big") in suggest.ranges_of(big)
