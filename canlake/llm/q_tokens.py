@@ -7,14 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from canlake.llm import pieces
 from canlake.llm.common import table
 
-#: The folder of public tokenizers, and the model taken from it.
-TOKENIZERS = "/opt/tokenizers"
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The setting that names the folder of public tokenizers on the driver, where it is by default, and the model taken from it.
+SETTING, TOKENIZERS, NAME = "spark.canlake.tokenizers", "/opt/tokenizers", "piece_bpe_32k.model"
+MODEL = f"{TOKENIZERS}/{NAME}"
+
+
+def model(spark: SparkSession) -> str:
+    """The model's path; only the driver reads it."""
+    return f"{spark.conf.get(SETTING, TOKENIZERS)}/{NAME}"
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every whole text, with their piece ids."""
-    return pieces.sample_encodings(table(spark, sf_dir, "documents"), MODEL, samples=2)
+    return pieces.sample_encodings(table(spark, sf_dir, "documents"), model(spark), samples=2)
 
 
 QUERIES = {"op9_sentencepiece": op9_sentencepiece}
