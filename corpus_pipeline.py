@@ -60,7 +60,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each text, as piece ids."""
-    return pieces.sample_encodings(docs, q_tokens.MODEL, samples=2)
+    return pieces.sample_encodings(docs, q_tokens.model(spark), samples=2)
 
 
 STAGES = [
