@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canlake import schema
-from canlake.functions import frames as ff
 
 CSV_COLUMNS = ["timestamp", "channel", "arbitration_id", "extended", "remote", "error", "fd", "brs", "esi", "dlc", "dir", "data"]
 # The first time that formats with a start time can hold, 1900, and days from TRC's epoch to 1970.
