@@ -1,7 +1,8 @@
 """Suggested signals: what the ranges of bits of unknown messages look like, from native aggregates over the whole log.
 
 1. Each ID's bits get their change rates, and runs of falling rates give the ranges to look at: whole runs, neighbouring
-   runs together, their pieces between steep drops, 8 to 32 bits from each piece's start, widened over constant bits.
+   runs together, their pieces between steep drops, 8 to 32 bits from each piece's start, widened over constant bits; and
+   whole bytes and words.
 2. Pairs of neighbouring frames meet the ranges of their ID, and a few aggregates for each range decide between readings:
    counter, enumeration, smoothly changing value (signed or not), 32-bit float; flags and toggles come from single bits,
    checksums from whole bytes.
@@ -76,9 +77,11 @@ def ranges_of(rates: np.ndarray) -> set[tuple[int, int, str]]:
                 if 2 <= b - a + 1 <= WIDEST:
                     inside = order[a] // 8 == order[b] // 8
                     found.add((int(min(order[a], order[b])), b - a + 1, bits.LITTLE) if name == bits.LITTLE or inside else (int(order[b]), b - a + 1, bits.BIG))
-    for byte in range(size // 8 - 3):  # words that may be floats
-        if rates[8 * byte : 8 * byte + 32].any():
-            found |= {(8 * byte, 32, bits.LITTLE), (8 * byte + 7, 32, bits.BIG)}
+    # whole bytes and words beside random bits, whose rates tell no border, and words that may be floats
+    for byte in range(size // 8):
+        for width in (8, 16, 32):
+            if 8 * byte + width <= size and rates[8 * byte : 8 * byte + width].any():
+                found |= {(8 * byte, width, bits.LITTLE)} | ({(8 * byte + 7, width, bits.BIG)} if width > 8 else set())
     return found
 
 
