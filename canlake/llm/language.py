@@ -27,7 +27,7 @@ DIM, LONGEST, PER_LANGUAGE, LANDMARKS, RIDGE = 1 << 14, 4, 400, 192, 1e-3
 BATCH, SHARPNESS = 256, 6.0
 UNKNOWN = "und"
 #: Slices of a language's keys that are ordered apart from each other.
-SLICES = 64
+SLICES = 16
 #: A text whose score is less than this share of the way from an even share of the languages to 1 is in none of them.
 LEAST_LEAD = 0.125
 #: Letters, and bytes of letters outside ASCII, count; everything else is a blank.
