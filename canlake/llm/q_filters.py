@@ -46,7 +46,7 @@ cells AS (SELECT part, failed, good, toxic, count(*) AS n FROM d GROUP BY ALL),
 orders AS (SELECT * FROM (VALUES {_ORDERS}) AS v(filter_order)),
 steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM orders, range(1, 6) AS r(step)),
 judged AS (
-  SELECT part, filter_order, step, f, n, good, toxic, failed, contains(failed, f) AS fails, len(list_filter(string_split(failed, ''), lambda x: contains(before, x))) > 0 AS gone
+  SELECT part, filter_order, step, f, n, good, toxic, failed, contains(failed, f) AS fails, len(list_filter(string_split(failed, ''), lambda x: x <> '' AND contains(before, x))) > 0 AS gone
   FROM cells, steps
 ),
 counted AS (

@@ -1,15 +1,17 @@
-"""Queries that turn texts into tokens: SentencePiece encoding."""
+"""Queries that turn texts into tokens: SentencePiece encoding and token counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canlake.llm import pieces
+from canlake.llm import pieces, token_counts
 from canlake.llm.common import table
 
 #: The setting that names the folder of public tokenizers on the driver, where it is by default, and the model taken from it.
 SETTING, TOKENIZERS, NAME = "spark.canlake.tokenizers", "/opt/tokenizers", "piece_bpe_32k.model"
 MODEL = f"{TOKENIZERS}/{NAME}"
+#: The tokenizer that counts, and the tokens above which a text is over its limit.
+WORD_NAME, LIMIT = "word_bpe_49k.json", 2048
 
 
 def model(spark: SparkSession) -> str:
@@ -17,10 +19,19 @@ def model(spark: SparkSession) -> str:
     return f"{spark.conf.get(SETTING, TOKENIZERS)}/{NAME}"
 
 
+def word_model(spark: SparkSession) -> str:
+    return f"{spark.conf.get(SETTING, TOKENIZERS)}/{WORD_NAME}"
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every whole text, with their piece ids."""
     return pieces.sample_encodings(table(spark, sf_dir, "documents"), model(spark), samples=2)
 
 
-QUERIES = {"op9_sentencepiece": op9_sentencepiece}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every whole text."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), word_model(spark), LIMIT)
+
+
+QUERIES = {"op9_sentencepiece": op9_sentencepiece, "op12_token_counts": op12_token_counts}
 ORACLES: dict = {}
