@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -26,6 +27,17 @@ _NONE = np.int64(1 << 40)
 _PROBE = ("a", "b's", "12", "é!")
 
 
+def _ascii_pattern(data: dict) -> str | None:
+    """What a file's pre-tokens match in printable ASCII without blanks, where only case is normalised and bytes stand for themselves."""
+    normal = [n["type"] for n in (data["normalizer"] or {}).get("normalizers", [])]
+    steps = (data["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if set(normal) != {"NFC", "Replace", "Lowercase"} or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
+        return None
+    blanks = [n["pattern"] for n in data["normalizer"]["normalizers"] if n["type"] == "Replace"]
+    plain = blanks == [{"Regex": r"\s+"}] and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True) and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    return steps[0]["pattern"].get("Regex") if plain else None
+
+
 @dataclass
 class Merges:
     """A BPE model's merges as arrays, with its library's normaliser and pre-tokeniser; of fixed size."""
@@ -39,7 +51,8 @@ class Merges:
     last: np.ndarray
     together: bool
     specials: list[str]
-    _library: Tokenizer | None = field(default=None, repr=False)
+    pattern: str | None = None
+    _library: tuple | None = field(default=None, repr=False)
 
     @classmethod
     def load(cls, path: str) -> Merges:
@@ -73,20 +86,20 @@ class Merges:
         for r, to in rank.values():
             made[to] = max(r, made.get(to, -1))
         together = all(made.get(s, -1) < r for (a, b), (r, _) in rank.items() for s in (a, b))
-        return cls(definition, keys[order], ranks, result, size, first, last, together, [t["content"] for t in added])
+        return cls(definition, keys[order], ranks, result, size, first, last, together, [t["content"] for t in added], _ascii_pattern(data))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_library": None}
 
-    @property
-    def library(self) -> Tokenizer:
-        if self._library is None:
-            self._library = Tokenizer.from_str(self.definition)
-        return self._library
-
     def pre_tokens(self, text: str) -> list[str]:
         """The library's pre-tokens of a text without special strings, a char for each byte."""
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text) if self.library.normalizer else text)]
+        if self._library is None:
+            made = Tokenizer.from_str(self.definition)
+            self._library = (made.normalizer.normalize_str if made.normalizer else str, made.pre_tokenizer.pre_tokenize_str, regex.compile(self.pattern or "").findall)
+        normal, split, find = self._library
+        if self.pattern and text.isascii() and text.isprintable() and " " not in text:
+            return find(text.lower())
+        return [p for p, _ in split(normal(text))]
 
     def splits_at_space(self) -> bool:
         """Whether white space ends pre-tokens and is dropped, so that words can be counted apart from each other."""
