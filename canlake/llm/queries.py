@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Each module has QUERIES and ORACLES; a module that is missing is an error.
-MODULES = ["q_tables", "q_pages", "q_quality", "q_vectors", "q_repeats", "q_tokens", "q_filters"]
+MODULES = ["q_tables", "q_pages", "q_quality", "q_vectors", "q_repeats", "q_tokens", "q_filters", "q_turns"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -5,7 +5,7 @@ from canlake.llm import queries
 
 TABLES = ["documents", "labels", "conversations"]
 #: Queries added after the tests of the other operators; each equals its SQL on the smallest tables.
-NAMES = ["op13_filter_audit"]
+NAMES = ["op11_conversation_repair", "op13_filter_audit"]
 
 
 @pytest.mark.parametrize("name", NAMES)
