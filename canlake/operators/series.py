@@ -139,21 +139,22 @@ def sample_at(series: DataFrame, times_ns: list[int]) -> DataFrame:
     return found.select(F.inline(F.array(*[F.struct(F.lit(t).cast("long").alias("t_ns"), between(t).alias("value")) for t in times_ns])))
 
 
-def as_of(series: DataFrame, reference: DataFrame, span_ns: int = 86_400_000_000_000) -> DataFrame:
-    """(ts_ns, seq, value, reference): the last reference value at or before each point, null before the first.
+def as_of(series: DataFrame, reference: DataFrame, span_ns: int = 86_400_000_000_000, keep: list[str] | None = None) -> DataFrame:
+    """(ts_ns, seq, value, reference), and the columns of the series to keep: the last reference value at or before each point, null before the first.
 
     The two are merged in spans of time, and each span starts from the last reference of the spans before it, so no
     task sees a whole series.
     """
-    both = series.select("ts_ns", "seq", "value", F.lit(None).cast("double").alias("reference"), F.lit(1).alias("side"))
-    both = both.unionByName(reference.select("ts_ns", "seq", F.lit(None).cast("double").alias("value"), F.col("value").alias("reference"), F.lit(0).alias("side")))
+    keep = keep or []
+    both = series.select("ts_ns", "seq", "value", *keep, F.lit(None).cast("double").alias("reference"), F.lit(1).alias("side"))
+    both = both.unionByName(reference.select("ts_ns", "seq", F.lit(None).cast("double").alias("value"), F.col("value").alias("reference"), F.lit(0).alias("side")), allowMissingColumns=True)
     both = both.withColumn("_span", F.floor(F.col("ts_ns") / F.lit(span_ns)))
     order = Window.partitionBy("_span").orderBy("ts_ns", "side", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = both.groupBy("_span").agg(F.max_by("reference", F.when(F.col("side") == 0, F.struct("ts_ns", "seq"))).alias("_last"))
     upto = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.withColumn("_carried", F.last("_last", ignorenulls=True).over(upto)).drop("_last")
     merged = both.withColumn("reference", F.last("reference", ignorenulls=True).over(order)).where("side = 1")
-    return merged.join(carried, "_span").select("ts_ns", "seq", "value", F.coalesce("reference", "_carried").alias("reference"))
+    return merged.join(carried, "_span").select("ts_ns", "seq", "value", *keep, F.coalesce("reference", "_carried").alias("reference"))
 
 
 def fit(pairs: DataFrame) -> DataFrame:

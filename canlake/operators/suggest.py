@@ -6,11 +6,15 @@
 2. Pairs of neighbouring frames meet the ranges of their ID, and a few aggregates for each range decide between readings:
    counter, enumeration, smoothly changing value (signed or not), 32-bit float; flags and toggles come from single bits,
    checksums from whole bytes.
-3. Only a row for each candidate reaches the greedy choice of ranges that don't overlap.
+3. Ranges that change smoothly are fitted to a reference series, if one is given.
+4. Only a row for each candidate reaches the greedy choice of ranges that don't overlap.
+5. A counter of a few values may select pages: the frames of each value become messages of their own and go through 1, 2
+   and 4 again, within the bytes that change with the page.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +26,9 @@ from pyspark.sql import functions as F
 from canlake.functions import bits
 from canlake.functions.frames import payload_bytes
 from canlake.operators.history import with_index, with_previous
+from canlake.operators.series import as_of
 from canlake.operators.stats import bit_flips
+from canlake.operators.stored import stored
 
 # Thresholds and weights of the readings.
 MIN_SCORE, MOST, FLAG_RATE, TOGGLE_RATE, ENUM_RATE, SMALL_STEP, WRAP, LENGTH_SHARE = 0.35, 16, 0.05, 0.3, 0.2, 0.2, 0.75, 0.99
@@ -31,6 +37,10 @@ HIGH, MEDIUM = 0.85, 0.6
 # Polynomials of 8-bit checksums, and the window and weights of markers.
 POLYNOMIALS = [0x1D, 0x2F, 0x07, 0x9B]
 MARKER_NS, MARKER_WEIGHT, MARKER_MOST = 1_000_000_000, 0.15, 0.25
+# Scores about as good as each other, pages of a selector at most, and what a page's signal must score.
+CLOSE, MOST_PAGES, PAGE_SCORE, CELL_BITS = 0.03, 8, 0.6, 1.5
+# Points and correlation that a fit to a reference needs, and round factors.
+LEAST_POINTS, LEAST_FIT, ROUND_FACTORS = 10, 0.8, [1.0, 2.0, 2.5, 5.0, 10.0]
 #: Bits of the widest range, and places from which a wide one's low bits are judged apart.
 WIDEST, SPLITS = 32, (8, 16, 24)
 _PAYLOAD = "kind in ('data', 'reassembled')"
@@ -85,21 +95,37 @@ def ranges_of(rates: np.ndarray) -> set[tuple[int, int, str]]:
     return found
 
 
-def _ranges(rates: DataFrame) -> DataFrame:
-    """(key, start, width, order, first, count, shift, range) of each ID's ranges; rates: (key, bit, rate, size)."""
+def mask_of(start: int, size: int, order: str) -> int:
+    """A range's bits as a number with bit byte * 8 + bit set for each."""
+    return sum(1 << (8 * b + bit) for b, bit in bits.positions(start, size, order))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros(int(rows["size"].iloc[0]) * 8)
-        rows = rows[rows.bit < len(table)]
-        table[rows.bit] = rows.rate
-        out = []
-        for n, (start, size, order) in enumerate(sorted(ranges_of(table))):
-            places = [b for b, _ in bits.positions(start, size, order)]
-            low = bits.positions(start, size, order)[0]
-            out.append((rows.key.iloc[0], n, start, size, order, min(places), max(places) - min(places) + 1, low[1]))
-        return pd.DataFrame(out, columns=["key", "range", "start", "width", "order", "first", "count", "shift"])
 
-    return rates.groupBy("key").applyInPandas(run, "key long, range int, start int, width int, order string, first int, count int, shift int")
+def _ranges(rates: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """(key, start, width, order, first, count, shift, range, flips) of each ID's ranges; rates: (key, bit, rate, size, flips).
+
+    `flips` are those of the range's bit that changes least often. within: (key, cells, taken) keeps the ranges that
+    touch the bytes `cells`, change in no other bits, and leave the bits `taken` alone.
+    """
+
+    def run(rows: pd.DataFrame, only: pd.DataFrame | None = None) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            table, flips = np.zeros(int(rows["size"].iloc[0]) * 8), np.zeros(int(rows["size"].iloc[0]) * 8, np.int64)
+            rows = rows[rows.bit < len(table)]
+            table[rows.bit], flips[rows.bit] = rows.rate, rows.flips
+            cells, taken = (set(only.cells.iloc[0]), set(only.taken.iloc[0])) if only is not None and len(only) else (None, set())
+            for n, (start, size, order) in enumerate(sorted(ranges_of(table))):
+                at = bits.positions(start, size, order)
+                own, places = [8 * b + bit for b, bit in at], [b for b, _ in at]
+                if cells is not None and (taken.intersection(own) or not cells.intersection(places) or any(table[o] > 0 and b not in cells for o, b in zip(own, places))):
+                    continue
+                out.append((rows.key.iloc[0], n, start, size, order, min(places), max(places) - min(places) + 1, at[0][1], min((int(flips[o]) for o in own if flips[o]), default=0)))
+        return pd.DataFrame(out, columns=["key", "range", "start", "width", "order", "first", "count", "shift", "flips"])
+
+    kinds = "key long, range int, start int, width int, order string, first int, count int, shift int, flips long"
+    if within is None:
+        return rates.groupBy("key").applyInPandas(lambda rows: run(rows), kinds)
+    return rates.groupBy("key").cogroup(within.groupBy("key")).applyInPandas(lambda rows, only: run(rows, only), kinds)
 
 
 def _value(payload: str) -> Column:
@@ -170,8 +196,16 @@ def checksums(frames: DataFrame, random_bytes: DataFrame) -> DataFrame:
     return shares.groupBy("key", "byte").agg(F.max_by("rule", "share").alias("rule"), F.max("share").alias("share"))
 
 
+#: What tells why a candidate reads as it does; null where it doesn't apply.
+REASON = "step long, wraps_at long, share double, low double, high double, distinct long, flips long, rule string, markers int, r double, factor double, offset double"
+
+
+def _reason(**known: Column) -> Column:
+    return F.struct(*[known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (part.split() for part in REASON.split(", "))])
+
+
 def flags(frames: DataFrame, rates: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, start, score) of single bits that switch seldom, or toggle at a steady pace, and don't move with a neighbour."""
+    """(key, start, score, reason) of single bits that switch seldom, or toggle at a steady pace, and don't move with a neighbour."""
     some = rates.where((F.col("flips") > 0) & (F.col("rate") < TOGGLE_RATE)).select("key", "bit", "rate")
     near = F.array(*[F.struct(F.lit(d).alias("step"), on.alias("on")) for d, on in ((-1, F.lit(True)), (1, F.lit(True)), (15, F.col("bit") % 8 == 0), (-15, F.col("bit") % 8 == 7))])
     beside = some.select("key", "bit", "rate", F.explode(near).alias("n")).where("n.on").select("key", "bit", "rate", (F.col("bit") + F.col("n.step")).alias("other"))
@@ -192,14 +226,13 @@ def flags(frames: DataFrame, rates: DataFrame, pairs: DataFrame) -> DataFrame:
     paced = steady.where("runs >= 4 and near >= 0.6").groupBy("key", "bit").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").select("key", "bit")
     seldom = some.where(F.col("rate") < FLAG_RATE).withColumn("score", 0.5 + 0.2 * (1 - F.col("rate") / FLAG_RATE))
     often = some.where(F.col("rate") >= FLAG_RATE).join(paced, ["key", "bit"], "left_semi").withColumn("score", F.lit(0.5))
-    return seldom.unionByName(often).join(moves, ["key", "bit"], "left_anti").select("key", F.col("bit").alias("start"), "score")
+    found = seldom.unionByName(often).join(moves, ["key", "bit"], "left_anti").join(rates.select("key", "bit", "flips"), ["key", "bit"])
+    return found.select("key", F.col("bit").alias("start"), "score", _reason(flips=F.col("flips"), share=F.col("rate")).alias("reason"))
 
 
-def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
-    """(key, start, size, order, kind, score) of every candidate that has a reading."""
-    rates, pairs = _rates(frames), _pairs(frames)
-    ranges = _ranges(rates.select("key", "bit", "rate", "size"))
-    met = pairs.join(ranges, "key").select("key", "range", "start", "width", "order", "ts_ns", "then_ns", _value("now").alias("now"), _value("then").alias("before"))
+def readings(pairs: DataFrame, ranges: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
+    """(key, range, start, size, order, kind, score, reason) of every range that reads as a counter, an enumeration or a value."""
+    met = pairs.join(ranges, "key").select("key", "range", "start", "width", "order", "ts_ns", "then_ns", "flips", _value("now").alias("now"), _value("then").alias("before"))
     modulus = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
     half = F.call_function("shiftright", modulus, F.lit(1))
     signed = lambda c: F.when(F.col(c) >= half, F.col(c) - modulus).otherwise(F.col(c))
@@ -207,10 +240,11 @@ def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     real = lambda c: F.when(F.col("width") == 32, bits.float32(F.col(c)))
     wide = wide.withColumn("fnow", real("now")).withColumn("fbefore", real("before"))
     plausible = (F.col("fnow") == 0) | F.abs("fnow").between(1e-6, 1e6)
-    by = ["key", "range", "start", "width", "order"]
+    by = ["key", "range", "start", "width", "order", "flips"]
     ends = [f(c).alias(f"{n}_{c}") for c in ("now", "snow", "fnow") for n, f in (("min", F.min), ("max", F.max))]
     spread = wide.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("now") != F.col("before")).alias("changes"), F.count_distinct("now").alias("distinct"), F.bit_or(F.col("now").bitwiseXOR(F.col("before"))).alias("varying"),
+        F.count_if(F.bit_count(F.col("now").bitwiseXOR(F.col("before"))) > 1).alias("together"),
         F.avg(plausible.cast("int")).alias("plausible"), F.percentile_approx(F.when(F.col("fnow") != 0, F.abs("fnow")), 0.05, 1000).alias("low"), (F.min(F.shiftright("now", 23).bitwiseAND(F.lit(255).cast("long"))) != F.max(F.shiftright("now", 23).bitwiseAND(F.lit(255).cast("long")))).alias("exponents"), *ends,
     )
     joined = wide.join(spread, by)
@@ -218,9 +252,9 @@ def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     step = F.pmod(F.col("now") - F.col("before"), modulus)
     other = F.when((F.col("max_now") >= 1) & (F.col("max_now") + 1 < modulus), F.pmod(F.col("now") - F.col("before"), F.col("max_now") + 1))
     both = joined.where(F.col("changes") >= 0.9 * F.col("n")).select("key", "range", "n", F.explode(F.array(F.struct(F.lit(0).alias("narrow"), step.alias("step")), F.struct(F.lit(1).alias("narrow"), other.alias("step")))).alias("s")).where("s.step is not null")
-    commonest = both.groupBy("key", "range", "n", "s.narrow", "s.step").agg(F.count(F.lit(1)).alias("k")).groupBy("key", "range", "n", "narrow").agg(F.max("k").alias("all"), F.max(F.when(F.col("step") != 0, F.col("k"))).alias("k"))
+    commonest = both.groupBy("key", "range", "n", "s.narrow", "s.step").agg(F.count(F.lit(1)).alias("k")).groupBy("key", "range", "n", "narrow").agg(F.max("k").alias("all"), F.max(F.when(F.col("step") != 0, F.col("k"))).alias("k"), F.max_by("step", F.when(F.col("step") != 0, F.col("k"))).alias("step"))
     share = F.when(F.col("k") == F.col("all"), F.col("k") / F.col("n"))
-    counters = commonest.groupBy("key", "range").agg(F.max(F.when(F.col("narrow") == 0, share)).alias("share"), F.max(F.when(F.col("narrow") == 1, share)).alias("narrow_share"))
+    counters = commonest.groupBy("key", "range").agg(F.max(F.when(F.col("narrow") == 0, share)).alias("share"), F.max(F.when(F.col("narrow") == 1, share)).alias("narrow_share"), F.max(F.when(F.col("narrow") == 0, F.col("step"))).alias("step"), F.max(F.when(F.col("narrow") == 1, F.col("step"))).alias("narrow_step"))
 
     def moves(now: str, before: str) -> list[Column]:
         size, width = F.abs(F.col(now) - F.col(before)), F.col(f"max_{now}") - F.col(f"min_{now}")
@@ -246,16 +280,21 @@ def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     stats = spread.join(smooth, ["key", "range"]).join(counters, ["key", "range"], "left")
     rate = F.col("changes") / F.col("n")
     best = F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce("narrow_share", F.lit(0.0)))
-    narrower = F.when(F.coalesce("narrow_share", F.lit(0.0)) > F.coalesce("share", F.lit(0.0)), 0.03).otherwise(0.0)
-    counter = F.when((F.col("n") >= 8) & (best >= 0.9), 0.6 + 0.38 * (best - 0.9) / 0.1 - narrower)
-    enum = F.when(F.col("distinct").between(2, 16) & (rate <= ENUM_RATE) & (F.bit_count("varying") >= 2), 0.55 + 0.25 * (1 - rate / ENUM_RATE))
+    is_narrow = F.coalesce("narrow_share", F.lit(0.0)) > F.coalesce("share", F.lit(0.0))
+    narrower = F.when(is_narrow, 0.03).otherwise(0.0)
+    # but for floats, a range begins with a bit that changes, and so does its last byte
+    proper = (F.col("varying").bitwiseAND(F.lit(1).cast("long")) != 0) & (F.call_function("shiftright", F.col("varying"), F.greatest(F.col("width") - 8, F.lit(0))) != 0)
+    counter = F.when(proper & (F.col("n") >= 8) & (best >= 0.9), 0.6 + 0.38 * (best - 0.9) / 0.1 - narrower)
+    # bits that each change several times and hardly ever together are flags of their own
+    separate = (F.col("flips") >= 6) & (F.col("together") * 20 <= F.col("changes"))
+    enum = F.when(proper & F.col("distinct").between(2, 16) & (rate <= ENUM_RATE) & (F.bit_count("varying") >= 2) & ~separate, 0.55 + 0.25 * (1 - rate / ENUM_RATE))
     whole = F.lit(True)
     for split in SPLITS:
         whole = whole & ((F.col("width") <= split) | F.col(f"split_{split}"))
     aligned = F.when((F.col("width") % 8 == 0) & (F.col("start") % 8 == F.when(F.col("order") == bits.BIG, 7).otherwise(0)), 0.03).otherwise(0.0)
 
     def value(c: str) -> Column:
-        ok = whole & (F.col("width") >= 4) & (F.col("distinct") >= 12) & (F.col(f"small_{c}") >= SMALL_SHARE) & (F.col(f"wraps_{c}") <= WRAP_SHARE)
+        ok = proper & whole & (F.col("width") >= 4) & (F.col("distinct") >= 12) & (F.col(f"small_{c}") >= SMALL_SHARE) & (F.col(f"wraps_{c}") <= WRAP_SHARE)
         return F.when(ok, 0.45 + 0.3 * (F.col(f"small_{c}") - SMALL_SHARE) / 0.15 + 0.15 * F.least(F.log2("distinct") / 12, F.lit(1.0)) - 15 * F.col(f"wraps_{c}") + aligned)
 
     crosses = (F.col("min_snow") < 0) & (F.col("max_snow") > 0)
@@ -263,14 +302,27 @@ def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     use_signed = both_signs.isNotNull() & (plain.isNull() | (F.col("wraps_snow") < F.col("wraps_now")) | (F.col("small_snow") > F.col("small_now") + 0.05))
     is_float = (F.col("width") == 32) & (F.col("plausible") >= 0.99) & (F.col("distinct") >= 16) & (F.col("exponents") | F.col("mantissa")) & (F.col("small_fnow") >= SMALL_SHARE) & (F.col("wraps_fnow") <= WRAP_SHARE) & (F.greatest(F.abs("min_fnow"), F.abs("max_fnow")) <= F.col("low") * 1e6)
     floating = F.when(is_float & (F.col("max_fnow") > F.col("min_fnow")), 0.65 + 0.3 * (F.col("small_fnow") - SMALL_SHARE) / 0.15 - 15 * F.col("wraps_fnow") - F.when(F.col("exponents"), 0.0).otherwise(0.05))
-    readings = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(k).alias("kind"))) for k, s in (("counter", counter), ("enum", enum), ("signed", F.when(use_signed, both_signs)), ("continuous", F.when(~use_signed, plain)), ("float", floating))]))
-    read = stats.select(*by, rate.alias("rate"), F.array_max(readings).alias("r")).where("r is not null")
+    read_as = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(k).alias("kind"))) for k, s in (("counter", counter), ("enum", enum), ("signed", F.when(use_signed, both_signs)), ("continuous", F.when(~use_signed, plain)), ("float", floating))]))
+    read = stats.withColumn("rate", rate).withColumn("r", F.array_max(read_as)).where("r is not null")
     if markers_ns:
-        read = read.join(_near_markers(met, read.select("key", "range", "rate"), markers_ns), ["key", "range"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+        read = read.join(_near_markers(met, read.select("key", "range", "rate"), markers_ns), ["key", "range"], "left")
+        read = read.withColumn("markers", F.coalesce("markers", F.lit(0)))
     else:
-        read = read.withColumn("boost", F.lit(0.0))
-    out = read.select("key", "start", F.col("width").alias("size"), "order", "r.kind", (F.col("r.score") + F.col("boost")).alias("score"))
+        read = read.withColumn("markers", F.lit(0))
+    boost = F.least(MARKER_WEIGHT * F.col("markers"), F.lit(MARKER_MOST))
+    is_a = lambda *kinds: F.col("r.kind").isin(*kinds)
+    top = F.when(is_narrow, F.col("max_now") + 1).otherwise(modulus)
+    stepped = F.when(is_narrow, F.col("narrow_step")).otherwise(F.col("step"))
+    end = lambda name: F.when(is_a("signed"), F.col(f"{name}_snow")).when(is_a("float"), F.col(f"{name}_fnow")).when(is_a("continuous", "enum"), F.col(f"{name}_now"))
+    reason = _reason(
+        step=F.when(is_a("counter"), F.when(stepped * 2 > top, stepped - top).otherwise(stepped)), wraps_at=F.when(is_a("counter"), top - 1), share=F.when(is_a("counter"), best),
+        low=end("min"), high=end("max"), distinct=F.when(is_a("enum"), F.col("distinct")), markers=F.col("markers"),
+    )
+    return read.select("key", "range", "start", F.col("width").alias("size"), "order", "r.kind", (F.col("r.score") + boost).alias("score"), reason.alias("reason"))
 
+
+def _checksum_readings(frames: DataFrame, rates: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, start, score, reason) of bytes that read as checksums."""
     # bytes that change on most frames may be checksums
     bytes_ = pairs.select("key", "size", F.posexplode("now").alias("byte", "now"), "then").select("key", "size", "byte", "now", F.get("then", "byte").alias("was")).where("byte < size")
     busy = bytes_.groupBy("key", "size", "byte").agg(F.avg((F.col("now") != F.col("was")).cast("int")).alias("moving"), F.count_distinct("now").alias("values")).where("moving >= 0.5 and values >= 16")
@@ -279,46 +331,321 @@ def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     told = busy.join(even, ["key", "byte"]).join(found, ["key", "byte"], "left")
     unknown = F.when((F.col("byte") == F.col("size") - 1) & (F.col("least") >= 0.3) & (F.col("most") <= 0.7) & (F.col("values") >= 64), 0.4)
     score = F.when(F.col("share") >= 0.995, 0.97).when(F.col("share") >= 0.9, 0.6 + 1.5 * (F.col("share") - 0.9)).otherwise(unknown)
-    one = lambda rows, kind, size: rows.select("key", "start", F.lit(size).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit(kind).alias("kind"), "score")
-    out = out.unionByName(one(told.withColumn("score", score).where("score is not null").withColumn("start", (F.col("byte") * 8).cast("int")), "checksum", 8))
-    return out.unionByName(one(flags(frames, rates, pairs), "flag", 1))
+    return told.withColumn("score", score).where("score is not null").select("key", (F.col("byte") * 8).cast("int").alias("start"), "score", _reason(rule=F.when(F.col("share") >= 0.9, F.col("rule")), share=F.col("share")).alias("reason"))
+
+
+def candidates(frames: DataFrame, markers_ns: list[int] | None = None, within: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every candidate that has a reading, as (key, range, start, size, order, kind, score, reason), and the ranges and rates they come from.
+
+    within: parts of messages to look at, as _ranges takes them; no checksum is looked for there.
+    """
+    rates, pairs = stored(_rates(frames), "rates"), _pairs(frames)
+    ranges = stored(_ranges(rates.select("key", "bit", "rate", "size", "flips"), within), "ranges")
+    # single bits and checksums have numbers below 0, which name their first bit
+    one = lambda rows, kind, size: rows.select("key", (-1 - F.col("start")).alias("range"), "start", F.lit(size).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit(kind).alias("kind"), "score", "reason")
+    found = readings(pairs, ranges, markers_ns).unionByName(one(flags(frames, rates, pairs), "flag", 1))
+    if within is None:
+        found = found.unionByName(one(_checksum_readings(frames, rates, pairs), "checksum", 8))
+    return found, ranges, rates
+
+
+def scored(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
+    """(key, start, size, order, kind, score) of every candidate that has a reading."""
+    return candidates(frames, markers_ns)[0].select("key", "start", "size", "order", "kind", "score")
 
 
 def _near_markers(met: DataFrame, rates: DataFrame, markers_ns: list[int]) -> DataFrame:
-    """(key, range, boost): for ranges that change unusually often within a second of some markers (a few tens at most)."""
+    """(key, range, markers): for ranges that change unusually often within a second of some markers (a few tens at most)."""
     marks = F.broadcast(met.sparkSession.createDataFrame([(i, m - MARKER_NS, m + MARKER_NS) for i, m in enumerate(markers_ns)], "marker long, low long, high long"))
     near = met.join(marks, (F.col("then_ns") >= F.col("low")) & (F.col("ts_ns") <= F.col("high"))).groupBy("key", "range", "marker").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("now") != F.col("before")).alias("moved"))
     hit = near.join(rates, ["key", "range"]).where((F.col("moved") >= 1) & (F.col("moved") >= 3.0 * F.col("rate") * F.col("pairs") + 0.5))
-    return hit.groupBy("key", "range").agg(F.least(MARKER_WEIGHT * F.count(F.lit(1)), F.lit(MARKER_MOST)).alias("boost"))
+    return hit.groupBy("key", "range").agg(F.count(F.lit(1)).cast("int").alias("markers"))
 
 
-def suggest(frames: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
-    """(key, start, size, order, kind, score, level): for each ID its best readings that don't overlap, at most MOST, or one a byte of longer IDs."""
-    kinds = "key long, start int, size int, order string, kind string, score double"
-    most = lengths(frames).select("key", F.greatest(F.lit(MOST), "size").alias("most"))
+def nice(x: float) -> float:
+    """x to three significant digits, or a round factor within 3% of it."""
+    if x == 0 or not math.isfinite(x):
+        return 0.0
+    unit = 10.0 ** math.floor(math.log10(abs(x)))
+    near = next((f for f in ROUND_FACTORS if abs(abs(x) / unit - f) / f < 0.03), None)
+    return math.copysign(float(f"{near * unit:.12g}"), x) if near else float(f"{x:.2e}")
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[tuple[int, int]] = set()
-        kept = []
-        for r in rows.sort_values(["score", "size", "start", "order"], ascending=[False, True, True, True]).itertuples(index=False):
-            own = set(bits.positions(r.start, r.size, r.order))
-            if r.score >= MIN_SCORE and not own & taken and len(kept) < r.most:
-                taken |= own
-                kept.append(r)
-        return pd.DataFrame(kept, columns=rows.columns).drop(columns="most")
 
-    best = scored(frames, markers_ns).select("key", "start", "size", "order", "kind", "score").join(most, "key").groupBy("key").applyInPandas(choose, kinds)
-    score = F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(0.99)), 2)
-    return best.withColumn("score", score).withColumn("level", F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low"))
+def reference_fits(frames: DataFrame, ranges: DataFrame, reference: DataFrame) -> DataFrame:
+    """(key, range, n, r, factor, offset): ranges that follow a reference series (ts_ns, seq, value), |r| 0.8 or more.
 
+    Every frame takes the last reference value at or before it, once for all ranges; sums of the pairs are kept for each
+    range and give correlation and line. ranges: as _ranges gives them, with `signed`. The factor is rounded to three
+    digits or a round number; an offset below one step of the raw value is rounding in the reference and becomes 0.
+    """
+    rows = frames.where(_PAYLOAD).select("seq", "ts_ns", "key", "data").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
+    met = as_of(rows.withColumn("value", F.lit(0.0)), reference, keep=["key", "data"]).where("reference is not null and not isnan(reference)")
+    raw = met.withColumn("now", payload_bytes(F.col("data"))).join(ranges, "key").select("key", "range", "width", "signed", F.col("reference").alias("y"), _value("now").alias("raw"))
+    modulus = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
+    x = F.when(F.col("signed") & (F.col("raw") * 2 >= modulus), F.col("raw") - modulus).otherwise(F.col("raw")).cast("double")
+    sums = raw.withColumn("x", x).groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("slope"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    found = sums.where((F.col("n") >= LEAST_POINTS) & (F.abs("r") >= LEAST_FIT))
 
-def unknown_only(suggestions: DataFrame, known: DataFrame) -> DataFrame:
-    """Suggestions none of whose bits a database already describes; known: (key, bit)."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            factor = p.slope.map(nice)
+            offset = p.my - factor * p.mx
+            yield p[["key", "range", "n", "r"]].assign(factor=factor, offset=[0.0 if abs(o) <= abs(f) else nice(o) for o, f in zip(offset, factor)])
+
+    return found.mapInPandas(run, "key long, range int, n long, r double, factor double, offset double")
+
+
+def _with_fits(found: DataFrame, frames: DataFrame, ranges: DataFrame, reference: DataFrame) -> DataFrame:
+    smooth = found.where("kind in ('continuous', 'signed')").select("key", "range", (F.col("kind") == "signed").alias("signed"))
+    fits = reference_fits(frames, ranges.join(smooth, ["key", "range"]), reference).drop("n")
+    both = found.join(fits, ["key", "range"], "left")
+    score = F.when(F.col("r").isNotNull(), F.col("score") + 0.05 + 0.1 * (F.abs("r") - LEAST_FIT) / 0.2).otherwise(F.col("score"))
+    told = both.withColumn("score", score).withColumn("reason", F.col("reason").withField("r", F.col("r")).withField("factor", F.col("factor")).withField("offset", F.col("offset")))
+    return told.drop("r", "factor", "offset")
+
+
+def moving_pages(frames: DataFrame, ranges: DataFrame, selectors: DataFrame) -> DataFrame:
+    """(key, range) of ranges that move much more from frame to frame than from one frame of a page to its next.
+
+    selectors: (key, pages). A frame meets the one before it and the one `pages` before it by its number in its ID.
+    """
+    rows = frames.where(_PAYLOAD).join(selectors.select("key", "pages"), "key").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
+    numbered = with_index(rows.select("seq", "ts_ns", "key", "pages", "data"), ["key"], "at")
+    for_whom = F.array(*[F.struct((F.col("at") + by).alias("at"), F.lit(i).alias("side")) for i, by in enumerate((F.lit(0), F.lit(1), F.col("pages")))])
+    shared = numbered.select("key", "data", F.explode(for_whom).alias("w")).groupBy("key", "w.at")
+    met = shared.agg(*[F.max(F.when(F.col("w.side") == i, F.col("data"))).alias(name) for i, name in enumerate(("now", "then", "page"))]).where("now is not null and then is not null and page is not null")
+    met = met.select("key", *[payload_bytes(F.col(c)).alias(c) for c in ("now", "then", "page")]).join(ranges, "key")
+    values = met.select("key", "range", *[_value(c).alias(c) for c in ("now", "then", "page")])
+    step = lambda c: F.sum(F.least(F.abs(F.col("now") - F.col(c)), F.lit((1 << 32) - 1))).alias(f"by_{c}")
+    sums = values.groupBy("key", "range").agg(F.count(F.lit(1)).alias("steps"), step("then"), step("page"))
+    return sums.where(F.col("by_then") > 3 * F.col("by_page") + F.col("steps") / 20).select("key", "range")
+
+
+def selectors_of(found: DataFrame) -> DataFrame:
+    """(key, pages, selector): each ID's best counter through at most MOST_PAGES values, which may select pages."""
+    counts = (F.col("kind") == "counter") & (F.col("size") > 1) & (F.col("score") >= 0.9) & (F.col("reason.wraps_at") < MOST_PAGES) & (F.col("reason.share") >= 0.995)
+    best = F.max_by(F.struct("start", "size", "order", "reason.wraps_at"), F.struct("score", -F.col("start"), -F.col("size"), "order")).alias("s")
+    return found.where(counts).groupBy("key").agg(best).select("key", (F.col("s.wraps_at") + 1).cast("int").alias("pages"), F.struct("s.start", "s.size", "s.order").alias("selector"))
+
+
+def pages_of(found: DataFrame, frames: DataFrame, ranges: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, pages, selector, cells) of IDs with a possible selector, and the ranges that change with the page.
+
+    Cells are whole bytes, many of whose bits change with the page; an ID may have none.
+    """
+    selectors = stored(selectors_of(found), "selectors")
+    single = _placed(found.where("kind = 'flag'").join(selectors.select("key"), "key")).select("key", "range", "start", "width", "order", "first", "count", "shift")
+    moving = stored(moving_pages(frames, ranges.select(*single.columns).unionByName(single), selectors), "moving")
+    busy = rates.groupBy("key", F.floor(F.col("bit") / 8).cast("int").alias("byte")).agg(F.sum("rate").alias("changed")).where(F.col("changed") > CELL_BITS)
+    whole = moving.join(ranges.where(f"width = 8 and order = '{bits.LITTLE}' and start % 8 = 0"), ["key", "range"]).select("key", (F.col("start") / 8).cast("int").alias("byte"))
+    cells = whole.join(busy, ["key", "byte"]).groupBy("key").agg(F.array_sort(F.collect_list("byte")).alias("cells"))
+    return selectors.join(cells, "key", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<int>"))), moving
+
+
+def pick(rows: list[dict], taken: int, most: int) -> list[dict]:
+    """The best rows that overlap neither each other nor the bits taken.
+
+    A range gives way to a range inside it if that one and a neighbour over the border both score about as well.
+    """
+    order = sorted(rows, key=lambda r: (-r["score"], r["start"], r["size"], r["order"] == bits.BIG))
+    masks = [mask_of(r["start"], r["size"], r["order"]) for r in order]
+    kept: list[dict] = []
+    for i, r in enumerate(order):
+        if len(kept) >= most or r["score"] < MIN_SCORE:
+            break
+        if masks[i] & taken:
+            continue
+        close = []
+        for j in range(i + 1, len(order)):
+            if order[j]["score"] < max(r["score"] - CLOSE, MIN_SCORE):
+                break
+            if not masks[j] & taken:
+                close.append(masks[j])
+        inner = [m for m in close if not m & ~masks[i]]
+        if any(m & masks[i] and m & ~masks[i] and any(not m & a for a in inner) for m in close):
+            continue
+        taken |= masks[i]
+        kept.append(r)
+    return kept
+
+
+def widened(start: int, size: int, order: str, rates: np.ndarray, first: bytes, claimed: int) -> tuple[int, int] | None:
+    """(start, size) of an unsigned range with the bits above it that are 0 throughout and claimed by no other range.
+
+    It grows to a whole nibble, or on to a whole byte if it begins with one; within one byte it never leaves it. None if
+    there is nothing to gain.
+    """
+    n = len(rates)
+    line = np.arange(n) if order == bits.LITTLE else np.arange(n).reshape(-1, 8)[::-1].reshape(-1)
+    b, bit = bits.positions(start, size, order)[0]
+    low = int(np.flatnonzero(line == 8 * b + bit)[0])
+    if bit % 4:
+        return None
+    goal = -(-size // (4 if bit else 8)) * (4 if bit else 8)
+    inside = len({line[low + i] // 8 for i in range(size)}) == 1
+    grown = size
+    while grown < min(goal, 64) and low + grown < n:
+        at = int(line[low + grown])
+        if rates[at] or first[at // 8] >> (at % 8) & 1 or claimed >> at & 1 or (inside and at // 8 != b):
+            break
+        grown += 1
+    grown -= grown % 4
+    return (int(line[low + grown - 1]) if order == bits.BIG else start, grown) if grown > size else None
+
+
+_SUGGESTED = "key long, start int, size int, order string, kind string, score double, added int, reason struct<" + REASON.replace(" ", ":").replace(",:", ",") + ">"
+
+
+def _choose(rows: pd.DataFrame, about: pd.DataFrame, page: bool) -> pd.DataFrame:
+    """The choice of one ID (or page of it): candidates without what only moves with the page, best first, widened."""
+    names = [part.split()[0] for part in _SUGGESTED.split(", reason")[0].split(", ")] + ["reason"]
+    if not (len(rows) and len(about)):
+        return pd.DataFrame(columns=names)
+    a = about.iloc[0]
+    size = int(a["size"])
+    rates = np.zeros(8 * size)
+    for r in a.rates:
+        if r["bit"] < len(rates):
+            rates[r["bit"]] = r["rate"]
+    found, taken = rows.to_dict("records"), 0
+    cells = sum(0xFF << (8 * int(c)) for c in a.cells) if a.cells is not None else 0
+    if page:
+        taken = sum(1 << int(b) for b in a.taken)
+    elif a.selector is not None:
+        selector = mask_of(a.selector["start"], a.selector["size"], a.selector["order"])
+        stays = lambda m, r: r["kind"] in ("checksum", "float") or m & selector or (not m & cells and (r["kind"] == "counter" or not r["moving"]))
+        found = [r for r in found if stays(mask_of(r["start"], r["size"], r["order"]), r)]
+    kept = pick(found, taken, max(MOST, size))
+    masks = [mask_of(r["start"], r["size"], r["order"]) for r in kept]
+    for i, r in enumerate(kept):
+        r["added"] = 0
+        others = sum(m for j, m in enumerate(masks) if j != i)
+        more = widened(r["start"], r["size"], r["order"], rates, a["first"], others) if r["kind"] == "continuous" else None
+        if more:
+            r["added"], r["start"], r["size"] = more[1] - r["size"], *more
+    if page:  # a page's signal takes in the whole of each cell that it touches
+        whole = lambda m: all(m >> (8 * int(c)) & 0xFF in (0, 0xFF) for c in a.cells)
+        kept = [r for r in kept if r["score"] >= PAGE_SCORE and whole(mask_of(r["start"], r["size"], r["order"]))]
+    return pd.DataFrame(kept, columns=names)
+
+
+def _about(frames: DataFrame, rates: DataFrame) -> DataFrame:
+    """(key, size, first, rates): an ID's length, first payload and change rates of bits."""
+    rows = frames.where(_PAYLOAD).join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
+    first = rows.groupBy("key", "size").agg(F.min_by("data", F.struct("ts_ns", "seq")).alias("first"))
+    return first.join(rates.groupBy("key").agg(F.collect_list(F.struct("bit", "rate")).alias("rates")), "key")
+
+
+def _bits_of() -> Column:
+    """The bits of a row's start, size and order."""
     little = F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)
     # the bits of a big-endian range follow each other when each byte's are counted from the top
     top = F.floor(F.col("start") / 8) * 8 + 7 - F.col("start") % 8
     big = F.transform(F.sequence(top, top + F.col("size") - 1), lambda p: F.floor(p / 8) * 8 + 7 - p % 8)
-    covered = F.when(F.col("order") == bits.LITTLE, little.cast("array<long>")).otherwise(big.cast("array<long>"))
+    return F.when(F.col("order") == bits.LITTLE, little.cast("array<long>")).otherwise(big.cast("array<long>"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with first, count, shift and width of their start, size and order, as _value reads them."""
+    last = F.when(F.col("order") == bits.LITTLE, F.col("start") + F.col("size") - 1).otherwise(F.col("start") - F.col("start") % 8 + 7 - F.col("start") % 8 + F.col("size") - 1)
+    first = F.floor(F.col("start") / 8).cast("int")
+    shift = F.when(F.col("order") == bits.LITTLE, F.col("start") % 8).otherwise(7 - last % 8)
+    return rows.withColumns({"first": first, "count": (F.floor(last / 8) - first + 1).cast("int"), "shift": shift.cast("int"), "width": F.col("size")})
+
+
+def _multiplexed(frames: DataFrame, base: DataFrame, paging: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The IDs whose selector is proven by its pages, as (key, pages, cells, start, size, order), and their pages' signals.
+
+    The frames of each value of the selector are a message of their own, with a negative number for a key. At least half
+    of the pages must have a good signal: a counter beside bytes that merely change with it stays a counter.
+    """
+    selector = paging.where(F.size("cells") > 0).select("key", "pages", "cells", "selector.*")
+    chosen = base.where("kind = 'counter'").join(selector, ["key", "start", "size", "order"], "left_semi").select("key")
+    taken = base.select("key", F.explode(_bits_of()).alias("bit")).groupBy("key").agg(F.collect_set("bit").alias("taken"))
+    number = F.row_number().over(Window.orderBy("key", "page"))  # over a row for each page of each such ID
+    some = selector.join(chosen, "key", "left_semi").join(taken, "key").withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+    pages = stored(some.withColumn("message", -number.cast("long")), "pages")
+    if pages.isEmpty():
+        return None
+    where = _placed(pages.select("key", "start", "size", "order").distinct()).drop("start", "size")
+    rows = frames.where(_PAYLOAD).join(where, "key").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
+    rows = rows.withColumn("now", payload_bytes(F.col("data"))).withColumn("page", _value("now"))
+    own = rows.select("key", "page", "seq", "ts_ns", "kind", "data").join(pages.select("key", F.col("page").cast("long").alias("page"), "message"), ["key", "page"])
+    own = own.drop("key", "page").withColumnRenamed("message", "key")
+    parts = pages.select(F.col("message").alias("key"), "cells", "taken")
+    found, _, rates = candidates(own, within=parts)
+    found = stored(found, "page-candidates")
+    about = _about(own, rates).join(parts, "key")
+    signals = found.groupBy("key").cogroup(about.groupBy("key")).applyInPandas(lambda rows, about: _choose(rows, about, True), _SUGGESTED)
+    named = pages.select(F.col("message"), F.col("key").alias("of"), "page", "pages")
+    signals = stored(signals.join(named, F.col("key") == F.col("message")).drop("key", "message").withColumnRenamed("of", "key"), "signals")
+    good = signals.groupBy("key", "pages").agg(F.count_distinct("page").alias("found")).where(2 * F.col("found") >= F.col("pages")).select("key")
+    return selector.join(good, "key", "left_semi"), signals.drop("pages").join(good, "key", "left_semi")
+
+
+def _named(rows: pd.DataFrame, proven: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+    """One ID's suggestions with its selector as a multiplexor, widened where no page's byte is."""
+    p, a = proven.iloc[0], about.iloc[0]
+    rates = np.zeros(8 * int(a["size"]))
+    for r in a.rates:
+        if r["bit"] < len(rates):
+            rates[r["bit"]] = r["rate"]
+    own = (rows.start == p.start) & (rows["size"] == p["size"]) & (rows.order == p.order)
+    claimed = sum(0xFF << (8 * int(c)) for c in p.cells)
+    for r in rows[~own].itertuples(index=False):
+        claimed |= mask_of(r.start, r.size, r.order)
+    more = widened(int(p.start), int(p["size"]), p.order, rates, a["first"], claimed)
+    at = rows.index[own][0]
+    rows.loc[at, "kind"] = "multiplexor"
+    if more:
+        rows.loc[at, ["start", "size", "added"]] = [more[0], more[1], more[1] - int(p["size"])]
+    return rows
+
+
+def suggest(frames: DataFrame, markers_ns: list[int] | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """(key, page, start, size, order, kind, score, level, added, pages, cells, reason): each ID's best readings that don't overlap.
+
+    At most MOST, or one a byte of longer IDs. `page` is the value of the ID's multiplexor with which a signal is there,
+    null for those in every frame; the multiplexor has its number of `pages` and the bytes, `cells`, that they carry.
+    `added` bits on top of a value never change from 0. `reason` says why: a counter's step, wrap and share of steps; the
+    lowest and highest value; the number of distinct values; a flag's changes; a checksum's rule; markers near; and the
+    fit to a reference series (ts_ns, seq, value).
+    """
+    found, ranges, rates = candidates(frames, markers_ns)
+    if reference is not None:
+        found = _with_fits(found, frames, ranges, reference)
+    found = stored(found, "candidates")
+    paging, moving = pages_of(found, frames, ranges, rates)
+    paging = stored(paging, "paging")
+    about = stored(_about(frames, rates), "about")
+    moved = found.join(moving.withColumn("moving", F.lit(True)), ["key", "range"], "left").withColumn("moving", F.coalesce("moving", F.lit(False)))
+    told = about.join(paging.select("key", "selector", "cells"), "key", "left")
+    base = stored(moved.groupBy("key").cogroup(told.groupBy("key")).applyInPandas(lambda rows, about: _choose(rows, about, False), _SUGGESTED), "suggestions")
+    out = base.withColumns({"page": F.lit(None).cast("int"), "pages": F.lit(None).cast("int"), "cells": F.lit(None).cast("array<int>")})
+    multiplexed = _multiplexed(frames, base, paging)
+    if multiplexed:
+        proven, signals = multiplexed
+        told = proven.join(about.withColumnRenamed("size", "length").select("key", "length", "first", "rates"), "key")
+        named = base.groupBy("key").cogroup(told.groupBy("key")).applyInPandas(_with_selector, _SUGGESTED)
+        is_it = F.col("kind") == "multiplexor"
+        shown = named.join(proven.select("key", F.col("pages").alias("n_pages"), F.col("cells").alias("paged")), "key")
+        shown = shown.withColumns({"page": F.lit(None).cast("int"), "pages": F.when(is_it, F.col("n_pages")), "cells": F.when(is_it, F.col("paged"))}).select(*out.columns)
+        signals = signals.withColumns({"pages": F.lit(None).cast("int"), "cells": F.lit(None).cast("array<int>")}).select(*out.columns)
+        out = out.join(proven.select("key"), "key", "left_anti").unionByName(shown).unionByName(signals)
+    score = F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(0.99)), 2)
+    leveled = out.withColumn("score", score).withColumn("level", F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low"))
+    return leveled.select("key", "page", "start", "size", "order", "kind", "score", "level", "added", "pages", "cells", "reason")
+
+
+def _with_selector(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    if not (len(rows) and len(told)):
+        return rows.iloc[:0]
+    return _named(rows, told, told.rename(columns={"size": "width", "length": "size"}))
+
+
+def unknown_only(suggestions: DataFrame, known: DataFrame) -> DataFrame:
+    """Suggestions none of whose bits a database already describes; known: (key, bit)."""
+    covered = _bits_of()
     names = ["key", "start", "size", "order"]
     over = suggestions.select(*names, F.explode(covered).alias("bit")).join(known.select("key", F.col("bit").cast("long").alias("bit")).distinct(), ["key", "bit"], "left_semi").select(*names).distinct()
     return suggestions.join(over, names, "left_anti")
