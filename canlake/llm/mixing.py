@@ -2,15 +2,15 @@
 
 A source's target is a number of words. Whole passes over the source come first; the rest of the budget, less than one
 pass, is fitted exactly: documents are counted by length, every length gives its proportional number, and the remainder
-is filled by a bounded-knapsack dynamic programme over the counts left. Which documents of a length are taken is
+is filled by a bounded-knapsack dynamic programme over the counts left, whose totals are the bits of one number. Which documents of a length are taken is
 decided by a seeded hash of their ids.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +19,8 @@ from canlake.llm.common import WORD, on, ranked, written
 
 #: No document is taken more often than this.
 PASSES = 3
-#: Remainders above this many words are first cut by largest fractions; the dynamic programme fits what is left.
-BUDGET_BITS = 1 << 16
+#: The dynamic programme fits the last words of a budget, at first as many as so many of the longest documents have.
+ROOM = 4
 SEED = 20
 
 
@@ -28,58 +28,81 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _reach(items: Sequence[tuple[int, int]], limit: int, goal: int | None = None) -> tuple[int, int]:
+    """Totals of subsets of the items up to the limit, a bit for each, and how many items it took to reach the goal."""
+    mask, reached = (1 << (limit + 1)) - 1, 1
+    for i, (length, take) in enumerate(items):
+        if goal is not None and reached >> goal & 1:
+            return reached, i
+        reached |= (reached << (length * take)) & mask
+    return reached, len(items)
+
+
+def _recover(items: Sequence[tuple[int, int]], total: int, out: dict[int, int]) -> None:
+    """Adds to out the counts by length of a subset of the items with this total: the first half's total is where the sums of
+    the first half from below meet those of the second from above."""
+    if not total:
+        return
+    if len(items) == 1:
+        out[items[0][0]] = out.get(items[0][0], 0) + items[0][1]
+        return
+    half = len(items) // 2
+    from_above = 1 << total
+    for length, take in items[half:]:
+        from_above |= from_above >> (length * take)
+    met = _reach(items[:half], total)[0] & from_above
+    first = (met & -met).bit_length() - 1
+    _recover(items[:half], first, out)
+    _recover(items[half:], total - first, out)
+
+
 def knapsack(lengths: Sequence[int], left: Sequence[int], budget: int) -> dict[int, int]:
     """Counts by length, at most `left` of each, whose total is nearest to `budget`; of two as near, the smaller."""
     most = 2 * budget  # nothing is nearer than 0 is
-    via = np.full(most + 1, -1, np.int64)  # the item that first reached a total
-    reached = np.zeros(most + 1, bool)
-    reached[0] = True
     items: list[tuple[int, int]] = []
     for length, n in zip(lengths, left):
         n, power = min(n, most // length), 1
-        while n > 0 and not reached[budget]:
-            take = min(power, n)
-            n, power, weight = n - take, 2 * power, take * length
-            new = reached[:-weight] & ~reached[weight:]
-            reached[weight:] |= new
-            via[weight:][new] = len(items)
-            items.append((length, take))
-        if reached[budget]:
-            break
-    totals = np.flatnonzero(reached)
-    at, taken = int(totals[np.argmin(np.abs(totals - budget))]), {}
-    while at:
-        length, take = items[via[at]]
-        taken[length] = taken.get(length, 0) + take
-        at -= length * take
+        while n > 0:  # 1, 2, 4 and so on of a length make every count of it
+            items.append((length, min(power, n)))
+            n, power = n - min(power, n), 2 * power
+    limit = min(most, budget + max(lengths, default=0))
+    reached, used = _reach(items, limit, budget)
+    below = (reached & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reached >> (budget + 1)
+    over = (above & -above).bit_length() if above else limit + 1
+    taken: dict[int, int] = {}
+    _recover(items[:used], below if budget - below <= over else budget + over, taken)
     return taken
 
 
-def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, bits: int = BUDGET_BITS) -> list[int]:
-    """How many documents of each length (all above 0) to take so that their words come as near to the budget as found."""
+def fit_counts(lengths: Sequence[int], counts: Sequence[int], budget: int, room: int = ROOM) -> list[int]:
+    """How many documents of each length (all above 0) to take so that their words are as near to the budget as can be.
+
+    All but the last few documents' worth of the budget (`room` times the longest) is shared by length in proportion; the
+    dynamic programme fills the rest. If it misses the budget by more than the lengths' common divisor explains, it gets
+    four times the room, up to the whole budget, where its answer is the nearest of all subsets.
+    """
     total = sum(a * b for a, b in zip(lengths, counts))
     if budget >= total:
         return list(counts)
-    taken = [c * budget // total for c in counts]
-    rest = budget - sum(a * b for a, b in zip(lengths, taken))
-    by_fraction = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * budget % total), -lengths[i]))
-    for most in (1, None):  # the second pass may take all that the first left of a length
+    divisor = math.gcd(*lengths)
+    unavoidable = min(budget % divisor, divisor - budget % divisor)
+    space = room * max(lengths)
+    while True:
+        shared = max(budget - space, 0)
+        taken = [c * shared // total for c in counts]
+        rest = budget - sum(a * b for a, b in zip(lengths, taken))
+        by_fraction = sorted(range(len(lengths)), key=lambda i: (-(counts[i] * shared % total), -lengths[i])) if shared else list(range(len(lengths)))
         for i in by_fraction:
-            if rest <= bits:
-                break
-            more = min(counts[i] - taken[i], most or counts[i], rest // lengths[i])
-            taken[i] += more
-            rest -= more * lengths[i]
-    small = [i for i in by_fraction if lengths[i] < 2 * rest and counts[i] > taken[i]]
-    if rest > bits:  # every document left is longer than the remainder: of the subsets, the nearest is one of them or none
-        nearest = min(small, key=lambda i: lengths[i], default=None)
-        if nearest is not None:
-            taken[nearest] += 1
-    else:
+            if rest > space and counts[i] > taken[i]:
+                taken[i] += 1
+                rest -= lengths[i]
+        small = [i for i in by_fraction if lengths[i] < 2 * rest and counts[i] > taken[i]]
         extra = knapsack([lengths[i] for i in small], [counts[i] - taken[i] for i in small], rest)
-        for i in small:
-            taken[i] += extra.get(lengths[i], 0)
-    return taken
+        missed = abs(rest - sum(a * b for a, b in extra.items()))
+        if missed <= unavoidable or not shared:
+            return [t + extra.get(length, 0) for t, length in zip(taken, lengths)]
+        space *= 4
 
 
 def targets(sizes: DataFrame, passes: int = PASSES) -> DataFrame:

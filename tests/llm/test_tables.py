@@ -58,7 +58,7 @@ def test_knapsack_is_exact():
         assert abs(sum(k * v for k, v in got.items()) - budget) == best and all(v <= left[lengths.index(k)] for k, v in got.items())
     lengths, counts = list(range(1, 400)), [3] * 399
     for budget in (0, 1, 5000, 100_003, 239_399, 239_400):
-        taken = mixing.fit_counts(lengths, counts, budget, bits=500)
+        taken = mixing.fit_counts(lengths, counts, budget, room=1)
         assert sum(a * b for a, b in zip(lengths, taken)) == budget and all(0 <= t <= 3 for t in taken)
 
 
@@ -67,15 +67,31 @@ def test_remainder_below_every_length():
     assert mixing.fit_counts([100_000], [3], 40_000) == [0]
     assert mixing.fit_counts([100_000], [3], 50_000) == [0]
     rng = random.Random(8)
-    for _ in range(40):  # with one document of a length, above and below the programme's bound, nothing left is nearer
+    for _ in range(40):
         lengths = sorted(rng.sample(range(50, 400), 5))
         budget = rng.randint(0, sum(lengths) - 1)
-        for bits in (10, 1 << 16):
-            taken = mixing.fit_counts(lengths, [1] * 5, budget, bits)
+        for room in (1, 4):
+            taken = mixing.fit_counts(lengths, [1] * 5, budget, room)
             total = sum(a * b for a, b in zip(lengths, taken))
             assert all(abs(total + n - budget) >= abs(total - budget) for n, t in zip(lengths, taken) if not t)
 
 
+def test_long_documents_are_fitted_as_exactly_as_short_ones():
+    assert mixing.fit_counts([60_000, 70_000, 100_000], [1, 1, 1], 130_000) == [1, 1, 0]
+    assert mixing.fit_counts([3_000_000_000], [5], 7_000_000) == [0]
+    rng = random.Random(9)
+    for _ in range(40):
+        unit = rng.choice((1, 1000))
+        lengths = sorted(rng.sample(range(20_000, 400_000), 5))
+        lengths = sorted({unit * (x // unit) for x in lengths})
+        counts = [rng.randint(1, 3) for _ in lengths]
+        budget = rng.randint(0, sum(a * b for a, b in zip(lengths, counts)))
+        best = min(abs(sum(a * b for a, b in zip(c, lengths)) - budget) for c in itertools.product(*[range(n + 1) for n in counts]))
+        for room in (1, 4):
+            taken = mixing.fit_counts(lengths, counts, budget, room)
+            assert abs(sum(a * b for a, b in zip(lengths, taken)) - budget) == best and all(0 <= t <= n for t, n in zip(taken, counts))
+
+
 def test_documents_of_a_length_are_chosen_by_their_hash(spark, sf):
     rows = [(i, "ab"[i % 2], (i * 37) % 23) for i in range(600)] + [(7, "b", 5)] * 3
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
