@@ -21,6 +21,8 @@ from canlake.llm.common import written
 
 #: Ratio of lengths in a bucket; vectors and queries of a block; vectors that give the first thresholds.
 RATIO, BLOCK, QUERY_BLOCK, SEEDS = 1.1, 32768, 4096, 2048
+#: Slices of a dimension's vectors in which the longest are looked for.
+SLICES = 64
 #: Local cosine threshold from which coordinates are pruned, and how many of them.
 COSINE, FOCUS = 0.6, 3
 _SLACK = 1e-9
@@ -126,8 +128,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
     # the longest vectors of each dimension, a bounded number, give each query a first lower bound of its k-th best product
-    longest = Window.partitionBy("dim").orderBy(F.desc("norm"), "row")
-    seeds = written(rows.withColumn("at", F.row_number().over(longest)).where(F.col("at") <= SEEDS).select("dim", "row", "vector"), "seeds")
+    # slices by hash give their longest first, so only these and no vectors are sorted for a dimension at once
+    by_length = rows.select("dim", "row", "norm").withColumn("slice", F.pmod(F.xxhash64("row", F.lit(2)), F.lit(SLICES)))
+    for by in (["dim", "slice"], ["dim"]):
+        longest = Window.partitionBy(*by).orderBy(F.desc("norm"), "row")
+        by_length = by_length.withColumn("at", F.row_number().over(longest)).where(F.col("at") <= SEEDS).drop("at")
+    seeds = written(rows.select("dim", "row", "vector").join(written(by_length.select(F.col("row").alias("seed")), "longest"), F.col("row") == F.col("seed"), "left_semi"), "seeds")
     queries = rows.where("is_query").select("row", F.col("vec_id").alias("query_id"), "dim", "vector", "norm")
     blocks = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("query_blocks"))
     queries = queries.join(F.broadcast(blocks), "dim").withColumn("query_block", F.pmod(F.xxhash64("row", F.lit(1)), F.col("query_blocks")).cast("int"))
