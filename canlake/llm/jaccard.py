@@ -233,9 +233,9 @@ def links(spark: SparkSession, docs: DataFrame, text: str, words: int, percent:
     return written(first.union(rest), "links")
 
 
-def classes_of(docs: DataFrame, text: str = "text", words: int = 4, keep_text: bool = False) -> DataFrame:
-    """docs (without its text, unless asked for) with n_shingles and the name of its class (null without shingles)."""
-    docs = docs.drop("n_shingles", "class")
+def classes_of(docs: DataFrame, text: str = "text", words: int = 4, keep_text: bool = False, size: str = "n_shingles", of: str = "class") -> DataFrame:
+    """docs (without its text, unless asked for) with the size of its set and the name of its class (null without shingles)."""
+    docs = docs.drop(size, of)
     keep = [c for c in docs.columns if c != text or keep_text]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +243,9 @@ def classes_of(docs: DataFrame, text: str = "text", words: int = 4, keep_text: b
             _, keys, at = shingle_sets(Texts(b.column(b.schema.get_field_index(text))), words)
             n = np.diff(at)
             name = pa.array(_names(keys, at).view(np.int64), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(n.astype(np.int64)), name], [*keep, "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(n.astype(np.int64)), name], [*keep, size, of])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], "n_shingles long, class long"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], f"`{size}` long, `{of}` long"])
     return docs.mapInArrow(run, schema)
 
 
@@ -282,6 +282,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     told = _components(members, plain, words, percent)
     best = F.min_by(F.struct("doc_id", "class"), F.struct(F.col("doc_id").isNull(), "doc_id", "class")).alias("best")
     stay = written(members.join(told, "class").groupBy("component").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.class").alias("_class")), "stay")
-    tagged = classes_of(docs, text, words, keep_text=True)
-    chosen = tagged.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("class") == F.col("_class")), "left_semi").dropDuplicates([doc_id, "class"])
-    return chosen.unionByName(tagged.where(F.col("class").isNull())).select(*docs.columns)
+    size, of, its_id, its_class = (_free(docs, c) for c in ("size", "class", "_id", "_class"))
+    stay = stay.withColumnsRenamed({"_id": its_id, "_class": its_class})
+    tagged = classes_of(docs, text, words, True, size, of)
+    chosen = tagged.join(stay, F.col(doc_id).eqNullSafe(F.col(its_id)) & (F.col(of) == F.col(its_class)), "left_semi").dropDuplicates([doc_id, of])
+    return chosen.unionByName(tagged.where(F.col(of).isNull())).select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name like this that no column of docs has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

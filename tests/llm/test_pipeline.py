@@ -72,8 +72,10 @@ def test_stages(spark, sf, tmp_path):
 
 def test_repeated_rows_leave_one(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (5, None), (5, None), (6, "z")]
-    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", jaccard.F.lit("x"))).collect()
-    assert Counter(r.doc_id for r in got) == {2: 1, 5: 2, 6: 1}
+    told = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", jaccard.F.concat(jaccard.F.lit("x"), "doc_id")).withColumn("n_shingles", jaccard.F.lit(-1)).withColumn("Size", jaccard.F.lit(1.5)).withColumn("_id", jaccard.F.lit(0))
+    got = jaccard.one_of_each(told)
+    assert got.columns == told.columns and Counter(r.doc_id for r in got.collect()) == {2: 1, 5: 2, 6: 1}
+    assert all((r["class"], r.n_shingles, r.Size) == (f"x{r.doc_id}", -1, 1.5) for r in got.collect())
 
 
 def test_language_prediction_decides(spark, sf):
