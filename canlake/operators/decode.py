@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -124,7 +125,8 @@ def labelled(frames: DataFrame, scopes: list[Scope], key: int, name: str) -> Dat
         return frames.select("seq", "ts_ns", F.lit(0.0).alias("value"), F.lit("").alias("label")).limit(0)
     message, signal = found
     number = raw(F.col("data"), signal)
-    pairs = F.create_map(*[F.lit(x) for at, text in signal.labels for x in (at, text)])[number.cast("int")] if signal.labels else F.lit(None).cast("string")
+    known = [(at - (1 << 64) if at >= 1 << 63 else at, text) for at, text in signal.labels]  # raw numbers are signed 64-bit patterns
+    pairs = F.create_map(*[x for at, text in known for x in (F.lit(at).cast("long"), F.lit(text))])[number] if known else F.lit(None).cast("string")
     return frames.where(F.col("key") == key).select("seq", "ts_ns", value(F.col("data"), signal, message).alias("value"), pairs.alias("label")).where("value is not null")
 
 
@@ -181,8 +183,17 @@ def decode_raw(frames: DataFrame, key: int, spec: RawSignal) -> DataFrame:
 
 
 def raw_for(number: Column, signal: Signal) -> Column:
-    """The raw field for a physical value, rounded half away from zero and held within 64 bits; floats by their own bits."""
-    scaled = (number - F.lit(signal.offset)) / F.lit(signal.factor)
+    """The raw field for a physical value, rounded half away from zero and held within 64 bits; floats by their own bits.
+
+    A factor of 0 gives infinity by the sign of the value, and NaN for the offset itself; whole numbers become the last of
+    their range, and 0.
+    """
+    above = number.cast("double") - F.lit(float(signal.offset))
+    if signal.factor:
+        scaled = above / F.lit(float(signal.factor))
+    else:
+        end = math.copysign(math.inf, signal.factor)
+        scaled = F.when(above > 0, F.lit(end)).when(above < 0, F.lit(-end)).otherwise(F.lit(math.nan))
     if signal.kind == "signed":
         return bits.rounded(scaled)
     if signal.kind == "unsigned":

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
-from canlake.operators.history import SPAN_NS, with_index, with_previous
+from canlake.operators.history import spanned, spans_of, with_index, with_previous
 
 
 def info(series: DataFrame) -> DataFrame:
@@ -107,9 +107,10 @@ def window_stats(series: DataFrame, t0_ns: int, t1_ns: int) -> DataFrame:
 def sparkline(frames: DataFrame, key: int, points: int = 64) -> DataFrame:
     """(k, seq): evenly spaced frames of an ID, the first and the last among them; all if there are fewer.
 
-    Frames are counted by span of time, and only the spans that hold a chosen frame are ordered.
+    Frames are counted by span, and only the spans that hold a chosen frame are ordered.
     """
-    rows = frames.where(F.col("key") == key).select("ts_ns", "seq").withColumn("_span", F.floor(F.col("ts_ns") / F.lit(SPAN_NS)))
+    rows = frames.where(F.col("key") == key).select("ts_ns", "seq")
+    rows = rows.withColumn("_span", spans_of(rows).of())
     sizes = rows.groupBy("_span").agg(F.count(F.lit(1)).alias("n"))
     every = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over a row for each span
     counted = sizes.withColumn("first", F.sum("n").over(Window.orderBy("_span")) - F.col("n")).withColumn("total", every)
@@ -139,21 +140,23 @@ def sample_at(series: DataFrame, times_ns: list[int]) -> DataFrame:
     return found.select(F.inline(F.array(*[F.struct(F.lit(t).cast("long").alias("t_ns"), between(t).alias("value")) for t in times_ns])))
 
 
-def as_of(series: DataFrame, reference: DataFrame, span_ns: int = 86_400_000_000_000, keep: list[str] | None = None) -> DataFrame:
+def as_of(series: DataFrame, reference: DataFrame, span_ns: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """(ts_ns, seq, value, reference), and the columns of the series to keep: the last reference value at or before each point, null before the first.
 
-    The two are merged in spans of time, and each span starts from the last reference of the spans before it, so no
+    The two are merged in spans of about equal numbers of rows, and each span starts from the last reference of the spans before it, so no
     task sees a whole series.
     """
     keep = keep or []
     both = series.select("ts_ns", "seq", "value", *keep, F.lit(None).cast("double").alias("reference"), F.lit(1).alias("side"))
     both = both.unionByName(reference.select("ts_ns", "seq", F.lit(None).cast("double").alias("value"), F.col("value").alias("reference"), F.lit(0).alias("side")), allowMissingColumns=True)
-    both = both.withColumn("_span", F.floor(F.col("ts_ns") / F.lit(span_ns)))
+    both, single = spanned(both, None if span_ns is not None else spans_of(both).by_time(), span_ns)
     order = Window.partitionBy("_span").orderBy("ts_ns", "side", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = both.withColumn("reference", F.last("reference", ignorenulls=True).over(order)).where("side = 1")
+    if single:
+        return merged.select("ts_ns", "seq", "value", *keep, "reference")
     last = both.groupBy("_span").agg(F.max_by("reference", F.when(F.col("side") == 0, F.struct("ts_ns", "seq"))).alias("_last"))
     upto = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.withColumn("_carried", F.last("_last", ignorenulls=True).over(upto)).drop("_last")
-    merged = both.withColumn("reference", F.last("reference", ignorenulls=True).over(order)).where("side = 1")
     return merged.join(carried, "_span").select("ts_ns", "seq", "value", *keep, F.coalesce("reference", "_carried").alias("reference"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
-from canlake.operators.history import SPAN_NS, with_index, with_previous
+from canlake.operators.history import Spans, spans_of, with_index, with_previous
 
 #: Bytes of a payload that a page shows, and compares with the previous frame.
 SHOWN = 64
@@ -95,14 +95,15 @@ def changed_mask(data: Column, before: Column) -> Column:
     return F.aggregate(changed_places(data, before), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
 
 
-def page(frames: DataFrame, start: int, count: int, key: int | None = None) -> DataFrame:
+def page(frames: DataFrame, start: int, count: int, key: int | None = None, spans: Spans | None = None) -> DataFrame:
     """Rows [start, start + count) in time order, with seconds from the first frame and the mask of changed bytes.
 
-    Frames are counted by span of time first; only the spans that hold the rows are ordered, and payloads before them are
-    only looked at for the last one of each ID and kind.
+    Frames are counted by span first; only the spans that hold the rows are ordered, and payloads before them are only
+    looked at for the last one of each ID and kind. Who turns many pages passes the log's spans, found once.
     """
     rows = frames if key is None else frames.where(F.col("key") == key)
-    spanned = rows.withColumn("_span", F.floor(F.col("ts_ns") / F.lit(SPAN_NS)))
+    spans = spans or spans_of(rows.select("ts_ns", "seq"))
+    spanned = rows.withColumn("_span", spans.of())
     sizes = spanned.groupBy("_span").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy("_span"))  # over a row for each span
     near = sizes.select("_span", "n", (upto - F.col("n")).alias("first")).where((F.col("first") < start + count) & (F.col("first") + F.col("n") > start))
@@ -111,13 +112,13 @@ def page(frames: DataFrame, start: int, count: int, key: int | None = None) -> D
     if bounds.low is None:
         bounds = Row(low=0, high=-1, first=0)
     inside = spanned.where(F.col("_span").between(bounds.low, bounds.high)).drop("_span")
-    last = frames.where(F.col("ts_ns") < bounds.low * SPAN_NS).groupBy("key", "kind").agg(F.max_by("data", F.struct("ts_ns", "seq")).alias("earlier"))
+    last = frames.where(spans.before(bounds.low)).groupBy("key", "kind").agg(F.max_by("data", F.struct("ts_ns", "seq")).alias("earlier"))
     if key is not None:
         last = last.where(F.col("key") == key)
-    followed = with_previous(inside, ["key", "kind"], {"data": "near"}).join(last, ["key", "kind"], "left")
+    followed = with_previous(inside, ["key", "kind"], {"data": "near"}, spans=spans).join(last, ["key", "kind"], "left")
     first_one = F.row_number().over(Window.partitionBy("key", "kind").orderBy("ts_ns", "seq")) == 1
     followed = followed.withColumn("before", F.when(first_one, F.col("earlier")).otherwise(F.col("near")))
-    chosen = with_index(followed).withColumn("index", F.col("index") + F.lit(bounds.first)).where(F.col("index").between(start, start + count - 1))
+    chosen = with_index(followed, spans=spans).withColumn("index", F.col("index") + F.lit(bounds.first)).where(F.col("index").between(start, start + count - 1))
     # the mask comes first: beside a new column named data, its lambdas would read that one
     shown = chosen.withColumn("changed", changed_mask(F.col("data"), F.col("before")))
     return shown.select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", F.length("data").cast("long").alias("full_len"), F.hex(F.substring("data", 1, SHOWN)).alias("data"), "changed")

@@ -1,8 +1,11 @@
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from canlake import schema
 from canlake.functions import dbc, dbc_checks
 from canlake.functions.dbc import Database, Message, Scope, Signal
+from canlake.operators import decode
 
 TEXT = '''VERSION ""
 BU_: A B
@@ -57,3 +60,16 @@ def test_overridden_messages():
     second = Scope(Database((Message(1, "B", 8), Message(2, "C", 8), Message(group | 6, "K", 8, j1939=True), Message(group | 7, "L", 8))), None)
     other_bus = Scope(Database((Message(1, "D", 8),)), 3)
     assert dbc_checks.overridden([first, second, other_bus]) == [{}, {1: 0, group | 6: 0}, {1: 1}]
+
+
+def test_labels_of_large_numbers_and_a_factor_of_zero(spark):
+    signal = dbc.Signal("State", 0, 32, "little", "unsigned", 1.0, 0.0, labels=((0xFFFFFFFF, "not available"), (5, "on")))
+    message = dbc.Message(0x100, "M", 8, signals=(signal,))
+    rows = [(0, 0, bytearray(b"\xff\xff\xff\xff")), (1, 1, bytearray(b"\x05\0\0\0")), (2, 2, bytearray(b"\0\0\0\x80"))]
+    frames = spark.createDataFrame(rows, "seq long, ts_ns long, data binary").selectExpr("*", "0 channel", "256L id", "256L key", "0 flags", "'data' kind")
+    got = decode.labelled(frames, [dbc.Scope(dbc.Database((message,)))], 256, "State").orderBy("seq").collect()
+    assert [(r.value, r.label) for r in got] == [(4294967295.0, "not available"), (5.0, "on"), (2147483648.0, None)]
+    numbers = spark.createDataFrame([(2.0,), (1.0,), (-3.0,), (float("nan"),)], "x double")
+    for kind, want in (("unsigned", [-1, 0, 0, 0]), ("signed", [(1 << 63) - 1, 0, -(1 << 63), 0])):
+        flat = dbc.Signal("Flat", 0, 16, "little", kind, 0.0, 1.0)
+        assert [r.raw for r in numbers.select(decode.raw_for(F.col("x"), flat).alias("raw")).collect()] == want
