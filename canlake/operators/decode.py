@@ -193,7 +193,7 @@ def raw_for(number: Column, signal: Signal) -> Column:
         scaled = above / F.lit(float(signal.factor))
     else:
         end = math.copysign(math.inf, signal.factor)
-        scaled = F.when(above > 0, F.lit(end)).when(above < 0, F.lit(-end)).otherwise(F.lit(math.nan))
+        scaled = F.when(F.isnan(above), above).when(above > 0, F.lit(end)).when(above < 0, F.lit(-end)).otherwise(F.lit(math.nan))
     if signal.kind == "signed":
         return bits.rounded(scaled)
     if signal.kind == "unsigned":
