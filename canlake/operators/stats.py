@@ -63,24 +63,33 @@ def _pairs(frames: DataFrame, t0: int | None, t1: int | None) -> DataFrame:
     return with_previous(rows, ["key", "kind"], {"data": "before"})
 
 
-def bit_flips(frames: DataFrame, t0: int | None = None, t1: int | None = None) -> DataFrame:
-    """(key, byte, bit, flips, pairs) for every bit of the ID's longest payload in the whole log.
-
-    A pair is two neighbouring frames of one ID and kind that both have the byte. All bits of a byte are summed in one
-    pass and become rows afterwards.
-    """
-    sizes = frames.groupBy("key").agg(F.max(F.length("data")).alias("size")).where("size > 0")
+def byte_flips(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, byte, pairs, f0 to f7): over rows (data, before), how often both have the byte, and each of its bits differs."""
     common = F.when(F.col("before").isNotNull(), F.least(F.length("data"), F.length("before")))
     places = F.when(common > 0, F.sequence(F.lit(0), common - 1))
     xor = ff.byte(F.col("data"), F.col("byte")).bitwiseXOR(ff.byte(F.col("before"), F.col("byte")))
-    changed = _pairs(frames, t0, t1).where(common > 0).select("key", "data", "before", F.explode(places).alias("byte")).select("key", "byte", xor.alias("x"))
-    sums = changed.groupBy("key", "byte").agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(F.shiftright("x", b).bitwiseAND(F.lit(1))).alias(f"f{b}") for b in range(8)])
+    changed = pairs.where(common > 0).select(*by, "data", "before", F.explode(places).alias("byte")).select(*by, "byte", xor.alias("x"))
+    return changed.groupBy(*by, "byte").agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(F.shiftright("x", b).bitwiseAND(F.lit(1))).alias(f"f{b}") for b in range(8)])
+
+
+def flip_rows(sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, byte, bit, flips, pairs) of every bit of each ID's longest payload; sizes: (key, size), sums: as byte_flips by key."""
     grid = sizes.select("key", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("byte"))
     flips = F.array(*[F.coalesce(f"f{b}", F.lit(0)).cast("long") for b in range(8)])
     wide = grid.join(sums, ["key", "byte"], "left").select("key", "byte", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.posexplode(flips).alias("bit", "flips"))
     return wide.select("key", F.col("byte").cast("long"), F.col("bit").cast("long"), "flips", F.col("pairs").cast("long"))
 
 
+def bit_flips(frames: DataFrame, t0: int | None = None, t1: int | None = None) -> DataFrame:
+    """(key, byte, bit, flips, pairs) for every bit of the ID's longest payload in the whole log.
+
+    A pair is two neighbouring frames of one ID and kind that both have the byte. All bits of a byte are summed in one
+    pass and become rows afterwards.
+    """
+    sizes = frames.groupBy("key").agg(F.max(F.length("data")).alias("size")).where("size > 0")
+    return flip_rows(byte_flips(_pairs(frames, t0, t1), ["key"]), sizes)
+
+
 def change_activity(frames: DataFrame, t0: int, t1: int, buckets: int) -> DataFrame:
     """(key, bucket, changed_bits): bits that changed against the previous frame, which may lie before the window."""
     common = F.when(F.col("before").isNotNull(), F.least(F.length("data"), F.length("before")))
