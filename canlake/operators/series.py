@@ -160,10 +160,18 @@ def as_of(series: DataFrame, reference: DataFrame, span_ns: int | None = None, k
     return merged.join(carried, "_span").select("ts_ns", "seq", "value", *keep, F.coalesce("reference", "_carried").alias("reference"))
 
 
+def line(x: str, y: str) -> tuple[Column, Column]:
+    """Aggregates: Pearson's correlation and the slope of y over x; null where one of them doesn't vary."""
+    ratio = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), ratio(F.covar_pop(x, y), F.var_pop(x))
+
+
 def fit(pairs: DataFrame) -> DataFrame:
     """Points with a reference, and their Pearson correlation and line."""
     both = pairs.where("reference is not null and not isnan(value) and not isnan(reference)")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.corr("value", "reference").alias("r"), F.regr_slope("reference", "value").alias("slope"), F.regr_intercept("reference", "value").alias("intercept"))
+    r, slope = line("value", "reference")
+    sums = both.agg(F.count(F.lit(1)).alias("n"), r.alias("r"), slope.alias("slope"), F.avg("value").alias("_x"), F.avg("reference").alias("_y"))
+    return sums.select("n", "r", "slope", (F.col("_y") - F.col("slope") * F.col("_x")).alias("intercept"))
 
 
 def near_markers(frames: DataFrame, markers_ns: list[int], around_ns: int = 1_000_000_000) -> DataFrame:

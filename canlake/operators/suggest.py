@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from canlake.functions import bits
 from canlake.functions.frames import payload_bytes
 from canlake.operators.history import with_index, with_previous
-from canlake.operators.series import as_of
+from canlake.operators.series import as_of, line
 from canlake.operators.stats import bit_flips
 from canlake.operators.stored import stored
 
@@ -371,20 +371,28 @@ def nice(x: float) -> float:
     return math.copysign(float(f"{near * unit:.12g}"), x) if near else float(f"{x:.2e}")
 
 
-def reference_fits(frames: DataFrame, ranges: DataFrame, reference: DataFrame) -> DataFrame:
-    """(key, range, n, r, factor, offset): ranges that follow a reference series (ts_ns, seq, value), |r| 0.8 or more.
+def reference_sums(frames: DataFrame, ranges: DataFrame, reference: DataFrame) -> DataFrame:
+    """(key, range, n, r, slope, mx, my) of each range against a reference series (ts_ns, seq, value).
 
     Every frame takes the last reference value at or before it, once for all ranges; sums of the pairs are kept for each
-    range and give correlation and line. ranges: as _ranges gives them, with `signed`. The factor is rounded to three
-    digits or a round number; an offset below one step of the raw value is rounding in the reference and becomes 0.
+    range. ranges: as _ranges gives them, with `signed`.
     """
     rows = frames.where(_PAYLOAD).select("seq", "ts_ns", "key", "data").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
     met = as_of(rows.withColumn("value", F.lit(0.0)), reference, keep=["key", "data"]).where("reference is not null and not isnan(reference)")
     raw = met.withColumn("now", payload_bytes(F.col("data"))).join(ranges, "key").select("key", "range", "width", "signed", F.col("reference").alias("y"), _value("now").alias("raw"))
     modulus = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
     x = F.when(F.col("signed") & (F.col("raw") * 2 >= modulus), F.col("raw") - modulus).otherwise(F.col("raw")).cast("double")
-    sums = raw.withColumn("x", x).groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("slope"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    found = sums.where((F.col("n") >= LEAST_POINTS) & (F.abs("r") >= LEAST_FIT))
+    r, slope = line("x", "y")
+    return raw.withColumn("x", x).groupBy("key", "range").agg(F.count(F.lit(1)).alias("n"), r.alias("r"), slope.alias("slope"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+
+
+def reference_fits(frames: DataFrame, ranges: DataFrame, reference: DataFrame) -> DataFrame:
+    """(key, range, n, r, factor, offset): ranges that follow a reference series, |r| 0.8 or more over 10 points at least.
+
+    The factor is rounded to three digits or a round number; an offset below one step of the raw value is rounding in the
+    reference and becomes 0.
+    """
+    found = reference_sums(frames, ranges, reference).where((F.col("n") >= LEAST_POINTS) & (F.abs("r") >= LEAST_FIT))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

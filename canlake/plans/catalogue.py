@@ -361,27 +361,48 @@ def aligned_series(df: DataFrame) -> DataFrame:
     return series.aligned(value_series(df), reference_series(df))
 
 
-def _find_sql() -> str:
-    rules = [("up", f"ts_ns <= {T1}"), ("moves", "TRUE")]
-    steps = "\nUNION ALL ".join(f"SELECT key, {8 * i + o} AS start, {t} AS t, v - lag(v) OVER (PARTITION BY key ORDER BY ts_ns, seq) AS d FROM (SELECT key, ts_ns, seq, {v} AS v FROM frames WHERE key IN (SELECT key FROM ok) AND {cond})" for i in range(6) for o in range(8) if i < 5 or o == 0 for t, (_, cond) in enumerate(rules) for v in [f"(b{i} >> {o}) & 255" if o == 0 else f"((b{i} >> {o}) | (b{i + 1} << {8 - o})) & 255"])
-    return f"""--cte ok AS (SELECT key FROM frames GROUP BY key HAVING min(CASE WHEN len IS NULL THEN 0 ELSE len END) >= 6),
-d AS ({steps}), a AS (SELECT key, start, t, count(d) AS n, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down FROM d GROUP BY 1, 2, 3),
-f AS (SELECT x.key, x.start, greatest(x.up - x.down, 0) / CAST(x.up + x.down + 1 AS DOUBLE) * ((y.up + y.down) / CAST(y.n AS DOUBLE)) AS score FROM a x JOIN a y ON x.key = y.key AND x.start = y.start WHERE x.t = 0 AND y.t = 1)
-SELECT key, CAST(start AS BIGINT) AS start, CAST(8 AS BIGINT) AS size, 'little' AS "order", round(score, 12) AS score FROM f WHERE score > 0"""
-
-
-@query("find_signal", _find_sql().replace("frames WHERE key IN", "data_frames WHERE key IN").replace("FROM frames GROUP BY key HAVING", "FROM data_frames GROUP BY key HAVING").replace("--cte ok", "--cte data_frames AS (SELECT * FROM frames WHERE kind = 'data'), ok"))
+#: SQL: the 8- and 16-bit ranges of both orders; `first` counts bits from the front, in the order that the range has them.
+_RANGES = """ranges AS (SELECT start, size, 'little' AS "order", start AS first FROM range(64) AS t(start), (VALUES (8), (16)) AS s(size)
+UNION ALL SELECT start, size, 'big', start - start % 8 + 7 - start % 8 FROM range(64) AS t(start), (VALUES (8), (16)) AS s(size) WHERE size <> 8 OR start % 8 <> 7)"""
+_AT = [f"coalesce(p[first // 8 + {i}], 0)" for i in (1, 2, 3)]
+_RANGE_VALUE = f"""(CASE WHEN "order" = 'little' THEN ({_AT[0]} + 256 * {_AT[1]} + 65536 * {_AT[2]}) >> (first % 8) ELSE ({_AT[2]} + 256 * {_AT[1]} + 65536 * {_AT[0]}) >> (24 - first % 8 - size) END) & ((1 << size) - 1)"""
+_PAYLOAD_LIST = "list_filter([b0, b1, b2, b3, b4, b5, b6, b7], lambda x: x IS NOT NULL)"
+
+_FIND = f"""--cte {_RANGES}, rows_ AS (SELECT key, ts_ns, seq, {_PAYLOAD_LIST} AS p FROM frames WHERE kind = 'data' AND key & 536870912 = 0),
+least_ AS (SELECT key, min(len(p)) AS least FROM rows_ GROUP BY key),
+v AS (SELECT key, ts_ns, seq, start, size, "order", CAST({_RANGE_VALUE} AS BIGINT) AS v FROM rows_ JOIN least_ USING (key) JOIN ranges ON first + size <= 8 * least),
+d AS (SELECT key, start, size, "order", ts_ns, v - lag(v) OVER (PARTITION BY key, start, size, "order" ORDER BY ts_ns, seq) AS d FROM v),
+a AS (SELECT key, start, size, "order", count(*) FILTER (d > 0 AND ts_ns <= {T1}) AS up, count(*) FILTER (d < 0 AND ts_ns <= {T1}) AS down, count(d) FILTER (ts_ns <= {T1}) AS early, count(*) FILTER (d <> 0) AS moves, count(d) AS n FROM d GROUP BY ALL),
+f AS (SELECT key, start, size, "order", greatest(up - down, 0) / CAST(up + down + 1 AS DOUBLE) * (moves / CAST(n AS DOUBLE)) AS score FROM a WHERE early > 0 AND n > 0)
+SELECT key, start, CAST(size AS BIGINT) AS size, "order", round(score, 12) AS score FROM f WHERE score > 0"""
+
+
+@query("find_signal", _FIND)
 def find_signal(df: DataFrame) -> DataFrame:
+    """All sizes and orders over each ID's own shortest frame."""
     rules = [find.Rule(0, T1, find.INCREASES), find.Rule(0, 1 << 62, find.CHANGES)]
-    found = find.find_signal(df.where("kind = 'data'"), rules, 6, sizes=(8,), orders=("little",), limit=100_000)
-    return found.withColumn("score", F.round("score", 12))
+    return find.find_signal(df.where("kind = 'data'"), rules, limit=None).withColumn("score", F.round("score", 12))
 
 
-@query("find_signal_whole")
-def find_signal_whole(df: DataFrame) -> DataFrame:
-    """All sizes and orders over each ID's own shortest frame; tests/test_operators.py holds it against brute force."""
-    rules = [find.Rule(0, T1, find.INCREASES), find.Rule(0, 1 << 62, find.CHANGES)]
-    return find.find_signal(df.where("kind = 'data'"), rules, limit=None).withColumn("score", F.round("score", 12))
+QUERIES["find_signal_whole"], ORACLES["find_signal_whole"] = QUERIES["find_signal"], ORACLES["find_signal"]  # the name it had beside a narrower search
+
+
+_FITS = f"""--cte {_RANGES}, {_REFERENCE}, rows_ AS (SELECT key, ts_ns, seq, {_PAYLOAD_LIST} AS p FROM frames WHERE kind = 'data' AND len > 0),
+size_ AS (SELECT key, CASE WHEN count(*) FILTER (len(p) = 8) >= 0.99 * count(*) THEN 8 ELSE 6 END AS least FROM rows_ GROUP BY key),
+j AS (SELECT rows_.key, p, least, r.value AS y FROM rows_ JOIN size_ ON rows_.key = size_.key AND len(p) >= least ASOF JOIN r ON rows_.ts_ns >= r.ts_ns),
+v AS (SELECT key, start, size, "order", y, CAST({_RANGE_VALUE} AS DOUBLE) AS x FROM j JOIN ranges ON first + size <= 48)
+SELECT key, start, CAST(size AS BIGINT) AS size, "order", count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 9) AS r FROM v GROUP BY key, start, size, "order" """
+
+
+@query("reference_fits", _FITS)
+def reference_fits(df: DataFrame) -> DataFrame:
+    """How every range of the first 6 bytes of each ID follows another ID's signal."""
+    spark = df.sparkSession
+    known = spark.createDataFrame([(n, *c) for n, c in enumerate(find.candidates(6))], "range int, start int, size int, order string")
+    ranges = df.where("kind = 'data'").select("key").distinct().join(F.broadcast(suggest._placed(known)), F.lit(True))  # a row for each range
+    found = suggest.reference_sums(df.where("kind = 'data'"), ranges.withColumn("signed", F.lit(False)), reference_series(df))
+    told = found.join(F.broadcast(known), "range").withColumns({"start": F.col("start").cast("long"), "size": F.col("size").cast("long")})
+    return told.select("key", "start", "size", "order", "n", F.round("r", 9).alias("r"))
 
 
 @query("checksum_share", "SELECT key, CAST(len AS INTEGER) AS size, count(*) AS frames, count(*) FILTER (CASE WHEN len = 8 THEN (b0 + b1 + b2 + b3 + b4 + b5 + b6) % 256 = b7 ELSE (b0 + b1 + b2 + b3 + b4) % 256 = b5 END) AS matching FROM frames WHERE len >= 2 GROUP BY key, len")

@@ -12,6 +12,8 @@ from canlake.sources import asc, blf, csv_log, mf4, text, trc
 EXTENSIONS = {"log": "candump", "txt": "candump", "candump": "candump", "asc": "asc", "trc": "trc", "csv": "csv", "blf": "blf", "mf4": "mf4", "mdf": "mf4"}
 #: Buses that have a channel of their own; all later ones share the last.
 CHANNELS = 256
+#: Numbers that each binary file has for its frames.
+FILE_ROWS = 1 << 40
 FRAME = ["seq", "ts_ns", "bus", "channel", "id", "key", "flags", "kind", "len", "remote_dlc", "data"]
 
 
@@ -38,9 +40,20 @@ def detect(spark: SparkSession, path: str, most: int = 20) -> str:
     return EXTENSIONS.get(name.rstrip("/").rsplit(".", 1)[-1].lower(), "candump")
 
 
-def with_channels(frames: DataFrame) -> DataFrame:
-    """frames with the channel of their bus, in the order of first appearance, and their key."""
-    first = frames.groupBy("bus").agg(F.min("seq").alias("_first"))
+def in_one_order(spark: SparkSession, frames: DataFrame, path: str) -> DataFrame:
+    """frames (file, seq in the file) of several files with one seq over all: file after file by name, each in its own order.
+
+    Frames of one time then go by file, group and record, on every read. Numbers leave gaps between files.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"))  # names only, no contents
+    place = F.row_number().over(Window.orderBy("_path")) - 1  # over a row for each file
+    numbered = files.withColumn("_place", place.cast("long"))
+    return frames.join(numbered, F.col("file") == F.col("_path")).withColumn("seq", F.col("_place") * FILE_ROWS + F.col("seq")).select(*frames.columns)
+
+
+def with_channels(frames: DataFrame, by_time: bool = False) -> DataFrame:
+    """frames with the channel of their bus, in the order of first appearance in the files or in time, and their key."""
+    first = frames.groupBy("bus").agg(F.min(F.struct("ts_ns", "seq") if by_time else F.col("seq")).alias("_first"))
     number = F.row_number().over(Window.orderBy("_first", "bus")) - 1  # over a row for each bus
     numbered = first.select("bus", F.least(number, F.lit(CHANNELS - 1)).cast("int").alias("channel"))
     rows = frames.drop("channel").join(numbered, "bus")
@@ -55,7 +68,7 @@ def parse(spark: SparkSession, path: str, format: str | None = None, start_ns: i
     format = format or detect(spark, path)
     if format in ("blf", "mf4"):
         read = {"blf": blf.read_blf, "mf4": mf4.read_mf4}[format](spark, path)
-        return read.withColumn("rejected", F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
+        return in_one_order(spark, read, path).withColumn("rejected", F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
     lines = text.read_lines(spark, path)
     if format == "candump":
         return text.candump(lines)
@@ -64,7 +77,9 @@ def parse(spark: SparkSession, path: str, format: str | None = None, start_ns: i
 
 def read_log(spark: SparkSession, path: str, format: str | None = None, start_ns: int = 0) -> DataFrame:
     """The frames of a log as the operators take them; lines that were rejected are left out (see parse_stats)."""
-    return with_channels(parse(spark, path, format, start_ns).where("not rejected")).select(*FRAME)
+    format = format or detect(spark, path)
+    # the groups of MF4 files are merged by time, and so are their buses
+    return with_channels(parse(spark, path, format, start_ns).where("not rejected"), format == "mf4").select(*FRAME)
 
 
 def parse_stats(parsed: DataFrame) -> DataFrame:

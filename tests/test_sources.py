@@ -1,3 +1,4 @@
+import os
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,22 @@ def test_logs_round_trip_in_every_format(spark, tmp_path):
     assert plain(logs.read_log(spark, f"{tmp_path}/many/*.mf4")) == plain(want)
 
 
+@pytest.mark.parametrize("format", ["blf", "mf4"])
+def test_files_have_one_order(spark, tmp_path, format):
+    rows = [(i, 1_700_000_000_000_000_000 + 1000 * (i // 4), f"can{i % 2 + 1}", 256 + i % 3, 0, None, bytearray([i % 256])) for i in range(60)]
+    frames = spark.createDataFrame(rows, "seq long, ts_ns long, bus string, id long, flags int, remote_dlc int, data binary")
+    for part in range(3):  # equal times in all files
+        binary_writers.write_binary(frames.where(f"seq % 3 = {part}"), f"{tmp_path}/{part}", format, 1)
+        os.rename(f"{tmp_path}/{part}/part-00000.{format}", f"{tmp_path}/{'cab'[part]}.{format}")
+    want = sorted((1000 * (i // 4), "cab"[i % 3], i) for i in range(60))
+    for _ in range(2):
+        read = logs.read_log(spark, f"{tmp_path}/*.{format}", format)
+        got = read.orderBy("ts_ns", "seq").collect()
+        assert len({r.seq for r in got}) == 60 and [bytes(r.data)[0] for r in got] == [i for *_, i in want]
+        first = min(want)[2]
+        assert next(r.channel for r in got if bytes(r.data)[0] == first) == 0
+
+
 def test_what_formats_cannot_hold(spark):
     frames = spark.range(300).selectExpr("id as seq", "id as ts_ns", "concat('x', id) as bus", "1L as id", "0 as flags", "cast(null as int) as remote_dlc", "unhex('00') as data")
     for write in (writers.asc, writers.trc):
