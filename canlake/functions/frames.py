@@ -58,6 +58,13 @@ def id_label(id_: Column) -> Column:
     return F.when(extended, F.lpad(low, 8, "0")).otherwise(F.lpad(low, 3, "0"))
 
 
+def summary_label(id_: Column, flags: Column) -> Column:
+    """What a list of IDs shows: the ID, or for error frames their class, so the error bit never reads as part of an ID."""
+    of = id_.bitwiseAND(F.lit(0x1FFFFFFF))
+    error = F.when(of == 0, F.lit("Error frames")).otherwise(F.concat(F.lit("Error "), F.lpad(F.hex(of), F.greatest(F.lit(3), F.length(F.hex(of))), "0")))
+    return F.when(flags.bitwiseAND(F.lit(schema.ERROR)) != 0, error).otherwise(id_label(id_))
+
+
 def frame_bits(id_: Column, flags: Column, length: Column) -> Column:
     """Bits that a frame takes on the bus, without stuffing: fixed overhead by kind of frame, and eight for each byte."""
     extended = id_.bitwiseAND(F.lit(schema.EXTENDED_ID)) != 0

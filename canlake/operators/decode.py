@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canlake import schema
@@ -100,22 +101,75 @@ def decode_signal(frames: DataFrame, scopes: list[Scope], key: int, name: str) -
     return frames.where(F.col("key") == key).select("seq", "ts_ns", value(F.col("data"), signal, message).alias("value")).where("value is not null")
 
 
+_FIELD = "base int, step int, shift int, mask long, width int, need int"
+_SIGNALS = f"id long, message string, signal string, kind string, factor double, offset double, unavailable double, {_FIELD}, switches array<struct<{_FIELD.replace(' int', ':int').replace(' long', ':long')},low:array<long>,high:array<long>>>"
+
+
+def _field(signal: Signal) -> tuple[int, int, int, int, int, int]:
+    """Where a field's bits lie: the byte of its lowest bit, the way to its higher bytes, the shift, its mask, width and last byte."""
+    at = bits.positions(signal.start, signal.size, signal.order)
+    mask = -1 if signal.size == 64 else (1 << signal.size) - 1
+    return at[0][0], 1 if signal.order == bits.LITTLE else -1, at[0][1], mask, signal.size, max(b for b, _ in at)
+
+
+def _switches(signal: Signal, message: Message) -> list[tuple] | None:
+    """The selectors that must have a value in some ranges for a signal to be there; None if it never is."""
+    named, found, seen = {s.name: s for s in message.signals}, [], set()
+    while signal.mux_switch or signal.mux_value is not None:
+        if signal.name in seen:
+            return None
+        seen.add(signal.name)
+        ranges = signal.mux_switch[1] if signal.mux_switch else ((signal.mux_value, signal.mux_value),)
+        switch = named.get(signal.mux_switch[0]) if signal.mux_switch else next((s for s in message.signals if s.is_multiplexor and s.mux_value is None), None)
+        if switch is None:
+            return None
+        found.append((*_field(switch), [a for a, _ in ranges], [b for _, b in ranges]))
+        signal = switch
+    return found
+
+
+def signal_table(spark: SparkSession, database: Database) -> DataFrame:
+    """A row for each signal of each message that can be there, with its place in the payload and what switches it."""
+    rows = []
+    for m in {m.id: m for m in database.messages if m.signals}.values():
+        for s in m.signals:
+            switches = _switches(s, m)
+            if switches is not None:
+                top = float(0xFB << (s.size - 8)) if m.j1939 and s.kind == "unsigned" and s.size % 8 == 0 else None
+                rows.append((m.id, m.name, s.name, s.kind, float(s.factor), float(s.offset), top, *_field(s), switches))
+    return spark.createDataFrame(rows, _SIGNALS)
+
+
+def _read(data: Column, field: Callable[[str], Column]) -> Column:
+    """The raw bits of a field of an array of payload bytes, as a signed 64-bit pattern; null if the payload is too short."""
+    byte = lambda k: F.coalesce(F.get(data, field("base") + field("step") * k), F.lit(0)).cast("long")
+    low = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(byte(k), 8 * k) for k in range(8)])
+    word = F.call_function("shiftrightunsigned", low, field("shift"))
+    rest = F.when(field("shift") > 0, F.call_function("shiftleft", byte(8), 64 - field("shift"))).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(data) > field("need"), word.bitwiseOR(rest).bitwiseAND(field("mask")))
+
+
 def decode_all(frames: DataFrame, database: Database) -> DataFrame:
     """(seq, message, signal, value) of all frames whose exact ID the database has.
 
-    One pass: each frame computes only the array of its own message's signals, which is then exploded.
+    Each frame meets the rows of its own message's signals in a table of the database's size; the expression that reads a
+    signal is the same for all of them, however many the database has.
     """
-    messages = {m.id: m for m in database.messages if m.signals}
-    data = Payload(F.col("bytes"), is_array=True)
-    of = None
-    for m in messages.values():
-        values = F.array(*[F.struct(F.lit(s.name).alias("signal"), value(data, s, m).alias("value")) for s in m.signals])
-        row = F.struct(F.lit(m.name).alias("message"), values.alias("values"))
-        of = F.when(F.col("id") == m.id, row) if of is None else of.when(F.col("id") == m.id, row)
-    if of is None:
-        return frames.select("seq", F.lit("").alias("message"), F.lit("").alias("signal"), F.lit(0.0).alias("value")).limit(0)
-    rows = frames.where(F.col("id").isin(list(messages))).select("seq", "id", payload_bytes(F.col("data")).alias("bytes")).select("seq", of.alias("m"))
-    return rows.select("seq", "m.message", F.explode("m.values").alias("v")).select("seq", "message", "v.signal", "v.value").where("value is not null")
+    table = signal_table(frames.sparkSession, database)
+    ids = [m.id for m in database.messages if m.signals]
+    rows = frames.where(F.col("id").isin(ids)).select("seq", "id", payload_bytes(F.col("data")).alias("bytes"))
+    met = rows.join(F.broadcast(table), "id").withColumn("raw", _read(F.col("bytes"), F.col))
+
+    def selected(s: Column) -> Column:
+        at = _read(F.col("bytes"), lambda name: s[name])
+        return F.exists(F.arrays_zip(s["low"], s["high"]), lambda r: (at >= r["low"]) & (at <= r["high"]))
+
+    there = (F.size("switches") == 0) | F.coalesce(F.forall("switches", selected), F.lit(False))
+    extended = F.call_function("shiftright", F.call_function("shiftleft", F.col("raw"), 64 - F.col("width")), 64 - F.col("width"))
+    unsigned = bits.unsigned_double(F.col("raw"))
+    number = F.when(F.col("kind") == "unsigned", unsigned).when(F.col("kind") == "signed", extended.cast("double")).when(F.col("kind") == "float32", bits.float32(F.col("raw"))).otherwise(bits.float64(F.col("raw")))
+    missing = F.coalesce(unsigned >= F.col("unavailable"), F.lit(False))
+    return met.select("seq", "message", "signal", F.when(there & ~missing, number * F.col("factor") + F.col("offset")).alias("value")).where("value is not null")
 
 
 def labelled(frames: DataFrame, scopes: list[Scope], key: int, name: str) -> DataFrame:

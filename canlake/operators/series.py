@@ -140,6 +140,15 @@ def sample_at(series: DataFrame, times_ns: list[int]) -> DataFrame:
     return found.select(F.inline(F.array(*[F.struct(F.lit(t).cast("long").alias("t_ns"), between(t).alias("value")) for t in times_ns])))
 
 
+def points_at(series: DataFrame, times_ns: list[int]) -> DataFrame:
+    """(t_ns, ts_ns, value): the last point at or before each time, or else the first point. One pass for all times."""
+    at, point = F.struct("ts_ns", "seq"), F.struct("ts_ns", "value")
+    last = [F.max_by(F.when(F.col("ts_ns") <= t, point), F.when(F.col("ts_ns") <= t, at)).alias(f"a{i}") for i, t in enumerate(times_ns)]
+    found = series.agg(F.min_by(point, at).alias("first"), *last)
+    rows = [F.struct(F.lit(t).cast("long").alias("t_ns"), F.coalesce(f"a{i}", "first").alias("p")) for i, t in enumerate(times_ns)]
+    return found.select(F.inline(F.array(*rows))).where("p is not null").select("t_ns", "p.ts_ns", "p.value")
+
+
 def as_of(series: DataFrame, reference: DataFrame, span_ns: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """(ts_ns, seq, value, reference), and the columns of the series to keep: the last reference value at or before each point, null before the first.
 

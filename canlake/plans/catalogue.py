@@ -13,6 +13,7 @@ from canlake.operators import compare, decode, find, series, stats, suggest, tra
 from canlake.plans import demo
 from canlake.sources import asc, csv_log, text, trc, writers
 from canlake.sources.events import FRAMES_SQL, frames
+from canlake.streaming import capture_log
 
 #: The window of time that the queries use, and a few times in and out of it.
 T0, T1, BUCKETS = 1704412800000000000, 1705276800000000000, 48
@@ -329,6 +330,11 @@ def sample_at(df: DataFrame) -> DataFrame:
     return series.sample_at(value_series(df), TIMES).withColumn("value", F.round("value", 6))
 
 
+@query("points_at", f"--cte {_SERIES}, t AS (SELECT unnest({TIMES}) AS t_ns), first AS (SELECT ts_ns, value FROM s ORDER BY ts_ns, seq LIMIT 1) SELECT CAST(t.t_ns AS BIGINT) AS t_ns, coalesce(s.ts_ns, first.ts_ns) AS ts_ns, coalesce(s.value, first.value) AS value FROM t ASOF LEFT JOIN s ON t.t_ns >= s.ts_ns CROSS JOIN first")
+def points_at(df: DataFrame) -> DataFrame:
+    return series.points_at(value_series(df), TIMES)
+
+
 _REFERENCE = f"r AS (SELECT seq, ts_ns, CAST(b4 AS DOUBLE) AS value FROM frames WHERE key = {KEY + 1} AND b4 IS NOT NULL)"
 
 
@@ -498,6 +504,29 @@ def transport_reassembly(df: DataFrame) -> DataFrame:
     return made.select("channel", "ts_ns", "id", "len", F.hex("data").alias("data"))
 
 
+#: A span of the states that merge, for events that lie minutes apart.
+STATE_NS = 6 * 3_600_000_000_000
+
+
+def _in_spans(df: DataFrame) -> DataFrame:
+    return df.withColumn("span", F.floor(F.col("ts_ns") / F.lit(STATE_NS)))
+
+
+@query("capture_summary")
+def capture_summary(df: DataFrame) -> DataFrame:
+    """The summary of IDs from the states of spans, as a capture keeps it; the same as that of all frames."""
+    merged = capture_log.merged_ids(capture_log.id_states(_in_spans(df)))
+    return merged.withColumns({"period_ms": F.round("period_ms", 6), "jitter_ms": F.round("jitter_ms", 3)})
+
+
+@query("capture_flips")
+def capture_flips(df: DataFrame) -> DataFrame:
+    return capture_log.merged_flips(capture_log.flip_states(_in_spans(df)))
+
+
+ORACLES["capture_summary"], ORACLES["capture_flips"] = ORACLES["id_summary"], ORACLES["bit_flips"]
+
+
 @query("suggest_signals")
 def suggest_signals(df: DataFrame) -> DataFrame:
     return suggest.suggest(df)
