@@ -82,32 +82,37 @@ def cells(log: DataFrame) -> DataFrame:
     """
     by = ["part", "bus", "id"]
     counted = log.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(*by, F.lit("frames").alias("hist"), F.lit(0).alias("byte"), F.lit(0).alias("x"), "n", F.lit(0).cast("long").alias("mask"))
-    rows = log.where("kind in ('data', 'reassembled')").select(*by, "seq", "ts_ns", "kind", "flags", "size", F.substring("data", F.lit(1), F.col("size")).alias("data"))
-    rows = with_index(with_previous(rows, [*by, "kind"], {"data": "before"}), by, "at")
-    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    rows = rows.join(totals, by).withColumn("stretch", F.floor(F.col("at") * F.least("total", F.lit(STRETCHES)) / F.col("total")).cast("int"))
-    spread = rows.select(*by, "seq", "ts_ns", "stretch", "data", "before", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "v")).withColumn("u", ff.byte(F.col("before"), F.col("byte")))
-    power = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("stretch"))
-    values = spread.groupBy(*by, "byte", F.col("v").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(power).alias("mask")).select(*by, F.lit("value").alias("hist"), "byte", "x", "n", "mask")
-    zero = F.lit(0).cast("long").alias("mask")
-    last = spread.groupBy(*by, "byte").agg(F.max_by("v", F.struct(*schema.ORDER)).alias("x")).select(*by, F.lit("last").alias("hist"), "byte", "x", F.lit(1).cast("long").alias("n"), zero)
-    high = F.pmod(F.shiftright("v", 4) - F.shiftright("u", 4), F.lit(16))
-    steps = F.array(*[F.struct(F.lit(name).alias("hist"), x.alias("x")) for name, x in (("xor", F.col("u").bitwiseXOR(F.col("v"))), ("step", F.pmod(F.col("v") - F.col("u"), F.lit(256))), ("high", high))])
-    pairs = spread.where("u is not null").select(*by, "byte", F.explode(steps).alias("s")).groupBy(*by, "s.hist", "byte", "s.x").agg(F.count(F.lit(1)).alias("n")).select(*by, "hist", "byte", "x", "n", zero)
-    all_ = ff.payload_bytes(F.col("data"))
+    plain = log.where("kind in ('data', 'reassembled')").select(*by, "seq", "ts_ns", "kind", "flags", "size", F.substring("data", F.lit(1), F.col("size")).alias("data"))
+    ends = plain.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.max_by("data", F.struct(*schema.ORDER)).alias("end"))
+    last = ends.select(*by, F.lit("last").alias("hist"), F.posexplode(ff.payload_bytes(F.col("end"))).alias("byte", "x")).withColumns({"n": F.lit(1).cast("long"), "mask": F.lit(0).cast("long")})
+    rows = with_index(with_previous(plain, [*by, "kind"], {"data": "before"}), by, "at").join(ends.select(*by, "total"), by)
+    stretch = F.floor(F.col("at") * F.least("total", F.lit(STRETCHES)) / F.col("total")).cast("int")
+    power, zero = F.call_function("shiftleft", F.lit(1).cast("long"), stretch), F.lit(0).cast("long")
+
+    def cell(hist: str, byte: Column, x: Column, mask: Column = zero) -> Column:
+        return F.struct(F.lit(hist).alias("hist"), byte.cast("int").alias("byte"), x.cast("int").alias("x"), mask.alias("mask"))
+
+    def of_byte(i: Column) -> Column:
+        """A payload byte's own cell, and those of its step from the payload before, if that one has the byte."""
+        v, u = ff.byte(F.col("data"), i), ff.byte(F.col("before"), i)
+        high = F.pmod(F.shiftright(v, 4) - F.shiftright(u, 4), F.lit(16))
+        steps = [cell("xor", i, u.bitwiseXOR(v)), cell("step", i, F.pmod(v - u, F.lit(256))), cell("high", i, high)]
+        return F.array(cell("value", i, v, power), *[F.when(u.isNotNull(), c) for c in steps])
+
+    all_, none = ff.payload_bytes(F.col("data")), F.lit(0)
     total = F.aggregate(all_, F.lit(0), lambda t, v: t + v)
     folded = F.aggregate(all_, F.lit(0), lambda t, v: t.bitwiseXOR(v))
     first_last = [(name, F.pmod(ff.byte(F.col("data"), i) * 2 - total, F.lit(256))) for name, i in (("first sum", F.lit(0)), ("last sum", F.length("data") - 1))]
     full = (F.length("data") == F.col("size")) & (F.col("size") > 0)
-    whole = [F.when(full, F.struct(F.lit(name).alias("hist"), x.alias("x"))) for name, x in (*first_last, ("all xor", folded))]
-    fd = F.when(F.col("flags").bitwiseAND(F.lit(schema.FD)) != 0, F.struct(F.lit("fd").alias("hist"), F.lit(0).alias("x")))
-    told = F.array_compact(F.array(*whole, fd, F.struct(F.lit("length").alias("hist"), F.least(F.length("data"), F.lit(127)).alias("x"))))
-    frames = rows.select(*by, F.explode(told).alias("c")).groupBy(*by, "c.hist", "c.x").agg(F.count(F.lit(1)).alias("n")).select(*by, "hist", F.lit(0).alias("byte"), "x", "n", zero)
-    parts = [counted, values, last, pairs, frames]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    whole = [F.when(full, cell(name, none, x)) for name, x in (*first_last, ("all xor", folded))]
+    fd = F.when(F.col("flags").bitwiseAND(F.lit(schema.FD)) != 0, cell("fd", none, F.lit(0)))
+    told = F.array(*whole, fd, cell("length", none, F.least(F.length("data"), F.lit(127))))
+    places = F.when(F.length("data") > 0, F.sequence(F.lit(0), F.length("data") - 1))
+    spread = F.when(places.isNotNull(), F.concat(told, F.flatten(F.transform(places, of_byte)))).otherwise(told)
+    # every frame becomes its cells once, and one aggregate counts them all
+    counts = rows.select(*by, F.explode(F.array_compact(spread)).alias("c")).groupBy(*by, "c.hist", "c.byte", "c.x").agg(F.count(F.lit(1)).alias("n"), F.bit_or("c.mask").alias("mask"))
+    columns = [*by, "hist", "byte", "x", "n", "mask"]
+    return counted.select(*columns).unionByName(last.select(*columns)).unionByName(counts.select(*columns))
 
 
 def compare_logs(a: DataFrame, b: DataFrame, ignore_counters: bool = False, ignore_changes_within_a: bool = False) -> DataFrame:
