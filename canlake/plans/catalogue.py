@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canlake.functions import frames as ff
 from canlake.functions.dbc import Scope
 from canlake.operators import compare, decode, find, series, stats, suggest, trace, transport
-from canlake.plans import demo
+from canlake.plans import demo, senders
 from canlake.sources import asc, csv_log, text, trc, writers
 from canlake.sources.events import FRAMES_SQL, frames
 from canlake.streaming import capture_log
@@ -498,9 +498,9 @@ def transport_reassembly(df: DataFrame) -> DataFrame:
     size = F.lit(9) + F.col("seq") % 40
     payload = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda i: F.lpad(F.hex((F.col("seq") + i * 7) % 256), 2, "0")), ""))
     way = (F.floor(F.col("seq") / 200) % 4).alias("way")
-    group = F.when(F.floor(F.col("seq") / 200) % 4 == transport.TO_ONE, 0xEF00).otherwise(0xFEF1).cast("long").alias("group")
+    group = F.when(F.floor(F.col("seq") / 200) % 4 == senders.TO_ONE, 0xEF00).otherwise(0xFEF1).cast("long").alias("group")
     messages = df.where("kind = 'data'").select("seq", "ts_ns", "channel", (F.col("seq") % 200).alias("sender"), F.lit(240).alias("to"), group, way, payload.alias("data"))
-    made = transport.reassemble(transport.packets_of(messages))
+    made = transport.reassemble(senders.packets_of(messages))
     return made.select("channel", "ts_ns", "id", "len", F.hex("data").alias("data"))
 
 
