@@ -1,4 +1,5 @@
 import os
+
 import pytest
 from pyspark.sql import functions as F
 
