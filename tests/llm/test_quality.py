@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,35 @@ def test_kernel_values_by_sets():
             assert abs(k[i, j] - len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))) < 1e-5
 
 
+def told_by_sets(text, model, marks):
+    """(language, score) of a text by the definition: kernel values over sets of names, scores, and their softmax."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    own = grams(text)
+    near = np.array([len(own & m) / math.sqrt(max(len(own), 1) * max(len(m), 1)) for m in marks])
+    scores = near @ model.weights.astype(np.float64)
+    e = np.exp(language.SHARPNESS * (scores - scores.max()))
+    return model.languages[int(scores.argmax())], float(e.max() / e.sum())
+
+
+def test_op3_query_by_sets(spark, sf, tmp_path):
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(9001, None, "en"), (9002, "", "en"), (9003, "12 345 !?", "de"), (None, "the and of", None), (9005, "é" * 30000, None), (9006, "the and of", "en"), (9006, "der die das und", "en"), (9006, "der die das und", "en")]
+    more = spark.createDataFrame(odd, "doc_id long, text string, lang string")
+    docs = given.unionByName(more.select(*[(F.col(c) if c in more.columns else F.lit(None)).cast(given.schema[c].dataType).alias(c) for c in given.columns]))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = q_quality.language_model(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    marks = [set(np.flatnonzero(row).tolist()) for row in np.unpackbits(model.landmarks, axis=1)[:, : language.DIM]]
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        name, score = told_by_sets(r.text, model, marks)
+        want.append((str(r.doc_id), r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0, name, score))
+    got = [(str(r.doc_id), r.held_out, r.lang_pred, r.score) for r in q_quality.op3_language_id(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and sum(w[1] for w in want) > 20
+    for a, b in zip(sorted(got), sorted(want)):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3
+
+
 def test_ridge_weights_are_optimal(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
     model = language.train(docs, per_language=40, landmarks=24)
