@@ -31,7 +31,10 @@ def frame_rate(frames: DataFrame, window: str = "2 seconds", slide: str = "1 sec
 
 
 def changes(frames: DataFrame) -> DataFrame:
-    """Frames whose payload differs, over the common bytes, from the last frame of the same ID and kind; state is that payload."""
+    """Frames whose payload differs, over the common bytes, from the last frame of the same ID and kind; state is that payload.
+
+    For frames that arrive in order; follow.follow takes any filter and places late frames.
+    """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts_ns", "seq"])
