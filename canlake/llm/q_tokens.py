@@ -23,14 +23,20 @@ def word_model(spark: SparkSession) -> str:
     return f"{spark.conf.get(SETTING, TOKENIZERS)}/{WORD_NAME}"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs in a part for each core, where its files give fewer parts: tokenising takes longer than moving the texts."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every whole text, with their piece ids."""
-    return pieces.sample_encodings(table(spark, sf_dir, "documents"), model(spark), samples=2)
+    return pieces.sample_encodings(spread(table(spark, sf_dir, "documents")), model(spark), samples=2)
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every whole text."""
-    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), word_model(spark), LIMIT)
+    return token_counts.count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), word_model(spark), LIMIT)
 
 
 QUERIES = {"op9_sentencepiece": op9_sentencepiece, "op12_token_counts": op12_token_counts}
