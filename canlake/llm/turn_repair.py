@@ -167,6 +167,26 @@ class Part:
         return {"gaps": min(gaps, (1 << 63) - 1), **counts, "cost": cost, "audit": audit, "path": path}
 
 
+class Joiner:
+    """Parts joined in order, neighbours of about equal size first, so that audits are copied a logarithm of times."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, Part]] = []
+
+    def add(self, part: Part) -> None:
+        size = max(part.turns, 1)
+        while self.stack and self.stack[-1][0] <= size:
+            before, left = self.stack.pop()
+            size, part = before + size, left.join(part)
+        self.stack.append((size, part))
+
+    def total(self) -> Part:
+        out = Part()
+        for _, part in reversed(self.stack):
+            out = part.join(out)
+        return out
+
+
 def _joined(left: dict, right: dict) -> dict:
     out: dict = {}
     for (a, b), (cost, audit, path) in left.items():
@@ -282,18 +302,19 @@ def _stream(rows: Iterator[pa.RecordBatch], schema: pa.Schema, with_lines: bool)
     A partition's first and last conversation may go on in its neighbours, so they come out as parts, like long ones.
     """
     out: list[dict] = []
-    now, part, block, total, at, held = None, -1, Block(), Part(), 0, []
+    now, part, block, joiner, at, held = None, -1, Block(), Joiner(), 0, []
 
     def close_block() -> None:
-        nonlocal block, total, at
+        nonlocal block, at
         if block.part.turns:
-            total = total.join(block.close())
+            joiner.add(block.close())
             held.append((at, block))
             at, block = at + 1, Block()
 
     def close(edge: bool) -> None:
-        nonlocal total, at
+        nonlocal joiner, at
         close_block()
+        total = joiner.total()
         key = {"conv_id": now[0], "part": part}
         if edge or len(held) < at:
             emit_blocks()
@@ -304,7 +325,7 @@ def _stream(rows: Iterator[pa.RecordBatch], schema: pa.Schema, with_lines: bool)
             made = list(made) if with_lines else made
             out.append(key | {"kind": "whole", "repaired_sha256": digest(iter(made)), "lines": made if with_lines else None} | {k: v for k, v in found.items() if k != "path"})
         held.clear()
-        total, at = Part(), 0
+        joiner, at = Joiner(), 0
 
     def emit_blocks() -> None:
         for i, b in held:
@@ -343,13 +364,13 @@ def _assembler(schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
     def assemble(parts: pa.Table) -> pa.Table:
         """The parts of one conversation, at most one for each partition, joined in order, with the places between its blocks."""
         rows = sorted(parts.to_pylist(), key=lambda r: r["part"])
-        total, blocks = Part(), []
+        joiner, blocks = Joiner(), []
         for r in rows:
             state = json.loads(r["state"])
             part = Part(**state | {"ways": {(a, b): (cost, audit, path) for a, b, cost, audit, path in state["ways"]}})
             blocks += [(r["part"], i) for i in range(len(next(iter(part.ways.values()))[2]) if part.turns else 0)]
-            total = total.join(part)
-        found = total.result()
+            joiner.add(part)
+        found = joiner.total().result()
         ends = [START, *map(int, found.pop("path"))]
         moves = [{"part": p, "block": i, "entry": a, "exit": b} for (p, i), a, b in zip(blocks, ends, ends[1:])]
         return pa.Table.from_pylist([found | {"conv_id": rows[0]["conv_id"], "moves": moves}], schema)

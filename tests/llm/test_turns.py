@@ -85,13 +85,13 @@ def automaton(turns, gone):
 
 
 def split(turns, gone, size):
-    total = turn_repair.Part()
+    joiner = turn_repair.Joiner()
     for at in range(0, max(len(turns), 1), size):
         b = turn_repair.Block()
-        b.shape, b.part.turns = turns[at : at + size], 1
+        b.shape, b.part.turns = turns[at : at + size], max(len(turns[at : at + size]), 1)
         b.gone = [gone[at] if at == 0 else 0, *gone[at + 1 : at + size + 1]]
-        total = total.join(b.close())
-    return total.result()
+        joiner.add(b.close())
+    return joiner.total().result()
 
 
 def test_long_conversations_in_blocks():
