@@ -36,7 +36,7 @@ def trc(lines: DataFrame, default_start_ns: int = 0) -> DataFrame:
     """
     lines = with_file(lines)
     known = headers(lines)
-    rows = lines.where(~F.ltrim("line").startswith(";") & (F.trim("line") != "")).join(known, "file", "left")
+    rows = lines.where(~F.ltrim("line").startswith(";") & (F.trim("line") != "")).join(F.broadcast(known), "file", "left")  # a row for each file
     rows = rows.withColumn("w", F.split(F.trim("line"), r"\s+")).withColumn("version_2", F.coalesce("version_2", F.lit(False))).withColumn("start", F.coalesce("start", F.lit(default_start_ns).cast("long")))
     newer = F.col("version_2") | F.col("columns").isNotNull()
     return _version_2(rows.where(newer)).unionByName(_version_1(rows.where(~newer)))
