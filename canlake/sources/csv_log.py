@@ -83,7 +83,7 @@ def csv(lines: DataFrame) -> DataFrame:
     lines = with_file(lines).where(F.trim("line") != "")
     plain = lines.where(~F.col("line").startswith("#") & ~F.lower("line").startswith("sep="))
     heads = plain.groupBy("file").agg(F.min(F.struct("seq", "line")).alias("head")).select("file", F.col("head.seq").alias("head_seq"), F.col("head.line").alias("header"))
-    rows = lines.join(heads, "file").where(F.col("seq") >= F.col("head_seq"))
+    rows = lines.join(F.broadcast(heads), "file").where(F.col("seq") >= F.col("head_seq"))  # a row for each file
     headers = [r.header for r in heads.select("header").distinct().collect()]
     parts = []
     for header in headers:
@@ -119,7 +119,7 @@ def _rows(rows: DataFrame, of: Layout) -> DataFrame:
         shape = _by_shape(cell("time"))
         telling = rows.where(cell("time").rlike(r"^-?\d[0-9.eE+-]*$") & ~cell("time").rlike("^-?0+$"))
         units = telling.groupBy("file").agg(F.min_by(shape, "seq").alias("unit"))
-        rows = rows.join(units, "file", "left").withColumn("unit", F.coalesce("unit", F.lit(3)))
+        rows = rows.join(F.broadcast(units), "file", "left").withColumn("unit", F.coalesce("unit", F.lit(3)))
     else:
         rows = rows.withColumn("unit", F.lit(of.unit))
     flag = lambda role: F.when(cell(role).isNull() | F.lower(cell(role)).isin(FALSE), False).when(F.lower(cell(role)).isin(TRUE), True)
@@ -140,13 +140,15 @@ def _rows(rows: DataFrame, of: Layout) -> DataFrame:
     else:
         # bytes in hex, with or without separators and 0x, or base64; the reading that has the stated length counts
         text = F.regexp_replace("text", "0[xX]", "")
-        joined = F.regexp_replace(text, "[ :.,-]", "")
-        as_hex = F.when(text.rlike("^[ :.,-]*(?:[0-9A-Fa-f]{2}[ :.,-]*)*$"), F.unhex(joined))
+        as_hex = F.when(F.col("bare").rlike("^[ :.,-]*(?:[0-9A-Fa-f]{2}[ :.,-]*)*$"), F.unhex(F.regexp_replace("bare", "[ :.,-]", "")))
         as_64 = F.when(F.trim("text").rlike(_BASE64), F.unbase64(F.trim("text")))
+        rows = rows.withColumn("bare", text).withColumns({"as_hex": as_hex, "as_64": as_64})  # columns, as each is looked at several times
         fits = lambda d: F.length(d) == F.col("length")
-        data = F.when(as_hex.isNotNull() & (~F.col("has_length") | fits(as_hex) | as_64.isNull() | ~fits(as_64)), as_hex).otherwise(as_64)
-    data = F.when(F.length(data) <= 64, data)
-    rows = rows.withColumn("data", F.when(F.col("length") < F.length(data), F.substring(data, F.lit(1), F.col("length").cast("int"))).otherwise(data))
+        told = F.col("as_hex").isNotNull() & (~F.col("has_length") | fits("as_hex") | F.col("as_64").isNull() | ~fits("as_64"))
+        data = F.when(told, F.col("as_hex")).otherwise(F.col("as_64"))
+    rows = rows.withColumn("data", data)
+    taken = F.when(F.col("length") < F.length("data"), F.substring("data", F.lit(1), F.col("length").cast("int"))).otherwise(F.col("data"))
+    rows = rows.withColumn("data", F.when(F.length("data") <= 64, taken))
     flexible = F.col("fd") | F.col("brs") | F.col("esi") | (F.length("data") > 8)
     bit = lambda name, value: F.when(F.col(name), value).otherwise(0)
     flags = F.when(flexible, schema.FD).otherwise(0) + bit("brs", schema.BRS) + bit("esi", schema.ESI) + bit("remote", schema.REMOTE) + bit("error", schema.ERROR) + F.col("way")
