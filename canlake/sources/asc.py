@@ -53,7 +53,7 @@ def asc(lines: DataFrame, start_ns: int = 0) -> DataFrame:
     """
     lines = with_file(lines)
     known = headers(lines)
-    lines = lines.join(known, "file", "left").withColumn("decimal", F.coalesce("decimal", F.lit(False))).withColumn("relative", F.coalesce("relative", F.lit(False)))
+    lines = lines.join(F.broadcast(known), "file", "left").withColumn("decimal", F.coalesce("decimal", F.lit(False))).withColumn("relative", F.coalesce("relative", F.lit(False)))
     lines = lines.withColumn("w", F.split(F.trim("line"), r"\s+"))
     event = F.col("w")[0].rlike(r"^\d")
     own = decimal_ns(F.col("w")[0], 9)
