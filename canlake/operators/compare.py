@@ -182,7 +182,7 @@ def new_values(a: DataFrame, b: DataFrame) -> DataFrame:
 def first_showing(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per ID and byte, the first time that A shows a value that B never has."""
     fresh = new_values(a, b).select("key", "byte", "value")
-    shown = a.where("kind in ('data', 'reassembled')").select("key", "ts_ns", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "value"))
+    shown = a.where("kind in ('data', 'reassembled')").select("key", "ts_ns", F.posexplode(ff.payload(a).numbers()).alias("byte", "value"))
     return shown.join(fresh, ["key", "byte", "value"], "left_semi").groupBy("key", "byte").agg(F.min("ts_ns").alias("first_ns"))
 
 

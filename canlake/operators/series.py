@@ -55,7 +55,7 @@ def byte_lanes(frames: DataFrame, key: int, t0_ns: int, t1_ns: int, buckets: int
     buckets outside 0 to buckets - 1.
     """
     rows = frames.where(F.col("key") == key)
-    lanes = rows.select("ts_ns", "seq", F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "value")).withColumn("value", F.col("value").cast("double"))
+    lanes = rows.select("ts_ns", "seq", F.posexplode(ff.payload(frames).numbers()).alias("byte", "value")).withColumn("value", F.col("value").cast("double"))
     at, low, high = F.struct("ts_ns", "seq"), F.col("ts_ns") < t0_ns, F.col("ts_ns") > t1_ns
     ends = lanes.groupBy("byte").agg(F.max(F.when(low, at)).alias("left"), F.min(F.when(high, at)).alias("right"), F.count_if(~low & ~high).alias("inside"))
     some = lanes.join(F.broadcast(ends), "byte")  # a row for each byte of a payload
@@ -188,8 +188,9 @@ def near_markers(frames: DataFrame, markers_ns: list[int], around_ns: int = 1_00
     rows = with_previous(frames, ["key", "kind"], {"data": "before"})
     spark = frames.sparkSession
     marks = F.broadcast(spark.createDataFrame([(i, m - around_ns, m + around_ns) for i, m in enumerate(markers_ns)], "marker long, low long, high long"))
-    size = F.when(F.col("before").isNotNull(), F.least(F.length("data"), F.length("before")))
-    changed = (size > 0) & (F.substring("data", F.lit(1), size) != F.substring("before", F.lit(1), size))
+    data, before = ff.payload(rows), ff.payload(rows, "before")
+    size = data.common(before)
+    changed = (size > 0) & (data.start(size) != before.start(size))
     inside = rows.where(F.expr(" or ".join(f"ts_ns between {m - around_ns} and {m + around_ns}" for m in markers_ns))).withColumn("changed", F.coalesce(changed, F.lit(False)))
     near = inside.join(marks, F.col("ts_ns").between(F.col("low"), F.col("high")))
     return near.groupBy("key", "marker").agg(F.count(F.lit(1)).alias("frames"), F.count_if("changed").alias("changes"))

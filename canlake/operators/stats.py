@@ -65,9 +65,10 @@ def _pairs(frames: DataFrame, t0: int | None, t1: int | None) -> DataFrame:
 
 def byte_flips(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(*by, byte, pairs, f0 to f7): over rows (data, before), how often both have the byte, and each of its bits differs."""
-    common = F.when(F.col("before").isNotNull(), F.least(F.length("data"), F.length("before")))
+    data, before = ff.payload(pairs), ff.payload(pairs, "before")
+    common = data.common(before)
     places = F.when(common > 0, F.sequence(F.lit(0), common - 1))
-    xor = ff.byte(F.col("data"), F.col("byte")).bitwiseXOR(ff.byte(F.col("before"), F.col("byte")))
+    xor = data.byte(F.col("byte")).bitwiseXOR(before.byte(F.col("byte")))
     changed = pairs.where(common > 0).select(*by, "data", "before", F.explode(places).alias("byte")).select(*by, "byte", xor.alias("x"))
     return changed.groupBy(*by, "byte").agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(F.shiftright("x", b).bitwiseAND(F.lit(1))).alias(f"f{b}") for b in range(8)])
 
@@ -86,16 +87,18 @@ def bit_flips(frames: DataFrame, t0: int | None = None, t1: int | None = None) -
     A pair is two neighbouring frames of one ID and kind that both have the byte. All bits of a byte are summed in one
     pass and become rows afterwards.
     """
-    sizes = frames.groupBy("key").agg(F.max(F.length("data")).alias("size")).where("size > 0")
+    sizes = frames.groupBy("key").agg(F.max(ff.payload(frames).length()).alias("size")).where("size > 0")
     return flip_rows(byte_flips(_pairs(frames, t0, t1), ["key"]), sizes)
 
 
 def change_activity(frames: DataFrame, t0: int, t1: int, buckets: int) -> DataFrame:
     """(key, bucket, changed_bits): bits that changed against the previous frame, which may lie before the window."""
-    common = F.when(F.col("before").isNotNull(), F.least(F.length("data"), F.length("before")))
+    pairs = _pairs(frames, None, None)
+    data, before = ff.payload(pairs), ff.payload(pairs, "before")
+    common = data.common(before)
     places = F.when(common > 0, F.sequence(F.lit(0), common - 1))
-    changed = F.aggregate(places, F.lit(0), lambda a, i: a + F.bit_count(ff.byte(F.col("data"), i).bitwiseXOR(ff.byte(F.col("before"), i))))
-    rows = _pairs(frames, None, None).where(F.col("ts_ns").between(t0, t1) & (common > 0))
+    changed = F.aggregate(places, F.lit(0), lambda a, i: a + F.bit_count(data.byte(i).bitwiseXOR(before.byte(i))))
+    rows = pairs.where(F.col("ts_ns").between(t0, t1) & (common > 0))
     return rows.groupBy("key", ff.bucket_of(F.col("ts_ns"), t0, t1, buckets).alias("bucket")).agg(F.sum(changed).cast("long").alias("changed_bits"))
 
 
@@ -144,15 +147,16 @@ def load_overview(load: DataFrame) -> DataFrame:
 
 def checksum_share(frames: DataFrame) -> DataFrame:
     """Per ID, the share of full payloads whose last byte is the sum of the others modulo 256."""
-    size = F.length("data")
-    total = F.aggregate(F.sequence(F.lit(0), size - 2), F.lit(0), lambda a, i: a + ff.byte(F.col("data"), i)) % 256
-    rows = frames.where(size >= 2).select("key", F.length("data").alias("size"), (total == ff.byte(F.col("data"), size - 1)).alias("ok"))
+    data = ff.payload(frames)
+    size = data.length()
+    total = F.aggregate(F.sequence(F.lit(0), size - 2), F.lit(0), lambda a, i: a + data.byte(i)) % 256
+    rows = frames.where(size >= 2).select("key", size.alias("size"), (total == data.byte(size - 1)).alias("ok"))
     return rows.groupBy("key", "size").agg(F.count(F.lit(1)).alias("frames"), F.count_if("ok").alias("matching"))
 
 
 def byte_histogram(frames: DataFrame) -> DataFrame:
     """(key, byte, value, frames) of the data payloads."""
-    bytes_ = F.posexplode(ff.payload_bytes(F.col("data"))).alias("byte", "value")
+    bytes_ = F.posexplode(ff.payload(frames).numbers()).alias("byte", "value")
     return frames.where("kind in ('data', 'reassembled')").select("key", bytes_).groupBy("key", "byte", "value").agg(F.count(F.lit(1)).alias("frames"))
 
 
@@ -194,5 +198,5 @@ def bit_history(frames: DataFrame, key: int, t0: int, t1: int, most: int, first_
     Bytes past a payload's end show as blanks. A top-k by time, so no order of the whole ID is made.
     """
     rows = frames.where((F.col("key") == key) & F.col("ts_ns").between(t0, t1)).orderBy(F.desc("ts_ns"), F.desc("seq")).limit(most)
-    lane = lambda i: F.coalesce(F.lpad(F.bin(ff.byte(F.col("data"), i)), 8, "0"), F.lit(" " * 8))
+    lane = lambda i: F.coalesce(F.lpad(F.bin(ff.payload(frames).byte(i)), 8, "0"), F.lit(" " * 8))
     return rows.select("seq", "ts_ns", F.concat(*[lane(i) for i in range(first_byte, last_byte + 1)]).alias("bits")).orderBy("ts_ns", "seq")

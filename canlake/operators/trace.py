@@ -52,26 +52,27 @@ def _member(column: str, values: list | None) -> Column:
     return F.lit(True) if values is None else F.col(column).isin(values) if values else F.lit(False)
 
 
-def changed_places(data: Column, before: Column) -> Column:
+def changed_places(data: ff.Payload, before: ff.Payload) -> Column:
     """Places of the common bytes that differ, among the first SHOWN."""
-    common = F.when(before.isNotNull(), F.least(F.length(data), F.length(before), F.lit(SHOWN)))
-    places = F.when(common > 0, F.sequence(F.lit(0), common - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda i: ff.byte(data, i) != ff.byte(before, i))
+    common = data.common(before)
+    places = F.when(common > 0, F.sequence(F.lit(0), F.least(common, F.lit(SHOWN)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: data.byte(i) != before.byte(i))
 
 
-def _any_change(data: Column, before: Column) -> Column:
-    common = F.when(before.isNotNull(), F.least(F.length(data), F.length(before)))
-    return F.coalesce((common > 0) & (F.substring(data, F.lit(1), common) != F.substring(before, F.lit(1), common)), F.lit(False))
+def _any_change(data: ff.Payload, before: ff.Payload) -> Column:
+    common = data.common(before)
+    return F.coalesce((common > 0) & (data.start(common) != before.start(common)), F.lit(False))
 
 
-def _rule(rule: object) -> Column:
+def _rule(rule: object, rows: DataFrame) -> Column:
+    data = ff.payload(rows)
     if isinstance(rule, ByteEquals):
-        return F.coalesce(ff.byte(F.col("data"), rule.byte) == rule.value, F.lit(False))
+        return F.coalesce(data.byte(rule.byte) == rule.value, F.lit(False))
     if isinstance(rule, BitIs):
         if not 0 <= rule.bit <= 7:
             raise ValueError("a bit is 0 to 7")
-        return F.coalesce(F.getbit(ff.byte(F.col("data"), rule.byte), F.lit(rule.bit)) == int(rule.set), F.lit(False))
-    return _any_change(F.col("data"), F.col("before"))
+        return F.coalesce(F.getbit(data.byte(rule.byte), F.lit(rule.bit)) == int(rule.set), F.lit(False))
+    return _any_change(data, ff.payload(rows, "before"))
 
 
 def filtered(frames: DataFrame, spec: FrameFilter) -> DataFrame:
@@ -85,11 +86,11 @@ def filtered(frames: DataFrame, spec: FrameFilter) -> DataFrame:
     if spec.t1_ns is not None:
         kept = kept.where(F.col("ts_ns") <= spec.t1_ns)
     if spec.rules:
-        kept = kept.where(reduce(lambda a, b: a & b if spec.match_all else a | b, map(_rule, spec.rules)))
+        kept = kept.where(reduce(lambda a, b: a & b if spec.match_all else a | b, [_rule(r, kept) for r in spec.rules]))
     return kept.select(*columns)
 
 
-def changed_mask(data: Column, before: Column) -> Column:
+def changed_mask(data: ff.Payload, before: ff.Payload) -> Column:
     """A long whose bit i is set if byte i differs; bit 63 is the sign."""
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     return F.aggregate(changed_places(data, before), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
@@ -120,14 +121,14 @@ def page(frames: DataFrame, start: int, count: int, key: int | None = None, span
     followed = followed.withColumn("before", F.when(first_one, F.col("earlier")).otherwise(F.col("near")))
     chosen = with_index(followed, spans=spans).withColumn("index", F.col("index") + F.lit(bounds.first)).where(F.col("index").between(start, start + count - 1))
     # the mask comes first: beside a new column named data, its lambdas would read that one
-    shown = chosen.withColumn("changed", changed_mask(F.col("data"), F.col("before")))
+    shown = chosen.withColumn("changed", changed_mask(ff.payload(chosen), ff.payload(chosen, "before")))
     return shown.select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", F.length("data").cast("long").alias("full_len"), F.hex(F.substring("data", 1, SHOWN)).alias("data"), "changed")
 
 
 def changed_masks(frames: DataFrame) -> DataFrame:
     """(seq, changed) of all frames: bit i is set if byte i differs from the previous frame of the ID and kind."""
     rows = with_previous(frames, ["key", "kind"], {"data": "before"})
-    return rows.select("seq", changed_mask(F.col("data"), F.col("before")).alias("changed"))
+    return rows.select("seq", changed_mask(ff.payload(rows), ff.payload(rows, "before")).alias("changed"))
 
 
 def matched_bytes(frames: DataFrame, rules: list) -> DataFrame:
@@ -136,8 +137,8 @@ def matched_bytes(frames: DataFrame, rules: list) -> DataFrame:
 
     def places(rule: object) -> Column:
         if isinstance(rule, Changes):
-            return changed_places(F.col("data"), F.col("before"))
-        return F.when(_rule(rule), F.array(F.lit(rule.byte))).otherwise(F.array().cast("array<int>"))
+            return changed_places(ff.payload(rows), ff.payload(rows, "before"))
+        return F.when(_rule(rule, rows), F.array(F.lit(rule.byte))).otherwise(F.array().cast("array<int>"))
 
     return rows.select("seq", F.array_sort(F.array_distinct(F.concat(F.array().cast("array<int>"), *map(places, rules)))).alias("bytes"))
 
@@ -152,7 +153,7 @@ def with_selected(spec: FrameFilter, selected: int | None) -> FrameFilter:
 def row_bytes(frames: DataFrame, first: int, count: int) -> DataFrame:
     """(seq, byte, value) of bytes [first, first + count) of each frame; ABSENT past the end."""
     places = F.explode(F.sequence(F.lit(first), F.lit(first + count - 1))).alias("byte")
-    return frames.select("seq", "data", places).select("seq", F.col("byte").cast("long"), F.coalesce(ff.byte(F.col("data"), F.col("byte")), F.lit(ABSENT)).cast("long").alias("value"))
+    return frames.select("seq", "data", places).select("seq", F.col("byte").cast("long"), F.coalesce(ff.payload(frames).byte(F.col("byte")), F.lit(ABSENT)).cast("long").alias("value"))
 
 
 def row_at_time(frames: DataFrame, times_ns: list[int]) -> DataFrame:

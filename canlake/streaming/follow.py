@@ -85,7 +85,7 @@ def follow(frames: DataFrame, spec: FrameFilter, late_ns: int = LATE_NS) -> Data
         inside = inside & (F.col("ts_ns") >= spec.t0_ns)
     if spec.t1_ns is not None:
         inside = inside & (F.col("ts_ns") <= spec.t1_ns)
-    own = [_rule(r) for r in spec.rules if not isinstance(r, Changes)]
+    own = [_rule(r, kept) for r in spec.rules if not isinstance(r, Changes)]
     plain = reduce(lambda a, b: a & b if spec.match_all else a | b, own) if own else F.lit(spec.match_all)
     if len(own) == len(spec.rules):
         hit = kept.where(inside & (plain if own else F.lit(True)))
