@@ -1,21 +1,26 @@
 """Comparison of two logs; a log is a frames table, and swapping logs is swapping arguments.
 
 Spark counts each ID's histograms of bytes, steps and lengths in both logs; what they mean is judged for each ID from these
-small tables (see judging), so no frame reaches Python.
+small tables (see judging). The cells of frames are counted by numpy over Arrow batches, in the tasks that have the frames.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canlake import schema
 from canlake.functions import frames as ff
 from canlake.operators import judging
-from canlake.operators.history import with_index, with_previous
+from canlake.operators.history import spans_of, with_index, with_previous
 from canlake.operators.judging import FORMAT_SCORE, MIN_FRAMES, RATE_TOLERANCE, RATE_WEIGHT, SIGNIFICANT, STRETCHES
 from canlake.operators.stats import bit_flips, byte_histogram
+from canlake.operators.stored import stored
 
 #: Bytes of a payload that are compared.
 COMPARED = 64
@@ -74,6 +79,98 @@ def matched_buses(a: DataFrame, b: DataFrame) -> DataFrame:
     return names.join(pairs, "bus_b", "left").withColumn("bus", F.coalesce("bus", "bus_b"))
 
 
+#: Kinds of cells that are counted over frames, by the number that names them in a task.
+_HISTS = ["value", "xor", "step", "high", "first sum", "last sum", "all xor", "fd", "length"]
+_CELLS = "part string, bus string, id long, hist string, byte int, x int, n long, mask long"
+#: Cells that a task gathers before it adds them up, and keeps at most afterwards.
+_GATHERED, _KEPT = 1 << 21, 1 << 20
+
+
+def _frame_cells(b: pa.RecordBatch, group: np.ndarray) -> np.ndarray:
+    """The cells of a batch of frames, each as one number: group, histogram, byte, x and stretch. group: each frame's number."""
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All payloads' bytes in a row, where each begins, and their lengths."""
+        column = b.column(name).cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        held = column.buffers()[2]
+        return np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8), at[:-1], np.diff(at)
+
+    def cell(hist: str, row: np.ndarray, byte: np.ndarray | int, x: np.ndarray | int, stretch: np.ndarray | int = 0) -> np.ndarray:
+        return (((group[row] * len(_HISTS) + _HISTS.index(hist)) * COMPARED + byte) * 256 + x) * STRETCHES + stretch
+
+    of = lambda name: b.column(name).to_numpy(zero_copy_only=False)
+    values, start, length = flat("data")
+    earlier, earlier_start, earlier_length = flat("before")
+    every = np.arange(len(length))
+    row = np.repeat(every, length)
+    byte = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    v = values[start[row] + byte].astype(np.int64)
+    out = [cell("value", row, byte, v, of("stretch").astype(np.int64)[row])]
+    both = byte < earlier_length[row]
+    row2, byte2, v2 = row[both], byte[both], v[both]
+    u2 = earlier[earlier_start[row2] + byte2].astype(np.int64)
+    out += [cell("xor", row2, byte2, u2 ^ v2), cell("step", row2, byte2, (v2 - u2) & 255), cell("high", row2, byte2, ((v2 >> 4) - (u2 >> 4)) & 15)]
+    full = np.flatnonzero((length == of("size")) & (length > 0))
+    sums = np.concatenate(([0], np.cumsum(v)))
+    ends = np.cumsum(length)
+    total = sums[ends] - sums[ends - length]
+    some = np.flatnonzero(length > 0)
+    folded = np.zeros(len(length), np.int64)
+    if len(some):
+        folded[some] = np.bitwise_xor.reduceat(v, (ends - length)[some])
+    out += [cell("first sum", full, 0, (v[(ends - length)[full]] * 2 - total[full]) & 255), cell("last sum", full, 0, (v[ends[full] - 1] * 2 - total[full]) & 255), cell("all xor", full, 0, folded[full])]
+    known = b.column("data").is_valid().to_numpy(zero_copy_only=False)
+    out += [cell("fd", np.flatnonzero(of("fd").astype(bool)), 0, 0), cell("length", every, 0, np.where(known, np.minimum(length, 127), 127))]
+    return np.concatenate(out)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of frames, counted over a task as far as they fit: a cell may come several times."""
+    groups: dict[tuple, int] = {}
+    cells_, counts, held = [], [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        codes, n = np.concatenate(cells_), np.concatenate(counts)
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        return codes[first], np.add.reduceat(n, first)
+
+    def told(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        rest, stretch = np.divmod(codes, STRETCHES)
+        rest, x = np.divmod(rest, 256)
+        rest, byte = np.divmod(rest, COMPARED)
+        group, hist = np.divmod(rest, len(_HISTS))
+        mask = np.where(hist == 0, np.uint64(1) << stretch.astype(np.uint64), np.uint64(0)).view(np.int64)
+        names = list(groups)
+        pick = lambda i, kind: pa.array([g[i] for g in names], kind).take(pa.array(group))
+        columns = [pick(0, pa.string()), pick(1, pa.string()), pick(2, pa.int64()), pa.array(_HISTS).take(pa.array(hist)), pa.array(byte, pa.int32()), pa.array(x, pa.int32()), pa.array(n, pa.int64()), pa.array(mask)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "bus", "id", "hist", "byte", "x", "n", "mask"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = pd.DataFrame({name: b.column(name).dictionary_encode().indices.to_numpy(zero_copy_only=False) for name in ("part", "bus", "id")})
+        found = keys.groupby(["part", "bus", "id"], sort=False, dropna=False)
+        number = found.ngroup().to_numpy()
+        _, firsts = np.unique(number, return_index=True)
+        own = [groups.setdefault(tuple(b.column(name)[int(i)].as_py() for name in ("part", "bus", "id")), len(groups)) for i in firsts]
+        codes, n = np.unique(_frame_cells(b, np.array(own, np.int64)[number]), return_counts=True)
+        cells_.append(codes)
+        counts.append(n)
+        held += len(codes)
+        if held > _GATHERED:
+            codes, n = added()
+            if len(codes) > _KEPT:
+                yield told(codes, n)
+                groups, cells_, counts, held = {}, [], [], 0
+            else:
+                cells_, counts, held = [codes], [n], len(codes)
+    if cells_:
+        yield told(*added())
+
+
 def cells(log: DataFrame) -> DataFrame:
     """(part, bus, id, hist, byte, x, n, mask): histograms of the payloads of each ID and part; log has part and size.
 
@@ -85,32 +182,12 @@ def cells(log: DataFrame) -> DataFrame:
     plain = log.where("kind in ('data', 'reassembled')").select(*by, "seq", "ts_ns", "kind", "flags", "size", F.substring("data", F.lit(1), F.col("size")).alias("data"))
     ends = plain.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.max_by("data", F.struct(*schema.ORDER)).alias("end"))
     last = ends.select(*by, F.lit("last").alias("hist"), F.posexplode(ff.payload_bytes(F.col("end"))).alias("byte", "x")).withColumns({"n": F.lit(1).cast("long"), "mask": F.lit(0).cast("long")})
-    rows = with_index(with_previous(plain, [*by, "kind"], {"data": "before"}), by, "at").join(ends.select(*by, "total"), by)
-    stretch = F.floor(F.col("at") * F.least("total", F.lit(STRETCHES)) / F.col("total")).cast("int")
-    power, zero = F.call_function("shiftleft", F.lit(1).cast("long"), stretch), F.lit(0).cast("long")
-
-    def cell(hist: str, byte: Column, x: Column, mask: Column = zero) -> Column:
-        return F.struct(F.lit(hist).alias("hist"), byte.cast("int").alias("byte"), x.cast("int").alias("x"), mask.alias("mask"))
-
-    def of_byte(i: Column) -> Column:
-        """A payload byte's own cell, and those of its step from the payload before, if that one has the byte."""
-        v, u = ff.byte(F.col("data"), i), ff.byte(F.col("before"), i)
-        high = F.pmod(F.shiftright(v, 4) - F.shiftright(u, 4), F.lit(16))
-        steps = [cell("xor", i, u.bitwiseXOR(v)), cell("step", i, F.pmod(v - u, F.lit(256))), cell("high", i, high)]
-        return F.array(cell("value", i, v, power), *[F.when(u.isNotNull(), c) for c in steps])
-
-    all_, none = ff.payload_bytes(F.col("data")), F.lit(0)
-    total = F.aggregate(all_, F.lit(0), lambda t, v: t + v)
-    folded = F.aggregate(all_, F.lit(0), lambda t, v: t.bitwiseXOR(v))
-    first_last = [(name, F.pmod(ff.byte(F.col("data"), i) * 2 - total, F.lit(256))) for name, i in (("first sum", F.lit(0)), ("last sum", F.length("data") - 1))]
-    full = (F.length("data") == F.col("size")) & (F.col("size") > 0)
-    whole = [F.when(full, cell(name, none, x)) for name, x in (*first_last, ("all xor", folded))]
-    fd = F.when(F.col("flags").bitwiseAND(F.lit(schema.FD)) != 0, cell("fd", none, F.lit(0)))
-    told = F.array(*whole, fd, cell("length", none, F.least(F.length("data"), F.lit(127))))
-    places = F.when(F.length("data") > 0, F.sequence(F.lit(0), F.length("data") - 1))
-    spread = F.when(places.isNotNull(), F.concat(told, F.flatten(F.transform(places, of_byte)))).otherwise(told)
-    # every frame becomes its cells once, and one aggregate counts them all
-    counts = rows.select(*by, F.explode(F.array_compact(spread)).alias("c")).groupBy(*by, "c.hist", "c.byte", "c.x").agg(F.count(F.lit(1)).alias("n"), F.bit_or("c.mask").alias("mask"))
+    spans = spans_of(plain.select("ts_ns", "seq"))
+    rows = with_index(with_previous(plain, [*by, "kind"], {"data": "before"}, spans=spans), by, "at", spans=spans).join(ends.select(*by, "total"), by)
+    stretch = F.floor(F.col("at") * F.least("total", F.lit(STRETCHES)) / F.col("total")).cast("int").alias("stretch")
+    fd = (F.col("flags").bitwiseAND(F.lit(schema.FD)) != 0).alias("fd")
+    # cells are counted in their tasks first, so a few for each ID leave one
+    counts = rows.select(*by, "size", stretch, fd, "data", "before").mapInArrow(_counted, _CELLS).groupBy(*by, "hist", "byte", "x").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
     columns = [*by, "hist", "byte", "x", "n", "mask"]
     return counted.select(*columns).unionByName(last.select(*columns)).unionByName(counts.select(*columns))
 
@@ -122,10 +199,12 @@ def compare_logs(a: DataFrame, b: DataFrame, ignore_counters: bool = False, igno
     counters and checksums. Scores of what changes within A alone are taken off if asked for.
     """
     data = F.col("id").bitwiseAND(F.lit(schema.ERROR_ID).cast("long")) == 0
+    keep = ["bus", "id", "seq", "ts_ns", "kind", "flags", "data"]
+    logs = stored(a.select(F.lit("a").alias("part"), *keep).unionByName(b.select(F.lit("b").alias("part"), *keep)), "logs")
+    a, b = (logs.where(F.col("part") == part).drop("part") for part in ("a", "b"))
     buses = matched_buses(a, b)
     b = b.withColumnRenamed("bus", "bus_b").join(buses, "bus_b").drop("bus_b")
     spans, first = [duration_ns(a), duration_ns(b)], a.agg(F.min("ts_ns")).first()[0] or 0
-    keep = ["bus", "id", "seq", "ts_ns", "kind", "flags", "data"]
     whole = a.where(data).select(*keep, F.lit("a").alias("part")).unionByName(b.where(data).select(*keep, F.lit("b").alias("part")))
     sizes = whole.groupBy("bus", "id").agg(F.least(F.max(F.length("data")), F.lit(COMPARED)).alias("size"))
     if ignore_changes_within_a:

@@ -126,3 +126,42 @@ def test_scores_by_hand():
     wrapped = np.zeros(256, np.int64)
     wrapped[[253, 254, 255, 0, 1, 2, 3, 4]] = 9
     assert judging.reach(wrapped, other, 1)[[252, 5]].all()
+
+
+def test_cells_are_counted_in_their_tasks(spark, monkeypatch):
+    import collections
+
+    import numpy as np
+    import pyarrow as pa
+
+    random = np.random.default_rng(5)
+    payload = lambda: bytes(random.integers(0, 7, random.integers(0, 5)).tolist())
+    frames = [("a", "can0", 7 + i % 2, 4, i // 30, i % 5 == 0, payload() if i % 9 else None, payload() if i % 4 else None) for i in range(200)]
+    want = collections.Counter()
+    for part, bus, id_, size, stretch, fd, data, before in frames:
+        own, v, u = (part, bus, id_), data or b"", before or b""
+        for i, x in enumerate(v):
+            want[*own, "value", i, x, stretch] += 1
+            for hist, y in (("xor", x ^ u[i]), ("step", (x - u[i]) % 256), ("high", ((x >> 4) - (u[i] >> 4)) % 16)) if i < len(u) else ():
+                want[*own, hist, i, y, 0] += 1
+        if len(v) == size:
+            for hist, y in (("first sum", 2 * v[0] - sum(v)), ("last sum", 2 * v[-1] - sum(v)), ("all xor", v[0] ^ v[1] ^ v[2] ^ v[3])):
+                want[*own, hist, 0, y % 256, 0] += 1
+        if fd:
+            want[*own, "fd", 0, 0, 0] += 1
+        want[*own, "length", 0, 127 if data is None else len(v), 0] += 1
+    names = ["part", "bus", "id", "size", "stretch", "fd", "data", "before"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*frames), types)], names)
+    for gathered, kept in ((1 << 21, 1 << 20), (100, 40)):  # all at once, and given away in between
+        monkeypatch.setattr(compare, "_GATHERED", gathered)
+        monkeypatch.setattr(compare, "_KEPT", kept)
+        got = collections.Counter()
+        for b in compare._counted(iter([whole.slice(0, 70), whole.slice(70, 0), whole.slice(70)])):
+            for r in b.to_pylist():
+                got[r["part"], r["bus"], r["id"], r["hist"], r["byte"], r["x"], r["mask"].bit_length() - 1 if r["hist"] == "value" else 0] += r["n"]
+        assert got == want
+    # a frame is not spread into a row for each cell
+    a = log(spark, CASES[0x450][0]).withColumns({"part": F.lit("a"), "size": F.lit(8)})
+    plan = compare.cells(a)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "flatten" not in plan
