@@ -3,7 +3,7 @@
 1. Each ID's bits get their change rates, and runs of falling rates give the ranges to look at: whole runs, neighbouring
    runs together, their pieces between steep drops, 8 to 32 bits from each piece's start, widened over constant bits; and
    whole bytes and words.
-2. Pairs of neighbouring frames meet the ranges of their ID, and a few aggregates for each range decide between readings:
+2. Pairs of neighbouring frames meet the ranges of their ID, whose values numpy counts in parts of about PART pairs; the sums decide between readings:
    counter, enumeration, smoothly changing value (signed or not), 32-bit float; flags and toggles come from single bits,
    checksums from whole bytes.
 3. Ranges that change smoothly are fitted to a reference series, if one is given.
@@ -15,13 +15,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from canlake.functions import bits
 from canlake.functions.frames import payload_bytes
@@ -43,6 +46,8 @@ CLOSE, MOST_PAGES, PAGE_SCORE, CELL_BITS = 0.03, 8, 0.6, 1.5
 LEAST_POINTS, LEAST_FIT, ROUND_FACTORS = 10, 0.8, [1.0, 2.0, 2.5, 5.0, 10.0]
 #: Bits of the widest range, and places from which a wide one's low bits are judged apart.
 WIDEST, SPLITS = 32, (8, 16, 24)
+#: Pairs of one ID that a task looks at at a time; and distinct values from which on their number tells no more.
+PART, MANY = 250_000, 4096
 _PAYLOAD = "kind in ('data', 'reassembled')"
 
 
@@ -144,10 +149,10 @@ def _rates(frames: DataFrame) -> DataFrame:
 
 
 def _pairs(frames: DataFrame) -> DataFrame:
-    """(key, size, ts_ns, then_ns, at, now, then) of neighbouring data frames of an ID's length, as arrays of bytes."""
+    """(key, size, seq, ts_ns, then_ns, data, before, now, then) of neighbouring data frames of an ID's length, as bytes and as arrays of them."""
     rows = frames.where(_PAYLOAD).select("seq", "ts_ns", "key", "data").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
     both = with_previous(rows, ["key"], {"data": "before", "ts_ns": "then_ns"}).where("before is not null")
-    return both.select("key", "size", "seq", "ts_ns", "then_ns", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
+    return both.select("key", "size", "seq", "ts_ns", "then_ns", "data", "before", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"))
 
 
 def crc8(polynomial: int) -> np.ndarray:
@@ -230,53 +235,155 @@ def flags(frames: DataFrame, rates: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select("key", F.col("bit").alias("start"), "score", _reason(flips=F.col("flips"), share=F.col("rate")).alias("reason"))
 
 
+def _folded(pairs: DataFrame, ranges: DataFrame, run: Callable, columns: str) -> DataFrame:
+    """run(range, now, before) of every range and part of its ID's pairs: the rows, as dicts, that it makes of a range's values.
+
+    ranges: as _ranges gives them, and what else run reads. A part has about PART pairs, dealt by hash.
+    """
+    parts = pairs.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    dealt = pairs.select("key", "seq", "data", "before").join(parts, "key").select("key", F.pmod(F.xxhash64("seq"), F.col("parts")).alias("part"), "data", "before")
+    asked = ranges.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    kinds = to_arrow_schema(T._parse_datatype_string(columns))
+
+    def of(payloads: pa.ChunkedArray, size: int) -> np.ndarray:
+        """The first bytes of payloads, a row for each byte."""
+        flat = pc.binary_slice(payloads, 0, size).combine_chunks()
+        return np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, size).T.astype(np.int64)
+
+    def value(bytes_: np.ndarray, r: dict) -> np.ndarray:
+        word = np.zeros(bytes_.shape[1], np.int64)
+        for i in range(r["count"]):
+            word += bytes_[r["first"] + i] << (8 * i if r["order"] == bits.LITTLE else 8 * (r["count"] - 1 - i))
+        return (word >> r["shift"]) & ((1 << r["width"]) - 1)
+
+    def fold(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        wanted = wanted.to_pylist()
+        if len(rows) and wanted:
+            size = max(r["first"] + r["count"] for r in wanted)
+            now, before = of(rows["data"], size), of(rows["before"], size)
+            for r in wanted:
+                out += [{"key": r["key"], "range": r["range"], **found} for found in run(r, value(now, r), value(before, r))]
+        return pa.Table.from_pylist(out, schema=kinds)
+
+    return dealt.groupBy("key", "part").cogroup(asked.groupBy("key", "part")).applyInArrow(fold, columns)
+
+
+def _signed(x: np.ndarray, width: int) -> np.ndarray:
+    return np.where(x >= 1 << (width - 1), x - (1 << width), x)
+
+
+def _real(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore"):
+        return x.astype(np.uint32).view(np.float32).astype(np.float64)
+
+
+_ENDS = ", ".join(f"{n}_{c} {kind}" for c, kind in (("now", "long"), ("snow", "long"), ("fnow", "double")) for n in ("min", "max"))
+_SPREAD = f"key long, range int, n long, changes long, varying long, together long, plausible long, least_exponent long, most_exponent long, {_ENDS}, many boolean, values array<long>"
+
+
+def _spread(r: dict, now: np.ndarray, before: np.ndarray) -> list[dict]:
+    """Counts and ends of a range's values, and the values themselves, if they are few."""
+    moved, signed, seen = now ^ before, _signed(now, r["width"]), np.unique(now)
+    exponent = (now >> 23) & 255
+    found = {"n": len(now), "changes": int(np.count_nonzero(moved)), "varying": int(np.bitwise_or.reduce(moved)), "together": int(np.count_nonzero(moved & (moved - 1)))}
+    found |= {"least_exponent": int(exponent.min()), "most_exponent": int(exponent.max()), "many": len(seen) >= MANY, "values": seen.tolist() if len(seen) < MANY else []}
+    found |= {"min_now": int(now.min()), "max_now": int(now.max()), "min_snow": int(signed.min()), "max_snow": int(signed.max())}
+    if r["width"] == 32:
+        real = _real(now)
+        size = np.abs(real)
+        found |= {"plausible": int(np.count_nonzero((real == 0) | ((size >= 1e-6) & (size <= 1e6)))), "min_fnow": float(np.fmin.reduce(real)), "max_fnow": float(real.max())}
+    return [found]
+
+
+_MOVES = ["now", "snow", "fnow"]
+_CARRIES = [*(f"split_{s}" for s in SPLITS), "mantissa"]
+_STEPS = ", ".join([*(f"{w}_{c} long" for c in _MOVES for w in ("moved", "near", "around")), *(f"{w}_{c} long" for c in _CARRIES for w in ("stepped", "same", "low", "calm"))])
+_SMOOTH = f"key long, range int, {_STEPS}, step long, narrow_step long"
+
+
+def _steps_of(r: dict, now: np.ndarray, before: np.ndarray, narrow: bool) -> np.ndarray | None:
+    """Steps modulo the range's width, or if narrow modulo its values from 0 to the highest, where these are fewer."""
+    modulus = 1 << r["width"]
+    if not narrow:
+        return (now - before) & (modulus - 1)
+    return np.mod(now - before, r["max_now"] + 1) if 1 <= r["max_now"] < modulus - 1 else None
+
+
+def _smooth(r: dict, now: np.ndarray, before: np.ndarray) -> list[dict]:
+    """Counts of small and of wide steps of a range, and of its carries; and the step by which nearly all pairs go on."""
+    found: dict = {}
+    count = lambda which: int(np.count_nonzero(which))
+    readings_ = {"now": (now, before), "snow": (_signed(now, r["width"]), _signed(before, r["width"]))}
+    if r["width"] == 32:
+        readings_["fnow"] = (_real(now), _real(before))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for c, (x, y) in readings_.items():
+            size, width, moved = np.abs(x - y), r[f"max_{c}"] - r[f"min_{c}"], x != y
+            found |= {f"moved_{c}": count(moved), f"near_{c}": count(moved & (size <= max(SMALL_STEP * width, 1.0))), f"around_{c}": count(moved & (size > WRAP * width)) if width >= 4 else 0}
+    mantissa = lambda x: x & 0x7FFFFF
+    for name, x, y, split in (*((f"split_{s}", now, before, s) for s in SPLITS), ("mantissa", mantissa(now), mantissa(before), 16)):
+        low, old, up = x & ((1 << split) - 1), y & ((1 << split) - 1), (x >> split) - (y >> split)
+        same = ((up == 1) & (low < old)) | ((up == -1) & (low > old))
+        around = (low - old) & ((1 << split) - 1)
+        small, moved = np.minimum(around, (1 << split) - around) <= 1 << (split - 3), low != old
+        found |= {f"stepped_{name}": count(np.abs(up) == 1), f"same_{name}": count(same), f"low_{name}": count(moved), f"calm_{name}": count(moved & small)}
+    for narrow, name in ((False, "step"), (True, "narrow_step")):
+        steps = _steps_of(r, now, before, narrow) if r["changes"] >= 0.9 * r["n"] else None
+        if steps is not None:
+            # a step of nine tenths of all pairs has as many of some part's, and is its middle one
+            middle = int(np.partition(steps, len(steps) // 2)[len(steps) // 2])
+            found[name] = middle if middle and 10 * count(steps == middle) >= 8 * len(steps) else None
+    return [found]
+
+
+def _same_steps(r: dict, now: np.ndarray, before: np.ndarray) -> list[dict]:
+    steps = _steps_of(r, now, before, r["narrow"] == 1)
+    return [{"narrow": r["narrow"], "step": r["step"], "k": int(np.count_nonzero(steps == r["step"]))}]
+
+
 def readings(pairs: DataFrame, ranges: DataFrame, markers_ns: list[int] | None = None) -> DataFrame:
     """(key, range, start, size, order, kind, score, reason) of every range that reads as a counter, an enumeration or a value."""
-    met = pairs.join(ranges, "key").select("key", "range", "start", "width", "order", "ts_ns", "then_ns", "flips", _value("now").alias("now"), _value("then").alias("before"))
-    modulus = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
-    half = F.call_function("shiftright", modulus, F.lit(1))
-    signed = lambda c: F.when(F.col(c) >= half, F.col(c) - modulus).otherwise(F.col(c))
-    wide = met.withColumn("snow", signed("now")).withColumn("sbefore", signed("before"))
-    real = lambda c: F.when(F.col("width") == 32, bits.float32(F.col(c)))
-    wide = wide.withColumn("fnow", real("now")).withColumn("fbefore", real("before"))
-    plausible = (F.col("fnow") == 0) | F.abs("fnow").between(1e-6, 1e6)
     by = ["key", "range", "start", "width", "order", "flips"]
-    ends = [f(c).alias(f"{n}_{c}") for c in ("now", "snow", "fnow") for n, f in (("min", F.min), ("max", F.max))]
-    spread = wide.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("now") != F.col("before")).alias("changes"), F.count_distinct("now").alias("distinct"), F.bit_or(F.col("now").bitwiseXOR(F.col("before"))).alias("varying"),
-        F.count_if(F.bit_count(F.col("now").bitwiseXOR(F.col("before"))) > 1).alias("together"),
-        F.avg(plausible.cast("int")).alias("plausible"), F.percentile_approx(F.when(F.col("fnow") != 0, F.abs("fnow")), 0.05, 1000).alias("low"), (F.min(F.shiftright("now", 23).bitwiseAND(F.lit(255).cast("long"))) != F.max(F.shiftright("now", 23).bitwiseAND(F.lit(255).cast("long")))).alias("exponents"), *ends,
+    modulus = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
+    parts = stored(_folded(pairs, ranges, _spread, _SPREAD), "spread")
+    ends = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in _MOVES for n, f in (("min", F.min), ("max", F.max))]
+    # MANY distinct values and more read alike
+    values = parts.select("key", "range", F.explode("values").alias("value")).distinct().groupBy("key", "range").agg(F.count(F.lit(1)).alias("distinct"))
+    merged = parts.groupBy("key", "range").agg(
+        *[F.sum(c).alias(c) for c in ("n", "changes", "together")], F.bit_or("varying").alias("varying"), (F.sum("plausible") / F.sum("n")).alias("plausible"),
+        (F.min("least_exponent") != F.max("most_exponent")).alias("exponents"), F.max("many").alias("many"), *ends,
     )
-    joined = wide.join(spread, by)
-
-    step = F.pmod(F.col("now") - F.col("before"), modulus)
-    other = F.when((F.col("max_now") >= 1) & (F.col("max_now") + 1 < modulus), F.pmod(F.col("now") - F.col("before"), F.col("max_now") + 1))
-    both = joined.where(F.col("changes") >= 0.9 * F.col("n")).select("key", "range", "n", F.explode(F.array(F.struct(F.lit(0).alias("narrow"), step.alias("step")), F.struct(F.lit(1).alias("narrow"), other.alias("step")))).alias("s")).where("s.step is not null")
-    commonest = both.groupBy("key", "range", "n", "s.narrow", "s.step").agg(F.count(F.lit(1)).alias("k")).groupBy("key", "range", "n", "narrow").agg(F.max("k").alias("all"), F.max(F.when(F.col("step") != 0, F.col("k"))).alias("k"), F.max_by("step", F.when(F.col("step") != 0, F.col("k"))).alias("step"))
-    share = F.when(F.col("k") == F.col("all"), F.col("k") / F.col("n"))
-    counters = commonest.groupBy("key", "range").agg(F.max(F.when(F.col("narrow") == 0, share)).alias("share"), F.max(F.when(F.col("narrow") == 1, share)).alias("narrow_share"), F.max(F.when(F.col("narrow") == 0, F.col("step"))).alias("step"), F.max(F.when(F.col("narrow") == 1, F.col("step"))).alias("narrow_step"))
-
-    def moves(now: str, before: str) -> list[Column]:
-        size, width = F.abs(F.col(now) - F.col(before)), F.col(f"max_{now}") - F.col(f"min_{now}")
-        moved = F.col(now) != F.col(before)
-        count = F.greatest(F.count_if(moved), F.lit(1))
-        return [(F.count_if(moved & (size <= F.greatest(SMALL_STEP * width, F.lit(1.0)))) / count).alias(f"small_{now}"), (F.count_if(moved & (width >= 4) & (size > WRAP * width)) / count).alias(f"wraps_{now}")]
-
-    def carries(name: str, now: Column, before: Column, split: int) -> list[Column]:
+    distinct = F.when(F.col("many"), F.greatest("distinct", F.lit(MANY))).otherwise(F.col("distinct"))
+    spread = merged.join(values, ["key", "range"], "left").withColumn("distinct", distinct).join(ranges, ["key", "range"])
+    spread = stored(spread.select(*by, "first", "count", "shift", *[c for c in merged.columns if c not in ("key", "range", "many")], "distinct"), "spread")
+    smooth_parts = stored(_folded(pairs, spread.where("changes > 0"), _smooth, _SMOOTH), "smooth")
+    tried = F.explode(F.array(*[F.struct(F.lit(i).alias("narrow"), F.col(c).alias("step")) for i, c in enumerate(("step", "narrow_step"))])).alias("s")
+    tried = smooth_parts.select("key", "range", tried).select("key", "range", "s.*").where("step is not null").distinct()
+    same = _folded(pairs, spread.join(tried, ["key", "range"]), _same_steps, "key long, range int, narrow int, step long, k long")
+    commonest = same.groupBy("key", "range", "narrow", "step").agg(F.sum("k").alias("k")).join(spread.select("key", "range", "n"), ["key", "range"]).where(F.col("k") / F.col("n") >= 0.9)
+    of = lambda narrow, c: F.max(F.when(F.col("narrow") == narrow, c))
+    share = F.col("k") / F.col("n")
+    counters = commonest.groupBy("key", "range").agg(of(0, share).alias("share"), of(1, share).alias("narrow_share"), of(0, F.col("step")).alias("step"), of(1, F.col("step")).alias("narrow_step"))
+    total = lambda c: F.sum(c)
+
+    def moves(c: str) -> list[Column]:
+        count = F.greatest(total(f"moved_{c}"), F.lit(1))
+        return [(total(f"near_{c}") / count).alias(f"small_{c}"), (total(f"around_{c}") / count).alias(f"wraps_{c}")]
+
+    def carries(c: str) -> Column:
         """Of steps by one of the bits above a place, those in which the bits below wrapped the same way; and small steps of these."""
-        low = lambda c: c.bitwiseAND(F.lit((1 << split) - 1).cast("long"))
-        up = F.shiftright(now, split) - F.shiftright(before, split)
-        same = ((up == 1) & (low(now) < low(before))) | ((up == -1) & (low(now) > low(before)))
-        around = F.pmod(low(now) - low(before), F.lit(1 << split))
-        small = F.least(around, F.lit(1 << split) - around) <= (1 << (split - 3))
-        stepped, moved = F.abs(up) == 1, low(now) != low(before)
-        agree = F.when(F.count_if(stepped) >= 5, F.count_if(stepped & same) / F.count_if(stepped) >= 0.8)
-        calm = F.coalesce(F.count_if(moved & small) / F.nullif(F.count_if(moved), F.lit(0)) >= 0.6, F.lit(True))
-        return [F.coalesce(agree, calm).alias(name)]
-
-    mantissa = lambda c: F.col(c).bitwiseAND(F.lit(0x7FFFFF).cast("long"))
-    belongs = [c for split in SPLITS for c in carries(f"split_{split}", F.col("now"), F.col("before"), split)]
-    smooth = joined.where("changes > 0").groupBy("key", "range").agg(*moves("now", "before"), *moves("snow", "sbefore"), *moves("fnow", "fbefore"), *belongs, *carries("mantissa", mantissa("now"), mantissa("before"), 16))
+        agree = F.when(total(f"stepped_{c}") >= 5, total(f"same_{c}") / total(f"stepped_{c}") >= 0.8)
+        calm = F.coalesce(total(f"calm_{c}") / F.nullif(total(f"low_{c}"), F.lit(0)) >= 0.6, F.lit(True))
+        return F.coalesce(agree, calm).alias(c)
+
+    smooth = smooth_parts.groupBy("key", "range").agg(*[m for c in _MOVES for m in moves(c)], *[carries(c) for c in _CARRIES])
+    # floats of very small values beside large ones are none; only ranges that may be floats are looked at
+    may_float = spread.where((F.col("width") == 32) & (F.col("plausible") >= 0.99) & (F.col("distinct") >= 16)).select("key", "range", "order", "first", "count", "shift", "width")
+    size = F.abs(bits.float32(F.col("x")))
+    lows = pairs.select("key", "now").join(may_float, "key").select("key", "range", _value("now").alias("x"))
+    lows = lows.groupBy("key", "range").agg(F.percentile_approx(F.when(size != 0, size), 0.05, 1000).alias("low"))
+    spread = spread.drop("first", "count", "shift").join(lows, ["key", "range"], "left")
     stats = spread.join(smooth, ["key", "range"]).join(counters, ["key", "range"], "left")
     rate = F.col("changes") / F.col("n")
     best = F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce("narrow_share", F.lit(0.0)))
@@ -305,6 +412,7 @@ def readings(pairs: DataFrame, ranges: DataFrame, markers_ns: list[int] | None =
     read_as = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(k).alias("kind"))) for k, s in (("counter", counter), ("enum", enum), ("signed", F.when(use_signed, both_signs)), ("continuous", F.when(~use_signed, plain)), ("float", floating))]))
     read = stats.withColumn("rate", rate).withColumn("r", F.array_max(read_as)).where("r is not null")
     if markers_ns:
+        met = pairs.join(ranges, "key").select("key", "range", "ts_ns", "then_ns", _value("now").alias("now"), _value("then").alias("before"))
         read = read.join(_near_markers(met, read.select("key", "range", "rate"), markers_ns), ["key", "range"], "left")
         read = read.withColumn("markers", F.coalesce("markers", F.lit(0)))
     else:
@@ -339,7 +447,7 @@ def candidates(frames: DataFrame, markers_ns: list[int] | None = None, within: D
 
     within: parts of messages to look at, as _ranges takes them; no checksum is looked for there.
     """
-    rates, pairs = stored(_rates(frames), "rates"), _pairs(frames)
+    rates, pairs = stored(_rates(frames), "rates"), stored(_pairs(frames), "pairs")
     ranges = stored(_ranges(rates.select("key", "bit", "rate", "size", "flips"), within), "ranges")
     # single bits and checksums have numbers below 0, which name their first bit
     one = lambda rows, kind, size: rows.select("key", (-1 - F.col("start")).alias("range"), "start", F.lit(size).alias("size"), F.lit(bits.LITTLE).alias("order"), F.lit(kind).alias("kind"), "score", "reason")

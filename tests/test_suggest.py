@@ -191,3 +191,29 @@ def test_fits_by_brute_force(spark):
     slope = both.x.cov(both.y) / both.x.var()
     assert set(got) <= {0, 2} and got[0].n == len(both) and got[0].r == pytest.approx(both.x.corr(both.y))
     assert got[0].factor == suggest.nice(slope) and got[0].offset == suggest.nice(both.y.mean() - got[0].factor * both.x.mean())
+
+
+def test_parts_of_the_pairs_add_up(spark, monkeypatch):
+    import struct
+
+    def make(i):
+        return payload((0, 8, i % 256), (8, 12, wave(i) * 4000), (20, 4, i // 150))[:4] + struct.pack("<f", 20 + 5 * math.sin(i / 90))
+
+    rows = [(i, i * 10 * MS, 9, 0, make(i)) for i in range(1500)]
+    pairs = suggest._pairs(log(spark, rows)).cache()
+    ranges = spark.createDataFrame([(9, n, start, width, "little", start // 8, -(-(start % 8 + width) // 8), start % 8, 7) for n, (start, width) in enumerate([(0, 8), (8, 12), (8, 16), (20, 4), (32, 32), (0, 32)])], "key long, range int, start int, width int, order string, first int, count int, shift int, flips long")
+    found = []
+    for part in (250_000, 100):  # one part, and fifteen
+        monkeypatch.setattr(suggest, "PART", part)
+        found.append(sorted(map(str, suggest.readings(pairs, ranges).collect())))
+    assert found[0] == found[1]
+    kinds = {r.range: r for r in suggest.readings(pairs, ranges).collect()}
+    assert (kinds[0].kind, kinds[0].reason.step, kinds[0].reason.share) == ("counter", 1, 1.0) and kinds[1].kind == "continuous" and kinds[3].kind == "enum" and kinds[4].kind == "float"
+    assert kinds[3].reason.distinct == 10 and (kinds[1].reason.low, kinds[1].reason.high) == (min(int(wave(i) * 4000) for i in range(1500)), max(int(wave(i) * 4000) for i in range(1500)))
+    # by definition: counts over the pairs of a range
+    now = np.array([int(wave(i) * 4000) for i in range(1, 1500)])
+    before = np.array([int(wave(i) * 4000) for i in range(1499)])
+    got = suggest._folded(pairs, ranges.where("range = 1"), suggest._spread, suggest._SPREAD).groupBy().sum("n", "changes", "together").first()
+    assert tuple(got) == (1499, int((now != before).sum()), sum(bin(a ^ b).count("1") > 1 for a, b in zip(now.tolist(), before.tolist())))
+    # no pair is spread into a row for each range
+    assert "FlatMapCoGroupsInArrow" in suggest._folded(pairs, ranges, suggest._spread, suggest._SPREAD)._jdf.queryExecution().executedPlan().toString()
