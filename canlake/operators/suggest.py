@@ -1,11 +1,11 @@
-"""Suggested signals: what the ranges of bits of unknown messages look like, from native aggregates over the whole log.
+"""Suggested signals: what the ranges of bits of unknown messages look like, from counts over the whole log.
 
 1. Each ID's bits get their change rates, and runs of falling rates give the ranges to look at: whole runs, neighbouring
    runs together, their pieces between steep drops, 8 to 32 bits from each piece's start, widened over constant bits; and
    whole bytes and words.
-2. Pairs of neighbouring frames meet the ranges of their ID, whose values numpy counts in parts of about PART pairs; the sums decide between readings:
-   counter, enumeration, smoothly changing value (signed or not), 32-bit float; flags and toggles come from single bits,
-   checksums from whole bytes.
+2. Pairs of neighbouring frames meet the ranges of their ID in parts of about PART pairs, whose values numpy counts; the
+   sums decide between readings: counter, enumeration, smoothly changing value (signed or not), 32-bit float; flags and
+   toggles come from single bits, checksums from whole bytes.
 3. Ranges that change smoothly are fitted to a reference series, if one is given.
 4. Only a row for each candidate reaches the greedy choice of ranges that don't overlap.
 5. A counter of a few values may select pages: the frames of each value become messages of their own and go through 1, 2
