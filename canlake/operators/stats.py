@@ -149,7 +149,7 @@ def checksum_share(frames: DataFrame) -> DataFrame:
     """Per ID, the share of full payloads whose last byte is the sum of the others modulo 256."""
     data = ff.payload(frames)
     size = data.length()
-    total = F.aggregate(F.sequence(F.lit(0), size - 2), F.lit(0), lambda a, i: a + data.byte(i)) % 256
+    total = F.aggregate(F.sequence(F.lit(0), size - 2), F.lit(0).cast("long"), lambda a, i: a + data.byte(i)) % 256
     rows = frames.where(size >= 2).select("key", size.alias("size"), (total == data.byte(size - 1)).alias("ok"))
     return rows.groupBy("key", "size").agg(F.count(F.lit(1)).alias("frames"), F.count_if("ok").alias("matching"))
 
