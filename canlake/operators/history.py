@@ -37,7 +37,7 @@ class Spans:
         ts, by_time = F.col(ts_ns), all(s == _LOWEST for _, s in self.cuts)
 
         def passed(t: Column, s: Column) -> Column:
-            return ts >= t if by_time else (ts > t) | ((ts == t) & (F.col(seq) >= s))
+            return F.coalesce(ts >= t if by_time else (ts > t) | ((ts == t) & (F.col(seq) >= s)), F.lit(True))  # what has no time comes last
 
         if len(self.cuts) <= 32:
             return reduce(add, [passed(F.lit(t), F.lit(s)).cast("int") for t, s in self.cuts])
@@ -83,6 +83,16 @@ def spans_of(rows: DataFrame, per_span: int | None = None) -> Spans:
     return Spans(tuple(sorted(cuts)))
 
 
+def in_order() -> list[Column]:
+    """Time order; as in SQL, a row without a time comes last, and within a time one without a number."""
+    return [F.col(c).asc_nulls_last() for c in ORDER]
+
+
+def place() -> Column:
+    """A row's place in time order, to be compared."""
+    return F.struct(*[part for c in ORDER for part in (F.col(c).isNull(), F.col(c))])
+
+
 def _matches(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -102,12 +112,12 @@ def with_previous(rows: DataFrame, by: list[str], values: dict[str, str], span_n
     """rows with, for each value column, that of the previous row of the group under a new name; null at the first."""
     columns, (rows, single) = rows.columns, spanned(rows, spans, span_ns)
     packed = F.struct(*values)
-    within = Window.partitionBy(*by, "_span").orderBy(*ORDER)
+    within = Window.partitionBy(*by, "_span").orderBy(*in_order())
     near = rows.withColumn("_near", F.lag(packed).over(within))
     if single:
         return near.select(*columns, *[F.col(f"_near.{v}").alias(name) for v, name in values.items()])
-    last = rows.groupBy(*by, "_span").agg(F.max_by(packed, F.struct(*ORDER)).alias("_last"))
-    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*by).orderBy("_span"))).drop("_last")
+    last = rows.groupBy(*by, "_span").agg(F.max_by(packed, place()).alias("_last"))
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*by).orderBy(F.col("_span").asc_nulls_last()))).drop("_last")
     near = near.withColumn("_first", F.row_number().over(within) == 1)
     both = near.alias("r").join(carried.alias("c"), _matches(near, carried, [*by, "_span"])).select("r.*", "c._carried")
     out = both.withColumn("_previous", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_near")))
@@ -119,11 +129,11 @@ def with_index(rows: DataFrame, by: list[str] | None = None, name: str = "index"
     by = by or []
     columns, (rows, single) = rows.columns, spanned(rows, spans, span_ns)
     keys = [*by, "_span"]
-    numbered = rows.withColumn("_at", (F.row_number().over(Window.partitionBy(*keys).orderBy(*ORDER)) - 1).cast("long"))
+    numbered = rows.withColumn("_at", (F.row_number().over(Window.partitionBy(*keys).orderBy(*in_order())) - 1).cast("long"))
     if single:
         return numbered.select(*[c for c in columns if c != name], F.col("_at").alias(name))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("_span").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
     both = numbered.alias("r").join(starts.alias("s"), _matches(numbered, starts, keys)).select("r.*", "s._start")
     return both.withColumn(name, F.col("_start") + F.col("_at")).drop("_span", "_at", "_start")
@@ -131,12 +141,12 @@ def with_index(rows: DataFrame, by: list[str] | None = None, name: str = "index"
 
 def with_running_sum(rows: DataFrame, by: list[str], value: Column, name: str, span: int = 100_000, by_time: bool = False, spans: Spans | None = None) -> DataFrame:
     """rows with the sum of a value over this and all earlier rows of the group, in the order of seq, or of time."""
-    order = ORDER if by_time else ["seq"]
+    order = in_order() if by_time else ["seq"]
     valued = rows.withColumn("_v", value)
     cut = spanned(valued, spans)[0] if by_time else valued.withColumn("_span", F.floor(F.col("seq") / span))
     keys = [*by, "_span"]
     sums = cut.groupBy(*keys).agg(F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("_span").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = cut.withColumn("_here", F.sum("_v").over(within))
