@@ -155,9 +155,9 @@ def checksum_share(frames: DataFrame) -> DataFrame:
 
 
 def byte_histogram(frames: DataFrame) -> DataFrame:
-    """(key, byte, value, frames) of the data payloads."""
+    """(key, byte, value, frames) of the data payloads; a number that is missing in an array counts nowhere."""
     bytes_ = F.posexplode(ff.payload(frames).numbers()).alias("byte", "value")
-    return frames.where("kind in ('data', 'reassembled')").select("key", bytes_).groupBy("key", "byte", "value").agg(F.count(F.lit(1)).alias("frames"))
+    return frames.where("kind in ('data', 'reassembled')").select("key", bytes_).where("value is not null").groupBy("key", "byte", "value").agg(F.count(F.lit(1)).alias("frames"))
 
 
 def ranked_ids(summary: DataFrame, by: str, descending: bool = False) -> DataFrame:
