@@ -52,10 +52,10 @@ def byte_lanes(frames: DataFrame, key: int, t0_ns: int, t1_ns: int, buckets: int
     """(byte, bucket, ts_ns, value): a view of each payload byte of one ID: the window's points and a neighbour on either side.
 
     A byte with at most two points a bucket has them all; of others each bucket keeps the extremes. Neighbours stand in
-    buckets outside 0 to buckets - 1.
+    buckets outside 0 to buckets - 1. A number that is missing in an array is no point.
     """
     rows = frames.where(F.col("key") == key)
-    lanes = rows.select("ts_ns", "seq", F.posexplode(ff.payload(frames).numbers()).alias("byte", "value")).withColumn("value", F.col("value").cast("double"))
+    lanes = rows.select("ts_ns", "seq", F.posexplode(ff.payload(frames).numbers()).alias("byte", "value")).where("value is not null").withColumn("value", F.col("value").cast("double"))
     at, low, high = F.struct("ts_ns", "seq"), F.col("ts_ns") < t0_ns, F.col("ts_ns") > t1_ns
     ends = lanes.groupBy("byte").agg(F.max(F.when(low, at)).alias("left"), F.min(F.when(high, at)).alias("right"), F.count_if(~low & ~high).alias("inside"))
     some = lanes.join(F.broadcast(ends), "byte")  # a row for each byte of a payload

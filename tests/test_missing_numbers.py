@@ -15,3 +15,7 @@ def gaps(sf, tmp_path_factory):
 
 def test_histograms_leave_out_missing_numbers(spark, gaps):
     assert differing(spark, gaps, "byte_histogram") == ([], [], 0)
+
+
+def test_lanes_have_no_points_without_a_number(spark, gaps):
+    assert differing(spark, gaps, "byte_lanes") == ([], [], 0)
