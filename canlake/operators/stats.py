@@ -64,13 +64,13 @@ def _pairs(frames: DataFrame, t0: int | None, t1: int | None) -> DataFrame:
 
 
 def byte_flips(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, byte, pairs, f0 to f7): over rows (data, before), how often both have the byte, and each of its bits differs."""
+    """(*by, byte, pairs, f0 to f7): over rows (data, before), how often both have the byte (and its number isn't missing), and each of its bits differs."""
     data, before = ff.payload(pairs), ff.payload(pairs, "before")
     common = data.common(before)
     places = F.when(common > 0, F.sequence(F.lit(0), common - 1))
     xor = data.byte(F.col("byte")).bitwiseXOR(before.byte(F.col("byte")))
     changed = pairs.where(common > 0).select(*by, "data", "before", F.explode(places).alias("byte")).select(*by, "byte", xor.alias("x"))
-    return changed.groupBy(*by, "byte").agg(F.count(F.lit(1)).alias("pairs"), *[F.sum(F.shiftright("x", b).bitwiseAND(F.lit(1))).alias(f"f{b}") for b in range(8)])
+    return changed.groupBy(*by, "byte").agg(F.count("x").alias("pairs"), *[F.sum(F.shiftright("x", b).bitwiseAND(F.lit(1))).alias(f"f{b}") for b in range(8)])
 
 
 def flip_rows(sums: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def change_activity(frames: DataFrame, t0: int, t1: int, buckets: int) -> DataFr
     data, before = ff.payload(pairs), ff.payload(pairs, "before")
     common = data.common(before)
     places = F.when(common > 0, F.sequence(F.lit(0), common - 1))
-    changed = F.aggregate(places, F.lit(0), lambda a, i: a + F.bit_count(data.byte(i).bitwiseXOR(before.byte(i))))
+    changed = F.aggregate(places, F.lit(0), lambda a, i: a + F.coalesce(F.bit_count(data.byte(i).bitwiseXOR(before.byte(i))), F.lit(0)))
     rows = pairs.where(F.col("ts_ns").between(t0, t1) & (common > 0))
     return rows.groupBy("key", ff.bucket_of(F.col("ts_ns"), t0, t1, buckets).alias("bucket")).agg(F.sum(changed).cast("long").alias("changed_bits"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from canlake.functions.frames import payload
+from canlake.operators.history import in_order, place
 from canlake.operators.stats import byte_flips, flip_rows
 from canlake.schema import FRAME_DDL, ORDER
 
@@ -49,9 +50,9 @@ def merged_ids(states: DataFrame) -> DataFrame:
 
 def flip_states(frames: DataFrame) -> DataFrame:
     """(span, key, kind, first, last, size, flips): of each ID and kind in each span its ends and the flips of its bytes."""
-    own = Window.partitionBy("span", "key", "kind").orderBy(*ORDER)
+    own = Window.partitionBy("span", "key", "kind").orderBy(*in_order())
     rows = frames.select("span", "key", "kind", *ORDER, "data").withColumn("before", F.lag("data").over(own))
-    ends = rows.groupBy("span", "key", "kind").agg(F.min_by("data", F.struct(*ORDER)).alias("first"), F.max_by("data", F.struct(*ORDER)).alias("last"), F.max(payload(frames).length()).alias("size"))
+    ends = rows.groupBy("span", "key", "kind").agg(F.min_by("data", place()).alias("first"), F.max_by("data", place()).alias("last"), F.max(payload(frames).length()).alias("size"))
     sums = byte_flips(rows, ["span", "key", "kind"])
     packed = sums.groupBy("span", "key", "kind").agg(F.collect_list(F.struct("byte", "pairs", *[f"f{b}" for b in range(8)])).alias("flips"))  # at most a payload's bytes
     return ends.join(packed, ["span", "key", "kind"], "left")

@@ -19,3 +19,8 @@ def test_histograms_leave_out_missing_numbers(spark, gaps):
 
 def test_lanes_have_no_points_without_a_number(spark, gaps):
     assert differing(spark, gaps, "byte_lanes") == ([], [], 0)
+
+
+@pytest.mark.parametrize("name", ["capture_flips", "bit_flips_window", "change_activity"])
+def test_flips_leave_out_missing_numbers(spark, gaps, name):
+    assert differing(spark, gaps, name) == ([], [], 0)

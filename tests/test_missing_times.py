@@ -33,3 +33,7 @@ def test_rows_without_a_time_come_last(spark, timeless, monkeypatch, name, rows)
         monkeypatch.setattr(history, "SMALL", 0)
         monkeypatch.setattr(history, "ROWS", rows)
     assert differing(spark, timeless, name) == ([], [], 0)
+
+
+def test_states_of_spans_have_rows_without_a_time_last(spark, timeless):
+    assert differing(spark, timeless, "capture_flips") == ([], [], 0)
