@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canlake.functions import bits
-from canlake.functions.frames import payload_bytes
+from canlake.functions.frames import payload
 from canlake.operators.history import with_previous
 
 INCREASES, DECREASES, CHANGES, CONSTANT = "increases", "decreases", "changes", "constant"
@@ -17,10 +17,16 @@ INCREASES, DECREASES, CHANGES, CONSTANT = "increases", "decreases", "changes", "
 
 @dataclass(frozen=True)
 class Rule:
-    t0_ns: int
-    t1_ns: int
+    """What a signal does from t0 to t1; None is the log's own end, where frames without a time stand last."""
+
+    t0_ns: int | None
+    t1_ns: int | None
     says: str
 
+    def holds(self, then_ns: Column, ts_ns: Column) -> Column:
+        """Whether the window has both frames of a pair."""
+        return (F.lit(True) if self.t0_ns is None else then_ns >= self.t0_ns) & (F.lit(True) if self.t1_ns is None else ts_ns <= self.t1_ns)
+
 
 def candidates(length: int) -> list[tuple[int, int, str]]:
     """(start, size, order) of all 8- and 16-bit ranges that fit a payload; an 8-bit range in whole bytes stands once."""
@@ -52,10 +58,10 @@ def _ranges(spark: SparkSession, length: int, sizes: tuple[int, ...], orders: tu
     return spark.createDataFrame(rows, "range int, start long, size long, order string, last int, byte int, big boolean, shift int, mask int")
 
 
-def _value(payload: str) -> Column:
-    """A candidate's bits in an array of payload bytes."""
-    near = [F.coalesce(F.get(F.col(payload), F.col("byte") + i), F.lit(0)) for i in range(3)]
-    joined = lambda a, b, c: a.bitwiseOR(F.shiftleft(b, 8)).bitwiseOR(F.shiftleft(c, 16))
+def _value(numbers: str) -> Column:
+    """A candidate's bits in an array of payload bytes, or of numbers' low 24 bits: what passes a byte adds to the next place."""
+    near = [F.coalesce(F.get(F.col(numbers), F.col("byte") + i), F.lit(0)) for i in range(3)]
+    joined = lambda a, b, c: a + F.shiftleft(b.bitwiseAND(F.lit(0xFFFF)), 8) + F.shiftleft(c.bitwiseAND(F.lit(0xFF)), 16)
     word = F.when(F.col("big"), joined(*near[::-1])).otherwise(joined(*near))
     return F.call_function("shiftright", word, F.col("shift")).bitwiseAND(F.col("mask"))
 
@@ -65,9 +71,9 @@ def find_signal(frames: DataFrame, rules: list[Rule], length: int | None = None,
 
     The ranges of an ID are those that fit its shortest frame (of MAX_PAYLOAD bytes at most). With `length`, they are those
     that fit so many bytes, and IDs with a shorter frame are left out. A pair of neighbouring frames meets the ranges of its
-    ID's length from a small table, and all rules are counted in one aggregate.
+    ID's length from a small table, and all rules are counted in one aggregate. Payloads are bytes, or arrays of numbers.
     """
-    shortest = frames.groupBy("key").agg(F.min(F.coalesce(F.length("data"), F.lit(0))).alias("least"))
+    shortest = frames.groupBy("key").agg(F.min(F.coalesce(payload(frames).length(), F.lit(0))).alias("least"))
     size_of = shortest.select("key", F.least("least", F.lit(MAX_PAYLOAD)).alias("least")) if length is None else shortest.where(F.col("least") >= length).select("key", F.lit(length).alias("least"))
     table = _ranges(frames.sparkSession, MAX_PAYLOAD if length is None else length, sizes, orders)
     fits = F.broadcast(table)  # of fixed size
@@ -79,10 +85,12 @@ def find_signal(frames: DataFrame, rules: list[Rule], length: int | None = None,
     ranges = F.broadcast(lengths.join(fits, F.col("last") < F.col("least")).select("least", "range", "byte", "big", "shift", "mask"))
 
     # a pair counts for each rule whose window holds both of its frames, so the frames are paired, and meet the ranges, once
-    rows = rows.where(F.col("ts_ns").between(min(r.t0_ns for r in rules), max(r.t1_ns for r in rules)))
+    starts, ends = [r.t0_ns for r in rules], [r.t1_ns for r in rules]
+    rows = rows if None in starts else rows.where(F.col("ts_ns") >= min(starts))
+    rows = rows if None in ends else rows.where(F.col("ts_ns") <= max(ends))
     paired = with_previous(rows, ["key"], {"data": "before", "ts_ns": "then_ns"}).where("before is not null")
-    inside = [(F.col("then_ns") >= r.t0_ns) & (F.col("ts_ns") <= r.t1_ns) for r in rules]
-    pairs = paired.where(reduce(lambda a, b: a | b, inside)).select("key", "least", payload_bytes(F.col("data")).alias("now"), payload_bytes(F.col("before")).alias("then"), *[c.alias(f"in{n}") for n, c in enumerate(inside)])
+    inside = [r.holds(F.col("then_ns"), F.col("ts_ns")) for r in rules]
+    pairs = paired.where(reduce(lambda a, b: a | b, inside)).select("key", "least", payload(paired).numbers(24).alias("now"), payload(paired, "before").numbers(24).alias("then"), *[c.alias(f"in{n}") for n, c in enumerate(inside)])
     marks = [f"in{n}" for n in range(len(rules))]
     steps = pairs.join(ranges, "least").select("key", "range", *marks, (_value("now") - _value("then")).alias("step"))
     counts = [(F.count_if(m), F.count_if(F.col(m) & (F.col("step") > 0)), F.count_if(F.col(m) & (F.col("step") < 0))) for m in marks]
