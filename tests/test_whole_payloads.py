@@ -12,3 +12,7 @@ TABLES = ["wide", "far", "gaps", "timeless"]
 @pytest.mark.parametrize("table", TABLES)
 def test_find_signal_reads_whole_numbers(spark, request, table):
     assert differing(spark, request.getfixturevalue(table), "find_signal") == ([], [], 0)
+
+
+def test_find_signal_whole_reads_whole_numbers(spark, wide):  # noqa: F811
+    assert differing(spark, wide, "find_signal_whole") == ([], [], 0)
