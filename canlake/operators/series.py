@@ -153,9 +153,9 @@ def as_of(series: DataFrame, reference: DataFrame, span_ns: int | None = None, k
     """(ts_ns, seq, value, reference), and the columns of the series to keep: the last reference value at or before each point, null before the first.
 
     The two are merged in spans of about equal numbers of rows, and each span starts from the last reference of the spans before it, so no
-    task sees a whole series.
+    task sees a whole series. A point without a time has no reference, and a reference without one belongs to no point.
     """
-    keep = keep or []
+    keep, reference = keep or [], reference.where("ts_ns is not null")
     both = series.select("ts_ns", "seq", "value", *keep, F.lit(None).cast("double").alias("reference"), F.lit(1).alias("side"))
     both = both.unionByName(reference.select("ts_ns", "seq", F.lit(None).cast("double").alias("value"), F.col("value").alias("reference"), F.lit(0).alias("side")), allowMissingColumns=True)
     both, single = spanned(both, None if span_ns is not None else spans_of(both).by_time(), span_ns)
@@ -166,7 +166,8 @@ def as_of(series: DataFrame, reference: DataFrame, span_ns: int | None = None, k
     last = both.groupBy("_span").agg(F.max_by("reference", F.when(F.col("side") == 0, F.struct("ts_ns", "seq"))).alias("_last"))
     upto = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.withColumn("_carried", F.last("_last", ignorenulls=True).over(upto)).drop("_last")
-    return merged.join(carried, "_span").select("ts_ns", "seq", "value", *keep, F.coalesce("reference", "_carried").alias("reference"))
+    found = F.when(F.col("ts_ns").isNotNull(), F.coalesce("reference", "_carried")).alias("reference")
+    return merged.join(carried, "_span", "left").select("ts_ns", "seq", "value", *keep, found)
 
 
 def line(x: str, y: str) -> tuple[Column, Column]:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from canlake.functions import bits
-from canlake.functions.frames import payload_bytes
+from canlake.functions.frames import payload, payload_bytes
 from canlake.operators.history import with_index, with_previous
 from canlake.operators.series import as_of, line
 from canlake.operators.stats import bit_flips
@@ -479,15 +479,17 @@ def nice(x: float) -> float:
     return math.copysign(float(f"{near * unit:.12g}"), x) if near else float(f"{x:.2e}")
 
 
-def reference_sums(frames: DataFrame, ranges: DataFrame, reference: DataFrame) -> DataFrame:
+def reference_sums(frames: DataFrame, ranges: DataFrame, reference: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(key, range, n, r, slope, mx, my) of each range against a reference series (ts_ns, seq, value).
 
     Every frame takes the last reference value at or before it, once for all ranges; sums of the pairs are kept for each
-    range. ranges: as _ranges gives them, with `signed`.
+    range. ranges: as _ranges gives them, with `signed`. Payloads may be arrays of numbers, with ranges of three places.
+    sizes: (key, size), where a frame of an ID has to have another length than lengths tells.
     """
-    rows = frames.where(_PAYLOAD).select("seq", "ts_ns", "key", "data").join(lengths(frames), "key").where(F.length("data") >= F.col("size"))
+    sizes = lengths(frames) if sizes is None else sizes
+    rows = frames.where(_PAYLOAD).select("seq", "ts_ns", "key", "data").join(sizes, "key").where(payload(frames).length() >= F.col("size"))
     met = as_of(rows.withColumn("value", F.lit(0.0)), reference, keep=["key", "data"]).where("reference is not null and not isnan(reference)")
-    raw = met.withColumn("now", payload_bytes(F.col("data"))).join(ranges, "key").select("key", "range", "width", "signed", F.col("reference").alias("y"), _value("now").alias("raw"))
+    raw = met.withColumn("now", payload(met).numbers(24)).join(ranges, "key").select("key", "range", "width", "signed", F.col("reference").alias("y"), _value("now").alias("raw"))
     modulus = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
     x = F.when(F.col("signed") & (F.col("raw") * 2 >= modulus), F.col("raw") - modulus).otherwise(F.col("raw")).cast("double")
     r, slope = line("x", "y")
@@ -661,12 +663,16 @@ def _bits_of() -> Column:
     return F.when(F.col("order") == bits.LITTLE, little.cast("array<long>")).otherwise(big.cast("array<long>"))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """rows with first, count, shift and width of their start, size and order, as _value reads them."""
+def _placed(rows: DataFrame, places: int | None = None) -> DataFrame:
+    """rows with first, count, shift and width of their start, size and order, as _value reads them.
+
+    places: so many are read for each range, where what passes a byte in one adds to the next.
+    """
     last = F.when(F.col("order") == bits.LITTLE, F.col("start") + F.col("size") - 1).otherwise(F.col("start") - F.col("start") % 8 + 7 - F.col("start") % 8 + F.col("size") - 1)
     first = F.floor(F.col("start") / 8).cast("int")
-    shift = F.when(F.col("order") == bits.LITTLE, F.col("start") % 8).otherwise(7 - last % 8)
-    return rows.withColumns({"first": first, "count": (F.floor(last / 8) - first + 1).cast("int"), "shift": shift.cast("int"), "width": F.col("size")})
+    count = F.floor(last / 8) - first + 1 if places is None else F.lit(places)
+    shift = F.when(F.col("order") == bits.LITTLE, F.col("start") % 8).otherwise(8 * (first + count) - 1 - last)
+    return rows.withColumns({"first": first, "count": count.cast("int"), "shift": shift.cast("int"), "width": F.col("size")})
 
 
 def _multiplexed(frames: DataFrame, base: DataFrame, paging: DataFrame) -> tuple[DataFrame, DataFrame] | None:

@@ -6,6 +6,8 @@ from test_missing_numbers import gaps  # noqa: F401
 from test_missing_times import differing, timeless  # noqa: F401
 from test_wide_numbers import wide  # noqa: F401
 
+from canlake.operators import history
+
 TABLES = ["wide", "far", "gaps", "timeless"]
 
 
@@ -16,3 +18,17 @@ def test_find_signal_reads_whole_numbers(spark, request, table):
 
 def test_find_signal_whole_reads_whole_numbers(spark, wide):  # noqa: F811
     assert differing(spark, wide, "find_signal_whole") == ([], [], 0)
+
+
+@pytest.mark.parametrize("table", TABLES)
+def test_reference_fits_read_whole_numbers(spark, request, table):
+    assert differing(spark, request.getfixturevalue(table), "reference_fits") == ([], [], 0)
+
+
+# one span, and many
+@pytest.mark.parametrize("rows", [None, 20])
+def test_points_and_references_without_a_time_do_not_meet(spark, timeless, monkeypatch, rows):  # noqa: F811
+    if rows:
+        monkeypatch.setattr(history, "SMALL", 0)
+        monkeypatch.setattr(history, "ROWS", rows)
+    assert differing(spark, timeless, "as_of_join") == ([], [], 0)
