@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from canlake.functions import frames as ff
-from canlake.operators.history import Spans, spans_of, with_index, with_previous
+from canlake.operators.history import Spans, in_order, place, spans_of, with_index, with_previous
 
 #: Bytes of a payload that a page shows, and compares with the previous frame.
 SHOWN = 64
@@ -113,16 +113,18 @@ def page(frames: DataFrame, start: int, count: int, key: int | None = None, span
     if bounds.low is None:
         bounds = Row(low=0, high=-1, first=0)
     inside = spanned.where(F.col("_span").between(bounds.low, bounds.high)).drop("_span")
-    last = frames.where(spans.before(bounds.low)).groupBy("key", "kind").agg(F.max_by("data", F.struct("ts_ns", "seq")).alias("earlier"))
+    last = frames.where(spans.before(bounds.low)).groupBy(F.col("key").alias("_key"), F.col("kind").alias("_kind")).agg(F.max_by("data", place()).alias("earlier"))
     if key is not None:
-        last = last.where(F.col("key") == key)
-    followed = with_previous(inside, ["key", "kind"], {"data": "near"}, spans=spans).join(last, ["key", "kind"], "left")
-    first_one = F.row_number().over(Window.partitionBy("key", "kind").orderBy("ts_ns", "seq")) == 1
+        last = last.where(F.col("_key") == key)
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("kind").eqNullSafe(F.col("_kind"))
+    followed = with_previous(inside, ["key", "kind"], {"data": "near"}, spans=spans).join(last, same, "left")
+    first_one = F.row_number().over(Window.partitionBy("key", "kind").orderBy(*in_order())) == 1
     followed = followed.withColumn("before", F.when(first_one, F.col("earlier")).otherwise(F.col("near")))
     chosen = with_index(followed, spans=spans).withColumn("index", F.col("index") + F.lit(bounds.first)).where(F.col("index").between(start, start + count - 1))
     # the mask comes first: beside a new column named data, its lambdas would read that one
-    shown = chosen.withColumn("changed", changed_mask(ff.payload(chosen), ff.payload(chosen, "before")))
-    return shown.select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", F.length("data").cast("long").alias("full_len"), F.hex(F.substring("data", 1, SHOWN)).alias("data"), "changed")
+    data = ff.payload(chosen)
+    shown = chosen.withColumn("changed", changed_mask(data, ff.payload(chosen, "before")))
+    return shown.select("index", "seq", ((F.col("ts_ns") - F.lit(origin)) / F.lit(1e9)).alias("t"), "key", data.length().cast("long").alias("full_len"), data.hex(SHOWN).alias("data"), "changed")
 
 
 def changed_masks(frames: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from test_missing_numbers import gaps  # noqa: F401
 from test_missing_times import differing, timeless  # noqa: F401
 from test_wide_numbers import wide  # noqa: F401
 
-from canlake.operators import history
+from canlake.operators import history, trace
+from canlake.sources import events
 
 TABLES = ["wide", "far", "gaps", "timeless"]
 
@@ -32,3 +33,19 @@ def test_points_and_references_without_a_time_do_not_meet(spark, timeless, monke
         monkeypatch.setattr(history, "SMALL", 0)
         monkeypatch.setattr(history, "ROWS", rows)
     assert differing(spark, timeless, "as_of_join") == ([], [], 0)
+
+
+# one span, a few, and more than 32
+@pytest.mark.parametrize("rows", [None, 200, 20])
+@pytest.mark.parametrize("table", TABLES)
+def test_trace_page_compares_whole_numbers(spark, request, monkeypatch, table, rows):
+    if rows:
+        monkeypatch.setattr(history, "SMALL", 0)
+        monkeypatch.setattr(history, "ROWS", rows)
+    assert differing(spark, request.getfixturevalue(table), "trace_page") == ([], [], 0)
+
+
+def test_trace_page_has_rows_without_a_time_last(spark, timeless):  # noqa: F811
+    frames = events.frames(spark, timeless, numbers=True)
+    got = trace.page(frames, 990, 20).collect()
+    assert sorted(r["index"] for r in got) == list(range(990, 1000)) and {r.t for r in got} == {None}
